@@ -116,3 +116,13 @@ def pct_change(cur, prev, digits: int = 2) -> Column:
 
 def cents_to_usd(c) -> Column:
     return F.round(col_(c).cast("double") / 100.0, 2)
+
+
+def exact_sum(c, digits: int) -> Column:
+    """Order-independent sum of values carrying ``digits`` decimals.
+
+    Floating-point sums depend on the order rows arrive in (which differs per
+    run and per engine); summing scaled integers and dividing once does not.
+    """
+    scale = 10 ** digits
+    return F.sum(F.round(dbl(c) * scale).cast("long")) / float(scale)

@@ -29,32 +29,54 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _window_order(order: Order):
+    return [(F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last()) for c, d in order]
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     """Keep the first row per ``keys`` under ``order`` (list of (column, 'asc'|'desc')).
 
-    The order must end in a unique tie-breaker.  When all directions agree the
-    pick is an aggregate (``max_by``/``min_by`` over a struct), which is
-    skew-safe thanks to partial aggregation; mixed directions fall back to
-    ``row_number() = 1`` (planned with a WindowGroupLimit).
+    NULLs sort last in either direction.  The order must end in a unique
+    tie-breaker.  When all directions agree the pick is an aggregate
+    (``max_by``/``min_by`` over a struct), which is skew-safe thanks to partial
+    aggregation; mixed directions fall back to ``row_number() = 1`` (planned
+    with a WindowGroupLimit, i.e. a partial top-1 before the shuffle).
     """
     dirs = {d for _, d in order}
     cols = df.columns
     if len(dirs) == 1:
-        ord_struct = F.struct(*[F.col(c) for c, _ in order])
+        desc = dirs == {"desc"}
+        parts = []
+        for c, _ in order:
+            parts += [F.col(c).isNotNull() if desc else F.col(c).isNull(), F.col(c)]
+        ord_struct = F.struct(*parts)
         row = F.struct(*[F.col(c) for c in cols])
-        pick = F.max_by(row, ord_struct) if dirs == {"desc"} else F.min_by(row, ord_struct)
+        pick = F.max_by(row, ord_struct) if desc else F.min_by(row, ord_struct)
         return df.groupBy(*keys).agg(pick.alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in cols])
-    w = Window.partitionBy(*keys).orderBy(*[(F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_first())
-                                           for c, d in order])
+    w = Window.partitionBy(*keys).orderBy(*_window_order(order))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Order, name: str = "rn") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[(F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_first())
-                                           for c, d in order])
+    w = Window.partitionBy(*keys).orderBy(*_window_order(order))
     return df.withColumn(name, F.row_number().over(w))
 
 
+def explode_months(df: DataFrame, start, end, cap=None, name: str = "bucket_month") -> DataFrame:
+    """One row per calendar month touched by ``[start, end]`` (end capped at ``cap``).
+
+    Intervals whose end month precedes their start month produce no rows.
+    Used to turn interval joins into equi-joins on (key, month): a hot key is
+    split by month and only pairs sharing a month become join candidates.
+    """
+    s = F.trunc(F.to_date(_c(start)), "MM")
+    e = F.trunc(F.to_date(_c(end)), "MM")
+    if cap is not None:
+        e = F.least(e, F.trunc(F.to_date(_c(cap)), "MM"))
+    return (df.filter(s <= e)
+            .withColumn(name, F.explode(F.sequence(s, e, F.expr("INTERVAL 1 MONTH")))))
+
+
 def date_spine(bounds: DataFrame, start, end, name: str = "date_day") -> DataFrame:
     """Day series between two date expressions evaluated on a one-row frame."""
     return bounds.select(F.explode(F.sequence(_c(start), _c(end), F.expr("INTERVAL 1 DAY"))).alias(name))
@@ -99,8 +121,7 @@ def close_intervals(df: DataFrame, keys: Sequence[str], start: str, raw_end: str
 
     ``raw_end`` NULL means open-ended; the last interval keeps its raw end.
     """
-    w = Window.partitionBy(*keys).orderBy(*[(F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_first())
-                                           for c, d in order])
+    w = Window.partitionBy(*keys).orderBy(*_window_order(order))
     nxt = F.lead(F.col(start)).over(w) - F.expr(gap)
     return df.withColumn(name, F.when(nxt.isNull(), F.col(raw_end))
                          .when(F.col(raw_end).isNull(), nxt)

@@ -33,8 +33,8 @@ def spark_round(sql: str) -> str:
     """Rewrite two-argument ``round(x, d)`` to Spark's rounding semantics.
 
     Spark rounds HALF_UP on the decimal representation of a double, DuckDB on
-    its binary value (2.155 -> 2.16 vs 2.15).  Rounding through
-    ``DECIMAL(38,14)`` reproduces Spark's result.
+    its binary value (2.155 -> 2.16 vs 2.15).  Rounding the shortest decimal
+    text of the double (``CAST(x AS VARCHAR)``) reproduces Spark's result.
     """
     out, i, low = [], 0, sql.lower()
     while True:
@@ -65,7 +65,7 @@ def spark_round(sql: str) -> str:
         inner = spark_round(sql[j + 6:comma])
         digits = sql[comma + 1:k].strip()
         out.append(sql[i:j])
-        out.append(f"CAST(round(CAST(({inner}) AS DECIMAL(38,14)), {digits}) AS DOUBLE)")
+        out.append(f"CAST(round(CAST(CAST(CAST(({inner}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)")
         i = k + 1
 
 
