@@ -230,3 +230,75 @@ SELECT c_custkey AS api_key_id, c_custkey AS organization_id,
        CAST(DATE '1995-01-01' + CAST((c_custkey * 37) % 2000 AS INTEGER) AS TIMESTAMP) AS created_at
 FROM customer
 """)
+
+# ------------------------------------------------------------- GTM bindings
+view("b_employees", """
+SELECT s_suppkey AS employee_id, s_name AS full_name, 'rep' || CAST(s_suppkey AS VARCHAR) || '@example.com' AS employee_email,
+       CASE s_suppkey % 3 WHEN 0 THEN 'sales' WHEN 1 THEN 'marketing' WHEN 2 THEN 'success' END AS team,
+       CASE WHEN s_suppkey >= 10 THEN s_suppkey % 10 END AS manager_employee_id, TRUE AS is_active
+FROM supplier
+""")
+
+view("b_accounts", """
+SELECT c_custkey AS account_id, CASE WHEN c_custkey % 4 <> 3 THEN c_custkey END AS organization_id,
+       c_name AS account_name,
+       CASE WHEN c_acctbal >= 5000 THEN 'enterprise' WHEN c_acctbal >= 0 THEN 'mid_market' ELSE 'smb' END AS account_tier,
+       'active' AS account_status, c_custkey % 10 AS owner_employee_id,
+       CAST(DATE '1995-01-01' + CAST((c_custkey * 37) % 2000 AS INTEGER) AS TIMESTAMP) - INTERVAL 30 DAY AS created_at
+FROM customer
+""")
+
+view("b_leads", """
+SELECT o_orderkey AS lead_id, o_custkey AS account_id,
+       CASE o_orderkey % 4 WHEN 0 THEN 'inbound' WHEN 1 THEN 'outbound' WHEN 2 THEN 'referral' WHEN 3 THEN 'partner' END AS lead_source,
+       CASE o_orderkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'working' WHEN 2 THEN 'nurturing' WHEN 3 THEN 'qualified'
+            WHEN 4 THEN 'converted' END AS lead_status,
+       CAST(o_orderkey % 100 AS INTEGER) AS lead_score, o_custkey % 10 AS owner_employee_id,
+       o_orderdate AS created_at,
+       CASE WHEN o_orderkey % 5 = 4 THEN o_orderdate + to_days(CAST(o_orderkey % 30 AS INTEGER)) END AS converted_at
+FROM orders
+""")
+
+view("b_campaigns", """
+SELECT p_brand AS campaign_id, 'Campaign ' || p_brand AS campaign_name,
+       CASE n % 4 WHEN 0 THEN 'paid_search' WHEN 1 THEN 'paid_social' WHEN 2 THEN 'email' WHEN 3 THEN 'events' END AS channel,
+       CAST(n * 1000 AS DOUBLE) AS budget_usd,
+       CAST(DATE '1995-01-01' + n * 30 AS DATE) AS start_date,
+       CAST(DATE '1995-01-01' + n * 30 + 1825 AS DATE) AS end_date,
+       CAST(n % 10 AS BIGINT) AS owner_employee_id
+FROM (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS n FROM part)
+""")
+
+view("b_lead_touches", """
+SELECT l_orderkey * 10 + l_linenumber AS touch_id, l_orderkey AS lead_id, p.p_brand AS campaign_id,
+       CASE l_linenumber % 3 WHEN 0 THEN 'first_touch' WHEN 1 THEN 'nurture' WHEN 2 THEN 'last_touch' END AS touch_type,
+       CASE WHEN l_linenumber % 4 = 0 THEN ' ' END AS channel,
+       l_shipdate AS touch_at, l_shipdate AS created_at,
+       '{"line": ' || CAST(l_linenumber AS VARCHAR) || '}' AS metadata
+FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
+""")
+
+view("b_opportunities", """
+SELECT l_orderkey * 10 + l_linenumber AS opportunity_id, o_custkey AS account_id, l_orderkey AS originating_lead_id,
+       CASE WHEN l_returnflag = 'A' THEN 'closed_won' WHEN l_returnflag = 'R' THEN 'closed_lost'
+            WHEN l_linestatus = 'O' THEN 'proposal' ELSE 'qualification' END AS stage,
+       l_extendedprice AS amount_usd, l_shipdate - INTERVAL 30 DAY AS created_at,
+       CASE WHEN l_returnflag IN ('A', 'R') THEN l_shipdate END AS closed_at,
+       l_returnflag = 'A' AS is_won
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+""")
+
+view("b_activities", """
+SELECT event_id AS activity_id, user_id AS account_id,
+       CASE WHEN event_type IN ('click', 'purchase', 'error') THEN 'workflow_execution'
+            WHEN event_type = 'view' THEN 'email' ELSE 'call' END AS activity_type,
+       'outbound' AS direction,
+       'organization_id=' || CAST(user_id AS VARCHAR) || '|action_type='
+         || CASE WHEN event_type = 'purchase' THEN 'send_offer' ELSE 'intervene_trial_conversion' END
+         || '|destination=' || CASE WHEN event_id % 2 = 0 THEN 'hubspot' ELSE 'slack' END
+         || CASE WHEN event_type = 'error' THEN '|error=delivery_timeout' ELSE '' END AS subject,
+       CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS outcome,
+       CASE WHEN user_id % 7 = 0 THEN 'rep-' || CAST(user_id % 10 AS VARCHAR) END AS legacy_owner_user_id,
+       ts + INTERVAL (-8217) DAY AS occurred_at
+FROM events
+""")

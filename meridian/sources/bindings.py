@@ -275,3 +275,110 @@ class Bindings:
     @property
     def events(self) -> DataFrame:
         return self.t.events
+
+    # =========================================================== GTM entities
+    @property
+    def employees(self) -> DataFrame:
+        s = self.t.supplier
+        k = F.col("s_suppkey")
+        return s.select(
+            k.alias("employee_id"), F.col("s_name").alias("full_name"),
+            F.concat(F.lit("rep"), k.cast("string"), F.lit("@example.com")).alias("employee_email"),
+            _case(k % 3, {0: "sales", 1: "marketing", 2: "success"}).alias("team"),
+            F.when(k >= 10, k % 10).alias("manager_employee_id"),
+            F.lit(True).alias("is_active"))
+
+    @property
+    def accounts(self) -> DataFrame:
+        c = self.t.customer
+        k = F.col("c_custkey")
+        created = F.date_add(F.lit("1995-01-01").cast("date"), ((k * 37) % 2000).cast("int")).cast("timestamp_ntz")
+        return c.select(
+            k.alias("account_id"),
+            F.when(k % 4 != 3, k).alias("organization_id"),
+            F.col("c_name").alias("account_name"),
+            F.when(F.col("c_acctbal") >= 5000, F.lit("enterprise")).when(F.col("c_acctbal") >= 0, F.lit("mid_market"))
+             .otherwise(F.lit("smb")).alias("account_tier"),
+            F.lit("active").alias("account_status"),
+            (k % 10).alias("owner_employee_id"),
+            add_days_ts(created, -30).alias("created_at"))
+
+    @property
+    def leads(self) -> DataFrame:
+        o = self.t.orders
+        k = F.col("o_orderkey")
+        status = _case(k % 5, {0: "new", 1: "working", 2: "nurturing", 3: "qualified", 4: "converted"})
+        return o.select(
+            k.alias("lead_id"), F.col("o_custkey").alias("account_id"),
+            _case(k % 4, {0: "inbound", 1: "outbound", 2: "referral", 3: "partner"}).alias("lead_source"),
+            status.alias("lead_status"), (k % 100).cast("int").alias("lead_score"),
+            (F.col("o_custkey") % 10).alias("owner_employee_id"),
+            F.col("o_orderdate").alias("created_at"),
+            F.when(k % 5 == 4, add_days_ts("o_orderdate", (k % 30).cast("int"))).alias("converted_at"))
+
+    @property
+    def campaigns(self) -> DataFrame:
+        """One campaign per distinct part brand ('Brand#N')."""
+        p = self.t.part.select("p_brand").distinct()
+        n = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+        start = F.date_add(F.lit("1995-01-01").cast("date"), n * 30)
+        return p.select(
+            F.col("p_brand").alias("campaign_id"),
+            F.concat(F.lit("Campaign "), F.col("p_brand")).alias("campaign_name"),
+            _case(n % 4, {0: "paid_search", 1: "paid_social", 2: "email", 3: "events"}).alias("channel"),
+            (n * 1000).cast("double").alias("budget_usd"),
+            start.alias("start_date"), F.date_add(start, 1825).alias("end_date"),
+            (n % 10).cast("long").alias("owner_employee_id"))
+
+    @property
+    def lead_touches(self) -> DataFrame:
+        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+        p = self.t.part.select("p_partkey", "p_brand")
+        j = li.join(p, li.l_partkey == p.p_partkey, "left")
+        return j.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("touch_id"),
+            F.col("l_orderkey").alias("lead_id"), F.col("p_brand").alias("campaign_id"),
+            _case(F.col("l_linenumber") % 3, {0: "first_touch", 1: "nurture", 2: "last_touch"}).alias("touch_type"),
+            F.when(F.col("l_linenumber") % 4 == 0, F.lit(" ")).alias("channel"),
+            F.col("l_shipdate").alias("touch_at"), F.col("l_shipdate").alias("created_at"),
+            F.concat(F.lit('{"line": '), F.col("l_linenumber").cast("string"), F.lit("}")).alias("metadata"))
+
+    @property
+    def opportunities(self) -> DataFrame:
+        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag",
+                                    "l_linestatus", "l_shipdate")
+        o = self.t.orders.select("o_orderkey", "o_custkey")
+        j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+        stage = (F.when(F.col("l_returnflag") == "A", F.lit("closed_won"))
+                 .when(F.col("l_returnflag") == "R", F.lit("closed_lost"))
+                 .when(F.col("l_linestatus") == "O", F.lit("proposal")).otherwise(F.lit("qualification")))
+        return j.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("opportunity_id"),
+            F.col("o_custkey").alias("account_id"), F.col("l_orderkey").alias("originating_lead_id"),
+            stage.alias("stage"), F.col("l_extendedprice").alias("amount_usd"),
+            add_days_ts("l_shipdate", -30).alias("created_at"),
+            F.when(F.col("l_returnflag").isin("A", "R"), F.col("l_shipdate")).alias("closed_at"),
+            (F.col("l_returnflag") == "A").alias("is_won"))
+
+    # Activities replay the event stream shifted so its last day lines up with as_of.
+    ACTIVITY_SHIFT_DAYS = -8217
+
+    @property
+    def activities(self) -> DataFrame:
+        e = self.t.events
+        et = F.col("event_type")
+        atype = F.when(et.isin("click", "purchase", "error"), F.lit("workflow_execution")) \
+                 .when(et == "view", F.lit("email")).otherwise(F.lit("call"))
+        subject = F.concat(F.lit("organization_id="), F.col("user_id").cast("string"),
+                           F.lit("|action_type="), F.when(et == "purchase", F.lit("send_offer"))
+                           .otherwise(F.lit("intervene_trial_conversion")),
+                           F.lit("|destination="), F.when(F.col("event_id") % 2 == 0, F.lit("hubspot"))
+                           .otherwise(F.lit("slack")),
+                           F.when(et == "error", F.lit("|error=delivery_timeout")).otherwise(F.lit("")))
+        return e.select(
+            F.col("event_id").alias("activity_id"), F.col("user_id").alias("account_id"),
+            atype.alias("activity_type"), F.lit("outbound").alias("direction"), subject.alias("subject"),
+            F.when(et == "error", F.lit("failed")).otherwise(F.lit("success")).alias("outcome"),
+            F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("rep-"), (F.col("user_id") % 10).cast("string")))
+             .alias("legacy_owner_user_id"),
+            add_days_ts("ts", self.ACTIVITY_SHIFT_DAYS).alias("occurred_at"))
