@@ -302,3 +302,86 @@ SELECT event_id AS activity_id, user_id AS account_id,
        ts + INTERVAL (-8217) DAY AS occurred_at
 FROM events
 """)
+
+# --------------------------------------------------------- finance bindings
+view("b_li_orders", """
+SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, l_shipdate, o_custkey
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+""")
+
+view("b_fin_departments", """
+SELECT c_custkey AS department_id, c_custkey AS organization_id, n_name || ' ops' AS department_name,
+       CAST((1000 + (c_custkey % 10) * 500) * 100 AS BIGINT) AS budget_cents,
+       CASE WHEN c_custkey % 9 = 0 THEN 'inactive' ELSE 'active' END AS department_status
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+""")
+
+view("b_fin_vendors", """
+SELECT s_suppkey AS vendor_id, s_name AS vendor_name,
+       CASE s_suppkey % 4 WHEN 0 THEN 'software' WHEN 1 THEN 'travel' WHEN 2 THEN 'office' WHEN 3 THEN 'services' END AS vendor_category,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'net30' ELSE 'net15' END AS payment_terms,
+       CASE WHEN s_acctbal < 0 THEN 'high' ELSE 'low' END AS risk_level, upper(trim(' us ')) AS country_code
+FROM supplier WHERE s_suppkey % 13 <> 0
+""")
+
+view("b_fin_cards", """
+SELECT c_custkey AS card_id, c_custkey AS organization_id,
+       CASE WHEN c_custkey % 2 = 0 THEN 'visa' ELSE 'mastercard' END AS card_brand,
+       CASE WHEN c_custkey % 3 = 0 THEN 'physical' ELSE 'virtual' END AS card_type,
+       CAST(500000 AS BIGINT) AS limit_cents,
+       CASE WHEN c_custkey % 11 = 0 THEN 'frozen' ELSE 'active' END AS card_status
+FROM customer
+""")
+
+view("b_fin_transactions", """
+SELECT l_orderkey * 10 + l_linenumber AS transaction_id, o_custkey AS organization_id, o_custkey AS card_id,
+       l_suppkey AS vendor_id, CAST(round(l_extendedprice * 100) AS BIGINT) // 10 AS amount_cents,
+       CASE WHEN l_linestatus = 'F' THEN 'cleared' WHEN l_returnflag = 'R' THEN 'declined' ELSE 'posted' END AS transaction_status,
+       l_shipdate AS transaction_at
+FROM b_li_orders
+""", "b_li_orders")
+
+view("b_fin_reimbursements", """
+SELECT o_orderkey AS reimbursement_id, o_custkey AS organization_id,
+       CAST(round(o_totalprice * 100) AS BIGINT) // 100 AS amount_cents,
+       CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'approved' WHEN 'P' THEN 'submitted' END AS reimbursement_status,
+       o_orderdate AS submitted_at,
+       CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 2 DAY END AS approved_at,
+       CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 5 DAY END AS paid_at
+FROM orders
+""")
+
+view("b_fin_bills", """
+SELECT o_orderkey AS bill_id, o_custkey AS organization_id, o_orderkey % 10 AS vendor_id,
+       CAST(o_orderdate AS DATE) AS bill_date,
+       CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) END AS due_date,
+       CAST(round(o_totalprice * 100) AS BIGINT) // 20 AS amount_cents,
+       CASE WHEN o_orderstatus = 'F' THEN 'paid' WHEN o_orderstatus = 'O' THEN 'approved'
+            WHEN o_orderkey % 2 = 0 THEN 'submitted' ELSE 'scheduled' END AS bill_status
+FROM orders
+""")
+
+view("b_fin_bill_payments", """
+SELECT o_orderkey AS bill_payment_id, o_orderkey AS bill_id, o_custkey AS organization_id,
+       CAST(round(o_totalprice * 100) AS BIGINT) // 20 AS amount_cents,
+       CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate + INTERVAL 20 DAY END AS paid_at,
+       o_orderdate + INTERVAL 19 DAY AS created_at,
+       CASE WHEN o_orderkey % 19 = 0 THEN 'failed' ELSE 'paid' END AS payment_status
+FROM orders WHERE o_orderstatus = 'F'
+""")
+
+view("b_fin_bill_adjustments", """
+SELECT o_orderkey AS bill_adjustment_id, o_orderkey AS bill_id, o_custkey AS organization_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'decrease' ELSE 'increase' END AS direction,
+       (o_orderkey % 50) * 100 AS amount_cents, o_orderdate + INTERVAL 10 DAY AS adjusted_at
+FROM orders
+""")
+
+view("b_fin_payment_reversals", """
+SELECT l_orderkey * 10 + l_linenumber AS payment_reversal_id, l_orderkey AS original_payment_id,
+       CASE WHEN l_linenumber % 2 = 1 THEN l_orderkey END AS bill_id, o_custkey AS organization_id,
+       CAST(round(l_extendedprice * 100) AS BIGINT) // 10 AS reversal_amount_cents,
+       CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'pending' END AS reversal_status,
+       l_shipdate AS reversed_at
+FROM b_li_orders WHERE l_returnflag = 'R'
+""", "b_li_orders")

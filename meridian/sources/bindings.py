@@ -382,3 +382,114 @@ class Bindings:
             F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("rep-"), (F.col("user_id") % 10).cast("string")))
              .alias("legacy_owner_user_id"),
             add_days_ts("ts", self.ACTIVITY_SHIFT_DAYS).alias("occurred_at"))
+
+    # ====================================================== finance entities
+    # Money is carried in integer cents (``*_cents``) and exposed in USD once.
+    @property
+    def _lineitem_orders(self) -> DataFrame:
+        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
+                                    "l_returnflag", "l_linestatus", "l_shipdate")
+        o = self.t.orders.select("o_orderkey", "o_custkey")
+        return li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+
+    @property
+    def fin_departments(self) -> DataFrame:
+        c = self.t.customer.select("c_custkey", "c_nationkey")
+        n = F.broadcast(self.t.nation.select("n_nationkey", "n_name"))  # fixed 25-row reference table
+        k = F.col("c_custkey")
+        return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+            k.alias("department_id"), k.alias("organization_id"),
+            F.concat(F.col("n_name"), F.lit(" ops")).alias("department_name"),
+            ((F.lit(1000) + (k % 10) * 500) * 100).cast("long").alias("budget_cents"),
+            F.when(k % 9 == 0, F.lit("inactive")).otherwise(F.lit("active")).alias("department_status"))
+
+    @property
+    def fin_vendors(self) -> DataFrame:
+        s = self.t.supplier.filter(F.col("s_suppkey") % 13 != 0)
+        k = F.col("s_suppkey")
+        return s.select(
+            k.alias("vendor_id"), F.col("s_name").alias("vendor_name"),
+            _case(k % 4, {0: "software", 1: "travel", 2: "office", 3: "services"}).alias("vendor_category"),
+            F.when(k % 2 == 0, F.lit("net30")).otherwise(F.lit("net15")).alias("payment_terms"),
+            F.when(F.col("s_acctbal") < 0, F.lit("high")).otherwise(F.lit("low")).alias("risk_level"),
+            F.upper(F.trim(F.lit(" us "))).alias("country_code"))
+
+    @property
+    def fin_cards(self) -> DataFrame:
+        c = self.t.customer
+        k = F.col("c_custkey")
+        return c.select(
+            k.alias("card_id"), k.alias("organization_id"),
+            F.when(k % 2 == 0, F.lit("visa")).otherwise(F.lit("mastercard")).alias("card_brand"),
+            F.when(k % 3 == 0, F.lit("physical")).otherwise(F.lit("virtual")).alias("card_type"),
+            F.lit(500000).cast("long").alias("limit_cents"),
+            F.when(k % 11 == 0, F.lit("frozen")).otherwise(F.lit("active")).alias("card_status"))
+
+    @property
+    def fin_transactions(self) -> DataFrame:
+        j = self._lineitem_orders
+        status = (F.when(F.col("l_linestatus") == "F", F.lit("cleared"))
+                  .when(F.col("l_returnflag") == "R", F.lit("declined")).otherwise(F.lit("posted")))
+        return j.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"),
+            F.col("o_custkey").alias("organization_id"), F.col("o_custkey").alias("card_id"),
+            F.col("l_suppkey").alias("vendor_id"),
+            F.expr("CAST(round(l_extendedprice * 100) AS BIGINT) div 10").alias("amount_cents"),
+            status.alias("transaction_status"), F.col("l_shipdate").alias("transaction_at"))
+
+    @property
+    def fin_reimbursements(self) -> DataFrame:
+        o = self.t.orders
+        st = F.col("o_orderstatus")
+        return o.select(
+            F.col("o_orderkey").alias("reimbursement_id"), F.col("o_custkey").alias("organization_id"),
+            F.expr("CAST(round(o_totalprice * 100) AS BIGINT) div 100").alias("amount_cents"),
+            _case(st, {"F": "paid", "O": "approved", "P": "submitted"}).alias("reimbursement_status"),
+            F.col("o_orderdate").alias("submitted_at"),
+            F.when(st != "P", add_days_ts("o_orderdate", 2)).alias("approved_at"),
+            F.when(st == "F", add_days_ts("o_orderdate", 5)).alias("paid_at"))
+
+    @property
+    def fin_bills(self) -> DataFrame:
+        o = self.t.orders
+        k, st = F.col("o_orderkey"), F.col("o_orderstatus")
+        status = (F.when(st == "F", F.lit("paid")).when(st == "O", F.lit("approved"))
+                  .when(k % 2 == 0, F.lit("submitted")).otherwise(F.lit("scheduled")))
+        return o.select(
+            k.alias("bill_id"), F.col("o_custkey").alias("organization_id"), (k % 10).alias("vendor_id"),
+            F.to_date("o_orderdate").alias("bill_date"),
+            F.when(k % 11 != 0, F.date_add(F.to_date("o_orderdate"), 30)).alias("due_date"),
+            F.expr("CAST(round(o_totalprice * 100) AS BIGINT) div 20").alias("amount_cents"),
+            status.alias("bill_status"))
+
+    @property
+    def fin_bill_payments(self) -> DataFrame:
+        o = self.t.orders.filter(F.col("o_orderstatus") == "F")
+        k = F.col("o_orderkey")
+        return o.select(
+            k.alias("bill_payment_id"), k.alias("bill_id"), F.col("o_custkey").alias("organization_id"),
+            F.expr("CAST(round(o_totalprice * 100) AS BIGINT) div 20").alias("amount_cents"),
+            F.when(k % 13 != 0, add_days_ts("o_orderdate", 20)).alias("paid_at"),
+            add_days_ts("o_orderdate", 19).alias("created_at"),
+            F.when(k % 19 == 0, F.lit("failed")).otherwise(F.lit("paid")).alias("payment_status"))
+
+    @property
+    def fin_bill_adjustments(self) -> DataFrame:
+        o = self.t.orders
+        k = F.col("o_orderkey")
+        return o.select(
+            k.alias("bill_adjustment_id"), k.alias("bill_id"), F.col("o_custkey").alias("organization_id"),
+            F.when(k % 2 == 0, F.lit("decrease")).otherwise(F.lit("increase")).alias("direction"),
+            ((k % 50) * 100).alias("amount_cents"), add_days_ts("o_orderdate", 10).alias("adjusted_at"))
+
+    @property
+    def fin_payment_reversals(self) -> DataFrame:
+        j = self._lineitem_orders.filter(F.col("l_returnflag") == "R")
+        return j.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("payment_reversal_id"),
+            F.col("l_orderkey").alias("original_payment_id"),
+            F.when(F.col("l_linenumber") % 2 == 1, F.col("l_orderkey")).alias("bill_id"),
+            F.col("o_custkey").alias("organization_id"),
+            F.expr("CAST(round(l_extendedprice * 100) AS BIGINT) div 10").alias("reversal_amount_cents"),
+            F.when(F.col("l_linestatus") == "F", F.lit("completed")).otherwise(F.lit("pending")).alias("reversal_status"),
+            F.col("l_shipdate").alias("reversed_at"))
