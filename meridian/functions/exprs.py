@@ -126,3 +126,8 @@ def exact_sum(c, digits: int) -> Column:
     """
     scale = 10 ** digits
     return F.sum(F.round(dbl(c) * scale).cast("long")) / float(scale)
+
+
+def exact_avg(c, digits: int) -> Column:
+    """Order-independent mean of values carrying ``digits`` decimals."""
+    return exact_sum(c, digits) / F.nullif(F.count(col_(c)), F.lit(0))
