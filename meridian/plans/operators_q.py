@@ -1,3 +1,394 @@
-"""operators_q queries."""
+"""Operator-level queries (filters, joins, aggregations, windows, sorts, sets,
+scalar functions, spines), each a small data product over the bindings.
+
+Every query here runs over the whole input tables; limits appear only where the
+limit is the operator itself (top-k, latest row, paging, row/byte caps).
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.exprs import (count_if, duration_bucket, exact_sum, initials, iso_yearweek, kv_extract, month_start,
+                               safe_ratio, url_domain, week_start)
+from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_cont,
+                                rank_within, trailing_distinct, union_calendar)
+from .core import bridge_org_activity, dim_organizations, fct_sessions
+from .finance import fin_monthly_revenue, subscription_history
+from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL, view
+from .registry import register
+
+
+def q(name: str, sql: str | None, *deps: str, inputs: tuple[str, ...] = ()):
+    return register(name, sql, tuple(deps), inputs=inputs)
+
+
+def _d(b):
+    return F.lit(b.as_of).cast("date")
+
+
+# =================================================================== filters
+@q("flt_equality", "SELECT session_id, organization_id, status FROM b_sessions WHERE status = 'completed'", "b_sessions")
+def flt_equality(b):
+    return b.sessions.filter(F.col("status") == "completed").select("session_id", "organization_id", "status")
+
+
+@q("flt_in_list", "SELECT bill_id, organization_id, bill_status FROM b_fin_bills "
+   "WHERE bill_status IN ('submitted', 'approved', 'scheduled')", "b_fin_bills")
+def flt_in_list(b):
+    return b.fin_bills.filter(F.col("bill_status").isin("submitted", "approved", "scheduled")) \
+        .select("bill_id", "organization_id", "bill_status")
+
+
+@q("flt_not_in", "SELECT opportunity_id, account_id, stage, amount_usd FROM b_opportunities "
+   "WHERE stage NOT IN ('closed_won', 'closed_lost')", "b_opportunities")
+def flt_not_in(b):
+    return b.opportunities.filter(~F.col("stage").isin("closed_won", "closed_lost")) \
+        .select("opportunity_id", "account_id", "stage", "amount_usd")
+
+
+@q("flt_trailing_window", f"SELECT session_id, organization_id, CAST(started_at AS DATE) AS session_date FROM b_sessions "
+   f"WHERE CAST(started_at AS DATE) >= {AS_OF_SQL} - INTERVAL 30 DAY", "b_sessions")
+def flt_trailing_window(b):
+    d = F.to_date("started_at")
+    return b.sessions.filter(d >= F.date_sub(_d(b), 30)).select("session_id", "organization_id", d.alias("session_date"))
+
+
+@q("flt_trailing_months", f"SELECT organization_id, revenue_month, realized_revenue_usd FROM fin_monthly_revenue "
+   f"WHERE revenue_month >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 12 MONTH AS DATE)", "fin_monthly_revenue")
+def flt_trailing_months(b):
+    r = fin_monthly_revenue(b)
+    return r.filter(F.col("revenue_month") >= F.add_months(F.trunc(_d(b), "MM"), -12)) \
+        .select("organization_id", "revenue_month", "realized_revenue_usd")
+
+
+@q("flt_prior_window", f"""
+SELECT CASE WHEN CAST(started_at AS DATE) > {AS_OF_SQL} - INTERVAL 7 DAY THEN 'current' ELSE 'previous' END AS window_name,
+       count(*) AS sessions, count(CASE WHEN status = 'completed' THEN 1 END) AS completed
+FROM b_sessions
+WHERE CAST(started_at AS DATE) > {AS_OF_SQL} - INTERVAL 14 DAY AND CAST(started_at AS DATE) <= {AS_OF_SQL}
+GROUP BY 1""", "b_sessions")
+def flt_prior_window(b):
+    d = F.to_date("started_at")
+    s = b.sessions.filter((d > F.date_sub(_d(b), 14)) & (d <= _d(b)))
+    w = F.when(d > F.date_sub(_d(b), 7), F.lit("current")).otherwise(F.lit("previous"))
+    return s.groupBy(w.alias("window_name")).agg(F.count(F.lit(1)).alias("sessions"),
+                                                 count_if(F.col("status") == "completed").alias("completed"))
+
+
+@q("flt_null_guard", "SELECT lead_id, account_id, converted_at FROM b_leads WHERE converted_at IS NOT NULL", "b_leads")
+def flt_null_guard(b):
+    return b.leads.filter(F.col("converted_at").isNotNull()).select("lead_id", "account_id", "converted_at")
+
+
+@q("flt_or_mixed", f"SELECT subscription_id, organization_id, status FROM fct_subscriptions "
+   f"WHERE is_in_trial = TRUE OR status = 'trialing'", "fct_subscriptions")
+def flt_or_mixed(b):
+    from .core import fct_subscriptions
+    return fct_subscriptions(b).filter(F.col("is_in_trial") | (F.col("status") == "trialing")) \
+        .select("subscription_id", "organization_id", "status")
+
+
+@q("flt_like", "SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%widget%' OR p_type LIKE 'ECON%'")
+def flt_like(b):
+    return b.t.part.filter(F.col("p_name").like("%widget%") | F.col("p_type").like("ECON%")) \
+        .select("p_partkey", "p_name", "p_type")
+
+
+@q("flt_between", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000")
+def flt_between(b):
+    return b.t.orders.filter(F.col("o_totalprice").between(100000, 200000)).select("o_orderkey", "o_totalprice")
+
+
+@q("flt_null_safe_distinct", "SELECT account_id, organization_id FROM b_accounts "
+   "WHERE organization_id IS DISTINCT FROM account_id", "b_accounts")
+def flt_null_safe_distinct(b):
+    return b.accounts.filter(~F.col("organization_id").eqNullSafe(F.col("account_id"))) \
+        .select("account_id", "organization_id")
+
+
+@q("flt_having", "SELECT organization_id, count(*) AS sessions FROM b_sessions GROUP BY 1 HAVING count(*) > 10",
+   "b_sessions")
+def flt_having(b):
+    return b.sessions.groupBy("organization_id").agg(F.count(F.lit(1)).alias("sessions")) \
+        .filter(F.col("sessions") > 10)
+
+
+@q("flt_latest_period", "SELECT organization_id, revenue_month, realized_revenue_usd FROM fin_monthly_revenue "
+   "WHERE revenue_month = (SELECT max(revenue_month) FROM fin_monthly_revenue)", "fin_monthly_revenue")
+def flt_latest_period(b):
+    r = fin_monthly_revenue(b)
+    latest = r.agg(F.max("revenue_month").alias("revenue_month"))  # one row
+    return r.join(latest, "revenue_month", "left_semi").select("organization_id", "revenue_month", "realized_revenue_usd")
+
+
+# ===================================================================== joins
+@q("jn_inner", """SELECT a.subscription_id, a.organization_id, p.plan_name, p.monthly_price_usd
+FROM b_subscriptions a JOIN b_plans p ON a.plan_id = p.plan_id""", "b_subscriptions", "b_plans")
+def jn_inner(b):
+    return b.subscriptions.join(F.broadcast(b.plans), "plan_id") \
+        .select("subscription_id", "organization_id", "plan_name", "monthly_price_usd")
+
+
+@q("jn_left_enrich", """SELECT e.event_id, e.session_id, s.organization_id, s.project_id
+FROM b_session_events e LEFT JOIN b_sessions s ON e.session_id = s.session_id""", "b_session_events", "b_sessions")
+def jn_left_enrich(b):
+    s = b.sessions.select("session_id", "organization_id", "project_id")
+    return b.session_events.join(s, "session_id", "left").select("event_id", "session_id", "organization_id", "project_id")
+
+
+@q("jn_left_multi_key", """SELECT r.organization_id, r.revenue_month, r.realized_revenue_usd, s.sessions
+FROM fin_monthly_revenue r LEFT JOIN (SELECT organization_id, CAST(date_trunc('month', started_at) AS DATE) AS m,
+                                             count(*) AS sessions FROM b_sessions GROUP BY 1, 2) s
+  ON r.organization_id = s.organization_id AND r.revenue_month = s.m""", "fin_monthly_revenue", "b_sessions")
+def jn_left_multi_key(b):
+    s = b.sessions.groupBy("organization_id", month_start("started_at").alias("revenue_month")) \
+        .agg(F.count(F.lit(1)).alias("sessions"))
+    return fin_monthly_revenue(b).join(s, ["organization_id", "revenue_month"], "left") \
+        .select("organization_id", "revenue_month", "realized_revenue_usd", "sessions")
+
+
+@q("jn_chain_star", """
+SELECT a.account_id, a.account_tier, coalesce(l.leads, 0) AS leads, coalesce(o.opps, 0) AS opps,
+       coalesce(s.sessions, 0) AS sessions, coalesce(i.invoices, 0) AS invoices, e.full_name AS owner_name
+FROM b_accounts a
+LEFT JOIN (SELECT account_id, count(*) AS leads FROM b_leads GROUP BY 1) l ON a.account_id = l.account_id
+LEFT JOIN (SELECT account_id, count(*) AS opps FROM b_opportunities GROUP BY 1) o ON a.account_id = o.account_id
+LEFT JOIN (SELECT organization_id, count(*) AS sessions FROM b_sessions GROUP BY 1) s ON a.organization_id = s.organization_id
+LEFT JOIN (SELECT organization_id, count(*) AS invoices FROM b_invoices GROUP BY 1) i ON a.organization_id = i.organization_id
+LEFT JOIN b_employees e ON a.owner_employee_id = e.employee_id""",
+   "b_accounts", "b_leads", "b_opportunities", "b_sessions", "b_invoices", "b_employees")
+def jn_chain_star(b):
+    """Star of pre-aggregated branches around one spine (no fan-out)."""
+    a = b.accounts
+    l = b.leads.groupBy("account_id").agg(F.count(F.lit(1)).alias("leads"))
+    o = b.opportunities.groupBy("account_id").agg(F.count(F.lit(1)).alias("opps"))
+    s = b.sessions.groupBy("organization_id").agg(F.count(F.lit(1)).alias("sessions"))
+    i = b.invoices.groupBy("organization_id").agg(F.count(F.lit(1)).alias("invoices"))
+    e = b.employees.select(F.col("employee_id").alias("owner_employee_id"), F.col("full_name").alias("owner_name"))
+    j = (a.join(l, "account_id", "left").join(o, "account_id", "left").join(s, "organization_id", "left")
+         .join(i, "organization_id", "left").join(e, "owner_employee_id", "left"))
+    return j.select("account_id", "account_tier", F.coalesce("leads", F.lit(0)).alias("leads"),
+                    F.coalesce("opps", F.lit(0)).alias("opps"), F.coalesce("sessions", F.lit(0)).alias("sessions"),
+                    F.coalesce("invoices", F.lit(0)).alias("invoices"), "owner_name")
+
+
+@q("jn_role_playing", """
+SELECT c.campaign_id, own.full_name AS campaign_owner, mgr.full_name AS owner_manager, mgr2.full_name AS manager_manager
+FROM b_campaigns c
+LEFT JOIN b_employees own ON c.owner_employee_id = own.employee_id
+LEFT JOIN b_employees mgr ON own.manager_employee_id = mgr.employee_id
+LEFT JOIN b_employees mgr2 ON mgr.manager_employee_id = mgr2.employee_id""", "b_campaigns", "b_employees")
+def jn_role_playing(b):
+    e = b.employees
+    own, mgr, mgr2 = e.alias("own"), e.alias("mgr"), e.alias("mgr2")
+    c = b.campaigns.alias("c")
+    j = (c.join(own, F.col("c.owner_employee_id") == F.col("own.employee_id"), "left")
+         .join(mgr, F.col("own.manager_employee_id") == F.col("mgr.employee_id"), "left")
+         .join(mgr2, F.col("mgr.manager_employee_id") == F.col("mgr2.employee_id"), "left"))
+    return j.select(F.col("c.campaign_id"), F.col("own.full_name").alias("campaign_owner"),
+                    F.col("mgr.full_name").alias("owner_manager"), F.col("mgr2.full_name").alias("manager_manager"))
+
+
+@q("jn_full_outer", """
+SELECT coalesce(t.organization_id, r.organization_id) AS organization_id, coalesce(t.m, r.m) AS month,
+       coalesce(t.card_cents, 0) AS card_cents, coalesce(r.reimb_cents, 0) AS reimb_cents
+FROM (SELECT organization_id, CAST(date_trunc('month', transaction_at) AS DATE) AS m, sum(amount_cents) AS card_cents
+      FROM b_fin_transactions GROUP BY 1, 2) t
+FULL OUTER JOIN (SELECT organization_id, CAST(date_trunc('month', submitted_at) AS DATE) AS m, sum(amount_cents) AS reimb_cents
+      FROM b_fin_reimbursements GROUP BY 1, 2) r ON t.organization_id = r.organization_id AND t.m = r.m""",
+   "b_fin_transactions", "b_fin_reimbursements")
+def jn_full_outer(b):
+    t = b.fin_transactions.groupBy("organization_id", month_start("transaction_at").alias("month")) \
+        .agg(F.sum("amount_cents").alias("card_cents"))
+    r = b.fin_reimbursements.groupBy("organization_id", month_start("submitted_at").alias("month")) \
+        .agg(F.sum("amount_cents").alias("reimb_cents"))
+    return t.join(r, ["organization_id", "month"], "full").select(
+        "organization_id", "month", F.coalesce("card_cents", F.lit(0)).alias("card_cents"),
+        F.coalesce("reimb_cents", F.lit(0)).alias("reimb_cents"))
+
+
+@q("jn_cross_scalar", """
+SELECT s.organization_id, s.sessions, round(s.sessions::DOUBLE / t.total * 100, 4) AS share_pct
+FROM (SELECT organization_id, count(*) AS sessions FROM b_sessions GROUP BY 1) s
+CROSS JOIN (SELECT count(*) AS total FROM b_sessions) t""", "b_sessions")
+def jn_cross_scalar(b):
+    s = b.sessions.groupBy("organization_id").agg(F.count(F.lit(1)).alias("sessions"))
+    t = b.sessions.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    return s.crossJoin(F.broadcast(t)).select("organization_id", "sessions",
+                                              F.round(F.col("sessions") / F.col("_total") * 100, 4).alias("share_pct"))
+
+
+@q("jn_cross_grid", f"""
+SELECT p.plan_id, m.month
+FROM b_plans p CROSS JOIN (SELECT DISTINCT CAST(date_trunc('month', started_at) AS DATE) AS month FROM b_sessions) m""",
+   "b_plans", "b_sessions")
+def jn_cross_grid(b):
+    """Plan x observed month grid; the plan side is the bounded catalogue."""
+    months = b.sessions.select(month_start("started_at").alias("month")).distinct()
+    return months.crossJoin(F.broadcast(b.plans.select("plan_id"))).select("plan_id", "month")
+
+
+@q("jn_theta_spine", f"""
+SELECT o.organization_id, count(*) AS days_since_signup
+FROM b_organizations o JOIN dim_time d ON d.date_day >= CAST(o.created_at AS DATE) AND d.date_day <= {AS_OF_SQL}
+GROUP BY 1""", "b_organizations", "dim_time")
+def jn_theta_spine(b):
+    """Cross join + range filter rewritten as a per-row explode (output-sized)."""
+    from .core import dim_time
+    d0 = dim_time(b).agg(F.min("date_day").alias("_d0"))
+    o = b.organizations.crossJoin(F.broadcast(d0))  # one-row calendar bound
+    sp = entity_day_spine(o, "organization_id", F.greatest(F.to_date("created_at"), F.col("_d0")), _d(b))
+    return sp.groupBy("organization_id").agg(F.count(F.lit(1)).alias("days_since_signup"))
+
+
+@q("jn_theta_threshold", """
+SELECT s.organization_id, t.threshold_name, s.signal_score FROM gtm_trial_risk s
+JOIN gtm_signal_thresholds t ON s.signal_score >= t.threshold_value WHERE t.is_active""",
+   "gtm_trial_risk", "gtm_signal_thresholds")
+def jn_theta_threshold(b):
+    from .growth import gtm_trial_risk, signal_thresholds
+    t = F.broadcast(signal_thresholds(b.spark).filter("is_active"))  # bounded configuration
+    return gtm_trial_risk(b).join(t, F.col("signal_score") >= F.col("threshold_value")) \
+        .select("organization_id", "threshold_name", "signal_score")
+
+
+def _asof_sessions(b):
+    """Session -> containing subscription interval via (org, month) equi-join."""
+    hist = explode_months(subscription_history(b.subscriptions, b.plans), "effective_start_ts", "effective_end_ts",
+                          F.lit(b.as_of).cast("date"))
+    h = hist.select(F.col("organization_id").alias("_o"), F.col("bucket_month").alias("_m"), "subscription_id",
+                    "plan_name", "effective_start_ts", "effective_end_ts")
+    s = b.sessions.select("session_id", "organization_id", "started_at", month_start("started_at").alias("_sm"))
+    return s.join(h, (s.organization_id == h._o) & (s._sm == h._m) & (s.started_at >= h.effective_start_ts)
+                  & (s.started_at <= h.effective_end_ts), "left")
+
+
+@q("jn_interval", """SELECT s.session_id, sh.subscription_id FROM b_sessions s
+JOIN sub_history sh ON s.organization_id = sh.organization_id
+ AND s.started_at >= sh.effective_start_ts AND s.started_at <= sh.effective_end_ts""", "b_sessions", "sub_history")
+def jn_interval(b):
+    return _asof_sessions(b).filter(F.col("subscription_id").isNotNull()).select("session_id", "subscription_id")
+
+
+@q("jn_asof_latest", """SELECT session_id, subscription_id, plan_name FROM (
+  SELECT s.session_id, sh.subscription_id, sh.plan_name,
+         row_number() OVER (PARTITION BY s.session_id ORDER BY sh.effective_start_ts DESC, sh.subscription_id DESC) AS rn
+  FROM b_sessions s LEFT JOIN sub_history sh ON s.organization_id = sh.organization_id
+   AND s.started_at >= sh.effective_start_ts AND s.started_at <= sh.effective_end_ts) WHERE rn = 1""",
+   "b_sessions", "sub_history")
+def jn_asof_latest(b):
+    """Latest containing interval per session (closed intervals are disjoint,
+    so the bucketed equi-join yields at most one match)."""
+    return _asof_sessions(b).select("session_id", "subscription_id", "plan_name")
+
+
+@q("jn_interval_overlap", """
+SELECT u.organization_id, u.period_start, count(sh.subscription_id) AS overlapping_subscriptions
+FROM b_usage_records u LEFT JOIN sub_history sh ON u.organization_id = sh.organization_id
+ AND CAST(sh.effective_start_ts AS DATE) <= u.period_end AND CAST(sh.effective_end_ts AS DATE) >= u.period_start
+GROUP BY 1, 2""", "b_usage_records", "sub_history")
+def jn_interval_overlap(b):
+    """Overlap join as equi-join on (org, first common month) + range residual."""
+    u = b.usage_records.select("organization_id", "period_start", "period_end")
+    hist = subscription_history(b.subscriptions, b.plans).select(
+        F.col("organization_id").alias("_o"), "subscription_id",
+        F.to_date("effective_start_ts").alias("_s"), F.to_date("effective_end_ts").alias("_e"))
+    hm = explode_months(hist, "_s", "_e", _d(b), "_m")
+    first_common = F.greatest(F.trunc("period_start", "MM"), F.trunc("_s", "MM"))
+    j = u.join(hm, (u.organization_id == hm._o) & (hm._m == first_common) & (hm._s <= u.period_end)
+               & (hm._e >= u.period_start), "left")
+    return j.groupBy("organization_id", "period_start").agg(F.count("subscription_id").alias("overlapping_subscriptions"))
+
+
+@q("jn_range_between", """
+SELECT u.organization_id, u.period_start, count(s.session_id) AS ledger_sessions
+FROM b_usage_records u LEFT JOIN b_sessions s ON s.organization_id = u.organization_id
+ AND CAST(s.created_at AS DATE) BETWEEN u.period_start AND u.period_end GROUP BY 1, 2""",
+   "b_usage_records", "b_sessions")
+def jn_range_between(b):
+    """Sessions pre-aggregated per (org, day), then joined on (org, month) + between."""
+    daily = b.sessions.groupBy(F.col("organization_id").alias("_o"), F.to_date("created_at").alias("_d")) \
+        .agg(F.count(F.lit(1)).alias("_n")).withColumn("_m", F.trunc("_d", "MM"))
+    u = explode_months(b.usage_records.select("organization_id", "period_start", "period_end"),
+                       "period_start", "period_end", None, "_pm")
+    j = u.join(daily, (u.organization_id == daily._o) & (u._pm == daily._m)
+               & (daily._d >= u.period_start) & (daily._d <= u.period_end), "left")
+    return j.groupBy("organization_id", "period_start").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("ledger_sessions"))
+
+
+@q("jn_date_bucket", """
+SELECT q.task_id, count(a.activity_id) AS same_day_activities
+FROM gtm_task_queue q LEFT JOIN b_activities a
+  ON q.organization_id = a.account_id AND CAST(q.created_at AS DATE) = CAST(a.occurred_at AS DATE) GROUP BY 1""",
+   "gtm_task_queue", "b_activities")
+def jn_date_bucket(b):
+    from .growth import gtm_task_queue
+    qd = gtm_task_queue(b).select("task_id", "organization_id", F.to_date("created_at").alias("_d"))
+    a = b.activities.select(F.col("account_id").alias("organization_id"), F.to_date("occurred_at").alias("_d"),
+                            "activity_id")
+    return qd.join(a, ["organization_id", "_d"], "left").groupBy("task_id") \
+        .agg(F.count("activity_id").alias("same_day_activities"))
+
+
+@q("jn_month_rollup_lookup", """
+SELECT s.session_id, r.realized_revenue_usd FROM b_sessions s LEFT JOIN fin_monthly_revenue r
+  ON s.organization_id = r.organization_id AND CAST(date_trunc('month', s.started_at) AS DATE) = r.revenue_month""",
+   "b_sessions", "fin_monthly_revenue")
+def jn_month_rollup_lookup(b):
+    s = b.sessions.select("session_id", "organization_id", month_start("started_at").alias("revenue_month"))
+    r = fin_monthly_revenue(b).select("organization_id", "revenue_month", "realized_revenue_usd")
+    return s.join(r, ["organization_id", "revenue_month"], "left").select("session_id", "realized_revenue_usd")
+
+
+@q("jn_anti_null", """SELECT o.organization_id FROM b_organizations o
+LEFT JOIN b_sessions s ON o.organization_id = s.organization_id WHERE s.session_id IS NULL""",
+   "b_organizations", "b_sessions")
+def jn_anti_null(b):
+    return b.organizations.select("organization_id").join(b.sessions.select("organization_id"), "organization_id",
+                                                          "left_anti")
+
+
+@q("jn_tie_out", """
+SELECT coalesce(a.k, m.k) AS tie_key, a.v AS mart_value, m.v AS metric_value,
+       CASE WHEN a.k IS NULL THEN 'missing_in_mart' WHEN m.k IS NULL THEN 'missing_in_metric'
+            WHEN abs(a.v - m.v) <= 0.01 THEN 'match' ELSE 'mismatch' END AS tie_status,
+       round(coalesce(a.v, 0) - coalesce(m.v, 0), 2) AS delta
+FROM (SELECT CAST(metric_date AS VARCHAR) AS k, CAST(total_sessions AS DOUBLE) AS v FROM eng_daily) a
+FULL OUTER JOIN (SELECT CAST(date AS VARCHAR) AS k, TRY_CAST(CAST(total_sessions AS VARCHAR) AS DOUBLE) AS v
+                 FROM core_daily_kpis) m ON a.k = m.k""", "eng_daily", "core_daily_kpis")
+def jn_tie_out(b):
+    from .product import eng_daily
+    from .terminal import core_daily_kpis
+    a = eng_daily(b).select(F.col("metric_date").cast("string").alias("k"), F.col("total_sessions").cast("double").alias("av"))
+    m = core_daily_kpis(b).select(F.col("date").cast("string").alias("k2"),
+                                  F.col("total_sessions").cast("string").try_cast("double").alias("mv"))
+    j = a.join(m, F.col("k") == F.col("k2"), "full")
+    st = (F.when(F.col("k").isNull(), "missing_in_mart").when(F.col("k2").isNull(), "missing_in_metric")
+          .when(F.abs(F.col("av") - F.col("mv")) <= 0.01, "match").otherwise("mismatch"))
+    return j.select(F.coalesce("k", "k2").alias("tie_key"), F.col("av").alias("mart_value"),
+                    F.col("mv").alias("metric_value"), st.alias("tie_status"),
+                    F.round(F.coalesce("av", F.lit(0.0)) - F.coalesce("mv", F.lit(0.0)), 2).alias("delta"))
+
+
+@q("jn_case_insensitive", """SELECT r.organization_id, r.revenue_month, p.plan_id FROM fin_monthly_revenue r
+JOIN b_plans p ON lower(r.current_plan_name) = lower(p.display_name)""", "fin_monthly_revenue", "b_plans")
+def jn_case_insensitive(b):
+    p = F.broadcast(b.plans.select("plan_id", F.lower("display_name").alias("_k")))
+    r = fin_monthly_revenue(b).withColumn("_k", F.lower("current_plan_name"))
+    return r.join(p, "_k").select("organization_id", "revenue_month", "plan_id")
+
+
+@q("jn_lateral_series", f"""
+SELECT s.subscription_id, count(*) AS active_days FROM b_subscriptions s,
+  LATERAL (SELECT unnest(generate_series(CAST(s.current_period_start AS DATE),
+           least(CAST(s.current_period_end AS DATE), {AS_OF_SQL}), INTERVAL 1 DAY))) g
+WHERE CAST(s.current_period_start AS DATE) <= least(CAST(s.current_period_end AS DATE), {AS_OF_SQL})
+GROUP BY 1""", "b_subscriptions")
+def jn_lateral_series(b):
+    s = b.subscriptions
+    end = F.least(F.to_date("current_period_end"), _d(b))
+    e = s.filter(F.to_date("current_period_start") <= end).select(
+        "subscription_id", F.explode(F.sequence(F.to_date("current_period_start"), end)).alias("d"))
+    return e.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("active_days"))

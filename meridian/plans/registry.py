@@ -19,6 +19,7 @@ Builder = Callable[..., DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 INPUTS: dict[str, tuple[str, ...]] = {}
+_ORACLE_SPEC: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def register(name: str, sql: str | None = None, deps: tuple[str, ...] = (), inputs: tuple[str, ...] = ()):
@@ -33,7 +34,7 @@ def register(name: str, sql: str | None = None, deps: tuple[str, ...] = (), inpu
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = compose(sql, *deps)
+            _ORACLE_SPEC[name] = (sql, tuple(deps))
         INPUTS[name] = tuple(inputs)
         return fn
 
@@ -44,3 +45,6 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (core, staging, operators_q, product, growth, finance, finance_ops, terminal,  # noqa: F401
                    semantic_q, quality_q, catalog_q, reports, streaming_q, ingest_q)
+    for name, (sql, deps) in _ORACLE_SPEC.items():
+        if name not in ORACLE:
+            ORACLE[name] = compose(sql, *deps)
