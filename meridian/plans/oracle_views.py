@@ -75,7 +75,10 @@ def compose(final: str, *deps: str) -> str:
     if not out:
         return spark_round(final.strip())
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n][0]}\n)" for n in out)
-    return spark_round(f"WITH {ctes}\n{final.strip()}")
+    body = final.strip()
+    if body[:4].upper() == "WITH" and body[4:5].isspace():
+        return spark_round(f"WITH {ctes},\n{body[5:]}")
+    return spark_round(f"WITH {ctes}\n{body}")
 
 
 # ----------------------------------------------------------------- bindings
