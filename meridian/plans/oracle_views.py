@@ -388,3 +388,10 @@ SELECT l_orderkey * 10 + l_linenumber AS payment_reversal_id, l_orderkey AS orig
        l_shipdate AS reversed_at
 FROM b_li_orders WHERE l_returnflag = 'R'
 """, "b_li_orders")
+
+view("b_contacts", """
+SELECT c_custkey AS contact_id, c_custkey AS account_id, 'contact' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email,
+       CASE WHEN c_acctbal >= 7000 THEN 'executive' WHEN c_acctbal >= 2000 THEN 'manager' ELSE 'individual' END AS seniority,
+       lower(trim(c_mktsegment)) AS lifecycle_stage
+FROM customer
+""")

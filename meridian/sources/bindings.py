@@ -493,3 +493,14 @@ class Bindings:
             F.expr("CAST(round(l_extendedprice * 100) AS BIGINT) div 10").alias("reversal_amount_cents"),
             F.when(F.col("l_linestatus") == "F", F.lit("completed")).otherwise(F.lit("pending")).alias("reversal_status"),
             F.col("l_shipdate").alias("reversed_at"))
+
+    @property
+    def contacts(self) -> DataFrame:
+        c = self.t.customer
+        k = F.col("c_custkey")
+        return c.select(
+            k.alias("contact_id"), k.alias("account_id"),
+            F.concat(F.lit("contact"), k.cast("string"), F.lit("@example.com")).alias("email"),
+            F.when(F.col("c_acctbal") >= 7000, F.lit("executive")).when(F.col("c_acctbal") >= 2000, F.lit("manager"))
+             .otherwise(F.lit("individual")).alias("seniority"),
+            F.lower(F.trim("c_mktsegment")).alias("lifecycle_stage"))
