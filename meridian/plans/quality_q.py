@@ -1,3 +1,263 @@
-"""quality_q queries."""
+"""Data-quality checks over the built products (each returns violating rows)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.exprs import month_start
+from ..operators import quality as Q
+from .core import dim_organizations, dim_time, fct_events, fct_sessions
+from .finance_ops import (fct_fin_bill_adjustments, fct_fin_bill_payments, fct_fin_bills, fct_fin_payment_reversals,
+                          fin_budget_vs_actual, fin_spend_monthly)
+from .growth import gtm_action_log, gtm_task_queue
+from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL
+from .product import eng_daily, ops_daily, pro_product_daily, pro_sessions_daily
+from .registry import register
+from .terminal import core_daily_kpis, term_business_snapshot, term_scorecard
+
+# Freshness limits in hours (by table, then by layer).
+FRESHNESS_HOURS = {"bronze": 24.0, "silver": 24.0, "gold": 48.0}
+
+
+@register("dq_not_null", """SELECT 'not_null' AS check_name, organization_id,
+       CASE WHEN organization_id IS NULL THEN 'organization_id' WHEN organization_name IS NULL THEN 'organization_name'
+            WHEN current_plan_id IS NULL THEN 'current_plan_id' END AS null_column
+FROM dim_organizations WHERE organization_id IS NULL OR organization_name IS NULL OR current_plan_id IS NULL""",
+          ("dim_organizations",))
+def dq_not_null(b):
+    return Q.not_null(dim_organizations(b), ["organization_id", "organization_name", "current_plan_id"],
+                      ["organization_id"])
+
+
+@register("dq_unique", """SELECT 'unique' AS check_name, event_id, count(*) AS occurrences FROM fct_events
+GROUP BY event_id HAVING count(*) > 1""", ("fct_events",))
+def dq_unique(b):
+    return Q.unique(fct_events(b), ["event_id"])
+
+
+@register("dq_accepted_values", """SELECT 'accepted_values' AS check_name, session_id, session_status FROM fct_sessions
+WHERE session_status IS NOT NULL AND session_status NOT IN ('completed', 'failed', 'timeout')""", ("fct_sessions",))
+def dq_accepted_values(b):
+    return Q.accepted_values(fct_sessions(b), "session_status", ["completed", "failed", "timeout"], ["session_id"])
+
+
+@register("dq_relationships", """SELECT 'relationships' AS check_name, payment_reversal_id, bill_payment_id
+FROM fct_fin_payment_reversals r WHERE bill_payment_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM fct_fin_bill_payments p WHERE p.bill_payment_id = r.bill_payment_id)""",
+          ("fct_fin_payment_reversals", "fct_fin_bill_payments"))
+def dq_relationships(b):
+    return Q.relationships(fct_fin_payment_reversals(b), "bill_payment_id", fct_fin_bill_payments(b),
+                           "bill_payment_id", ["payment_reversal_id"])
+
+
+@register("dq_unique_grain", """SELECT 'unique_grain' AS check_name, organization_id, month_start, count(*) AS occurrences
+FROM term_business_snapshot GROUP BY 2, 3 HAVING count(*) > 1""", ("term_business_snapshot",))
+def dq_unique_grain(b):
+    return Q.unique(term_business_snapshot(b), ["organization_id", "month_start"], "unique_grain")
+
+
+@register("dq_range_bounds", """
+SELECT 'success_rate_pct_range' AS check_name, date FROM core_daily_kpis WHERE success_rate_pct < 0 OR success_rate_pct > 100
+UNION ALL SELECT 'failed_le_total', date FROM core_daily_kpis WHERE failed_sessions > total_sessions
+UNION ALL SELECT 'non_negative', date FROM core_daily_kpis WHERE total_sessions < 0 OR pages_visited < 0
+UNION ALL SELECT 'parts_sum_to_whole', date FROM core_daily_kpis WHERE successful_sessions + failed_sessions <> total_sessions""",
+          ("core_daily_kpis",))
+def dq_range_bounds(b):
+    k = core_daily_kpis(b)
+    c = F.col
+    return Q.predicates(k, {
+        "success_rate_pct_range": (c("success_rate_pct") < 0) | (c("success_rate_pct") > 100),
+        "failed_le_total": c("failed_sessions") > c("total_sessions"),
+        "non_negative": (c("total_sessions") < 0) | (c("pages_visited") < 0),
+        "parts_sum_to_whole": (c("successful_sessions") + c("failed_sessions")) != c("total_sessions"),
+    }, ["date"])
+
+
+@register("dq_percentile_order", """SELECT 'p99_ge_p95' AS check_name, metric_date FROM eng_daily
+WHERE p99_duration_seconds < p95_duration_seconds""", ("eng_daily",))
+def dq_percentile_order(b):
+    return Q.predicates(eng_daily(b), {"p99_ge_p95": F.col("p99_duration_seconds") < F.col("p95_duration_seconds")},
+                        ["metric_date"])
+
+
+@register("dq_multi_model_bounds", """
+SELECT 'eng_success_rate' AS check_name, metric_date FROM eng_daily WHERE success_rate_pct < 0 OR success_rate_pct > 100
+UNION ALL SELECT 'product_proxy_adoption', metric_date FROM pro_product_daily WHERE proxy_adoption_pct < 0 OR proxy_adoption_pct > 100
+UNION ALL SELECT 'ops_stealth_pct', metric_date FROM ops_daily WHERE stealth_session_pct < 0 OR stealth_session_pct > 100""",
+          ("eng_daily", "pro_product_daily", "ops_daily"))
+def dq_multi_model_bounds(b):
+    def rng(c):
+        return (F.col(c) < 0) | (F.col(c) > 100)
+    return (Q.predicates(eng_daily(b), {"eng_success_rate": rng("success_rate_pct")}, ["metric_date"])
+            .unionByName(Q.predicates(pro_product_daily(b), {"product_proxy_adoption": rng("proxy_adoption_pct")},
+                                      ["metric_date"]))
+            .unionByName(Q.predicates(ops_daily(b), {"ops_stealth_pct": rng("stealth_session_pct")}, ["metric_date"])))
+
+
+@register("dq_single_row", """SELECT 'single_row' AS check_name, row_count FROM (SELECT count(*) AS row_count FROM term_scorecard)
+WHERE row_count <> 1""", ("term_scorecard",))
+def dq_single_row(b):
+    return Q.single_row(term_scorecard(b))
+
+
+@register("dq_calendar_month", """SELECT 'calendar_month' AS check_name, date_day FROM dim_time
+WHERE month_start <> CAST(date_trunc('month', date_day) AS DATE) OR fixed_calendar_month_end <> CAST(last_day(date_day) AS DATE)
+   OR fixed_calendar_month_id <> CAST(strftime(date_day, '%Y%m') AS INTEGER)""", ("dim_time",))
+def dq_calendar_month(b):
+    t, c = dim_time(b), F.col
+    bad = ((c("month_start") != F.trunc("date_day", "MM")) | (c("fixed_calendar_month_end") != F.last_day("date_day"))
+           | (c("fixed_calendar_month_id") != F.date_format("date_day", "yyyyMM").cast("int")))
+    return Q.predicates(t, {"calendar_month": bad}, ["date_day"])
+
+
+@register("dq_calendar_week", """SELECT 'calendar_week' AS check_name, date_day FROM dim_time
+WHERE dayofweek(fixed_calendar_week_start) <> 1 OR fixed_calendar_week_end <> CAST(fixed_calendar_week_start + INTERVAL 6 DAY AS DATE)
+   OR date_day NOT BETWEEN fixed_calendar_week_start AND fixed_calendar_week_end
+   OR fixed_calendar_week_id <> CAST(strftime(date_day, '%G%V') AS INTEGER)""", ("dim_time",))
+def dq_calendar_week(b):
+    t, c = dim_time(b), F.col
+    bad = ((F.dayofweek("fixed_calendar_week_start") != 2)
+           | (c("fixed_calendar_week_end") != F.date_add("fixed_calendar_week_start", 6))
+           | ~c("date_day").between(c("fixed_calendar_week_start"), c("fixed_calendar_week_end"))
+           | (c("fixed_calendar_week_id") != (F.extract(F.lit("YEAROFWEEK"), c("date_day")) * 100
+                                               + F.weekofyear("date_day"))))
+    return Q.predicates(t, {"calendar_week": bad}, ["date_day"])
+
+
+@register("dq_calendar_rolling", """SELECT 'calendar_rolling' AS check_name, date_day FROM dim_time
+WHERE date_diff('day', rolling_7d_start, rolling_7d_end) <> 6 OR date_diff('day', rolling_28d_start, rolling_28d_end) <> 27
+   OR rolling_7d_end <> date_day""", ("dim_time",))
+def dq_calendar_rolling(b):
+    t, c = dim_time(b), F.col
+    bad = ((F.datediff("rolling_7d_end", "rolling_7d_start") != 6) | (F.datediff("rolling_28d_end", "rolling_28d_start") != 27)
+           | (c("rolling_7d_end") != c("date_day")))
+    return Q.predicates(t, {"calendar_rolling": bad}, ["date_day"])
+
+
+@register("dq_recompute_ap_open", f"""
+WITH e AS (
+  SELECT coalesce(x.organization_id, y.organization_id) AS organization_id, coalesce(x.m, y.m) AS budget_month,
+         (coalesce(x.c, 0) + coalesce(y.c, 0)) / 100.0 AS expected_value
+  FROM (SELECT organization_id, CAST(date_trunc('month', coalesce(due_date, bill_date)) AS DATE) AS m,
+               sum(CASE WHEN bill_status IN ('submitted', 'approved', 'scheduled') THEN amount_cents ELSE 0 END) AS c
+        FROM fct_fin_bills GROUP BY 1, 2) x
+  FULL OUTER JOIN (SELECT organization_id, adjusted_month AS m, sum(signed_amount_cents) AS c FROM fct_fin_bill_adjustments
+                   GROUP BY 1, 2) y ON x.organization_id = y.organization_id AND x.m = y.m
+  WHERE coalesce(x.m, y.m) <= DATE '2001-08-01'),
+a AS (SELECT organization_id, budget_month, ap_open_usd AS actual_value FROM fin_budget_vs_actual WHERE ap_open_usd <> 0)
+SELECT 'recompute_ap_open' AS check_name, coalesce(e.organization_id, a.organization_id) AS organization_id,
+       coalesce(e.budget_month, a.budget_month) AS budget_month, e.expected_value, a.actual_value
+FROM e FULL OUTER JOIN a ON e.organization_id = a.organization_id AND e.budget_month = a.budget_month
+WHERE abs(coalesce(e.expected_value, 0) - coalesce(a.actual_value, 0)) > 0.01""",
+          ("fct_fin_bills", "fct_fin_bill_adjustments", "fin_budget_vs_actual"))
+def dq_recompute_ap_open(b):
+    bills = fct_fin_bills(b)
+    x = bills.groupBy("organization_id", month_start(F.coalesce("due_date", "bill_date")).alias("budget_month")).agg(
+        F.sum(F.when(F.col("bill_status").isin("submitted", "approved", "scheduled"), F.col("amount_cents"))
+              .otherwise(0)).alias("_x"))
+    y = fct_fin_bill_adjustments(b).groupBy("organization_id", F.col("adjusted_month").alias("budget_month")) \
+        .agg(F.sum("signed_amount_cents").alias("_y"))
+    e = (x.join(y, ["organization_id", "budget_month"], "full")
+         .filter(F.col("budget_month") <= F.lit(b.as_of).cast("date"))
+         .select("organization_id", "budget_month",
+                 ((F.coalesce("_x", F.lit(0)) + F.coalesce("_y", F.lit(0))) / 100.0).alias("v")))
+    a = fin_budget_vs_actual(b).filter(F.col("ap_open_usd") != 0).select("organization_id", "budget_month",
+                                                                         F.col("ap_open_usd").alias("v"))
+    return Q.recompute_compare(e, a, ["organization_id", "budget_month"], "v", 0.01, "recompute_ap_open")
+
+
+@register("dq_recompute_net_spend", """
+WITH p AS (SELECT organization_id, paid_month AS spend_month,
+                  sum(CASE WHEN payment_status = 'paid' THEN amount_cents ELSE 0 END) AS g FROM fct_fin_bill_payments GROUP BY 1, 2),
+r AS (SELECT organization_id, reversed_month AS spend_month,
+             sum(CASE WHEN reversal_status = 'completed' THEN reversal_amount_cents ELSE 0 END) AS r
+      FROM fct_fin_payment_reversals GROUP BY 1, 2),
+e AS (SELECT p.organization_id, p.spend_month, (p.g - coalesce(r.r, 0)) / 100.0 AS expected_value
+      FROM p LEFT JOIN r ON p.organization_id = r.organization_id AND p.spend_month = r.spend_month),
+a AS (SELECT organization_id, spend_month, spend_usd AS actual_value FROM fin_spend_monthly WHERE spend_source = 'bill_payment')
+SELECT 'recompute_net_spend' AS check_name, coalesce(e.organization_id, a.organization_id) AS organization_id,
+       coalesce(e.spend_month, a.spend_month) AS spend_month, e.expected_value, a.actual_value
+FROM e FULL OUTER JOIN a ON e.organization_id = a.organization_id AND e.spend_month = a.spend_month
+WHERE abs(coalesce(e.expected_value, 0) - coalesce(a.actual_value, 0)) > 0.01""",
+          ("fct_fin_bill_payments", "fct_fin_payment_reversals", "fin_spend_monthly"))
+def dq_recompute_net_spend(b):
+    p = fct_fin_bill_payments(b).groupBy("organization_id", F.col("paid_month").alias("spend_month")).agg(
+        F.sum(F.when(F.col("payment_status") == "paid", F.col("amount_cents")).otherwise(0)).alias("_g"))
+    r = fct_fin_payment_reversals(b).groupBy("organization_id", F.col("reversed_month").alias("spend_month")).agg(
+        F.sum(F.when(F.col("reversal_status") == "completed", F.col("reversal_amount_cents")).otherwise(0)).alias("_r"))
+    e = p.join(r, ["organization_id", "spend_month"], "left").select(
+        "organization_id", "spend_month", ((F.col("_g") - F.coalesce("_r", F.lit(0))) / 100.0).alias("v"))
+    a = fin_spend_monthly(b).filter(F.col("spend_source") == "bill_payment").select(
+        "organization_id", "spend_month", F.col("spend_usd").alias("v"))
+    return Q.recompute_compare(e, a, ["organization_id", "spend_month"], "v", 0.01, "recompute_net_spend")
+
+
+@register("dq_reversal_cap", """SELECT 'reversal_cap' AS check_name, p.bill_payment_id, p.amount_cents, r.reversed_cents
+FROM fct_fin_bill_payments p JOIN (SELECT bill_payment_id, sum(reversal_amount_cents) AS reversed_cents
+  FROM fct_fin_payment_reversals WHERE reversal_status = 'completed' GROUP BY 1) r ON p.bill_payment_id = r.bill_payment_id
+WHERE r.reversed_cents > p.amount_cents""", ("fct_fin_bill_payments", "fct_fin_payment_reversals"))
+def dq_reversal_cap(b):
+    r = (fct_fin_payment_reversals(b).filter(F.col("reversal_status") == "completed")
+         .groupBy("bill_payment_id").agg(F.sum("reversal_amount_cents").alias("reversed_cents")))
+    p = fct_fin_bill_payments(b).select("bill_payment_id", "amount_cents")
+    v = p.join(r, "bill_payment_id").filter(F.col("reversed_cents") > F.col("amount_cents"))
+    return v.select(F.lit("reversal_cap").alias("check_name"), "bill_payment_id", "amount_cents", "reversed_cents")
+
+
+@register("dq_coverage", """SELECT 'coverage' AS check_name, q.task_id FROM gtm_task_queue q
+LEFT JOIN gtm_action_log a ON q.task_id = a.task_id WHERE a.task_id IS NULL""", ("gtm_task_queue", "gtm_action_log"))
+def dq_coverage(b):
+    q = gtm_task_queue(b).select("task_id")
+    return q.join(gtm_action_log(b).select("task_id"), "task_id", "left_anti") \
+        .select(F.lit("coverage").alias("check_name"), "task_id")
+
+
+@register("dq_status_consistency", """SELECT 'status_consistency' AS check_name, action_id, status, error_message
+FROM gtm_action_log WHERE (status = 'success' AND error_message IS NOT NULL) OR (status = 'failed' AND error_message IS NULL)""",
+          ("gtm_action_log",))
+def dq_status_consistency(b):
+    a = gtm_action_log(b)
+    bad = (((F.col("status") == "success") & F.col("error_message").isNotNull())
+           | ((F.col("status") == "failed") & F.col("error_message").isNull()))
+    return a.filter(bad).select(F.lit("status_consistency").alias("check_name"), "action_id", "status", "error_message")
+
+
+@register("dq_threshold_enforced", """SELECT 'threshold_enforced' AS check_name, q.task_id, q.signal_score FROM gtm_task_queue q
+CROSS JOIN (SELECT threshold_value FROM gtm_signal_thresholds WHERE threshold_name = 'high_risk' AND is_active) t
+WHERE q.signal_score < t.threshold_value""", ("gtm_task_queue", "gtm_signal_thresholds"))
+def dq_threshold_enforced(b):
+    from .growth import signal_thresholds
+    t = F.broadcast(signal_thresholds(b.spark).filter((F.col("threshold_name") == "high_risk") & F.col("is_active"))
+                    .select("threshold_value"))  # bounded configuration
+    q = gtm_task_queue(b)
+    return q.join(t, F.col("signal_score") < F.col("threshold_value")) \
+        .select(F.lit("threshold_enforced").alias("check_name"), "task_id", "signal_score")
+
+
+@register("dq_freshness", f"""
+SELECT table_name, layer, max_ts, row_count, round(date_diff('second', max_ts, {AS_OF_TS_SQL}) / 3600.0, 2) AS age_hours,
+       threshold_hours,
+       row_count = 0 OR max_ts IS NULL OR round(date_diff('second', max_ts, {AS_OF_TS_SQL}) / 3600.0, 2) > threshold_hours AS is_stale
+FROM (SELECT 'orders' AS table_name, 'bronze' AS layer, max(o_orderdate) AS max_ts, count(*) AS row_count, 24.0 AS threshold_hours FROM orders
+      UNION ALL SELECT 'lineitem', 'bronze', max(l_shipdate), count(*), 24.0 FROM lineitem
+      UNION ALL SELECT 'fct_sessions', 'silver', max(created_at), count(*), 24.0 FROM fct_sessions
+      UNION ALL SELECT 'fin_monthly_revenue', 'gold', CAST(max(revenue_month) AS TIMESTAMP), count(*), 48.0 FROM fin_monthly_revenue)""",
+          ("fct_sessions", "fin_monthly_revenue"))
+def dq_freshness(b):
+    from .finance import fin_monthly_revenue
+    tables = {"orders": (b.t.orders, "o_orderdate", "bronze"), "lineitem": (b.t.lineitem, "l_shipdate", "bronze"),
+              "fct_sessions": (fct_sessions(b), "created_at", "silver"),
+              "fin_monthly_revenue": (fin_monthly_revenue(b).withColumn("_ts", F.col("revenue_month")
+                                                                        .cast("timestamp_ntz")), "_ts", "gold")}
+    return Q.freshness(tables, FRESHNESS_HOURS, f"{b.as_of} 00:00:00")
+
+
+@register("dq_completeness", f"""SELECT 'completeness' AS check_name, column_name, non_null_share FROM (
+  SELECT 'current_plan_name' AS column_name, round(avg(CASE WHEN current_plan_name IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS non_null_share
+  FROM pro_sessions_daily WHERE session_date >= {AS_OF_SQL} - INTERVAL 90 DAY
+  UNION ALL SELECT 'median_duration_seconds', round(avg(CASE WHEN median_duration_seconds IS NOT NULL THEN 1.0 ELSE 0.0 END), 4)
+  FROM pro_sessions_daily WHERE session_date >= {AS_OF_SQL} - INTERVAL 90 DAY) WHERE non_null_share < 0.95""",
+          ("pro_sessions_daily",))
+def dq_completeness(b):
+    return Q.completeness(pro_sessions_daily(b), ["current_plan_name", "median_duration_seconds"], "session_date",
+                          b.as_of, 90, 0.95)
