@@ -1,3 +1,80 @@
-"""semantic_q queries."""
+"""Semantic-layer queries over the session fact."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import semantic as S
+from .core import dim_organizations, fct_sessions
+from .finance import fin_monthly_revenue
+from .finance_ops import fin_spend_monthly
+from .oracle_views import AS_OF_SQL
+from .registry import register
+
+
+def _model_frame(b):
+    s = fct_sessions(b)
+    o = dim_organizations(b).select("organization_id", "current_plan_name",
+                                    (F.col("organization_status") == "active").cast("int").alias("is_active_org"))
+    return s.join(o, "organization_id", "left")
+
+
+@register("sem_measure", """SELECT count(*) AS sessions, CAST(sum(CASE WHEN is_successful THEN 1 ELSE 0 END) AS BIGINT) AS successful_sessions,
+       CAST(sum(error_count) AS BIGINT) AS error_events, CAST(sum(duration_seconds) AS BIGINT) AS session_seconds
+FROM fct_sessions""", ("fct_sessions",))
+def sem_measure(b):
+    return S.query(S.sessions_model(), fct_sessions(b), ["sessions", "successful_sessions", "error_events", "session_seconds"])
+
+
+@register("sem_simple", f"""SELECT CAST(date_trunc('day', session_date) AS DATE) AS metric_day, browser_type, count(*) AS sessions
+FROM fct_sessions WHERE session_date >= {AS_OF_SQL} - INTERVAL 30 DAY AND session_date <= {AS_OF_SQL} GROUP BY 1, 2""",
+          ("fct_sessions",))
+def sem_simple(b):
+    import datetime as dt
+    start = (dt.date.fromisoformat(b.as_of) - dt.timedelta(days=30)).isoformat()
+    return S.query(S.sessions_model(), fct_sessions(b), ["sessions"], ["browser_type"], "day", start, b.as_of)
+
+
+@register("sem_ratio", """SELECT CAST(date_trunc('month', session_date) AS DATE) AS metric_month,
+       round(sum(CASE WHEN is_successful THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*), 0) * 100, 2) AS success_rate_pct,
+       round(sum(error_count)::DOUBLE / nullif(count(*), 0) * 1000, 2) AS errors_per_1k_sessions
+FROM fct_sessions GROUP BY 1""", ("fct_sessions",))
+def sem_ratio(b):
+    return S.query(S.sessions_model(), fct_sessions(b), ["success_rate_pct", "errors_per_1k_sessions"], [], "month")
+
+
+@register("sem_derived", """
+SELECT s.metric_month, s.failed_sessions, s.session_hours, r.rev - coalesce(p.spend, 0) AS revenue_minus_spend_usd
+FROM (SELECT CAST(date_trunc('month', session_date) AS DATE) AS metric_month,
+             count(*) - sum(CASE WHEN is_successful THEN 1 ELSE 0 END) AS failed_sessions,
+             round(sum(duration_seconds) / 3600.0, 4) AS session_hours FROM fct_sessions GROUP BY 1) s
+LEFT JOIN (SELECT revenue_month, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) / 100.0 AS rev
+           FROM fin_monthly_revenue GROUP BY 1) r ON s.metric_month = r.revenue_month
+LEFT JOIN (SELECT spend_month, sum(CAST(round(spend_usd * 100) AS BIGINT)) / 100.0 AS spend
+           FROM fin_spend_monthly GROUP BY 1) p ON s.metric_month = p.spend_month""",
+          ("fct_sessions", "fin_monthly_revenue", "fin_spend_monthly"))
+def sem_derived(b):
+    from ..functions.exprs import exact_sum
+    s = S.query(S.sessions_model(), fct_sessions(b), ["failed_sessions", "session_hours"], [], "month")
+    r = fin_monthly_revenue(b).groupBy(F.col("revenue_month").alias("metric_month")).agg(
+        exact_sum("realized_revenue_usd", 2).alias("_rev"))
+    p = fin_spend_monthly(b).groupBy(F.col("spend_month").alias("metric_month")).agg(exact_sum("spend_usd", 2).alias("_sp"))
+    j = s.join(r, "metric_month", "left").join(p, "metric_month", "left")
+    return j.select("metric_month", "failed_sessions", "session_hours",
+                    (F.col("_rev") - F.coalesce("_sp", F.lit(0.0))).alias("revenue_minus_spend_usd"))
+
+
+@register("sem_time_grain", """SELECT CAST(date_trunc('quarter', session_date) AS DATE) AS metric_quarter, count(*) AS sessions,
+       CAST(sum(pages_visited) AS BIGINT) AS pages_visited FROM fct_sessions GROUP BY 1""", ("fct_sessions",))
+def sem_time_grain(b):
+    return S.query(S.sessions_model(), fct_sessions(b), ["sessions", "pages_visited"], [], "quarter")
+
+
+@register("sem_categorical_dim", """SELECT o.current_plan_name, CAST(o.organization_status = 'active' AS INTEGER) AS is_active_org,
+       count(*) AS sessions, round(sum(CASE WHEN s.is_successful THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*), 0) * 100, 2)
+         AS success_rate_pct
+FROM fct_sessions s LEFT JOIN dim_organizations o ON s.organization_id = o.organization_id GROUP BY 1, 2""",
+          ("fct_sessions", "dim_organizations"))
+def sem_categorical_dim(b):
+    return S.query(S.sessions_model(), _model_frame(b), ["sessions", "success_rate_pct"],
+                   ["current_plan_name", "is_active_org"])
