@@ -1,3 +1,81 @@
-"""streaming_q queries."""
+"""Batch twins of the streaming jobs (oracle-checkable), over the events table."""
 
 from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators.shapes import latest_per_key
+from ..sources import ingest
+from .registry import register
+
+EVENTS_HIGH_WATERMARK = "2024-01-15 00:00:00"
+EVENTS_SYNCED_AT = "2024-01-31 00:00:00"
+SESSION_GAP_SECONDS = 12 * 3600
+
+
+@register("str_incremental_ingest", f"""SELECT *, TIMESTAMP '{EVENTS_SYNCED_AT}' AS _synced_at FROM events
+WHERE ts > TIMESTAMP '{EVENTS_HIGH_WATERMARK}'""")
+def str_incremental_ingest(b):
+    return ingest.sync_stamp(ingest.watermark_filter(b.t.events, "ts", EVENTS_HIGH_WATERMARK), EVENTS_SYNCED_AT)
+
+
+@register("str_upsert_batches", """
+SELECT event_id, user_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00'
+UNION ALL SELECT event_id, user_id, event_type, value * 2 FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'""")
+def str_upsert_batches(b):
+    """Two deliveries: the first covers the whole month, the second re-delivers
+    everything from the 10th with corrected values; the second wins per key."""
+    e = b.t.events
+    first = e.select("event_id", "user_id", "event_type", "value")
+    second = e.filter(F.col("ts") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")) \
+        .select("event_id", "user_id", "event_type", (F.col("value") * 2).alias("value"))
+    return ingest.upsert_latest(first, second, ["event_id"])
+
+
+@register("str_daily_kpis", """SELECT CAST(ts AS DATE) AS event_date, count(*) AS events,
+       CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(DISTINCT user_id) AS users
+FROM events GROUP BY 1""")
+def str_daily_kpis(b):
+    e = b.t.events
+    return e.groupBy(F.to_date("ts").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors"),
+        F.countDistinct("user_id").alias("users"))
+
+
+@register("str_trailing_active", """SELECT window_start, count(DISTINCT user_id) AS active_users FROM (
+  SELECT user_id, CAST(unnest(generate_series(CAST(ts AS DATE) - INTERVAL 6 DAY, CAST(ts AS DATE), INTERVAL 1 DAY)) AS DATE)
+         AS window_start FROM events) GROUP BY 1""")
+def str_trailing_active(b):
+    """Exact batch form of the sliding 7-day window: each (user, day) belongs to
+    the 7 windows starting on that day and the 6 days before."""
+    pairs = b.t.events.select("user_id", F.to_date("ts").alias("d")).distinct()
+    ex = pairs.select("user_id", F.explode(F.sequence(F.date_sub("d", 6), F.col("d"))).alias("window_start"))
+    return ex.groupBy("window_start").agg(F.countDistinct("user_id").alias("active_users"))
+
+
+@register("str_sessionize", f"""SELECT user_id, min(ts) AS session_start, max(ts) AS last_event_at, count(*) AS event_count FROM (
+  SELECT user_id, ts, sum(new_session) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no
+  FROM (SELECT user_id, ts, event_id,
+               CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                      OR date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts)
+                         >= CAST({SESSION_GAP_SECONDS} AS BIGINT) * 1000000 THEN 1 ELSE 0 END AS new_session FROM events))
+GROUP BY user_id, session_no""")
+def str_sessionize(b):
+    """Gap-based sessions: a new session starts when the gap to the previous
+    event of the user reaches the session gap (lag + running sum)."""
+    e = b.t.events.select("user_id", "ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    prev = F.lag("ts").over(w)
+    gap_us = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
+    e = e.withColumn("_new", F.when(prev.isNull() | (gap_us >= SESSION_GAP_SECONDS * 1_000_000), 1).otherwise(0))
+    e = e.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return e.groupBy("user_id", "_sid").agg(F.min("ts").alias("session_start"), F.max("ts").alias("last_event_at"),
+                                            F.count(F.lit(1)).alias("event_count")).drop("_sid")
+
+
+@register("str_dedupe", """SELECT event_id, ts, user_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, user_id) AS rn FROM events) WHERE rn = 1""")
+def str_dedupe(b):
+    e = b.t.events.select("event_id", "ts", "user_id", "event_type")
+    return latest_per_key(e, ["event_id"], [("ts", "asc"), ("user_id", "asc")])
