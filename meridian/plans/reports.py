@@ -1,3 +1,565 @@
-"""reports queries."""
+"""Serving reports: filter / group / join / order / limit over the gold products.
+
+Limits appear only where the report is a top-k or a single-period view.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.exprs import clamp, count_if, exact_sum, pct_change, safe_ratio, week_start
+from ..operators.shapes import latest_per_key
+from .core import bridge_org_activity, dim_organizations, fct_sessions
+from .finance import fin_customer_unit_economics, fin_monthly_revenue, fin_mrr
+from .finance_ops import fin_budget_vs_actual, fin_spend_monthly, fin_vendor_spend_monthly
+from .growth import (gtm_action_log, gtm_active_organizations, gtm_campaign_channel, gtm_cohort_retention,
+                     gtm_funnel_daily, gtm_task_execution, gtm_task_queue, gtm_trial_risk)
+from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL
+from .product import eng_daily, eng_kpis, ops_daily, pro_product_daily, pro_product_kpis, pro_sessions_daily
+from .registry import register
+from .terminal import core_daily_kpis, core_metric_spine, term_business_snapshot
+
+
+def _d(b):
+    return F.lit(b.as_of).cast("date")
+
+
+def _since(col, b, days):
+    return F.col(col) >= F.date_sub(_d(b), days)
+
+
+def _months_back(col, b, n):
+    return F.col(col) >= F.add_months(F.trunc(_d(b), "MM"), -n)
+
+
+@register("rpt_exec_scorecard_30d", f"SELECT * FROM core_daily_kpis WHERE date >= {AS_OF_SQL} - INTERVAL 30 DAY ORDER BY date DESC",
+          ("core_daily_kpis",))
+def rpt_exec_scorecard_30d(b):
+    return core_daily_kpis(b).filter(_since("date", b, 30)).orderBy(F.col("date").desc())
+
+
+@register("rpt_mrr_trend", f"""SELECT month_start, sum(mrr_usd) AS mrr_usd, count(CASE WHEN mrr_usd > 0 THEN 1 END) AS paying_orgs
+FROM term_business_snapshot WHERE month_start >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 12 MONTH AS DATE)
+GROUP BY 1 ORDER BY 1""", ("term_business_snapshot",))
+def rpt_mrr_trend(b):
+    s = term_business_snapshot(b).filter(_months_back("month_start", b, 12))
+    return s.groupBy("month_start").agg(exact_sum("mrr_usd", 2).alias("mrr_usd"),
+                                        count_if(F.col("mrr_usd") > 0).alias("paying_orgs")).orderBy("month_start")
+
+
+@register("rpt_plan_mix", """SELECT plan_name, mrr_usd, round(mrr_usd / nullif(total_mrr_usd, 0) * 100, 2) AS share_pct FROM (
+  SELECT 'starter' AS plan_name, starter_mrr_usd AS mrr_usd, total_mrr_usd FROM fin_mrr
+  UNION ALL SELECT 'pro', pro_mrr_usd, total_mrr_usd FROM fin_mrr
+  UNION ALL SELECT 'enterprise', enterprise_mrr_usd, total_mrr_usd FROM fin_mrr)""", ("fin_mrr",))
+def rpt_plan_mix(b):
+    m = fin_mrr(b).select("total_mrr_usd", F.col("starter_mrr_usd").alias("starter"), F.col("pro_mrr_usd").alias("pro"),
+                          F.col("enterprise_mrr_usd").alias("enterprise"))
+    u = m.unpivot("total_mrr_usd", ["starter", "pro", "enterprise"], "plan_name", "mrr_usd")
+    return u.select("plan_name", "mrr_usd", safe_ratio("mrr_usd", "total_mrr_usd").alias("share_pct"))
+
+
+@register("rpt_cohort_matrix", """SELECT * FROM gtm_cohort_retention
+WHERE cohort_week >= (SELECT max(cohort_week) FROM gtm_cohort_retention) - INTERVAL 180 DAY
+ORDER BY cohort_week, weeks_since_signup""", ("gtm_cohort_retention",))
+def rpt_cohort_matrix(b):
+    """Retention matrix of the cohorts from the 180 days before the latest cohort."""
+    c = gtm_cohort_retention(b)
+    latest = c.agg(F.date_sub(F.max("cohort_week"), 180).alias("_from"))  # one row
+    return (c.crossJoin(F.broadcast(latest)).filter(F.col("cohort_week") >= F.col("_from")).drop("_from")
+            .orderBy("cohort_week", "weeks_since_signup"))
+
+
+@register("rpt_signup_funnel", """
+SELECT CAST(date_trunc('week', o.organization_created_at) AS DATE) AS signup_week, count(*) AS signups,
+       count(*) FILTER (WHERE a.first_session_at <= o.organization_created_at + INTERVAL 7 DAY) AS activated_7d,
+       count(*) FILTER (WHERE o.is_paying_customer) AS paying,
+       round(count(*) FILTER (WHERE a.first_session_at <= o.organization_created_at + INTERVAL 7 DAY)::DOUBLE / count(*) * 100, 2)
+         AS activation_rate_pct,
+       round(count(*) FILTER (WHERE o.is_paying_customer)::DOUBLE / count(*) * 100, 2) AS paying_rate_pct
+FROM dim_organizations o LEFT JOIN bridge_org_activity a ON o.organization_id = a.organization_id GROUP BY 1""",
+          ("dim_organizations", "bridge_org_activity"))
+def rpt_signup_funnel(b):
+    o = dim_organizations(b).join(bridge_org_activity(b).select("organization_id", "first_session_at"),
+                                  "organization_id", "left")
+    act = F.col("first_session_at") <= F.col("organization_created_at") + F.expr("INTERVAL 7 DAYS")
+    g = o.groupBy(week_start("organization_created_at").alias("signup_week")).agg(
+        F.count(F.lit(1)).alias("signups"), F.count_if(act).alias("activated_7d"),
+        F.count_if(F.col("is_paying_customer")).alias("paying"))
+    return g.select("signup_week", "signups", "activated_7d", "paying",
+                    safe_ratio("activated_7d", "signups").alias("activation_rate_pct"),
+                    safe_ratio("paying", "signups").alias("paying_rate_pct"))
+
+
+@register("rpt_top_orgs", """SELECT organization_id, organization_name, sessions_last_30d, activity_tier FROM gtm_active_organizations
+ORDER BY sessions_last_30d DESC, organization_id LIMIT 25""", ("gtm_active_organizations",))
+def rpt_top_orgs(b):
+    return (gtm_active_organizations(b).select("organization_id", "organization_name", "sessions_last_30d", "activity_tier")
+            .orderBy(F.col("sessions_last_30d").desc(), "organization_id").limit(25))
+
+
+@register("rpt_workflow_qa", """SELECT q.queued_tasks, a.actions, a.successful_actions,
+       round(a.actions::DOUBLE / nullif(q.queued_tasks, 0) * 100, 2) AS coverage_pct,
+       round(a.successful_actions::DOUBLE / nullif(a.actions, 0) * 100, 2) AS success_pct
+FROM (SELECT count(*) AS queued_tasks FROM gtm_task_queue) q
+CROSS JOIN (SELECT count(*) AS actions, count(CASE WHEN status = 'success' THEN 1 END) AS successful_actions FROM (
+  SELECT task_id, status FROM gtm_action_log UNION ALL SELECT task_id, status FROM gtm_task_execution)) a""",
+          ("gtm_task_queue", "gtm_action_log", "gtm_task_execution"))
+def rpt_workflow_qa(b):
+    q = gtm_task_queue(b).agg(F.count(F.lit(1)).alias("queued_tasks"))
+    acts = gtm_action_log(b).select("task_id", "status").unionByName(gtm_task_execution(b).select("task_id", "status"))
+    a = acts.agg(F.count(F.lit(1)).alias("actions"), count_if(F.col("status") == "success").alias("successful_actions"))
+    j = q.crossJoin(F.broadcast(a))  # two one-row aggregates
+    return j.select("queued_tasks", "actions", "successful_actions",
+                    safe_ratio("actions", "queued_tasks").alias("coverage_pct"),
+                    safe_ratio("successful_actions", "actions").alias("success_pct"))
+
+
+@register("rpt_at_risk_paying", """SELECT o.organization_id, o.organization_name, o.current_plan_name, a.days_since_last_session
+FROM dim_organizations o JOIN bridge_org_activity a ON o.organization_id = a.organization_id
+WHERE o.is_paying_customer AND a.days_since_last_session >= 14""", ("dim_organizations", "bridge_org_activity"))
+def rpt_at_risk_paying(b):
+    o = dim_organizations(b).filter(F.col("is_paying_customer"))
+    a = bridge_org_activity(b).filter(F.col("days_since_last_session") >= 14)
+    return o.join(a, "organization_id").select("organization_id", "organization_name", "current_plan_name",
+                                               "days_since_last_session")
+
+
+@register("rpt_reliability_30d", f"""SELECT metric_date, total_sessions, success_rate_pct, failure_rate_pct, timeout_rate_pct,
+       p95_duration_seconds FROM eng_daily WHERE metric_date >= {AS_OF_SQL} - INTERVAL 30 DAY ORDER BY metric_date""",
+          ("eng_daily",))
+def rpt_reliability_30d(b):
+    return (eng_daily(b).filter(_since("metric_date", b, 30))
+            .select("metric_date", "total_sessions", "success_rate_pct", "failure_rate_pct", "timeout_rate_pct",
+                    "p95_duration_seconds").orderBy("metric_date"))
+
+
+@register("rpt_adoption_90d", f"""SELECT metric_date, proxy_adoption_pct, stealth_adoption_pct, unique_domains_visited
+FROM pro_product_daily WHERE metric_date >= {AS_OF_SQL} - INTERVAL 90 DAY ORDER BY metric_date""", ("pro_product_daily",))
+def rpt_adoption_90d(b):
+    return (pro_product_daily(b).filter(_since("metric_date", b, 90))
+            .select("metric_date", "proxy_adoption_pct", "stealth_adoption_pct", "unique_domains_visited")
+            .orderBy("metric_date"))
+
+
+@register("rpt_collection", f"""SELECT revenue_month, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) / 100.0 AS realized_usd,
+       sum(CAST(round(gross_revenue_usd * 100) AS BIGINT)) / 100.0 AS gross_usd,
+       round(sum(CAST(round(realized_revenue_usd * 100) AS BIGINT))::DOUBLE / nullif(sum(CAST(round(gross_revenue_usd * 100) AS BIGINT)), 0) * 100, 2)
+         AS collection_rate_pct
+FROM fin_monthly_revenue WHERE revenue_month >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 12 MONTH AS DATE) GROUP BY 1""",
+          ("fin_monthly_revenue",))
+def rpt_collection(b):
+    r = fin_monthly_revenue(b).filter(_months_back("revenue_month", b, 12))
+    g = r.groupBy("revenue_month").agg(F.sum(F.round(F.col("realized_revenue_usd") * 100).cast("long")).alias("_r"),
+                                       F.sum(F.round(F.col("gross_revenue_usd") * 100).cast("long")).alias("_g"))
+    return g.select("revenue_month", (F.col("_r") / 100.0).alias("realized_usd"), (F.col("_g") / 100.0).alias("gross_usd"),
+                    safe_ratio("_r", "_g").alias("collection_rate_pct"))
+
+
+@register("rpt_budget_6m", f"""SELECT budget_month, sum(CAST(round(budget_allocated_usd * 100) AS BIGINT)) / 100.0 AS budget_usd,
+       sum(CAST(round(actual_spend_usd * 100) AS BIGINT)) / 100.0 AS actual_usd,
+       sum(CAST(round(budget_variance_usd * 100) AS BIGINT)) / 100.0 AS variance_usd
+FROM fin_budget_vs_actual WHERE budget_month >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 6 MONTH AS DATE) GROUP BY 1""",
+          ("fin_budget_vs_actual",))
+def rpt_budget_6m(b):
+    r = fin_budget_vs_actual(b).filter(_months_back("budget_month", b, 6))
+    return r.groupBy("budget_month").agg(exact_sum("budget_allocated_usd", 2).alias("budget_usd"),
+                                         exact_sum("actual_spend_usd", 2).alias("actual_usd"),
+                                         exact_sum("budget_variance_usd", 2).alias("variance_usd"))
+
+
+@register("rpt_ops_kpis", "SELECT * FROM ops_daily ORDER BY metric_date DESC LIMIT 7", ("ops_daily",))
+def rpt_ops_kpis(b):
+    return ops_daily(b).orderBy(F.col("metric_date").desc()).limit(7)
+
+
+@register("rpt_wow_compare", f"""
+WITH c AS (SELECT count(*) AS sessions, count(CASE WHEN is_successful THEN 1 END) AS ok, count(DISTINCT organization_id) AS orgs
+           FROM fct_sessions WHERE session_date > {AS_OF_SQL} - INTERVAL 7 DAY AND session_date <= {AS_OF_SQL}),
+p AS (SELECT count(*) AS sessions, count(CASE WHEN is_successful THEN 1 END) AS ok, count(DISTINCT organization_id) AS orgs
+      FROM fct_sessions WHERE session_date > {AS_OF_SQL} - INTERVAL 14 DAY AND session_date <= {AS_OF_SQL} - INTERVAL 7 DAY)
+SELECT c.sessions AS current_sessions, p.sessions AS previous_sessions,
+       round((c.sessions - p.sessions)::DOUBLE / nullif(p.sessions, 0) * 100, 2) AS sessions_change_pct,
+       c.orgs AS current_orgs, p.orgs AS previous_orgs,
+       round(c.ok::DOUBLE / nullif(c.sessions, 0) * 100, 2) AS current_success_pct,
+       round(p.ok::DOUBLE / nullif(p.sessions, 0) * 100, 2) AS previous_success_pct
+FROM c CROSS JOIN p""", ("fct_sessions",))
+def rpt_wow_compare(b):
+    s = fct_sessions(b)
+    d = F.col("session_date")
+
+    def window(lo, hi):
+        return s.filter((d > F.date_sub(_d(b), lo)) & (d <= F.date_sub(_d(b), hi))).agg(
+            F.count(F.lit(1)).alias("n"), count_if(F.col("is_successful")).alias("ok"),
+            F.countDistinct("organization_id").alias("orgs"))
+
+    c = window(7, 0).select(*[F.col(x).alias(f"c_{x}") for x in ("n", "ok", "orgs")])
+    p = window(14, 7).select(*[F.col(x).alias(f"p_{x}") for x in ("n", "ok", "orgs")])
+    j = c.crossJoin(F.broadcast(p))  # one row each
+    return j.select(F.col("c_n").alias("current_sessions"), F.col("p_n").alias("previous_sessions"),
+                    pct_change("c_n", "p_n").alias("sessions_change_pct"), F.col("c_orgs").alias("current_orgs"),
+                    F.col("p_orgs").alias("previous_orgs"), safe_ratio("c_ok", "c_n").alias("current_success_pct"),
+                    safe_ratio("p_ok", "p_n").alias("previous_success_pct"))
+
+
+@register("rpt_failure_modes", """SELECT browser_type AS owner, session_status AS failure_type, count(*) AS failures,
+       count(DISTINCT organization_id) AS orgs, round(count(*) * (1 + 0.35 * count(DISTINCT organization_id)), 2) AS impact,
+       CASE WHEN session_status = 'timeout' THEN 'raise timeout or split workload' ELSE 'inspect error events' END AS action
+FROM fct_sessions WHERE session_status IN ('failed', 'timeout') GROUP BY 1, 2""", ("fct_sessions",))
+def rpt_failure_modes(b):
+    s = fct_sessions(b).filter(F.col("session_status").isin("failed", "timeout"))
+    g = s.groupBy(F.col("browser_type").alias("owner"), F.col("session_status").alias("failure_type")).agg(
+        F.count(F.lit(1)).alias("failures"), F.countDistinct("organization_id").alias("orgs"))
+    return g.select("owner", "failure_type", "failures", "orgs",
+                    F.round(F.col("failures") * (1 + 0.35 * F.col("orgs")), 2).alias("impact"),
+                    F.when(F.col("failure_type") == "timeout", "raise timeout or split workload")
+                     .otherwise("inspect error events").alias("action"))
+
+
+@register("rpt_task_triage", """SELECT task_id, organization_name, priority, signal_score, reason_code, due_at,
+       CASE reason_code WHEN 'no_recent_usage' THEN 'onboarding call' WHEN 'no_successful_runs' THEN 'technical review'
+            WHEN 'low_success_rate' THEN 'reliability fix' ELSE 'check-in' END AS recommended_action,
+       CASE WHEN priority = 'urgent' THEN 'phone' ELSE 'email' END AS channel
+FROM gtm_task_queue ORDER BY CASE priority WHEN 'urgent' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, signal_score DESC, due_at, task_id""",
+          ("gtm_task_queue",))
+def rpt_task_triage(b):
+    t = gtm_task_queue(b)
+    rc = F.col("reason_code")
+    act = (F.when(rc == "no_recent_usage", "onboarding call").when(rc == "no_successful_runs", "technical review")
+           .when(rc == "low_success_rate", "reliability fix").otherwise("check-in"))
+    rank = F.when(F.col("priority") == "urgent", 1).when(F.col("priority") == "high", 2).otherwise(3)
+    return (t.select("task_id", "organization_name", "priority", "signal_score", "reason_code", "due_at",
+                     act.alias("recommended_action"),
+                     F.when(F.col("priority") == "urgent", "phone").otherwise("email").alias("channel"))
+            .orderBy(rank, F.col("signal_score").desc(), "due_at", "task_id"))
+
+
+@register("rpt_action_summary_7d", f"""SELECT action_type, status, count(*) AS actions FROM (
+  SELECT action_type, status, executed_at FROM gtm_action_log UNION ALL SELECT action_type, status, executed_at FROM gtm_task_execution)
+WHERE executed_at >= {AS_OF_TS_SQL} - INTERVAL 7 DAY GROUP BY 1, 2""", ("gtm_action_log", "gtm_task_execution"))
+def rpt_action_summary_7d(b):
+    cols = ["action_type", "status", "executed_at"]
+    u = gtm_action_log(b).select(cols).unionByName(gtm_task_execution(b).select(cols))
+    since = F.lit(f"{b.as_of} 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")
+    return u.filter(F.col("executed_at") >= since).groupBy("action_type", "status").agg(F.count(F.lit(1)).alias("actions"))
+
+
+@register("rpt_spend_by_source", """SELECT spend_month, spend_source, sum(CAST(round(spend_usd * 100) AS BIGINT)) / 100.0 AS spend_usd,
+       CAST(sum(record_count) AS BIGINT) AS records FROM fin_spend_monthly GROUP BY 1, 2""", ("fin_spend_monthly",))
+def rpt_spend_by_source(b):
+    return fin_spend_monthly(b).groupBy("spend_month", "spend_source").agg(exact_sum("spend_usd", 2).alias("spend_usd"),
+                                                                            F.sum("record_count").alias("records"))
+
+
+@register("rpt_vendor_top", """SELECT vendor_id, vendor_name, sum(CAST(round(total_spend_usd * 100) AS BIGINT)) / 100.0 AS spend_usd,
+       count(DISTINCT organization_id) AS orgs FROM fin_vendor_spend_monthly GROUP BY 1, 2
+ORDER BY spend_usd DESC, vendor_id LIMIT 20""", ("fin_vendor_spend_monthly",))
+def rpt_vendor_top(b):
+    v = fin_vendor_spend_monthly(b).groupBy("vendor_id", "vendor_name").agg(
+        exact_sum("total_spend_usd", 2).alias("spend_usd"), F.countDistinct("organization_id").alias("orgs"))
+    return v.orderBy(F.col("spend_usd").desc(), "vendor_id").limit(20)
+
+
+@register("rpt_month_trend", f"""SELECT month_start, sum(CAST(round(recognized_revenue_usd * 100) AS BIGINT)) / 100.0 AS revenue_usd,
+       sum(CAST(round(total_spend_usd * 100) AS BIGINT)) / 100.0 AS spend_usd, CAST(sum(total_runs) AS BIGINT) AS runs,
+       CAST(sum(new_leads) AS BIGINT) AS leads
+FROM term_business_snapshot WHERE month_start >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 12 MONTH AS DATE) GROUP BY 1""",
+          ("term_business_snapshot",))
+def rpt_month_trend(b):
+    s = term_business_snapshot(b).filter(_months_back("month_start", b, 12))
+    return s.groupBy("month_start").agg(exact_sum("recognized_revenue_usd", 2).alias("revenue_usd"),
+                                        exact_sum("total_spend_usd", 2).alias("spend_usd"),
+                                        F.sum("total_runs").alias("runs"), F.sum("new_leads").alias("leads"))
+
+
+@register("rpt_month_summary", f"""SELECT month_start, count(*) AS organizations,
+       count(CASE WHEN total_runs > 0 THEN 1 END) AS active_organizations,
+       sum(CAST(round(recognized_revenue_usd * 100) AS BIGINT)) / 100.0 AS revenue_usd, CAST(sum(total_runs) AS BIGINT) AS runs
+FROM term_business_snapshot WHERE month_start = CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 1 MONTH AS DATE) GROUP BY 1""",
+          ("term_business_snapshot",))
+def rpt_month_summary(b):
+    s = term_business_snapshot(b).filter(F.col("month_start") == F.add_months(F.trunc(_d(b), "MM"), -1))
+    return s.groupBy("month_start").agg(F.count(F.lit(1)).alias("organizations"),
+                                        count_if(F.col("total_runs") > 0).alias("active_organizations"),
+                                        exact_sum("recognized_revenue_usd", 2).alias("revenue_usd"),
+                                        F.sum("total_runs").alias("runs"))
+
+
+@register("rpt_month_leaderboard", f"""SELECT organization_id, organization_name, recognized_revenue_usd, total_runs
+FROM term_business_snapshot WHERE month_start = CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 1 MONTH AS DATE)
+ORDER BY recognized_revenue_usd DESC, organization_id LIMIT 80""", ("term_business_snapshot",))
+def rpt_month_leaderboard(b):
+    s = term_business_snapshot(b).filter(F.col("month_start") == F.add_months(F.trunc(_d(b), "MM"), -1))
+    return (s.select("organization_id", "organization_name", "recognized_revenue_usd", "total_runs")
+            .orderBy(F.col("recognized_revenue_usd").desc(), "organization_id").limit(80))
+
+
+@register("rpt_channel_efficiency", """SELECT metric_month, channel, count(DISTINCT campaign_id) AS campaigns,
+       sum(CAST(round(won_revenue_usd * 100) AS BIGINT)) / 100.0 AS revenue_usd,
+       round(sum(CAST(round(campaign_roas * 10000) AS BIGINT)) / 10000.0 / nullif(count(campaign_roas), 0), 4) AS avg_roas
+FROM gtm_campaign_channel GROUP BY 1, 2""", ("gtm_campaign_channel",))
+def rpt_channel_efficiency(b):
+    from ..functions.exprs import exact_avg
+    c = gtm_campaign_channel(b)
+    return c.groupBy("metric_month", "channel").agg(
+        F.countDistinct("campaign_id").alias("campaigns"), exact_sum("won_revenue_usd", 2).alias("revenue_usd"),
+        F.round(exact_avg("campaign_roas", 4), 4).alias("avg_roas"))
+
+
+@register("rpt_roas_backout", """SELECT metric_month, campaign_id, channel, owner_employee_id, won_revenue_usd, campaign_roas,
+       round(won_revenue_usd / nullif(campaign_roas, 0), 2) AS implied_spend_usd FROM gtm_campaign_channel""",
+          ("gtm_campaign_channel",))
+def rpt_roas_backout(b):
+    c = gtm_campaign_channel(b)
+    return c.select("metric_month", "campaign_id", "channel", "owner_employee_id", "won_revenue_usd", "campaign_roas",
+                    F.round(F.col("won_revenue_usd") / F.nullif(F.col("campaign_roas"), F.lit(0.0)), 2)
+                    .alias("implied_spend_usd"))
+
+
+@register("rpt_platform_daily", """SELECT session_date, CAST(sum(total_sessions) AS BIGINT) AS sessions,
+       CAST(sum(successful_sessions) AS BIGINT) AS successful, count(*) AS active_orgs,
+       round(sum(successful_sessions)::DOUBLE / nullif(sum(total_sessions), 0) * 100, 2) AS success_rate_pct,
+       CAST(sum(total_errors) AS BIGINT) AS errors FROM pro_sessions_daily GROUP BY 1""", ("pro_sessions_daily",))
+def rpt_platform_daily(b):
+    d = pro_sessions_daily(b).groupBy("session_date").agg(
+        F.sum("total_sessions").alias("sessions"), F.sum("successful_sessions").alias("successful"),
+        F.count(F.lit(1)).alias("active_orgs"), F.sum("total_errors").alias("errors"))
+    return d.select("session_date", "sessions", "successful", "active_orgs",
+                    safe_ratio("successful", "sessions").alias("success_rate_pct"), "errors")
+
+
+@register("rpt_org_projects_30d", f"""SELECT organization_id, project_id, count(*) AS sessions,
+       round(count(CASE WHEN is_successful THEN 1 END)::DOUBLE / count(*) * 100, 2) AS success_pct, max(started_at) AS last_seen_at
+FROM fct_sessions WHERE session_date >= {AS_OF_SQL} - INTERVAL 30 DAY GROUP BY 1, 2""", ("fct_sessions",))
+def rpt_org_projects_30d(b):
+    s = fct_sessions(b).filter(_since("session_date", b, 30))
+    g = s.groupBy("organization_id", "project_id").agg(F.count(F.lit(1)).alias("sessions"),
+                                                       count_if(F.col("is_successful")).alias("_ok"),
+                                                       F.max("started_at").alias("last_seen_at"))
+    return g.select("organization_id", "project_id", "sessions", safe_ratio("_ok", "sessions").alias("success_pct"),
+                    "last_seen_at")
+
+
+@register("rpt_org_history", """
+WITH top AS (SELECT organization_id FROM fin_monthly_revenue GROUP BY 1
+             ORDER BY sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) DESC, organization_id LIMIT 1)
+SELECT 'revenue' AS record_type, r.organization_id, CAST(r.revenue_month AS TIMESTAMP) AS recorded_at,
+       r.realized_revenue_usd AS value FROM fin_monthly_revenue r JOIN top USING (organization_id)
+UNION ALL SELECT 'risk', s.organization_id, s.triggered_at, s.signal_score FROM gtm_trial_risk s JOIN top USING (organization_id)
+UNION ALL SELECT 'task', q.organization_id, q.created_at, q.signal_score FROM gtm_task_queue q JOIN top USING (organization_id)
+ORDER BY recorded_at DESC""", ("fin_monthly_revenue", "gtm_trial_risk", "gtm_task_queue"))
+def rpt_org_history(b):
+    """History of the top-revenue organisation (the drill-down target), newest first."""
+    r = fin_monthly_revenue(b)
+    top = (r.groupBy("organization_id").agg(F.sum(F.round(F.col("realized_revenue_usd") * 100).cast("long")).alias("_c"))
+           .orderBy(F.col("_c").desc(), "organization_id").limit(1).select("organization_id"))
+    rev = r.join(top, "organization_id").select(F.lit("revenue").alias("record_type"), "organization_id",
+                                                F.col("revenue_month").cast("timestamp_ntz").alias("recorded_at"),
+                                                F.col("realized_revenue_usd").alias("value"))
+    risk = gtm_trial_risk(b).join(top, "organization_id").select(
+        F.lit("risk").alias("record_type"), "organization_id", F.col("triggered_at").alias("recorded_at"),
+        F.col("signal_score").alias("value"))
+    task = gtm_task_queue(b).join(top, "organization_id").select(
+        F.lit("task").alias("record_type"), "organization_id", F.col("created_at").alias("recorded_at"),
+        F.col("signal_score").alias("value"))
+    return rev.unionByName(risk).unionByName(task).orderBy(F.col("recorded_at").desc())
+
+
+@register("rpt_customer_typeahead", """SELECT c.organization_id, c.organization_name, c.total_session_hours FROM fin_cue c
+WHERE c.metric_month = (SELECT max(metric_month) FROM fin_cue) ORDER BY c.total_session_hours DESC, c.organization_id LIMIT 20""",
+          ("fin_cue",))
+def rpt_customer_typeahead(b):
+    c = fin_customer_unit_economics(b)
+    latest = c.agg(F.max("metric_month").alias("metric_month"))  # one row
+    return (c.join(latest, "metric_month", "left_semi")
+            .select("organization_id", "organization_name", "total_session_hours")
+            .orderBy(F.col("total_session_hours").desc(), "organization_id").limit(20))
+
+
+@register("rpt_plan_activity", """SELECT coalesce(current_plan_name, 'none') AS plan, activity_tier, count(*) AS orgs,
+       CAST(sum(sessions_last_30d) AS BIGINT) AS sessions FROM gtm_active_organizations GROUP BY 1, 2""",
+          ("gtm_active_organizations",))
+def rpt_plan_activity(b):
+    a = gtm_active_organizations(b)
+    return a.groupBy(F.coalesce("current_plan_name", F.lit("none")).alias("plan"), "activity_tier").agg(
+        F.count(F.lit(1)).alias("orgs"), F.sum("sessions_last_30d").alias("sessions"))
+
+
+@register("rpt_spine_daily", """SELECT metric_date, CAST(sum(session_count) AS BIGINT) AS sessions,
+       CAST(sum(is_active_org) AS BIGINT) AS active_orgs, count(*) AS orgs_in_spine,
+       sum(subscription_mrr_usd) AS mrr_usd FROM core_metric_spine GROUP BY 1""", ("core_metric_spine",))
+def rpt_spine_daily(b):
+    s = core_metric_spine(b)
+    return s.groupBy("metric_date").agg(F.sum("session_count").alias("sessions"), F.sum("is_active_org").alias("active_orgs"),
+                                        F.count(F.lit(1)).alias("orgs_in_spine"),
+                                        exact_sum("subscription_mrr_usd", 2).alias("mrr_usd"))
+
+
+def _org_revenue(b):
+    r = fin_monthly_revenue(b)
+    return r.groupBy("organization_id").agg(
+        F.max("organization_name").alias("organization_name"),
+        F.sum(F.round(F.col("realized_revenue_usd") * 100).cast("long")).alias("_rev_c"),
+        F.sum(F.round(F.col("gross_revenue_usd") * 100).cast("long")).alias("_gross_c"))
+
+
+@register("rpt_customer_risk_board", """SELECT r.organization_id, r.organization_name, r.rev / 100.0 AS revenue_usd,
+       round(s.signal_score * 100, 2) AS risk_score, s.reason_code
+FROM (SELECT organization_id, max(organization_name) AS organization_name, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) AS rev
+      FROM fin_monthly_revenue GROUP BY 1) r
+JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY triggered_at DESC, signal_id DESC) AS rn
+                     FROM gtm_trial_risk) WHERE rn = 1) s ON r.organization_id = s.organization_id""",
+          ("fin_monthly_revenue", "gtm_trial_risk"))
+def rpt_customer_risk_board(b):
+    risk = latest_per_key(gtm_trial_risk(b).select("organization_id", "triggered_at", "signal_id", "signal_score",
+                                                   "reason_code"),
+                          ["organization_id"], [("triggered_at", "desc"), ("signal_id", "desc")])
+    r = _org_revenue(b)
+    return r.join(risk, "organization_id").select("organization_id", "organization_name",
+                                                  (F.col("_rev_c") / 100.0).alias("revenue_usd"),
+                                                  F.round(F.col("signal_score") * 100, 2).alias("risk_score"),
+                                                  "reason_code")
+
+
+@register("rpt_momentum_score", """
+WITH r AS (SELECT organization_id, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) AS rev,
+                  sum(CAST(round(gross_revenue_usd * 100) AS BIGINT)) AS gross FROM fin_monthly_revenue GROUP BY 1),
+a AS (SELECT organization_id, round(completed_sessions::DOUBLE / nullif(total_sessions, 0) * 100, 2) AS reliability
+      FROM bridge_org_activity),
+s AS (SELECT organization_id, max(signal_score) AS risk FROM gtm_trial_risk GROUP BY 1)
+SELECT r.organization_id, r.rev / 100.0 AS revenue_usd,
+       round(least(greatest(0.5 * coalesce(a.reliability, 70.0) + 0.35 * coalesce(round(r.rev::DOUBLE / nullif(r.gross, 0) * 100, 2), 35.0)
+             + 0.15 * (100 - coalesce(s.risk * 100, 0.0)), 0.0), 100.0), 2) AS momentum_score
+FROM r LEFT JOIN a ON r.organization_id = a.organization_id LEFT JOIN s ON r.organization_id = s.organization_id
+ORDER BY revenue_usd DESC, r.organization_id LIMIT 100""", ("fin_monthly_revenue", "bridge_org_activity", "gtm_trial_risk"))
+def rpt_momentum_score(b):
+    r = _org_revenue(b)
+    a = bridge_org_activity(b).select("organization_id",
+                                      safe_ratio("completed_sessions", "total_sessions").alias("reliability"))
+    s = gtm_trial_risk(b).groupBy("organization_id").agg(F.max("signal_score").alias("risk"))
+    j = r.join(a, "organization_id", "left").join(s, "organization_id", "left")
+    score = (0.5 * F.coalesce("reliability", F.lit(70.0)) + 0.35 * F.coalesce(safe_ratio("_rev_c", "_gross_c"), F.lit(35.0))
+             + 0.15 * (100 - F.coalesce(F.col("risk") * 100, F.lit(0.0))))
+    out = j.select("organization_id", (F.col("_rev_c") / 100.0).alias("revenue_usd"),
+                   F.round(clamp(score, 0.0, 100.0), 2).alias("momentum_score"))
+    return out.orderBy(F.col("revenue_usd").desc(), "organization_id").limit(100)
+
+
+@register("rpt_mix_share", """SELECT p.plan_name, sum(p.monthly_price_usd) AS mrr_usd,
+       round(sum(p.monthly_price_usd) / (SELECT total_mrr_usd FROM fin_mrr) * 100, 2) AS share_pct
+FROM b_subscriptions a JOIN b_plans p ON a.plan_id = p.plan_id JOIN b_organizations o ON a.organization_id = o.organization_id
+WHERE a.status = 'active' AND o.status = 'active' AND p.monthly_price_usd > 0 GROUP BY 1""",
+          ("b_subscriptions", "b_plans", "b_organizations", "fin_mrr"))
+def rpt_mix_share(b):
+    a = b.subscriptions.filter(F.col("status") == "active").select("organization_id", "plan_id")
+    p = F.broadcast(b.plans.select("plan_id", "plan_name", "monthly_price_usd"))
+    o = b.organizations.filter(F.col("status") == "active").select("organization_id")
+    j = a.join(p, "plan_id").join(o, "organization_id", "left_semi").filter(F.col("monthly_price_usd") > 0)
+    g = j.groupBy("plan_name").agg(F.sum("monthly_price_usd").alias("mrr_usd"))
+    total = fin_mrr(b).select("total_mrr_usd")  # one row
+    return g.crossJoin(F.broadcast(total)).select("plan_name", "mrr_usd",
+                                                  safe_ratio("mrr_usd", "total_mrr_usd").alias("share_pct"))
+
+
+@register("rpt_latest_change", """
+WITH m AS (SELECT revenue_month, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) AS c FROM fin_monthly_revenue GROUP BY 1),
+l AS (SELECT revenue_month, c, lag(c) OVER (ORDER BY revenue_month) AS prev FROM m)
+SELECT revenue_month, c / 100.0 AS revenue_usd, prev / 100.0 AS previous_revenue_usd,
+       round((c - prev)::DOUBLE / nullif(prev, 0) * 100, 2) AS change_pct
+FROM l WHERE revenue_month = (SELECT max(revenue_month) FROM m)""", ("fin_monthly_revenue",))
+def rpt_latest_change(b):
+    """Latest vs previous month: monthly totals (a bounded, calendar-sized
+    frame) are ranked newest first and the top two compared."""
+    m = fin_monthly_revenue(b).groupBy("revenue_month").agg(
+        F.sum(F.round(F.col("realized_revenue_usd") * 100).cast("long")).alias("_c"))
+    top2 = m.orderBy(F.col("revenue_month").desc()).limit(2)
+    latest = top2.agg(F.max_by(F.struct("revenue_month", "_c"), "revenue_month").alias("cur"),
+                      F.min_by(F.struct("revenue_month", "_c"), "revenue_month").alias("prev"),
+                      F.count(F.lit(1)).alias("_n"))
+    prev_c = F.when(F.col("_n") == 2, F.col("prev._c"))
+    return latest.select(F.col("cur.revenue_month").alias("revenue_month"), (F.col("cur._c") / 100.0).alias("revenue_usd"),
+                         (prev_c / 100.0).alias("previous_revenue_usd"), pct_change(F.col("cur._c"), prev_c).alias("change_pct"))
+
+
+# Status band thresholds (metric, green bound, yellow bound, higher_is_better).
+STATUS_BANDS = [
+    ("avg_success_rate_pct_30d", 95.0, 90.0, True),
+    ("avg_errors_per_1k_sessions_30d", 500.0, 1000.0, False),
+    ("avg_p95_duration_seconds_30d", 2400.0, 2600.0, False),
+]
+
+
+@register("rpt_status_bands", "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS metric, {m} AS value, CASE WHEN {m} IS NULL THEN 'unknown' WHEN "
+    + (f"{m} >= {g} THEN 'green' WHEN {m} >= {y}" if hib else f"{m} <= {g} THEN 'green' WHEN {m} <= {y}")
+    + " THEN 'yellow' ELSE 'red' END AS status FROM eng_kpis" for m, g, y, hib in STATUS_BANDS), ("eng_kpis",))
+def rpt_status_bands(b):
+    k = eng_kpis(b)
+    out = None
+    for m, g, y, hib in STATUS_BANDS:
+        v = F.col(m)
+        st = (F.when(v.isNull(), "unknown").when(v >= g if hib else v <= g, "green")
+              .when(v >= y if hib else v <= y, "yellow").otherwise("red"))
+        part = k.select(F.lit(m).alias("metric"), v.alias("value"), st.alias("status"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("rpt_due_soon", f"""SELECT task_id, organization_name, priority, due_at FROM gtm_task_queue
+WHERE due_at <= {AS_OF_TS_SQL} + INTERVAL 48 HOUR ORDER BY due_at, task_id""", ("gtm_task_queue",))
+def rpt_due_soon(b):
+    lim = F.lit(f"{b.as_of} 00:00:00").cast("timestamp_ntz") + F.expr("INTERVAL 48 HOURS")
+    return (gtm_task_queue(b).filter(F.col("due_at") <= lim)
+            .select("task_id", "organization_name", "priority", "due_at").orderBy("due_at", "task_id"))
+
+
+@register("rpt_reason_breakdown", """SELECT reason_code, count(*) AS signals, round(avg(signal_score), 4) AS avg_risk
+FROM gtm_trial_risk GROUP BY 1 ORDER BY signals DESC, reason_code LIMIT 5""", ("gtm_trial_risk",))
+def rpt_reason_breakdown(b):
+    from ..functions.exprs import exact_avg
+    r = gtm_trial_risk(b).groupBy("reason_code").agg(F.count(F.lit(1)).alias("signals"),
+                                                     F.round(exact_avg("signal_score", 4), 4).alias("avg_risk"))
+    return r.orderBy(F.col("signals").desc(), "reason_code").limit(5)
+
+
+@register("rpt_funnel_step_rates", """SELECT metric_date, leads_created, qualified_leads_created, leads_converted,
+       round(qualified_leads_created::DOUBLE / nullif(leads_created, 0) * 100, 2) AS lead_to_qualified_pct,
+       round(opportunities_created::DOUBLE / nullif(leads_converted, 0) * 100, 2) AS converted_to_opp_pct,
+       round(opportunities_closed_won::DOUBLE / nullif(opportunities_created, 0) * 100, 2) AS opp_to_won_pct
+FROM gtm_funnel_daily WHERE metric_date = (SELECT max(metric_date) FROM gtm_funnel_daily WHERE leads_created > 0)""",
+          ("gtm_funnel_daily",))
+def rpt_funnel_step_rates(b):
+    f = gtm_funnel_daily(b)
+    latest = f.filter(F.col("leads_created") > 0).agg(F.max("metric_date").alias("metric_date"))  # one row
+    return f.join(latest, "metric_date", "left_semi").select(
+        "metric_date", "leads_created", "qualified_leads_created", "leads_converted",
+        safe_ratio("qualified_leads_created", "leads_created").alias("lead_to_qualified_pct"),
+        safe_ratio("opportunities_created", "leads_converted").alias("converted_to_opp_pct"),
+        safe_ratio("opportunities_closed_won", "opportunities_created").alias("opp_to_won_pct"))
+
+
+@register("rpt_source_share", """SELECT spend_source, c / 100.0 AS spend_usd, round(c::DOUBLE / sum(c) OVER () * 100, 2) AS share_pct
+FROM (SELECT spend_source, sum(CAST(round(spend_usd * 100) AS BIGINT)) AS c FROM fin_spend_monthly GROUP BY 1)""",
+          ("fin_spend_monthly",))
+def rpt_source_share(b):
+    s = fin_spend_monthly(b).groupBy("spend_source").agg(F.sum(F.round(F.col("spend_usd") * 100).cast("long")).alias("_c"))
+    total = s.agg(F.sum("_c").alias("_t"))  # one row over a handful of sources
+    return s.crossJoin(F.broadcast(total)).select("spend_source", (F.col("_c") / 100.0).alias("spend_usd"),
+                                                  safe_ratio("_c", "_t").alias("share_pct"))
+
+
+@register("rpt_tie_out", """
+SELECT coalesce(a.k, m.k) AS metric_date, a.v AS mart_success_pct, m.v AS metric_success_pct,
+       CASE WHEN a.k IS NULL OR m.k IS NULL THEN 'missing' WHEN abs(a.v - m.v) <= 0.01 THEN 'match' ELSE 'mismatch' END AS status,
+       round(coalesce(a.v, 0) - coalesce(m.v, 0), 2) AS delta
+FROM (SELECT metric_date AS k, success_rate_pct AS v FROM eng_daily) a
+FULL OUTER JOIN (SELECT date AS k, success_rate_pct AS v FROM core_daily_kpis) m ON a.k = m.k""",
+          ("eng_daily", "core_daily_kpis"))
+def rpt_tie_out(b):
+    a = eng_daily(b).select(F.col("metric_date").alias("k"), F.col("success_rate_pct").alias("av"))
+    m = core_daily_kpis(b).select(F.col("date").alias("k2"), F.col("success_rate_pct").alias("mv"))
+    j = a.join(m, F.col("k") == F.col("k2"), "full")
+    st = (F.when(F.col("k").isNull() | F.col("k2").isNull(), "missing")
+          .when(F.abs(F.col("av") - F.col("mv")) <= 0.01, "match").otherwise("mismatch"))
+    return j.select(F.coalesce("k", "k2").alias("metric_date"), F.col("av").alias("mart_success_pct"),
+                    F.col("mv").alias("metric_success_pct"), st.alias("status"),
+                    F.round(F.coalesce("av", F.lit(0.0)) - F.coalesce("mv", F.lit(0.0)), 2).alias("delta"))
