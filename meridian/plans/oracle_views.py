@@ -247,7 +247,11 @@ SELECT c_custkey AS account_id, CASE WHEN c_custkey % 4 <> 3 THEN c_custkey END
        c_name AS account_name,
        CASE WHEN c_acctbal >= 5000 THEN 'enterprise' WHEN c_acctbal >= 0 THEN 'mid_market' ELSE 'smb' END AS account_tier,
        'active' AS account_status, c_custkey % 10 AS owner_employee_id,
-       CAST(DATE '1995-01-01' + CAST((c_custkey * 37) % 2000 AS INTEGER) AS TIMESTAMP) - INTERVAL 30 DAY AS created_at
+       lower(trim(c_mktsegment)) AS industry,
+       CASE WHEN c_acctbal >= 5000 THEN '201-1000' WHEN c_acctbal >= 0 THEN '51-200' ELSE '1-50' END AS employee_band,
+       'crm' AS source_system,
+       CAST(DATE '1995-01-01' + CAST((c_custkey * 37) % 2000 AS INTEGER) AS TIMESTAMP) - INTERVAL 30 DAY AS created_at,
+       CAST(DATE '1995-01-01' + CAST((c_custkey * 37) % 2000 AS INTEGER) AS TIMESTAMP) - INTERVAL 29 DAY AS updated_at
 FROM customer
 """)
 
@@ -258,7 +262,8 @@ SELECT o_orderkey AS lead_id, o_custkey AS account_id,
             WHEN 4 THEN 'converted' END AS lead_status,
        CAST(o_orderkey % 100 AS INTEGER) AS lead_score, o_custkey % 10 AS owner_employee_id,
        o_orderdate AS created_at,
-       CASE WHEN o_orderkey % 5 = 4 THEN o_orderdate + to_days(CAST(o_orderkey % 30 AS INTEGER)) END AS converted_at
+       CASE WHEN o_orderkey % 5 = 4 THEN o_orderdate + to_days(CAST(o_orderkey % 30 AS INTEGER)) END AS converted_at,
+       o_orderdate + to_days(CAST(o_orderkey % 10 AS INTEGER)) AS updated_at
 FROM orders
 """)
 
@@ -287,7 +292,7 @@ SELECT l_orderkey * 10 + l_linenumber AS opportunity_id, o_custkey AS account_id
             WHEN l_linestatus = 'O' THEN 'proposal' ELSE 'qualification' END AS stage,
        l_extendedprice AS amount_usd, l_shipdate - INTERVAL 30 DAY AS created_at,
        CASE WHEN l_returnflag IN ('A', 'R') THEN l_shipdate END AS closed_at,
-       l_returnflag = 'A' AS is_won
+       l_returnflag = 'A' AS is_won, l_suppkey % 10 AS owner_employee_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """)
 

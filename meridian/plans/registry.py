@@ -43,7 +43,7 @@ def register(name: str, sql: str | None = None, deps: tuple[str, ...] = (), inpu
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import (core, staging, operators_q, product, growth, finance, finance_ops, terminal,  # noqa: F401
+    from . import (core, staging, operators_q, product, growth, growth_lifecycle, finance, finance_ops, terminal,  # noqa: F401
                    semantic_q, quality_q, catalog_q, reports, streaming_q, ingest_q)
     for name, (sql, deps) in _ORACLE_SPEC.items():
         if name not in ORACLE:

@@ -301,7 +301,12 @@ class Bindings:
              .otherwise(F.lit("smb")).alias("account_tier"),
             F.lit("active").alias("account_status"),
             (k % 10).alias("owner_employee_id"),
-            add_days_ts(created, -30).alias("created_at"))
+            F.lower(F.trim("c_mktsegment")).alias("industry"),
+            F.when(F.col("c_acctbal") >= 5000, F.lit("201-1000")).when(F.col("c_acctbal") >= 0, F.lit("51-200"))
+             .otherwise(F.lit("1-50")).alias("employee_band"),
+            F.lit("crm").alias("source_system"),
+            add_days_ts(created, -30).alias("created_at"),
+            add_days_ts(created, -29).alias("updated_at"))
 
     @property
     def leads(self) -> DataFrame:
@@ -314,7 +319,8 @@ class Bindings:
             status.alias("lead_status"), (k % 100).cast("int").alias("lead_score"),
             (F.col("o_custkey") % 10).alias("owner_employee_id"),
             F.col("o_orderdate").alias("created_at"),
-            F.when(k % 5 == 4, add_days_ts("o_orderdate", (k % 30).cast("int"))).alias("converted_at"))
+            F.when(k % 5 == 4, add_days_ts("o_orderdate", (k % 30).cast("int"))).alias("converted_at"),
+            add_days_ts("o_orderdate", (k % 10).cast("int")).alias("updated_at"))
 
     @property
     def campaigns(self) -> DataFrame:
@@ -345,7 +351,7 @@ class Bindings:
 
     @property
     def opportunities(self) -> DataFrame:
-        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag",
+        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag",
                                     "l_linestatus", "l_shipdate")
         o = self.t.orders.select("o_orderkey", "o_custkey")
         j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -358,7 +364,8 @@ class Bindings:
             stage.alias("stage"), F.col("l_extendedprice").alias("amount_usd"),
             add_days_ts("l_shipdate", -30).alias("created_at"),
             F.when(F.col("l_returnflag").isin("A", "R"), F.col("l_shipdate")).alias("closed_at"),
-            (F.col("l_returnflag") == "A").alias("is_won"))
+            (F.col("l_returnflag") == "A").alias("is_won"),
+            (F.col("l_suppkey") % 10).alias("owner_employee_id"))
 
     # Activities replay the event stream shifted so its last day lines up with as_of.
     ACTIVITY_SHIFT_DAYS = -8217
