@@ -125,3 +125,22 @@ def schema_contract(expected: DataFrame, actual: DataFrame) -> DataFrame:
     j = e.join(a, k, "full")
     return j.filter(F.col("expected_type").isNull() | F.col("actual_type").isNull()
                     | (F.col("expected_type") != F.col("actual_type")))
+
+
+# Allowed metric grains and domains in the registry contract.
+REGISTRY_GRAINS = ("day", "week", "month", "snapshot")
+REGISTRY_DOMAINS = ("finance", "product", "engineering", "growth", "operations")
+
+
+def registry_contract(registry: DataFrame) -> DataFrame:
+    """Required metric metadata present, non-blank and within the allowed values."""
+    c = F.col
+    blank = lambda x: c(x).isNull() | (F.trim(c(x)) == "")
+    rules = {
+        "metric_name_missing": blank("metric_name"),
+        "owner_missing": blank("owner"),
+        "definition_missing": blank("definition"),
+        "grain_invalid": ~c("grain").isin(*REGISTRY_GRAINS) | c("grain").isNull(),
+        "domain_invalid": ~c("domain").isin(*REGISTRY_DOMAINS) | c("domain").isNull(),
+    }
+    return predicates(registry, rules, ["metric_name"])
