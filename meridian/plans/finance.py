@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, exact_sum, month_start, rnd, safe_div
+from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, rnd, safe_div
 from ..operators.shapes import close_intervals, explode_months, latest_per_key
 from .core import dim_organizations, fct_sessions
 from .oracle_views import AS_OF_SQL, view
@@ -389,7 +389,7 @@ def firm_unit_economics(cue: DataFrame) -> DataFrame:
         exact_sum("expected_cost_usd", 6).alias("_cost"),
         exact_sum(F.coalesce("realized_revenue_usd", F.lit(0.0)), 2).alias("_rev"),
         exact_sum(F.coalesce("entitled_hours_monthly_prorated", F.lit(0.0)), 4).alias("_ent"),
-        F.avg("utilization_pct").alias("_avg_util"))
+        exact_avg("utilization_pct", 2).alias("_avg_util"))
     return r.select(
         "metric_month", "customer_count", "active_customer_count", "total_sessions_with_duration",
         F.round("_hours", 4).alias("total_session_hours"), F.round("_cost", 4).alias("total_expected_cost_usd"),
@@ -422,7 +422,7 @@ FROM (SELECT metric_month, count(DISTINCT organization_id) AS customer_count,
              sum(CAST(round(coalesce(realized_revenue_usd, 0) * 100) AS BIGINT)) / 100.0 AS r,
              sum(CAST(round(CASE WHEN entitled_hours_monthly_prorated IS NOT NULL THEN entitled_hours_monthly_prorated
                                  ELSE 0 END * 10000) AS BIGINT)) / 10000.0 AS e,
-             avg(utilization_pct) AS u
+             sum(CAST(round(utilization_pct * 100) AS BIGINT)) / 100.0 / nullif(count(utilization_pct), 0) AS u
       FROM fin_cue GROUP BY 1)
 """, "fin_cue")
 register("fin_firm_unit_economics", "SELECT * FROM fin_firm_ue", ("fin_firm_ue",),

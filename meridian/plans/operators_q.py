@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (count_if, duration_bucket, exact_sum, initials, iso_yearweek, kv_extract, month_start,
+from ..functions.exprs import (exact_avg, count_if, duration_bucket, exact_sum, initials, iso_yearweek, kv_extract, month_start,
                                safe_ratio, url_domain, week_start)
 from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_cont,
                                 rank_within, trailing_distinct, union_calendar)
@@ -523,13 +523,13 @@ def agg_safe_ratio(b):
 
 
 @q("agg_reaggregate", f"""SELECT CAST(sum(total_sessions) AS BIGINT) AS sessions_30d, max(total_sessions) AS peak_daily_sessions,
-       round(avg(success_rate_pct), 2) AS avg_success_rate_pct, CAST(sum(total_errors) AS BIGINT) AS errors_30d
+       round(sum(CAST(round(success_rate_pct * 100) AS BIGINT)) / 100.0 / nullif(count(success_rate_pct), 0), 2) AS avg_success_rate_pct, CAST(sum(total_errors) AS BIGINT) AS errors_30d
 FROM pro_sessions_daily WHERE session_date >= {AS_OF_SQL} - INTERVAL 30 DAY""", "pro_sessions_daily")
 def agg_reaggregate(b):
     from .product import pro_sessions_daily
     d = pro_sessions_daily(b).filter(F.col("session_date") >= F.date_sub(_d(b), 30))
     return d.agg(F.sum("total_sessions").alias("sessions_30d"), F.max("total_sessions").alias("peak_daily_sessions"),
-                 F.round(F.avg("success_rate_pct"), 2).alias("avg_success_rate_pct"),
+                 F.round(exact_avg("success_rate_pct", 2), 2).alias("avg_success_rate_pct"),
                  F.sum("total_errors").alias("errors_30d"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, rnd, safe_ratio
+from ..functions.exprs import count_if, exact_avg, exact_sum, rnd, safe_ratio
 from ..operators.shapes import percentile_cont
 from .core import dim_organizations, fct_sessions
 from .oracle_views import AS_OF_SQL, view
@@ -69,22 +69,22 @@ def eng_kpis(b) -> DataFrame:
     return r.agg(
         F.lit(b.as_of).cast("date").alias("as_of_date"),
         F.sum("total_sessions").alias("sessions_30d"),
-        rnd(F.avg("success_rate_pct")).alias("avg_success_rate_pct_30d"),
-        rnd(F.avg("failure_rate_pct")).alias("avg_failure_rate_pct_30d"),
-        rnd(F.avg("timeout_rate_pct")).alias("avg_timeout_rate_pct_30d"),
-        rnd(F.avg("errors_per_1k_sessions")).alias("avg_errors_per_1k_sessions_30d"),
-        rnd(F.avg("p95_duration_seconds")).alias("avg_p95_duration_seconds_30d"),
-        rnd(F.avg("p99_duration_seconds")).alias("avg_p99_duration_seconds_30d"))
+        F.round(exact_avg("success_rate_pct", 2), 2).alias("avg_success_rate_pct_30d"),
+        F.round(exact_avg("failure_rate_pct", 2), 2).alias("avg_failure_rate_pct_30d"),
+        F.round(exact_avg("timeout_rate_pct", 2), 2).alias("avg_timeout_rate_pct_30d"),
+        F.round(exact_avg("errors_per_1k_sessions", 2), 2).alias("avg_errors_per_1k_sessions_30d"),
+        F.round(exact_avg("p95_duration_seconds", 2), 2).alias("avg_p95_duration_seconds_30d"),
+        F.round(exact_avg("p99_duration_seconds", 2), 2).alias("avg_p99_duration_seconds_30d"))
 
 
 view("eng_kpis", f"""
 SELECT {AS_OF_SQL} AS as_of_date, CAST(sum(total_sessions) AS BIGINT) AS sessions_30d,
-       round(avg(success_rate_pct), 2) AS avg_success_rate_pct_30d,
-       round(avg(failure_rate_pct), 2) AS avg_failure_rate_pct_30d,
-       round(avg(timeout_rate_pct), 2) AS avg_timeout_rate_pct_30d,
-       round(avg(errors_per_1k_sessions), 2) AS avg_errors_per_1k_sessions_30d,
-       round(avg(p95_duration_seconds), 2) AS avg_p95_duration_seconds_30d,
-       round(avg(p99_duration_seconds), 2) AS avg_p99_duration_seconds_30d
+       round(sum(CAST(round(success_rate_pct * 100) AS BIGINT)) / 100.0 / nullif(count(success_rate_pct), 0), 2) AS avg_success_rate_pct_30d,
+       round(sum(CAST(round(failure_rate_pct * 100) AS BIGINT)) / 100.0 / nullif(count(failure_rate_pct), 0), 2) AS avg_failure_rate_pct_30d,
+       round(sum(CAST(round(timeout_rate_pct * 100) AS BIGINT)) / 100.0 / nullif(count(timeout_rate_pct), 0), 2) AS avg_timeout_rate_pct_30d,
+       round(sum(CAST(round(errors_per_1k_sessions * 100) AS BIGINT)) / 100.0 / nullif(count(errors_per_1k_sessions), 0), 2) AS avg_errors_per_1k_sessions_30d,
+       round(sum(CAST(round(p95_duration_seconds * 100) AS BIGINT)) / 100.0 / nullif(count(p95_duration_seconds), 0), 2) AS avg_p95_duration_seconds_30d,
+       round(sum(CAST(round(p99_duration_seconds * 100) AS BIGINT)) / 100.0 / nullif(count(p99_duration_seconds), 0), 2) AS avg_p99_duration_seconds_30d
 FROM eng_daily WHERE metric_date >= {AS_OF_SQL} - INTERVAL 30 DAY
 """, "eng_daily")
 register("eng_kpis", "SELECT * FROM eng_kpis", ("eng_kpis",), inputs=("eng_daily",))(eng_kpis)
@@ -217,21 +217,21 @@ def pro_product_kpis(b) -> DataFrame:
     return r.agg(
         F.lit(b.as_of).cast("date").alias("as_of_date"),
         F.sum("total_sessions").alias("sessions_30d"),
-        rnd(F.avg("success_rate_pct")).alias("avg_success_rate_pct_30d"),
-        rnd(F.avg("avg_duration_seconds")).alias("avg_duration_seconds_30d"),
-        rnd(F.avg("avg_pages_visited")).alias("avg_pages_per_session_30d"),
-        rnd(F.avg("proxy_adoption_pct")).alias("avg_proxy_adoption_pct_30d"),
-        rnd(F.avg("stealth_adoption_pct")).alias("avg_stealth_adoption_pct_30d"),
+        F.round(exact_avg("success_rate_pct", 2), 2).alias("avg_success_rate_pct_30d"),
+        F.round(exact_avg("avg_duration_seconds", 2), 2).alias("avg_duration_seconds_30d"),
+        F.round(exact_avg("avg_pages_visited", 2), 2).alias("avg_pages_per_session_30d"),
+        F.round(exact_avg("proxy_adoption_pct", 2), 2).alias("avg_proxy_adoption_pct_30d"),
+        F.round(exact_avg("stealth_adoption_pct", 2), 2).alias("avg_stealth_adoption_pct_30d"),
         F.max("unique_domains_visited").alias("peak_unique_domains_visited_30d"))
 
 
 view("pro_product_kpis", f"""
 SELECT {AS_OF_SQL} AS as_of_date, CAST(sum(total_sessions) AS BIGINT) AS sessions_30d,
-       round(avg(success_rate_pct), 2) AS avg_success_rate_pct_30d,
-       round(avg(avg_duration_seconds), 2) AS avg_duration_seconds_30d,
-       round(avg(avg_pages_visited), 2) AS avg_pages_per_session_30d,
-       round(avg(proxy_adoption_pct), 2) AS avg_proxy_adoption_pct_30d,
-       round(avg(stealth_adoption_pct), 2) AS avg_stealth_adoption_pct_30d,
+       round(sum(CAST(round(success_rate_pct * 100) AS BIGINT)) / 100.0 / nullif(count(success_rate_pct), 0), 2) AS avg_success_rate_pct_30d,
+       round(sum(CAST(round(avg_duration_seconds * 100) AS BIGINT)) / 100.0 / nullif(count(avg_duration_seconds), 0), 2) AS avg_duration_seconds_30d,
+       round(sum(CAST(round(avg_pages_visited * 100) AS BIGINT)) / 100.0 / nullif(count(avg_pages_visited), 0), 2) AS avg_pages_per_session_30d,
+       round(sum(CAST(round(proxy_adoption_pct * 100) AS BIGINT)) / 100.0 / nullif(count(proxy_adoption_pct), 0), 2) AS avg_proxy_adoption_pct_30d,
+       round(sum(CAST(round(stealth_adoption_pct * 100) AS BIGINT)) / 100.0 / nullif(count(stealth_adoption_pct), 0), 2) AS avg_stealth_adoption_pct_30d,
        max(unique_domains_visited) AS peak_unique_domains_visited_30d
 FROM pro_product_daily WHERE metric_date >= {AS_OF_SQL} - INTERVAL 30 DAY
 """, "pro_product_daily")
@@ -301,22 +301,22 @@ def ops_kpis(b) -> DataFrame:
     return r.agg(
         F.lit(b.as_of).cast("date").alias("as_of_date"),
         F.sum("total_sessions").alias("sessions_30d"),
-        F.round(F.sum("total_gb_transferred"), 3).alias("total_gb_transferred_30d"),
-        F.round(F.sum("total_session_hours"), 2).alias("total_session_hours_30d"),
-        rnd(F.avg("avg_duration_seconds")).alias("avg_duration_seconds_30d"),
-        rnd(F.avg("proxy_session_pct")).alias("avg_proxy_session_pct_30d"),
-        rnd(F.avg("stealth_session_pct")).alias("avg_stealth_session_pct_30d"),
+        F.round(exact_sum("total_gb_transferred", 3), 3).alias("total_gb_transferred_30d"),
+        F.round(exact_sum("total_session_hours", 2), 2).alias("total_session_hours_30d"),
+        F.round(exact_avg("avg_duration_seconds", 2), 2).alias("avg_duration_seconds_30d"),
+        F.round(exact_avg("proxy_session_pct", 2), 2).alias("avg_proxy_session_pct_30d"),
+        F.round(exact_avg("stealth_session_pct", 2), 2).alias("avg_stealth_session_pct_30d"),
         F.sum("api_keys_created").alias("api_keys_created_30d"),
         F.sum("active_api_keys_created").alias("active_api_keys_created_30d"))
 
 
 view("ops_kpis", f"""
 SELECT {AS_OF_SQL} AS as_of_date, CAST(sum(total_sessions) AS BIGINT) AS sessions_30d,
-       round(sum(total_gb_transferred), 3) AS total_gb_transferred_30d,
-       round(sum(total_session_hours), 2) AS total_session_hours_30d,
-       round(avg(avg_duration_seconds), 2) AS avg_duration_seconds_30d,
-       round(avg(proxy_session_pct), 2) AS avg_proxy_session_pct_30d,
-       round(avg(stealth_session_pct), 2) AS avg_stealth_session_pct_30d,
+       round(sum(CAST(round(total_gb_transferred * 1000) AS BIGINT)) / 1000.0, 3) AS total_gb_transferred_30d,
+       round(sum(CAST(round(total_session_hours * 100) AS BIGINT)) / 100.0, 2) AS total_session_hours_30d,
+       round(sum(CAST(round(avg_duration_seconds * 100) AS BIGINT)) / 100.0 / nullif(count(avg_duration_seconds), 0), 2) AS avg_duration_seconds_30d,
+       round(sum(CAST(round(proxy_session_pct * 100) AS BIGINT)) / 100.0 / nullif(count(proxy_session_pct), 0), 2) AS avg_proxy_session_pct_30d,
+       round(sum(CAST(round(stealth_session_pct * 100) AS BIGINT)) / 100.0 / nullif(count(stealth_session_pct), 0), 2) AS avg_stealth_session_pct_30d,
        CAST(sum(api_keys_created) AS BIGINT) AS api_keys_created_30d,
        CAST(sum(active_api_keys_created) AS BIGINT) AS active_api_keys_created_30d
 FROM ops_daily WHERE metric_date >= {AS_OF_SQL} - INTERVAL 30 DAY
