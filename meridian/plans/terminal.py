@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_ratio
-from ..operators.shapes import entity_day_spine
+from ..operators.shapes import entity_day_spine, explode_months
 from .core import dim_organizations, dim_users, fct_sessions, fct_subscriptions
 from .finance import fin_firm_unit_economics, fin_monthly_revenue, fin_mrr
 from .finance_ops import fin_budget_vs_actual, fin_spend_monthly
@@ -199,6 +199,45 @@ def core_metric_registry(b) -> DataFrame:
 # Fixed configuration relation: a library function, not a registered query (it reads no input tables).
 
 
+def monthly_peak_mrr(b) -> DataFrame:
+    """Per (org, month): the highest daily MRR within the month (days from the
+    organisation's creation to ``as_of``).
+
+    Daily MRR is piecewise constant and only changes on a subscription start or
+    on the day after an end, so the monthly peak is evaluated at those change
+    points plus the first spine day of each month.  Candidates meet the
+    subscriptions of their own (org, month) bucket only, so the work scales
+    with subscriptions x months instead of subscriptions x days.
+    """
+    as_of = F.lit(b.as_of).cast("date")
+    s = fct_subscriptions(b).filter(F.col("status") == "active")
+    p = F.broadcast(b.plans.select("plan_id", "monthly_price_usd"))  # bounded catalogue
+    subs = (s.join(p, "plan_id", "left").filter(F.col("monthly_price_usd") > 0)
+            .select("organization_id", F.to_date("current_period_start").alias("_s"),
+                    F.least(F.to_date(F.coalesce("current_period_end", F.lit(f"{b.as_of} 00:00:00")
+                                                 .cast("timestamp_ntz"))), as_of).alias("_e"),
+                    F.col("monthly_price_usd").alias("_p"))
+            .filter(F.col("_s") <= F.col("_e")))
+    orgs = dim_organizations(b).select("organization_id", F.to_date("organization_created_at").alias("_c"))
+    om = (orgs.select("organization_id", "_c", F.explode(F.sequence(F.trunc("_c", "MM"), F.trunc(as_of, "MM"),
+                                                                    F.expr("INTERVAL 1 MONTH"))).alias("_m"))
+          .withColumn("_lo", F.greatest("_m", "_c")).withColumn("_hi", F.least(F.last_day("_m"), as_of))
+          .filter(F.col("_lo") <= F.col("_hi")).drop("_c"))
+    changes = (subs.select("organization_id", F.col("_s").alias("_d"))
+               .unionByName(subs.select("organization_id", F.date_add("_e", 1).alias("_d")))
+               .withColumn("_m", F.trunc("_d", "MM")))
+    ch = (changes.join(om, ["organization_id", "_m"]).filter(F.col("_d").between(F.col("_lo"), F.col("_hi")))
+          .select("organization_id", "_m", "_d"))
+    cand = om.select("organization_id", "_m", F.col("_lo").alias("_d")).unionByName(ch).distinct()
+    sm = explode_months(subs, "_s", "_e", None, "_m").select(F.col("organization_id").alias("_o"),
+                                                              F.col("_m").alias("_sm"), "_s", "_e", "_p")
+    vals = (cand.join(sm, (cand.organization_id == sm._o) & (cand._m == sm._sm)
+                      & (sm._s <= cand._d) & (sm._e >= cand._d), "left")
+            .groupBy("organization_id", "_m", "_d").agg(F.sum("_p").alias("_v")))
+    return vals.groupBy("organization_id", F.col("_m").alias("month_start")).agg(
+        F.max(F.coalesce("_v", F.lit(0.0))).alias("mrr_usd"))
+
+
 # ------------------------------------------------------ business snapshot
 def term_business_snapshot(b) -> DataFrame:
     as_of_month = F.trunc(F.lit(b.as_of).cast("date"), "MM")
@@ -219,12 +258,7 @@ def term_business_snapshot(b) -> DataFrame:
         F.sum(F.when(F.col("used_proxy"), 1).otherwise(0)).alias("sessions_with_proxy"),
         F.sum(F.when(F.col("is_stealth_mode"), 1).otherwise(0)).alias("sessions_with_stealth"),
         F.avg(F.nullif("pages_visited", F.lit(0))).alias("avg_pages_per_session"))
-    # MRR of the month = max daily MRR over spine days (days from org creation to as_of).
-    created = dim_organizations(b).select("organization_id", F.to_date("organization_created_at").alias("_c"))
-    mm = (subscription_daily_mrr(b).join(created, "organization_id")
-          .filter(F.col("metric_date") >= F.col("_c"))
-          .groupBy("organization_id", month_start("metric_date").alias("month_start"))
-          .agg(F.max("subscription_mrr_usd").alias("mrr_usd")))
+    mm = monthly_peak_mrr(b)
     rm = fin_monthly_revenue(b).select("organization_id", F.col("revenue_month").alias("month_start"),
                                        "realized_revenue_usd", "gross_revenue_usd")
     fm = fin_budget_vs_actual(b).select("organization_id", F.col("budget_month").alias("month_start"), "card_spend_usd",
