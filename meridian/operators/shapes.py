@@ -115,17 +115,41 @@ def trailing_distinct(activity: DataFrame, entity: str, day: str, window_days: i
     return exp.groupBy(day).agg(F.countDistinct(entity).alias(name))
 
 
+def bucketed_lead(df: DataFrame, keys: Sequence[str], order: str, tie: str, bucket, name: str) -> DataFrame:
+    """``lead(order) over (partition by keys order by order, tie)`` computed in two levels.
+
+    Level 1 runs the window inside (keys, bucket) partitions, so a hot key is
+    split across its time buckets; level 2 bridges bucket boundaries with a
+    window over one summary row per (key, bucket) -- at most one row per
+    bucket, i.e. bounded by the calendar, not by the data volume.
+    """
+    b = "__bucket"
+    d = df.withColumn(b, bucket)
+    w1 = Window.partitionBy(*keys, b).orderBy(F.col(order).asc_nulls_last(), F.col(tie).asc_nulls_last())
+    d = d.withColumn("__next_in", F.lead(order).over(w1))
+    firsts = d.groupBy(*keys, b).agg(F.min(order).alias("__first"))
+    w2 = Window.partitionBy(*keys).orderBy(F.col(b))
+    firsts = firsts.withColumn("__next_bucket_first", F.lead("__first").over(w2)).drop("__first")
+    d = d.join(firsts, [*keys, b], "left")
+    return d.withColumn(name, F.coalesce("__next_in", "__next_bucket_first")) \
+        .drop(b, "__next_in", "__next_bucket_first")
+
+
 def close_intervals(df: DataFrame, keys: Sequence[str], start: str, raw_end: str, order: Order,
                     gap: str = "INTERVAL 1 SECOND", name: str = "effective_end") -> DataFrame:
     """Effective end = least(raw end, next start - gap) within ``keys``.
 
     ``raw_end`` NULL means open-ended; the last interval keeps its raw end.
+    ``order`` is (start, tie-breaker); the next start is found with a
+    month-bucketed two-level ``lead`` so one key with a huge history is not
+    sorted inside a single task.
     """
-    w = Window.partitionBy(*keys).orderBy(*_window_order(order))
-    nxt = F.lead(F.col(start)).over(w) - F.expr(gap)
-    return df.withColumn(name, F.when(nxt.isNull(), F.col(raw_end))
-                         .when(F.col(raw_end).isNull(), nxt)
-                         .otherwise(F.least(F.col(raw_end), nxt)))
+    tie = order[-1][0]
+    d = bucketed_lead(df, keys, start, tie, F.trunc(F.to_date(F.col(start)), "MM"), "__next_start")
+    nxt = F.col("__next_start") - F.expr(gap)
+    return d.withColumn(name, F.when(nxt.isNull(), F.col(raw_end))
+                        .when(F.col(raw_end).isNull(), nxt)
+                        .otherwise(F.least(F.col(raw_end), nxt))).drop("__next_start")
 
 
 def interval_join(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str,

@@ -54,6 +54,40 @@ def str_trailing_active(b):
     return ex.groupBy("window_start").agg(F.countDistinct("user_id").alias("active_users"))
 
 
+def sessionize_batch(events, user: str, ts: str, tie: str, gap_seconds: int):
+    """Gap-based sessions without a per-user window over all of a user's events.
+
+    Level 1 works inside (user, day) buckets: an event opens a session when the
+    gap to the previous event of the bucket reaches the session gap; the first
+    event of a bucket is decided by the gap to the last event of the user's
+    previous active day (one summary row per active day).  A session's start
+    is the latest opening event at or before each event -- within the bucket
+    by a running max, across buckets by carrying the previous days' last
+    opening forward over the per-day summaries (bounded by the calendar).
+    """
+    gap_us = gap_seconds * 1_000_000
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    e = events.select(user, ts, tie).withColumn("_day", F.to_date(ts))
+    w1 = Window.partitionBy(user, "_day").orderBy(ts, tie)
+    e = e.withColumn("_prev", F.lag(ts).over(w1))
+    days = e.groupBy(user, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    wd = Window.partitionBy(user).orderBy("_day")
+    days = days.withColumn("_prev_day_last", F.lag("_last").over(wd))
+    e = e.join(days.select(user, "_day", "_prev_day_last"), [user, "_day"])
+    opens = F.when(F.col("_prev").isNotNull(), (us(ts) - us("_prev")) >= gap_us) \
+        .otherwise(F.col("_prev_day_last").isNull() | ((us(ts) - us("_prev_day_last")) >= gap_us))
+    e = e.withColumn("_open_ts", F.when(opens, F.col(ts)))
+    running = Window.partitionBy(user, "_day").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("_start_in_day", F.max("_open_ts").over(running))
+    last_open = e.groupBy(user, "_day").agg(F.max("_open_ts").alias("_day_last_open"))
+    carry = Window.partitionBy(user).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    last_open = last_open.withColumn("_carried", F.max("_day_last_open").over(carry))
+    e = e.join(last_open.select(user, "_day", "_carried"), [user, "_day"])
+    start = F.coalesce("_start_in_day", "_carried")
+    return e.groupBy(user, start.alias("session_start")).agg(F.max(ts).alias("last_event_at"),
+                                                            F.count(F.lit(1)).alias("event_count"))
+
+
 @register("str_sessionize", f"""SELECT user_id, min(ts) AS session_start, max(ts) AS last_event_at, count(*) AS event_count FROM (
   SELECT user_id, ts, sum(new_session) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no
   FROM (SELECT user_id, ts, event_id,
@@ -62,16 +96,9 @@ def str_trailing_active(b):
                          >= CAST({SESSION_GAP_SECONDS} AS BIGINT) * 1000000 THEN 1 ELSE 0 END AS new_session FROM events))
 GROUP BY user_id, session_no""")
 def str_sessionize(b):
-    """Gap-based sessions: a new session starts when the gap to the previous
-    event of the user reaches the session gap (lag + running sum)."""
-    e = b.t.events.select("user_id", "ts", "event_id")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    prev = F.lag("ts").over(w)
-    gap_us = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
-    e = e.withColumn("_new", F.when(prev.isNull() | (gap_us >= SESSION_GAP_SECONDS * 1_000_000), 1).otherwise(0))
-    e = e.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return e.groupBy("user_id", "_sid").agg(F.min("ts").alias("session_start"), F.max("ts").alias("last_event_at"),
-                                            F.count(F.lit(1)).alias("event_count")).drop("_sid")
+    """Gap-based sessions (batch twin of the session-window stream)."""
+    return sessionize_batch(b.t.events, "user_id", "ts", "event_id", SESSION_GAP_SECONDS) \
+        .select("user_id", "session_start", "last_event_at", "event_count")
 
 
 @register("str_dedupe", """SELECT event_id, ts, user_id, event_type FROM (
