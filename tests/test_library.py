@@ -84,3 +84,15 @@ def test_sinks_roundtrip(spark):
     csv = _tmp("export")
     sinks.export_csv(o.select("o_orderkey", "o_orderstatus").limit(7), csv)
     assert spark.read.option("header", True).csv(csv).count() == 7
+
+
+def test_layer_materialization_cuts_lineage(spark):
+    from meridian.plans import layers
+    from meridian.sources.bindings import Bindings
+
+    b = Bindings(spark, SF)
+    out = layers.materialize(b, {"fct_sessions": ("session_month",), "dim_organizations": ()}, base=_tmp("wh"))
+    s = out["fct_sessions"]
+    assert s.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "lineitem" not in plan
