@@ -745,7 +745,7 @@ PAGE, PAGE_SIZE = 3, 50
 
 
 @q("lim_page", f"""SELECT p.*, t.total_rows FROM (
-  SELECT organization_id, sum(realized_revenue_usd) AS revenue_usd FROM fin_monthly_revenue GROUP BY 1
+  SELECT organization_id, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) / 100.0 AS revenue_usd FROM fin_monthly_revenue GROUP BY 1
   ORDER BY revenue_usd DESC, organization_id LIMIT {PAGE_SIZE} OFFSET {(PAGE - 1) * PAGE_SIZE}) p
 CROSS JOIN (SELECT count(DISTINCT organization_id) AS total_rows FROM fin_monthly_revenue) t""", "fin_monthly_revenue")
 def lim_page(b):
