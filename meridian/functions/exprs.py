@@ -131,3 +131,11 @@ def exact_sum(c, digits: int) -> Column:
 def exact_avg(c, digits: int) -> Column:
     """Order-independent mean of values carrying ``digits`` decimals."""
     return exact_sum(c, digits) / F.nullif(F.count(col_(c)), F.lit(0))
+
+
+def ts_on_or_after(ts, as_of: str, days_back: int) -> Column:
+    """``to_date(ts) >= as_of - days_back`` written on the raw timestamp, so the
+    bound reaches the Parquet scan as a pushed filter (row-group skipping)."""
+    import datetime as _dt
+    d = _dt.date.fromisoformat(as_of) - _dt.timedelta(days=days_back)
+    return col_(ts) >= F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")

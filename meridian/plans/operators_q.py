@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (exact_avg, count_if, duration_bucket, exact_sum, initials, iso_yearweek, kv_extract, month_start,
+from ..functions.exprs import (exact_avg, ts_on_or_after, count_if, duration_bucket, exact_sum, initials, iso_yearweek, kv_extract, month_start,
                                safe_ratio, url_domain, week_start)
 from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_cont,
                                 rank_within, trailing_distinct, union_calendar)
@@ -52,7 +52,8 @@ def flt_not_in(b):
    f"WHERE CAST(started_at AS DATE) >= {AS_OF_SQL} - INTERVAL 30 DAY", "b_sessions")
 def flt_trailing_window(b):
     d = F.to_date("started_at")
-    return b.sessions.filter(d >= F.date_sub(_d(b), 30)).select("session_id", "organization_id", d.alias("session_date"))
+    return b.sessions.filter(ts_on_or_after("started_at", b.as_of, 30)) \
+        .select("session_id", "organization_id", d.alias("session_date"))
 
 
 @q("flt_trailing_months", f"SELECT organization_id, revenue_month, realized_revenue_usd FROM fin_monthly_revenue "
