@@ -103,3 +103,22 @@ def mask_sensitive(df: DataFrame) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def column_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """``cat_columns`` with data: per column its type, position, sensitivity
+    class, row count and NULL count (one aggregate per table, unpivoted)."""
+    out = None
+    for name, df in tables.items():
+        fields = df.schema.fields
+        agg = df.agg(F.count(F.lit(1)).alias("__rows"),
+                     *[(F.count(F.lit(1)) - F.count(F.col(f.name))).alias(f"__n{i}") for i, f in enumerate(fields)])
+        long = agg.select("__rows", F.explode(F.array(*[
+            F.struct(F.lit(f.name).alias("column_name"), F.lit(i + 1).alias("ordinal_position"),
+                     F.lit(f.dataType.simpleString()).alias("data_type"),
+                     F.lit(sensitivity(f.name)).alias("sensitivity"), F.col(f"__n{i}").alias("null_count"))
+            for i, f in enumerate(fields)])).alias("c"))
+        part = long.select(F.lit(name).alias("table_name"), "c.column_name", "c.ordinal_position", "c.data_type",
+                           "c.sensitivity", F.col("__rows").alias("row_count"), "c.null_count")
+        out = part if out is None else out.unionByName(part)
+    return out

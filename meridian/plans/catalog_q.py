@@ -84,3 +84,19 @@ def gov_mask_sensitive(b):
     o = dim_organizations(b).select("organization_id", "organization_name", "stripe_customer_id", "billing_email",
                                     "organization_status", "current_plan_name")
     return C.mask_sensitive(o)
+
+
+def _cat_columns_sql():
+    from ..sources.tables import SCHEMAS
+    parts = []
+    for t in TABLE_NAMES:
+        for i, f in enumerate(SCHEMAS[t].fields):
+            parts.append(f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, {i + 1} AS ordinal_position, "
+                         f"'{f.dataType.simpleString()}' AS data_type, '{C.sensitivity(f.name)}' AS sensitivity, "
+                         f"count(*) AS row_count, count(*) - count({f.name}) AS null_count FROM {t}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("cat_columns", _cat_columns_sql())
+def cat_columns(b):
+    return C.column_profile({t: b.t.scan(t) for t in TABLE_NAMES})
