@@ -468,11 +468,10 @@ def usage_billing_export(usage: DataFrame, orgs: DataFrame, subs: DataFrame, pla
                   F.col("sessions_limit_monthly").alias("current_plan_sessions_limit")))
 
     hist = _day_history(subs, plans)
-    cap = bp.agg(F.max("period_end").alias("_cap"))
+    cap = bp.agg(F.max("period_end")).scalar()  # scalar subquery: last billed day
     # Interval overlap as an equi-join on (org, first common month): exact, one candidate per overlapping pair.
     bpm = explode_months(bp, "period_start", "period_end", None, "_pm")
-    hm = explode_months(hist.crossJoin(F.broadcast(cap)), "effective_start_date", "effective_end_date",
-                        F.col("_cap"), "_hm").drop("_cap")
+    hm = explode_months(hist, "effective_start_date", "effective_end_date", cap, "_hm")
     hm = hm.select(F.col("organization_id").alias("_org"), "_hm", "subscription_id", "sessions_limit_monthly",
                    "effective_start_date", "effective_end_date")
     first_common = F.greatest(F.trunc("period_start", "MM"), F.trunc("effective_start_date", "MM"))

@@ -266,14 +266,13 @@ def fin_budget_vs_actual(b) -> DataFrame:
     """Dense org x month grid of budget, spends, adjustments and open AP.
 
     The grid is generated per organisation with ``explode(sequence(first, last
-    month))`` from the calendar's one-row month bounds (output-sized work);
+    month))`` from the calendar's month bounds (scalar subqueries; output-sized work);
     budgets are per-organisation constants joined onto the grid by key.
     """
     cal = dim_time(b)
-    bounds = cal.agg(F.min("month_start").alias("_m0"), F.max("month_start").alias("_m1"))
+    m0, m1 = cal.agg(F.min("month_start")).scalar(), cal.agg(F.max("month_start")).scalar()  # scalar subqueries
     orgs = dim_organizations(b).select("organization_id").distinct()
-    grid = (orgs.crossJoin(F.broadcast(bounds))  # one-row scalar attach
-            .select("organization_id", F.explode(F.sequence("_m0", "_m1", F.expr("INTERVAL 1 MONTH"))).alias("month")))
+    grid = orgs.select("organization_id", F.explode(F.sequence(m0, m1, F.expr("INTERVAL 1 MONTH"))).alias("month"))
     d = dim_fin_departments(b).filter(F.col("department_status") == "active")
     budget = d.groupBy("organization_id").agg(F.sum(F.coalesce("budget_cents", F.lit(0))).alias("_budget"))
     t = fct_fin_transactions(b)

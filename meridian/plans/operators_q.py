@@ -216,9 +216,8 @@ FROM (SELECT organization_id, count(*) AS sessions FROM b_sessions GROUP BY 1) s
 CROSS JOIN (SELECT count(*) AS total FROM b_sessions) t""", "b_sessions")
 def jn_cross_scalar(b):
     s = b.sessions.groupBy("organization_id").agg(F.count(F.lit(1)).alias("sessions"))
-    t = b.sessions.agg(F.count(F.lit(1)).alias("_total"))  # one row
-    return s.crossJoin(F.broadcast(t)).select("organization_id", "sessions",
-                                              F.round(F.col("sessions") / F.col("_total") * 100, 4).alias("share_pct"))
+    total = b.sessions.agg(F.count(F.lit(1))).scalar()  # the one-row relation, attached as a scalar subquery
+    return s.select("organization_id", "sessions", F.round(F.col("sessions") / total * 100, 4).alias("share_pct"))
 
 
 @q("jn_cross_grid", f"""
@@ -238,9 +237,8 @@ GROUP BY 1""", "b_organizations", "dim_time")
 def jn_theta_spine(b):
     """Cross join + range filter rewritten as a per-row explode (output-sized)."""
     from .core import dim_time
-    d0 = dim_time(b).agg(F.min("date_day").alias("_d0"))
-    o = b.organizations.crossJoin(F.broadcast(d0))  # one-row calendar bound
-    sp = entity_day_spine(o, "organization_id", F.greatest(F.to_date("created_at"), F.col("_d0")), _d(b))
+    d0 = dim_time(b).agg(F.min("date_day")).scalar()  # scalar subquery
+    sp = entity_day_spine(b.organizations, "organization_id", F.greatest(F.to_date("created_at"), d0), _d(b))
     return sp.groupBy("organization_id").agg(F.count(F.lit(1)).alias("days_since_signup"))
 
 
@@ -753,8 +751,8 @@ def lim_page(b):
     r = fin_monthly_revenue(b)
     agg = r.groupBy("organization_id").agg(exact_sum("realized_revenue_usd", 2).alias("revenue_usd"))
     page = agg.orderBy(F.col("revenue_usd").desc(), F.col("organization_id")).offset((PAGE - 1) * PAGE_SIZE).limit(PAGE_SIZE)
-    total = r.agg(F.countDistinct("organization_id").alias("total_rows"))  # one row
-    return page.crossJoin(F.broadcast(total))
+    total = r.agg(F.countDistinct("organization_id")).scalar()  # scalar subquery
+    return page.withColumn("total_rows", total)
 
 
 # Governed query caps (rows, payload bytes).

@@ -64,9 +64,8 @@ ORDER BY cohort_week, weeks_since_signup""", ("gtm_cohort_retention",))
 def rpt_cohort_matrix(b):
     """Retention matrix of the cohorts from the 180 days before the latest cohort."""
     c = gtm_cohort_retention(b)
-    latest = c.agg(F.date_sub(F.max("cohort_week"), 180).alias("_from"))  # one row
-    return (c.crossJoin(F.broadcast(latest)).filter(F.col("cohort_week") >= F.col("_from")).drop("_from")
-            .orderBy("cohort_week", "weeks_since_signup"))
+    start = c.agg(F.date_sub(F.max("cohort_week"), 180)).scalar()  # scalar subquery
+    return c.filter(F.col("cohort_week") >= start).orderBy("cohort_week", "weeks_since_signup")
 
 
 @register("rpt_signup_funnel", """
@@ -107,8 +106,8 @@ CROSS JOIN (SELECT count(*) AS actions, count(CASE WHEN status = 'success' THEN
 def rpt_workflow_qa(b):
     q = gtm_task_queue(b).agg(F.count(F.lit(1)).alias("queued_tasks"))
     acts = gtm_action_log(b).select("task_id", "status").unionByName(gtm_task_execution(b).select("task_id", "status"))
-    a = acts.agg(F.count(F.lit(1)).alias("actions"), count_if(F.col("status") == "success").alias("successful_actions"))
-    j = q.crossJoin(F.broadcast(a))  # two one-row aggregates
+    j = q.select("queued_tasks", acts.agg(F.count(F.lit(1))).scalar().alias("actions"),
+                 acts.agg(count_if(F.col("status") == "success")).scalar().alias("successful_actions"))
     return j.select("queued_tasks", "actions", "successful_actions",
                     safe_ratio("actions", "queued_tasks").alias("coverage_pct"),
                     safe_ratio("successful_actions", "actions").alias("success_pct"))
@@ -192,9 +191,10 @@ def rpt_wow_compare(b):
             F.count(F.lit(1)).alias("n"), count_if(F.col("is_successful")).alias("ok"),
             F.countDistinct("organization_id").alias("orgs"))
 
-    c = window(7, 0).select(*[F.col(x).alias(f"c_{x}") for x in ("n", "ok", "orgs")])
-    p = window(14, 7).select(*[F.col(x).alias(f"p_{x}") for x in ("n", "ok", "orgs")])
-    j = c.crossJoin(F.broadcast(p))  # one row each
+    c = window(7, 0)
+    prev = window(14, 7).select(F.struct("n", "ok", "orgs")).scalar()  # previous window as a struct scalar subquery
+    j = c.select(F.col("n").alias("c_n"), F.col("ok").alias("c_ok"), F.col("orgs").alias("c_orgs"),
+                 prev["n"].alias("p_n"), prev["ok"].alias("p_ok"), prev["orgs"].alias("p_orgs"))
     return j.select(F.col("c_n").alias("current_sessions"), F.col("p_n").alias("previous_sessions"),
                     pct_change("c_n", "p_n").alias("sessions_change_pct"), F.col("c_orgs").alias("current_orgs"),
                     F.col("p_orgs").alias("previous_orgs"), safe_ratio("c_ok", "c_n").alias("current_success_pct"),
@@ -455,9 +455,8 @@ def rpt_mix_share(b):
     o = b.organizations.filter(F.col("status") == "active").select("organization_id")
     j = a.join(p, "plan_id").join(o, "organization_id", "left_semi").filter(F.col("monthly_price_usd") > 0)
     g = j.groupBy("plan_name").agg(F.sum("monthly_price_usd").alias("mrr_usd"))
-    total = fin_mrr(b).select("total_mrr_usd")  # one row
-    return g.crossJoin(F.broadcast(total)).select("plan_name", "mrr_usd",
-                                                  safe_ratio("mrr_usd", "total_mrr_usd").alias("share_pct"))
+    total = fin_mrr(b).select("total_mrr_usd").scalar()  # scalar subquery
+    return g.select("plan_name", "mrr_usd", safe_ratio("mrr_usd", total).alias("share_pct"))
 
 
 @register("rpt_latest_change", """
@@ -542,9 +541,8 @@ FROM (SELECT spend_source, sum(CAST(round(spend_usd * 100) AS BIGINT)) AS c FROM
           ("fin_spend_monthly",))
 def rpt_source_share(b):
     s = fin_spend_monthly(b).groupBy("spend_source").agg(F.sum(F.round(F.col("spend_usd") * 100).cast("long")).alias("_c"))
-    total = s.agg(F.sum("_c").alias("_t"))  # one row over a handful of sources
-    return s.crossJoin(F.broadcast(total)).select("spend_source", (F.col("_c") / 100.0).alias("spend_usd"),
-                                                  safe_ratio("_c", "_t").alias("share_pct"))
+    total = s.agg(F.sum("_c")).scalar()  # scalar subquery
+    return s.select("spend_source", (F.col("_c") / 100.0).alias("spend_usd"), safe_ratio("_c", total).alias("share_pct"))
 
 
 @register("rpt_tie_out", """

@@ -103,11 +103,10 @@ def subscription_daily_mrr(b) -> DataFrame:
 def core_metric_spine(b) -> DataFrame:
     """Org x day from the organisation's creation to ``as_of`` with activity,
     MRR and new-entity counts; every branch pre-aggregated to the spine grain."""
-    cal = b.sessions.agg(F.min(F.to_date("started_at")).alias("_d0"))
+    d0 = b.sessions.agg(F.min(F.to_date("started_at"))).scalar()  # scalar subquery: first calendar day
     orgs = dim_organizations(b).select("organization_id", F.to_date("organization_created_at").alias("_created"))
-    start = F.greatest(F.col("_created"), F.col("_d0"))
-    spine = entity_day_spine(orgs.crossJoin(F.broadcast(cal)),  # one-row calendar bound
-                             "organization_id", start, F.lit(b.as_of).cast("date"), "metric_date")
+    start = F.greatest(F.col("_created"), d0)
+    spine = entity_day_spine(orgs, "organization_id", start, F.lit(b.as_of).cast("date"), "metric_date")
     keys = ["organization_id", "metric_date"]
     sd = (fct_sessions(b).groupBy("organization_id", F.col("session_date").alias("metric_date"))
           .agg(F.count(F.lit(1)).alias("_n"), count_if(F.col("is_successful")).alias("_ok"),
@@ -241,11 +240,10 @@ def monthly_peak_mrr(b) -> DataFrame:
 # ------------------------------------------------------ business snapshot
 def term_business_snapshot(b) -> DataFrame:
     as_of_month = F.trunc(F.lit(b.as_of).cast("date"), "MM")
-    bounds = b.sessions.agg(F.trunc(F.min(F.to_date("started_at")), "MM").alias("_m0"))
+    m0 = b.sessions.agg(F.trunc(F.min(F.to_date("started_at")), "MM")).scalar()  # scalar subquery
     o = dim_organizations(b).select("organization_id", "organization_name", "organization_status", "current_plan_name")
-    spine = (o.crossJoin(F.broadcast(bounds))  # one-row calendar bound
-             .select("organization_id", "organization_name", "organization_status", "current_plan_name",
-                     F.explode(F.sequence("_m0", as_of_month, F.expr("INTERVAL 1 MONTH"))).alias("month_start")))
+    spine = o.select("organization_id", "organization_name", "organization_status", "current_plan_name",
+                     F.explode(F.sequence(m0, as_of_month, F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
     keys = ["organization_id", "month_start"]
     s = fct_sessions(b)
     rn = s.groupBy("organization_id", month_start("session_date").alias("month_start")).agg(
