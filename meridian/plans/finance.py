@@ -621,3 +621,128 @@ FROM f
 register("fin_usage_billing_export", "SELECT * FROM fin_billing", ("fin_billing",),
          inputs=("stg_usage_records", "stg_organizations", "stg_subscriptions", "stg_plans",
                  "stg_sessions"))(fin_usage_billing_export)
+
+
+# ------------------------------------------- plan x month matrix, customer drill
+# Included session hours per customer by plan name (NULL = unlimited).
+INCLUDED_HOURS = [("free", 1.0), ("developer", 100.0), ("starter", 100.0), ("startup", 500.0), ("pro", 500.0),
+                  ("custom", None), ("enterprise", None)]
+
+
+def _included_hours(plan_col):
+    out = None
+    for name, hours in INCLUDED_HOURS:
+        cond = F.lower(plan_col) == name
+        val = F.lit(hours).cast("double")
+        out = F.when(cond, val) if out is None else out.when(cond, val)
+    return out.otherwise(F.lit(None).cast("double"))
+
+
+def _plan_catalog(plans: DataFrame) -> DataFrame:
+    return plans.select("plan_name", "monthly_price_usd", _included_hours(F.col("plan_name")).alias("included_hours"))
+
+
+_INCLUDED_SQL = ("CASE WHEN lower({c}) = 'free' THEN 1.0 WHEN lower({c}) IN ('developer', 'starter') THEN 100.0 "
+                 "WHEN lower({c}) IN ('startup', 'pro') THEN 500.0 ELSE NULL END")
+
+
+def fin_plan_month_matrix(b) -> DataFrame:
+    """Last 12 months x plan: customers, hours vs included capacity, expected
+    (list-price) vs realised margin.  The grid is months observed x the plan
+    catalogue (at most 12 x catalogue rows)."""
+    cur = F.trunc(F.lit(b.as_of).cast("date"), "MM")
+    cue = fin_customer_unit_economics(b).filter(F.col("metric_month").between(F.add_months(cur, -11), cur))
+    m = cue.groupBy("metric_month", F.coalesce("primary_plan_name", F.lit("unknown")).alias("plan_name")).agg(
+        F.countDistinct("organization_id").alias("customer_count"),
+        exact_sum("total_session_hours", 6).alias("_h"), exact_sum("expected_cost_usd", 6).alias("_c"),
+        exact_sum(F.coalesce("realized_revenue_usd", F.lit(0.0)), 2).alias("_r"))
+    grid = m.select("metric_month").distinct().crossJoin(F.broadcast(_plan_catalog(b.plans)))  # bounded catalogue
+    j = grid.join(m, ["metric_month", "plan_name"], "left")
+    n = F.coalesce("customer_count", F.lit(0))
+    h, c, r = (F.coalesce(x, F.lit(0.0)) for x in ("_h", "_c", "_r"))
+    inc = F.col("included_hours")
+    possible = n * F.coalesce(inc, F.lit(0.0))
+    exp_rev = n * F.coalesce("monthly_price_usd", F.lit(0.0))
+    unl = inc.isNull()
+    return j.select(
+        "metric_month", "plan_name", unl.alias("is_unlimited_plan"), n.alias("customer_count"),
+        F.round(h, 2).alias("total_session_hours"),
+        F.when(unl, F.lit(None).cast("double")).otherwise(F.round(possible, 2)).alias("possible_hours"),
+        F.when(unl, F.lit(None).cast("double")).otherwise(F.round(h / F.nullif(possible, F.lit(0.0)) * 100, 2))
+         .alias("utilization_pct"),
+        F.round(c, 2).alias("expected_cost_usd"), F.round(exp_rev, 2).alias("expected_revenue_usd"),
+        F.round(exp_rev - c, 2).alias("expected_margin_usd"),
+        F.round((exp_rev - c) / F.nullif(exp_rev, F.lit(0.0)) * 100, 2).alias("expected_margin_pct"),
+        F.round(r, 2).alias("realized_revenue_usd"), F.round(r - c, 2).alias("realized_margin_usd"),
+        F.round((r - c) / F.nullif(r, F.lit(0.0)) * 100, 2).alias("realized_margin_pct"))
+
+
+view("fin_plan_month_matrix", f"""
+WITH pc AS (SELECT plan_name, monthly_price_usd, {_INCLUDED_SQL.format(c='plan_name')} AS inc FROM b_plans),
+m AS (SELECT metric_month, coalesce(primary_plan_name, 'unknown') AS plan_name, count(DISTINCT organization_id) AS customer_count,
+             sum(CAST(round(total_session_hours * 1000000) AS BIGINT)) / 1000000.0 AS h,
+             sum(CAST(round(expected_cost_usd * 1000000) AS BIGINT)) / 1000000.0 AS c,
+             sum(CAST(round(coalesce(realized_revenue_usd, 0) * 100) AS BIGINT)) / 100.0 AS r
+      FROM fin_cue WHERE metric_month BETWEEN CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 11 MONTH AS DATE)
+                                          AND CAST(date_trunc('month', {AS_OF_SQL}) AS DATE)
+      GROUP BY 1, 2),
+g AS (SELECT mm.metric_month, pc.* FROM (SELECT DISTINCT metric_month FROM m) mm CROSS JOIN pc),
+j AS (SELECT g.metric_month, g.plan_name, g.monthly_price_usd, g.inc, coalesce(m.customer_count, 0) AS n,
+             coalesce(m.h, 0.0) AS h, coalesce(m.c, 0.0) AS c, coalesce(m.r, 0.0) AS r
+      FROM g LEFT JOIN m ON g.metric_month = m.metric_month AND g.plan_name = m.plan_name)
+SELECT metric_month, plan_name, inc IS NULL AS is_unlimited_plan, n AS customer_count, round(h, 2) AS total_session_hours,
+       CASE WHEN inc IS NULL THEN NULL ELSE round(n * coalesce(inc, 0), 2) END AS possible_hours,
+       CASE WHEN inc IS NULL THEN NULL ELSE round(h / nullif(n * coalesce(inc, 0), 0) * 100, 2) END AS utilization_pct,
+       round(c, 2) AS expected_cost_usd, round(n * coalesce(monthly_price_usd, 0), 2) AS expected_revenue_usd,
+       round(n * coalesce(monthly_price_usd, 0) - c, 2) AS expected_margin_usd,
+       round((n * coalesce(monthly_price_usd, 0) - c) / nullif(n * coalesce(monthly_price_usd, 0), 0) * 100, 2) AS expected_margin_pct,
+       round(r, 2) AS realized_revenue_usd, round(r - c, 2) AS realized_margin_usd,
+       round((r - c) / nullif(r, 0) * 100, 2) AS realized_margin_pct
+FROM j
+""", "b_plans", "fin_cue")
+register("fin_plan_month_matrix", "SELECT * FROM fin_plan_month_matrix", ("fin_plan_month_matrix",),
+         inputs=("fin_customer_unit_economics", "stg_plans"))(fin_plan_month_matrix)
+
+
+def fin_customer_drill(b) -> DataFrame:
+    """Customers of the last complete month (all plans): hours vs the plan's
+    included hours, expected (list price) vs realised margin."""
+    month = F.add_months(F.trunc(F.lit(b.as_of).cast("date"), "MM"), -1)
+    cue = fin_customer_unit_economics(b).filter(F.col("metric_month") == month)
+    s = cue.groupBy("metric_month", "organization_id").agg(
+        F.max("organization_name").alias("organization_name"),
+        F.coalesce(F.max("primary_plan_name"), F.lit("unknown")).alias("plan_name"),
+        exact_sum("total_session_hours", 6).alias("_h"), exact_sum("expected_cost_usd", 6).alias("_c"),
+        exact_sum(F.coalesce("realized_revenue_usd", F.lit(0.0)), 2).alias("_r"))
+    p = F.broadcast(_plan_catalog(b.plans).select(F.lower("plan_name").alias("_k"), "monthly_price_usd", "included_hours"))
+    j = s.join(p, F.lower(s.plan_name) == F.col("_k"), "left")  # case-insensitive plan lookup
+    h, c, r = (F.coalesce(x, F.lit(0.0)) for x in ("_h", "_c", "_r"))
+    inc, price = F.col("included_hours"), F.coalesce("monthly_price_usd", F.lit(0.0))
+    return j.select(
+        "metric_month", "organization_id", "organization_name", "plan_name", F.round(h, 2).alias("total_session_hours"),
+        F.when(inc.isNull(), F.lit(None).cast("double")).otherwise(F.round(inc, 2)).alias("possible_hours"),
+        F.when(inc.isNull(), F.lit(None).cast("double")).otherwise(F.round(h / F.nullif(inc, F.lit(0.0)) * 100, 2))
+         .alias("utilization_pct"),
+        F.round(price, 2).alias("expected_revenue_usd"), F.round(c, 2).alias("expected_cost_usd"),
+        F.round(price - c, 2).alias("expected_margin_usd"), F.round(r, 2).alias("realized_revenue_usd"),
+        F.round(r - c, 2).alias("realized_margin_usd"))
+
+
+view("fin_customer_drill", f"""
+WITH s AS (SELECT metric_month, organization_id, max(organization_name) AS organization_name,
+                  coalesce(max(primary_plan_name), 'unknown') AS plan_name,
+                  sum(CAST(round(total_session_hours * 1000000) AS BIGINT)) / 1000000.0 AS h,
+                  sum(CAST(round(expected_cost_usd * 1000000) AS BIGINT)) / 1000000.0 AS c,
+                  sum(CAST(round(coalesce(realized_revenue_usd, 0) * 100) AS BIGINT)) / 100.0 AS r
+           FROM fin_cue WHERE metric_month = CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 1 MONTH AS DATE) GROUP BY 1, 2),
+p AS (SELECT plan_name, monthly_price_usd, {_INCLUDED_SQL.format(c='plan_name')} AS inc FROM b_plans)
+SELECT s.metric_month, s.organization_id, s.organization_name, s.plan_name, round(coalesce(s.h, 0), 2) AS total_session_hours,
+       CASE WHEN p.inc IS NULL THEN NULL ELSE round(p.inc, 2) END AS possible_hours,
+       CASE WHEN p.inc IS NULL THEN NULL ELSE round(coalesce(s.h, 0) / nullif(p.inc, 0) * 100, 2) END AS utilization_pct,
+       round(coalesce(p.monthly_price_usd, 0), 2) AS expected_revenue_usd, round(coalesce(s.c, 0), 2) AS expected_cost_usd,
+       round(coalesce(p.monthly_price_usd, 0) - coalesce(s.c, 0), 2) AS expected_margin_usd,
+       round(coalesce(s.r, 0), 2) AS realized_revenue_usd, round(coalesce(s.r, 0) - coalesce(s.c, 0), 2) AS realized_margin_usd
+FROM s LEFT JOIN p ON lower(s.plan_name) = lower(p.plan_name)
+""", "fin_cue", "b_plans")
+register("fin_customer_drill", "SELECT * FROM fin_customer_drill", ("fin_customer_drill",),
+         inputs=("fin_customer_unit_economics", "stg_plans"))(fin_customer_drill)
