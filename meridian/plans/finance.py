@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, rnd, safe_div
+from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_div
 from ..operators.shapes import close_intervals, explode_months, latest_per_key
 from .core import dim_organizations, fct_sessions
 from .oracle_views import AS_OF_SQL, view

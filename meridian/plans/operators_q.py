@@ -7,16 +7,16 @@ limit is the operator itself (top-k, latest row, paging, row/byte caps).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (exact_avg, ts_on_or_after, count_if, duration_bucket, exact_sum, initials, iso_yearweek, kv_extract, month_start,
-                               safe_ratio, url_domain, week_start)
+from ..functions.exprs import (count_if, duration_bucket, exact_avg, exact_sum, initials, iso_yearweek, kv_extract,
+                               month_start, safe_ratio, ts_on_or_after, url_domain, week_start)
 from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_cont,
                                 rank_within, trailing_distinct, union_calendar)
-from .core import bridge_org_activity, dim_organizations, fct_sessions
+from .core import fct_sessions
 from .finance import fin_monthly_revenue, subscription_history
-from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL, view
+from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL
 from .registry import register
 
 

@@ -15,7 +15,7 @@ from .finance_ops import fin_budget_vs_actual, fin_spend_monthly, fin_vendor_spe
 from .growth import (gtm_action_log, gtm_active_organizations, gtm_campaign_channel, gtm_cohort_retention,
                      gtm_funnel_daily, gtm_task_execution, gtm_task_queue, gtm_trial_risk)
 from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL
-from .product import eng_daily, eng_kpis, ops_daily, pro_product_daily, pro_product_kpis, pro_sessions_daily
+from .product import eng_daily, eng_kpis, ops_daily, pro_product_daily, pro_sessions_daily
 from .registry import register
 from .terminal import core_daily_kpis, core_metric_spine, term_business_snapshot
 
