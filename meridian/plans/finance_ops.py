@@ -271,7 +271,7 @@ def fin_budget_vs_actual(b) -> DataFrame:
     """
     cal = dim_time(b)
     m0, m1 = cal.agg(F.min("month_start")).scalar(), cal.agg(F.max("month_start")).scalar()  # scalar subqueries
-    orgs = dim_organizations(b).select("organization_id").distinct()
+    orgs = b.organizations.select("organization_id")  # one row per organisation, as in the dimension
     grid = orgs.select("organization_id", F.explode(F.sequence(m0, m1, F.expr("INTERVAL 1 MONTH"))).alias("month"))
     d = dim_fin_departments(b).filter(F.col("department_status") == "active")
     budget = d.groupBy("organization_id").agg(F.sum(F.coalesce("budget_cents", F.lit(0))).alias("_budget"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, exact_sum, month_start
 from .core import dim_organizations
-from .finance import fin_monthly_revenue
+from .finance import revenue_amounts
 from .growth import gtm_campaign_channel
 from .registry import register
 
@@ -95,7 +95,7 @@ def lifecycle_accounts(accounts, employees, leads, opps, activities, orgs, sessi
 
 def gtm_lifecycle_accounts(b) -> DataFrame:
     return lifecycle_accounts(b.accounts, b.employees, b.leads, b.opportunities, b.activities, dim_organizations(b),
-                              b.sessions, fin_monthly_revenue(b))
+                              b.sessions, revenue_amounts(b))
 
 
 _LIFECYCLE_SQL = """
@@ -201,7 +201,7 @@ def gtm_unit_economics(b) -> DataFrame:
         exact_sum("won_revenue_usd", 2).alias("pipeline_won_revenue_usd"),
         *[F.sum(c).alias(c) for c in ("leads_created", "leads_qualified", "leads_converted", "opportunities_total",
                                       "opportunities_won")])
-    rv = fin_monthly_revenue(b)
+    rv = revenue_amounts(b)
     rm = rv.groupBy(F.col("revenue_month").alias("metric_month")).agg(
         exact_sum("realized_revenue_usd", 2).alias("realized_revenue_usd"),
         F.countDistinct(F.when(F.col("realized_revenue_usd") > 0, F.col("organization_id"))).alias("paying_customers_in_month"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_ratio
 from ..operators.shapes import entity_day_spine, explode_months
 from .core import dim_organizations, dim_users, fct_sessions, fct_subscriptions
-from .finance import fin_firm_unit_economics, fin_monthly_revenue, fin_mrr
+from .finance import fin_firm_unit_economics, fin_monthly_revenue, fin_mrr, revenue_amounts
 from .finance_ops import fin_budget_vs_actual, fin_spend_monthly
 from .growth import gtm_funnel_daily, gtm_growth_daily, gtm_pipeline_snapshot, gtm_task_queue, gtm_trial_risk
 from .oracle_views import AS_OF_SQL, view
@@ -257,7 +257,7 @@ def term_business_snapshot(b) -> DataFrame:
         F.sum(F.when(F.col("is_stealth_mode"), 1).otherwise(0)).alias("sessions_with_stealth"),
         F.avg(F.nullif("pages_visited", F.lit(0))).alias("avg_pages_per_session"))
     mm = monthly_peak_mrr(b)
-    rm = fin_monthly_revenue(b).select("organization_id", F.col("revenue_month").alias("month_start"),
+    rm = revenue_amounts(b).select("organization_id", F.col("revenue_month").alias("month_start"),
                                        "realized_revenue_usd", "gross_revenue_usd")
     fm = fin_budget_vs_actual(b).select("organization_id", F.col("budget_month").alias("month_start"), "card_spend_usd",
                                         "reimbursement_spend_usd", "bill_payment_spend_usd",
