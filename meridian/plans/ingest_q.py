@@ -37,7 +37,7 @@ def src_align_columns(b):
     return ingest.align_columns(b.t.orders, ORDERS_DEST)
 
 
-@register("src_json_encode_nested", """SELECT api_key_id, scopes, to_json({'organization_id': organization_id, 'status': status})
+@register("src_json_encode_nested", """SELECT api_key_id, scopes, CAST(to_json({'organization_id': organization_id, 'status': status}) AS VARCHAR)
        AS settings FROM b_api_keys""", ("b_api_keys",))
 def src_json_encode_nested(b):
     a = b.api_keys.select("api_key_id", "scopes", F.struct("organization_id", "status").alias("settings"))

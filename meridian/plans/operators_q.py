@@ -195,9 +195,9 @@ def jn_role_playing(b):
 @q("jn_full_outer", """
 SELECT coalesce(t.organization_id, r.organization_id) AS organization_id, coalesce(t.m, r.m) AS month,
        coalesce(t.card_cents, 0) AS card_cents, coalesce(r.reimb_cents, 0) AS reimb_cents
-FROM (SELECT organization_id, CAST(date_trunc('month', transaction_at) AS DATE) AS m, sum(amount_cents) AS card_cents
+FROM (SELECT organization_id, CAST(date_trunc('month', transaction_at) AS DATE) AS m, CAST(sum(amount_cents) AS BIGINT) AS card_cents
       FROM b_fin_transactions GROUP BY 1, 2) t
-FULL OUTER JOIN (SELECT organization_id, CAST(date_trunc('month', submitted_at) AS DATE) AS m, sum(amount_cents) AS reimb_cents
+FULL OUTER JOIN (SELECT organization_id, CAST(date_trunc('month', submitted_at) AS DATE) AS m, CAST(sum(amount_cents) AS BIGINT) AS reimb_cents
       FROM b_fin_reimbursements GROUP BY 1, 2) r ON t.organization_id = r.organization_id AND t.m = r.m""",
    "b_fin_transactions", "b_fin_reimbursements")
 def jn_full_outer(b):
@@ -404,7 +404,7 @@ def agg_group(b):
         F.round(F.avg("duration_seconds"), 4).alias("avg_duration"))
 
 
-@q("agg_global", """SELECT count(*) AS invoices, sum(total_cents) AS total_cents, min(period_start) AS first_period,
+@q("agg_global", """SELECT count(*) AS invoices, CAST(sum(total_cents) AS BIGINT) AS total_cents, min(period_start) AS first_period,
        max(period_start) AS last_period, count(DISTINCT organization_id) AS customers FROM b_invoices""", "b_invoices")
 def agg_global(b):
     return b.invoices.agg(F.count(F.lit(1)).alias("invoices"), F.sum("total_cents").alias("total_cents"),
@@ -422,8 +422,8 @@ def agg_count_if(b):
           (("navigation", "navigations"), ("click", "clicks"), ("error", "errors"))])
 
 
-@q("agg_sum_if", """SELECT organization_id, sum(CASE WHEN invoice_status = 'paid' THEN total_cents ELSE 0 END) AS paid_cents,
-       sum(CASE WHEN invoice_status = 'open' THEN total_cents ELSE 0 END) AS open_cents FROM b_invoices GROUP BY 1""",
+@q("agg_sum_if", """SELECT organization_id, CAST(sum(CASE WHEN invoice_status = 'paid' THEN total_cents ELSE 0 END) AS BIGINT) AS paid_cents,
+       CAST(sum(CASE WHEN invoice_status = 'open' THEN total_cents ELSE 0 END) AS BIGINT) AS open_cents FROM b_invoices GROUP BY 1""",
    "b_invoices")
 def agg_sum_if(b):
     i = b.invoices
@@ -482,7 +482,7 @@ def agg_min_max_if(b):
 
 
 @q("agg_any_value_max", """SELECT organization_id, max(organization_name) AS organization_name,
-       sum(invoice_count) AS invoices FROM fin_monthly_revenue GROUP BY 1""", "fin_monthly_revenue")
+       CAST(sum(invoice_count) AS BIGINT) AS invoices FROM fin_monthly_revenue GROUP BY 1""", "fin_monthly_revenue")
 def agg_any_value_max(b):
     return fin_monthly_revenue(b).groupBy("organization_id").agg(
         F.max("organization_name").alias("organization_name"), F.sum("invoice_count").alias("invoices"))
@@ -533,7 +533,8 @@ def agg_reaggregate(b):
 
 
 @q("agg_net_of_reversal", """
-SELECT p.m AS month, p.gross_cents, coalesce(r.rev_cents, 0) AS reversed_cents, p.gross_cents - coalesce(r.rev_cents, 0) AS net_cents
+SELECT p.m AS month, CAST(p.gross_cents AS BIGINT) AS gross_cents, CAST(coalesce(r.rev_cents, 0) AS BIGINT) AS reversed_cents,
+       CAST(p.gross_cents - coalesce(r.rev_cents, 0) AS BIGINT) AS net_cents
 FROM (SELECT CAST(date_trunc('month', coalesce(paid_at, created_at)) AS DATE) AS m,
              sum(CASE WHEN payment_status = 'paid' THEN amount_cents ELSE 0 END) AS gross_cents FROM b_fin_bill_payments GROUP BY 1) p
 LEFT JOIN (SELECT CAST(date_trunc('month', reversed_at) AS DATE) AS m,
@@ -548,7 +549,7 @@ def agg_net_of_reversal(b):
                                              (F.col("gross_cents") - F.coalesce("rc", F.lit(0))).alias("net_cents"))
 
 
-@q("agg_groupby_expr_ordinal", """SELECT year(started_at) AS session_year, upper(browser_type) AS browser, count(*) AS sessions
+@q("agg_groupby_expr_ordinal", """SELECT CAST(year(started_at) AS INTEGER) AS session_year, upper(browser_type) AS browser, count(*) AS sessions
 FROM b_sessions GROUP BY 1, 2""", "b_sessions")
 def agg_groupby_expr_ordinal(b):
     return b.sessions.groupBy(F.year("started_at").alias("session_year"), F.upper("browser_type").alias("browser")) \
@@ -766,8 +767,8 @@ def lim_row_cap(b):
 
 
 @q("lim_byte_cap", f"""SELECT * FROM (
-  SELECT o_orderkey, o_orderpriority, sum(length(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority))
-           OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes
+  SELECT o_orderkey, o_orderpriority, CAST(sum(length(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority))
+           OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_bytes
   FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {ROW_CAP})) WHERE cum_bytes <= {BYTE_CAP}""")
 def lim_byte_cap(b):
     """Rows kept while the cumulative payload stays under the cap; the running
@@ -780,9 +781,9 @@ def lim_byte_cap(b):
 
 
 # ================================================================ set ops
-@q("set_union_all", """SELECT 'card' AS source, count(*) AS records, sum(amount_cents) AS cents FROM b_fin_transactions
-UNION ALL SELECT 'reimbursement', count(*), sum(amount_cents) FROM b_fin_reimbursements
-UNION ALL SELECT 'bill_payment', count(*), sum(amount_cents) FROM b_fin_bill_payments""",
+@q("set_union_all", """SELECT 'card' AS source, count(*) AS records, CAST(sum(amount_cents) AS BIGINT) AS cents FROM b_fin_transactions
+UNION ALL SELECT 'reimbursement', count(*), CAST(sum(amount_cents) AS BIGINT) FROM b_fin_reimbursements
+UNION ALL SELECT 'bill_payment', count(*), CAST(sum(amount_cents) AS BIGINT) FROM b_fin_bill_payments""",
    "b_fin_transactions", "b_fin_reimbursements", "b_fin_bill_payments")
 def set_union_all(b):
     parts = [(b.fin_transactions, "card"), (b.fin_reimbursements, "reimbursement"), (b.fin_bill_payments, "bill_payment")]
@@ -891,8 +892,8 @@ def fn_composite_key(b):
                                                    F.col("plan_id")).alias("composite_key"))
 
 
-@q("fn_date_parts", """SELECT session_id, year(started_at) AS y, month(started_at) AS mo, day(started_at) AS dd,
-       dayofweek(started_at) AS dow, CAST(yearweek(started_at) AS INTEGER) AS iso_yearweek,
+@q("fn_date_parts", """SELECT session_id, CAST(year(started_at) AS INTEGER) AS y, CAST(month(started_at) AS INTEGER) AS mo,
+       CAST(day(started_at) AS INTEGER) AS dd, CAST(dayofweek(started_at) AS INTEGER) AS dow, CAST(yearweek(started_at) AS INTEGER) AS iso_yearweek,
        CAST(date_trunc('quarter', started_at) AS DATE) AS quarter_start, CAST(date_trunc('week', started_at) AS DATE) AS week_start,
        strftime(started_at, '%Y%m') AS yyyymm, CAST(epoch(started_at) AS BIGINT) AS epoch_seconds
 FROM b_sessions""", "b_sessions")
@@ -907,7 +908,7 @@ def fn_date_parts(b):
 
 
 @q("fn_interval_days", f"""SELECT subscription_id,
-       date_diff('day', CAST(current_period_start AS DATE), least(CAST(current_period_end AS DATE), {AS_OF_SQL})) AS days_active,
+       CAST(date_diff('day', CAST(current_period_start AS DATE), least(CAST(current_period_end AS DATE), {AS_OF_SQL})) AS INTEGER) AS days_active,
        CAST(least(CAST(current_period_end AS DATE), {AS_OF_SQL}) - INTERVAL 30 DAY AS DATE) AS renewal_window_start,
        round(date_diff('second', current_period_start, least(current_period_end, {AS_OF_TS_SQL})) / 86400.0, 4) AS fractional_days
 FROM b_subscriptions""", "b_subscriptions")

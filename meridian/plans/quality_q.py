@@ -193,7 +193,7 @@ def dq_recompute_net_spend(b):
 
 
 @register("dq_reversal_cap", """SELECT 'reversal_cap' AS check_name, p.bill_payment_id, p.amount_cents, r.reversed_cents
-FROM fct_fin_bill_payments p JOIN (SELECT bill_payment_id, sum(reversal_amount_cents) AS reversed_cents
+FROM fct_fin_bill_payments p JOIN (SELECT bill_payment_id, CAST(sum(reversal_amount_cents) AS BIGINT) AS reversed_cents
   FROM fct_fin_payment_reversals WHERE reversal_status = 'completed' GROUP BY 1) r ON p.bill_payment_id = r.bill_payment_id
 WHERE r.reversed_cents > p.amount_cents""", ("fct_fin_bill_payments", "fct_fin_payment_reversals"))
 def dq_reversal_cap(b):
@@ -238,10 +238,10 @@ def dq_threshold_enforced(b):
 SELECT table_name, layer, max_ts, row_count, round(date_diff('second', max_ts, {AS_OF_TS_SQL}) / 3600.0, 2) AS age_hours,
        threshold_hours,
        row_count = 0 OR max_ts IS NULL OR round(date_diff('second', max_ts, {AS_OF_TS_SQL}) / 3600.0, 2) > threshold_hours AS is_stale
-FROM (SELECT 'orders' AS table_name, 'bronze' AS layer, max(o_orderdate) AS max_ts, count(*) AS row_count, 24.0 AS threshold_hours FROM orders
-      UNION ALL SELECT 'lineitem', 'bronze', max(l_shipdate), count(*), 24.0 FROM lineitem
-      UNION ALL SELECT 'fct_sessions', 'silver', max(created_at), count(*), 24.0 FROM fct_sessions
-      UNION ALL SELECT 'fin_monthly_revenue', 'gold', CAST(max(revenue_month) AS TIMESTAMP), count(*), 48.0 FROM fin_monthly_revenue)""",
+FROM (SELECT 'orders' AS table_name, 'bronze' AS layer, max(o_orderdate) AS max_ts, count(*) AS row_count, CAST(24.0 AS DOUBLE) AS threshold_hours FROM orders
+      UNION ALL SELECT 'lineitem', 'bronze', max(l_shipdate), count(*), CAST(24.0 AS DOUBLE) FROM lineitem
+      UNION ALL SELECT 'fct_sessions', 'silver', max(created_at), count(*), CAST(24.0 AS DOUBLE) FROM fct_sessions
+      UNION ALL SELECT 'fin_monthly_revenue', 'gold', CAST(max(revenue_month) AS TIMESTAMP), count(*), CAST(48.0 AS DOUBLE) FROM fin_monthly_revenue)""",
           ("fct_sessions", "fin_monthly_revenue"))
 def dq_freshness(b):
     from .finance import fin_monthly_revenue
