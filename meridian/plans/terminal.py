@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_ratio
 from ..operators.shapes import entity_day_spine, explode_months
-from .core import dim_organizations, dim_users, fct_sessions, fct_subscriptions
+from .core import dim_organizations, dim_users, fct_sessions
 from .finance import fin_firm_unit_economics, fin_monthly_revenue, fin_mrr, revenue_amounts
 from .finance_ops import fin_budget_vs_actual, fin_spend_monthly
 from .growth import gtm_funnel_daily, gtm_growth_daily, gtm_pipeline_snapshot, gtm_task_queue, gtm_trial_risk
@@ -44,7 +44,7 @@ def core_daily_kpis(b) -> DataFrame:
         count_if(F.col("is_successful")).alias("successful_sessions"),
         F.sum("duration_seconds").alias("_dur"), F.sum("total_bytes_transferred").alias("_bytes"),
         F.sum("pages_visited").alias("_pages"))
-    no = (dim_organizations(b).groupBy(F.to_date("organization_created_at").alias("session_date"))
+    no = (b.organizations.groupBy(F.to_date("created_at").alias("session_date"))
           .agg(F.count(F.lit(1)).alias("new_organizations")))
     nu = dim_users(b).groupBy(F.to_date("user_created_at").alias("session_date")).agg(F.count(F.lit(1)).alias("new_users"))
     j = ds.join(no, "session_date", "left").join(nu, "session_date", "left")
@@ -90,7 +90,7 @@ def subscription_daily_mrr(b) -> DataFrame:
     ``as_of`` (open-ended subscriptions would otherwise run to 2999).
     """
     as_of = F.lit(b.as_of).cast("date")
-    s = fct_subscriptions(b).filter(F.col("status") == "active")
+    s = b.subscriptions.filter(F.col("status") == "active")
     p = F.broadcast(b.plans.select("plan_id", "monthly_price_usd"))  # bounded catalogue
     s = s.join(p, "plan_id", "left").filter(F.col("monthly_price_usd") > 0)
     end = F.least(F.to_date(F.coalesce("current_period_end", F.lit(f"{b.as_of} 00:00:00").cast("timestamp_ntz"))), as_of)
@@ -104,7 +104,7 @@ def core_metric_spine(b) -> DataFrame:
     """Org x day from the organisation's creation to ``as_of`` with activity,
     MRR and new-entity counts; every branch pre-aggregated to the spine grain."""
     d0 = b.sessions.agg(F.min(F.to_date("started_at"))).scalar()  # scalar subquery: first calendar day
-    orgs = dim_organizations(b).select("organization_id", F.to_date("organization_created_at").alias("_created"))
+    orgs = b.organizations.select("organization_id", F.to_date("created_at").alias("_created"))  # same rows as the dimension
     start = F.greatest(F.col("_created"), d0)
     spine = entity_day_spine(orgs, "organization_id", start, F.lit(b.as_of).cast("date"), "metric_date")
     keys = ["organization_id", "metric_date"]
@@ -209,7 +209,7 @@ def monthly_peak_mrr(b) -> DataFrame:
     with subscriptions x months instead of subscriptions x days.
     """
     as_of = F.lit(b.as_of).cast("date")
-    s = fct_subscriptions(b).filter(F.col("status") == "active")
+    s = b.subscriptions.filter(F.col("status") == "active")
     p = F.broadcast(b.plans.select("plan_id", "monthly_price_usd"))  # bounded catalogue
     subs = (s.join(p, "plan_id", "left").filter(F.col("monthly_price_usd") > 0)
             .select("organization_id", F.to_date("current_period_start").alias("_s"),
@@ -217,7 +217,7 @@ def monthly_peak_mrr(b) -> DataFrame:
                                                  .cast("timestamp_ntz"))), as_of).alias("_e"),
                     F.col("monthly_price_usd").alias("_p"))
             .filter(F.col("_s") <= F.col("_e")))
-    orgs = dim_organizations(b).select("organization_id", F.to_date("organization_created_at").alias("_c"))
+    orgs = b.organizations.select("organization_id", F.to_date("created_at").alias("_c"))  # same rows as the dimension
     om = (orgs.select("organization_id", "_c", F.explode(F.sequence(F.trunc("_c", "MM"), F.trunc(as_of, "MM"),
                                                                     F.expr("INTERVAL 1 MONTH"))).alias("_m"))
           .withColumn("_lo", F.greatest("_m", "_c")).withColumn("_hi", F.least(F.last_day("_m"), as_of))
