@@ -192,7 +192,7 @@ SELECT -1 - c_custkey AS subscription_id, c_custkey AS organization_id,
        {AS_OF_TS_SQL} + to_days(CAST(c_custkey % 15 - 1 AS INTEGER)) AS current_period_end,
        CAST(NULL AS TIMESTAMP) AS canceled_at,
        {AS_OF_TS_SQL} - INTERVAL 14 DAY AS created_at
-FROM customer WHERE c_custkey % 10 = 3
+FROM customer WHERE c_mktsegment = 'MACHINERY'
 """)
 
 view("b_invoices", """
@@ -329,7 +329,7 @@ SELECT s_suppkey AS vendor_id, s_name AS vendor_name,
        CASE s_suppkey % 4 WHEN 0 THEN 'software' WHEN 1 THEN 'travel' WHEN 2 THEN 'office' WHEN 3 THEN 'services' END AS vendor_category,
        CASE WHEN s_suppkey % 2 = 0 THEN 'net30' ELSE 'net15' END AS payment_terms,
        CASE WHEN s_acctbal < 0 THEN 'high' ELSE 'low' END AS risk_level, upper(trim(' us ')) AS country_code
-FROM supplier WHERE s_suppkey % 13 <> 0
+FROM supplier
 """)
 
 view("b_fin_cards", """
