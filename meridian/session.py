@@ -56,25 +56,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) a private scratch folder is
-    created and registered.
+    On a cluster it must be set and is used as is; only in local mode (tests)
+    a private folder is created when it is unset.  The same folder backs
+    ``DataFrame.checkpoint()`` (set once), stream checkpoints and written
+    intermediate tables, under stable paths so restarted jobs find their state.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="meridian-ckpt-")  # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext.getCheckpointDir() or configured
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{configured.rstrip('/')}/rdd")
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table, under the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    """A stable path for an intermediate table or stream checkpoint, under the shared folder."""
+    return f"{checkpoint_dir(spark)}/meridian/{name}"
