@@ -76,3 +76,15 @@ def test_upsert_batches_latest_wins(spark):
     want = streaming_q.str_upsert_batches(b)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_stream_restart_resumes_from_default_checkpoint(spark):
+    import uuid
+
+    name = f"t_restart_{uuid.uuid4().hex[:8]}"
+    out = _ck("restart_out")
+    s = jobs.incremental_ingest(jobs.event_stream(spark, EVENTS), None, streaming_q.EVENTS_SYNCED_AT)
+    _drain(jobs.start(s, name, mode="append", sink="parquet", path=out))
+    first = spark.read.parquet(out).count()
+    _drain(jobs.start(s, name, mode="append", sink="parquet", path=out))  # same name -> same checkpoint
+    assert spark.read.parquet(out).count() == first == spark.read.parquet(f"{SF}/events.parquet").count()
