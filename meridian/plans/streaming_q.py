@@ -57,17 +57,19 @@ def str_trailing_active(b):
 def sessionize_batch(events, user: str, ts: str, tie: str, gap_seconds: int):
     """Gap-based sessions without a per-user window over all of a user's events.
 
-    Level 1 works inside (user, day) buckets: an event opens a session when the
+    Level 1 works inside (user, hour) buckets: an event opens a session when the
     gap to the previous event of the bucket reaches the session gap; the first
     event of a bucket is decided by the gap to the last event of the user's
-    previous active day (one summary row per active day).  A session's start
+    previous active bucket (one summary row per active hour).  A session's start
     is the latest opening event at or before each event -- within the bucket
-    by a running max, across buckets by carrying the previous days' last
-    opening forward over the per-day summaries (bounded by the calendar).
+    by a running max, across buckets by carrying the previous buckets' last
+    opening forward over the per-bucket summaries (bounded by the calendar).
     """
     gap_us = gap_seconds * 1_000_000
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    e = events.select(user, ts, tie).withColumn("_day", F.to_date(ts))
+    # Buckets are hours: one hot user is split into hourly pieces and the
+    # cross-bucket windows see at most one summary row per active hour.
+    e = events.select(user, ts, tie).withColumn("_day", F.date_trunc("hour", F.col(ts).cast("timestamp")))
     w1 = Window.partitionBy(user, "_day").orderBy(ts, tie)
     e = e.withColumn("_prev", F.lag(ts).over(w1))
     days = e.groupBy(user, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
