@@ -37,11 +37,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.localShuffleReader.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-        # Input splits and post-shuffle partitions of ~128 MB: AQE coalesces small
-        # partitions and splits skewed ones around this target at any scale.
+        # 128 MB input splits; post-shuffle partition sizes are left to AQE's
+        # advisory default (coalescing small partitions, splitting skewed ones).
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(128 * 1024 * 1024))
-        .config("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "4")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
