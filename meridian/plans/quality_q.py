@@ -227,10 +227,10 @@ CROSS JOIN (SELECT threshold_value FROM gtm_signal_thresholds WHERE threshold_na
 WHERE q.signal_score < t.threshold_value""", ("gtm_task_queue", "gtm_signal_thresholds"))
 def dq_threshold_enforced(b):
     from .growth import signal_thresholds
-    t = F.broadcast(signal_thresholds(b.spark).filter((F.col("threshold_name") == "high_risk") & F.col("is_active"))
-                    .select("threshold_value"))  # bounded configuration
+    t = (signal_thresholds(b.spark).filter((F.col("threshold_name") == "high_risk") & F.col("is_active"))
+         .select("threshold_value").scalar())  # the one active threshold of the configuration
     q = gtm_task_queue(b)
-    return q.join(t, F.col("signal_score") < F.col("threshold_value")) \
+    return q.filter(F.col("signal_score") < t) \
         .select(F.lit("threshold_enforced").alias("check_name"), "task_id", "signal_score")
 
 
