@@ -210,3 +210,22 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         lo_v, hi_v, fr = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_fr")
         sel.append(F.round(lo_v + fr * (hi_v - lo_v), 2).alias(name))
     return out.select(*sel)
+
+
+def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str, cap,
+                  keep: Sequence[str]) -> DataFrame:
+    """Match each fact to the interval of the same ``key`` containing ``ts``.
+
+    ``intervals`` must be disjoint per key (e.g. closed by ``close_intervals``),
+    so at most one interval matches.  Intervals are exploded to the calendar
+    months they touch (capped at ``cap``) and joined on (key, month) with the
+    range as a residual: a key with a huge history is split by month, and a fact
+    only meets the intervals of its own month.  ``keep`` are interval columns
+    carried to the output (NULL when nothing matches).
+    """
+    iv = explode_months(intervals, start, end, cap, "__m").select(
+        F.col(key).alias("__k"), "__m", F.col(start).alias("__s"), F.col(end).alias("__e"), *keep)
+    f = facts.withColumn("__fm", F.trunc(F.to_date(F.col(ts)), "MM"))
+    j = f.join(iv, (f[key] == iv["__k"]) & (f["__fm"] == iv["__m"]) & (f[ts] >= iv["__s"]) & (f[ts] <= iv["__e"]),
+               "left")
+    return j.drop("__k", "__m", "__s", "__e", "__fm")

@@ -14,6 +14,7 @@ from ..functions.exprs import (count_if, duration_bucket, exact_avg, exact_sum,
                                month_start, safe_ratio, ts_on_or_after, url_domain, week_start)
 from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_cont,
                                 rank_within, trailing_distinct, union_calendar)
+from ..operators import shapes
 from .core import fct_sessions
 from .finance import fin_monthly_revenue, subscription_history
 from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL
@@ -255,13 +256,10 @@ def jn_theta_threshold(b):
 
 def _asof_sessions(b):
     """Session -> containing subscription interval via (org, month) equi-join."""
-    hist = explode_months(subscription_history(b.subscriptions, b.plans), "effective_start_ts", "effective_end_ts",
-                          F.lit(b.as_of).cast("date"))
-    h = hist.select(F.col("organization_id").alias("_o"), F.col("bucket_month").alias("_m"), "subscription_id",
-                    "plan_name", "effective_start_ts", "effective_end_ts")
-    s = b.sessions.select("session_id", "organization_id", "started_at", month_start("started_at").alias("_sm"))
-    return s.join(h, (s.organization_id == h._o) & (s._sm == h._m) & (s.started_at >= h.effective_start_ts)
-                  & (s.started_at <= h.effective_end_ts), "left")
+    hist = subscription_history(b.subscriptions, b.plans)
+    s = b.sessions.select("session_id", "organization_id", "started_at")
+    return shapes.bucketed_asof(s, hist, "organization_id", "started_at", "effective_start_ts", "effective_end_ts",
+                                F.lit(b.as_of).cast("date"), ["subscription_id", "plan_name"])
 
 
 @q("jn_interval", """SELECT s.session_id, sh.subscription_id FROM b_sessions s

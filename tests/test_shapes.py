@@ -84,3 +84,28 @@ def test_sessionize_batch_matches_lag_sum(spark):
             last, n = ts, n + 1
         want.add((u, start.to_pydatetime(), last.to_pydatetime(), n))
     assert got == want
+
+
+def test_bucketed_asof_matches_brute_force(spark):
+    rnd = random.Random(9)
+    base = dt.datetime(2020, 1, 1)
+    subs = []
+    for i in range(120):
+        org = 0 if rnd.random() < 0.4 else rnd.randint(1, 6)  # org 0 is hot
+        start = base + dt.timedelta(days=rnd.randint(0, 700), hours=rnd.choice([0, 0, 5]))  # same-instant starts
+        end = dt.datetime(2999, 12, 31) if rnd.random() < 0.15 else start + dt.timedelta(days=rnd.randint(0, 200))
+        subs.append((org, i, start, end))
+    sdf = spark.createDataFrame(subs, "org long, sid long, s timestamp_ntz, e timestamp_ntz")
+    closed = shapes.close_intervals(sdf, ["org"], "s", "e", [("s", "asc"), ("sid", "asc")], "INTERVAL 1 SECOND", "ce")
+    facts = [(rnd.choice([0, 0, 0, 1, 2, 3, 4, 5, 6]), j, base + dt.timedelta(days=rnd.randint(0, 800),
+                                                                            hours=rnd.randint(0, 23))) for j in range(900)]
+    fdf = spark.createDataFrame(facts, "org long, fid long, ts timestamp_ntz")
+    cap = F.lit("2022-06-30").cast("date")
+    got = {(r.fid, r.sid) for r in shapes.bucketed_asof(fdf, closed, "org", "ts", "s", "ce", cap, ["sid"]).collect()}
+    iv = closed.select("org", "sid", "s", "ce").collect()
+    want = set()
+    for org, fid, ts in facts:
+        hits = [r for r in iv if r.org == org and r.s <= ts <= r.ce]
+        hits.sort(key=lambda r: (r.s, r.sid), reverse=True)  # latest containing interval, as in the row_number form
+        want.add((fid, hits[0].sid if hits else None))
+    assert got == want
