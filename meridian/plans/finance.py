@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_div
-from ..operators.shapes import close_intervals, explode_months, latest_per_key
+from ..operators.shapes import bucketed_asof, close_intervals, explode_months, latest_per_key
 from .core import dim_organizations, fct_sessions
 from .oracle_views import AS_OF_SQL, view
 from .registry import register
@@ -193,12 +193,8 @@ def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFra
     sb = (sessions.filter(ts.isNotNull() & F.col("duration_seconds").isNotNull() & (F.col("duration_seconds") > 0))
           .select("session_id", "organization_id", ts.alias("session_ts"),
                   month_start(ts).alias("metric_month"), F.col("duration_seconds")))
-    h = hist_m.select(F.col("organization_id").alias("_org"), F.col("bucket_month").alias("_m"),
-                      "plan_id", "plan_name", F.col("effective_start_ts").alias("_hs"),
-                      F.col("effective_end_ts").alias("_he"))
-    matched = (sb.join(h, (sb.organization_id == h._org) & (sb.metric_month == h._m)
-                       & (sb.session_ts >= h._hs) & (sb.session_ts <= h._he), "left")
-               .drop("_org", "_m", "_hs", "_he"))
+    matched = bucketed_asof(sb, hist, "organization_id", "session_ts", "effective_start_ts", "effective_end_ts",
+                            cap, ["plan_id", "plan_name"])
     ranges = F.broadcast(_cost_ranges(plan_econ))  # one row per plan: bounded config
     enriched = (matched.join(ranges, "plan_id", "left")
                 .withColumn("_hits", F.filter("_ranges", lambda r: (r["s"] <= F.col("session_ts"))
