@@ -229,3 +229,24 @@ def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, sta
     j = f.join(iv, (f[key] == iv["__k"]) & (f["__fm"] == iv["__m"]) & (f[ts] >= iv["__s"]) & (f[ts] <= iv["__e"]),
                "left")
     return j.drop("__k", "__m", "__s", "__e", "__fm")
+
+
+def bucketed_overlap(left: DataFrame, right: DataFrame, key: str, l_start: str, l_end: str, r_start: str, r_end: str,
+                     cap, keep: Sequence[str]) -> DataFrame:
+    """Pairs (left row, right interval) of the same ``key`` whose ranges overlap
+    (``r_start <= l_end and r_end >= l_start``), each pair exactly once.
+
+    Both sides are exploded to calendar months; a pair is joined only on the
+    first month they share, ``greatest(month(l_start), month(r_start))``, so
+    candidate pairs are limited to ranges meeting in the same month.  Right
+    ranges are capped at ``cap`` for the explosion (open ends).  Inner join:
+    left rows without an overlapping interval are not returned.
+    """
+    lm = explode_months(left, l_start, l_end, None, "__lm")
+    rm = explode_months(right, r_start, r_end, cap, "__rm").select(
+        F.col(key).alias("__k"), "__rm", F.col(r_start).alias("__rs"), F.col(r_end).alias("__re"), *keep)
+    first = F.greatest(F.trunc(F.to_date(F.col(l_start)), "MM"), F.trunc(F.to_date(F.col("__rs")), "MM"))
+    j = lm.join(rm, (lm[key] == rm["__k"]) & (lm["__lm"] == rm["__rm"]) & (lm["__lm"] == first)
+                & (rm["__rs"] <= lm[l_end]) & (rm["__re"] >= lm[l_start]), "inner")
+    return j.withColumnRenamed("__rs", f"{r_start}").withColumnRenamed("__re", f"{r_end}") \
+        .drop("__k", "__rm", "__lm")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_div
-from ..operators.shapes import bucketed_asof, close_intervals, explode_months, latest_per_key
+from ..operators.shapes import bucketed_asof, bucketed_overlap, close_intervals, explode_months, latest_per_key
 from .core import dim_organizations, fct_sessions
 from .oracle_views import AS_OF_SQL, view
 from .registry import register
@@ -475,13 +475,8 @@ def usage_billing_export(usage: DataFrame, orgs: DataFrame, subs: DataFrame, pla
     hist = _day_history(subs, plans)
     cap = bp.agg(F.max("period_end")).scalar()  # scalar subquery: last billed day
     # Interval overlap as an equi-join on (org, first common month): exact, one candidate per overlapping pair.
-    bpm = explode_months(bp, "period_start", "period_end", None, "_pm")
-    hm = explode_months(hist, "effective_start_date", "effective_end_date", cap, "_hm")
-    hm = hm.select(F.col("organization_id").alias("_org"), "_hm", "subscription_id", "sessions_limit_monthly",
-                   "effective_start_date", "effective_end_date")
-    first_common = F.greatest(F.trunc("period_start", "MM"), F.trunc("effective_start_date", "MM"))
-    sl = bpm.join(hm, (bpm.organization_id == hm._org) & (bpm._pm == hm._hm) & (bpm._pm == first_common)
-                  & (hm.effective_start_date <= bpm.period_end) & (hm.effective_end_date >= bpm.period_start), "inner")
+    sl = bucketed_overlap(bp, hist, "organization_id", "period_start", "period_end", "effective_start_date",
+                          "effective_end_date", cap, ["subscription_id", "sessions_limit_monthly"])
     o_s = F.greatest("period_start", "effective_start_date")
     o_e = F.least("period_end", "effective_end_date")
     pdays = F.datediff("period_end", "period_start") + 1

@@ -290,13 +290,14 @@ def jn_interval_overlap(b):
     """Overlap join as equi-join on (org, first common month) + range residual."""
     u = b.usage_records.select("organization_id", "period_start", "period_end")
     hist = subscription_history(b.subscriptions, b.plans).select(
-        F.col("organization_id").alias("_o"), "subscription_id",
-        F.to_date("effective_start_ts").alias("_s"), F.to_date("effective_end_ts").alias("_e"))
-    hm = explode_months(hist, "_s", "_e", _d(b), "_m")
-    first_common = F.greatest(F.trunc("period_start", "MM"), F.trunc("_s", "MM"))
-    j = u.join(hm, (u.organization_id == hm._o) & (hm._m == first_common) & (hm._s <= u.period_end)
-               & (hm._e >= u.period_start), "left")
-    return j.groupBy("organization_id", "period_start").agg(F.count("subscription_id").alias("overlapping_subscriptions"))
+        "organization_id", "subscription_id", F.to_date("effective_start_ts").alias("_s"),
+        F.to_date("effective_end_ts").alias("_e"))
+    pairs = shapes.bucketed_overlap(u, hist, "organization_id", "period_start", "period_end", "_s", "_e", _d(b),
+                                    ["subscription_id"])
+    n = pairs.groupBy("organization_id", "period_start").agg(F.count("subscription_id").alias("_n"))
+    return (u.select("organization_id", "period_start").join(n, ["organization_id", "period_start"], "left")
+            .select("organization_id", "period_start",
+                    F.coalesce("_n", F.lit(0)).alias("overlapping_subscriptions")))
 
 
 @q("jn_range_between", """

@@ -109,3 +109,25 @@ def test_bucketed_asof_matches_brute_force(spark):
         hits.sort(key=lambda r: (r.s, r.sid), reverse=True)  # latest containing interval, as in the row_number form
         want.add((fid, hits[0].sid if hits else None))
     assert got == want
+
+
+def test_bucketed_overlap_matches_brute_force(spark):
+    rnd = random.Random(21)
+    d0 = dt.date(2020, 1, 1)
+    periods = []
+    for i in range(150):
+        k = 0 if rnd.random() < 0.4 else rnd.randint(1, 5)
+        s = d0 + dt.timedelta(days=rnd.randint(0, 600))
+        periods.append((k, i, s, s + dt.timedelta(days=rnd.randint(0, 90))))
+    subs = []
+    for j in range(100):
+        k = 0 if rnd.random() < 0.4 else rnd.randint(1, 5)
+        s = d0 + dt.timedelta(days=rnd.randint(0, 650))
+        e = dt.date(2999, 12, 31) if rnd.random() < 0.1 else s + dt.timedelta(days=rnd.randint(-1, 200))  # incl. empty
+        subs.append((k, j, s, e))
+    pdf = spark.createDataFrame(periods, "k long, pid long, ps date, pe date")
+    sdf = spark.createDataFrame(subs, "k long, sid long, ss date, se date")
+    got = {(r.pid, r.sid) for r in shapes.bucketed_overlap(pdf, sdf, "k", "ps", "pe", "ss", "se",
+                                                           F.lit("2021-12-31").cast("date"), ["sid"]).collect()}
+    want = {(p[1], s[1]) for p in periods for s in subs if p[0] == s[0] and s[2] <= p[3] and s[3] >= p[2]}
+    assert got == want
