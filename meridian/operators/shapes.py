@@ -250,3 +250,21 @@ def bucketed_overlap(left: DataFrame, right: DataFrame, key: str, l_start: str,
                 & (rm["__rs"] <= lm[l_end]) & (rm["__re"] >= lm[l_start]), "inner")
     return j.withColumnRenamed("__rs", f"{r_start}").withColumnRenamed("__re", f"{r_end}") \
         .drop("__k", "__rm", "__lm")
+
+
+def trailing_distinct_multi(activity: DataFrame, entity: str, day: str, windows: dict[str, int],
+                            calendar: DataFrame | None = None) -> DataFrame:
+    """Several trailing distinct counts from ONE explode and ONE aggregation.
+
+    Deduplicated (entity, day) pairs are exploded over the longest window with
+    their day offset; each window counts distinct entities whose offset is
+    inside it.
+    """
+    longest = max(windows.values())
+    pairs = activity.select(F.col(entity), F.col(day)).distinct()
+    exp = pairs.select(F.col(entity), F.posexplode(F.sequence(F.col(day), F.date_add(F.col(day), longest - 1)))
+                       .alias("__off", day))
+    if calendar is not None:
+        exp = exp.join(calendar.select(day), day, "left_semi")
+    return exp.groupBy(day).agg(*[F.countDistinct(F.when(F.col("__off") < n, F.col(entity))).alias(name)
+                                  for name, n in windows.items()])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import (count_if, duration_bucket, exact_avg, exact_sum, initials, iso_yearweek, kv_extract,
                                month_start, safe_ratio, ts_on_or_after, url_domain, week_start)
 from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_cont,
-                                rank_within, trailing_distinct, union_calendar)
+                                rank_within, trailing_distinct_multi, union_calendar)
 from ..operators import shapes
 from .core import fct_sessions
 from .finance import fin_monthly_revenue, subscription_history
@@ -671,9 +671,8 @@ def win_trailing_distinct(b):
     (user, day) pairs; no correlated range subquery)."""
     e = b.t.events.select("user_id", F.to_date("ts").alias("event_date"))
     cal = e.select("event_date").distinct()
-    w7 = trailing_distinct(e, "user_id", "event_date", 7, "active_users_7d", cal)
-    w30 = trailing_distinct(e, "user_id", "event_date", 30, "active_users_30d", cal)
-    return cal.join(w7, "event_date", "left").join(w30, "event_date", "left")
+    t = trailing_distinct_multi(e, "user_id", "event_date", {"active_users_7d": 7, "active_users_30d": 30}, cal)
+    return cal.join(t, "event_date", "left")
 
 
 @q("win_rolling_bounds", """SELECT d AS date_day, CAST(d - INTERVAL 6 DAY AS DATE) AS rolling_7d_start,

@@ -131,3 +131,12 @@ def test_bucketed_overlap_matches_brute_force(spark):
                                                            F.lit("2021-12-31").cast("date"), ["sid"]).collect()}
     want = {(p[1], s[1]) for p in periods for s in subs if p[0] == s[0] and s[2] <= p[3] and s[3] >= p[2]}
     assert got == want
+
+
+def test_trailing_distinct_multi_matches_single(spark):
+    df = _df(spark, 13).select("k", F.to_date("ts").alias("d"))
+    multi = {r.d: (r.w7, r.w30) for r in shapes.trailing_distinct_multi(df, "k", "d", {"w7": 7, "w30": 30}).collect()}
+    w7 = {r.d: r.n for r in shapes.trailing_distinct(df, "k", "d", 7, "n").collect()}
+    w30 = {r.d: r.n for r in shapes.trailing_distinct(df, "k", "d", 30, "n").collect()}
+    assert set(multi) == set(w30)
+    assert all(multi[d] == (w7.get(d, 0), w30[d]) for d in multi)
