@@ -140,3 +140,40 @@ def test_trailing_distinct_multi_matches_single(spark):
     w30 = {r.d: r.n for r in shapes.trailing_distinct(df, "k", "d", 30, "n").collect()}
     assert set(multi) == set(w30)
     assert all(multi[d] == (w7.get(d, 0), w30[d]) for d in multi)
+
+
+def test_monthly_peak_mrr_matches_daily_brute_force(spark):
+    from types import SimpleNamespace
+
+    from meridian.plans.terminal import monthly_peak_mrr
+
+    rnd = random.Random(4)
+    as_of = "2021-06-15"
+    asof = dt.date.fromisoformat(as_of)
+    prices = {"free": 0.0, "starter": 49.0, "pro": 199.0, "enterprise": 999.0}
+    orgs = [(o, dt.datetime(2020, 1, 1) + dt.timedelta(days=rnd.randint(0, 400))) for o in range(8)]
+    subs = []
+    for i in range(90):
+        o = 0 if rnd.random() < 0.4 else rnd.randint(1, 7)
+        s = dt.datetime(2019, 12, 1) + dt.timedelta(days=rnd.randint(0, 560))
+        e = None if rnd.random() < 0.15 else s + dt.timedelta(days=rnd.choice([0, 29, 30, 31, rnd.randint(1, 200)]))
+        subs.append((i, o, rnd.choice(list(prices)), "active", s, e))
+    plans = spark.createDataFrame([(k, v) for k, v in prices.items()], "plan_id string, monthly_price_usd double")
+    b = SimpleNamespace(
+        as_of=as_of, plans=plans,
+        organizations=spark.createDataFrame(orgs, "organization_id long, created_at timestamp_ntz"),
+        subscriptions=spark.createDataFrame(subs, "subscription_id long, organization_id long, plan_id string, "
+                                                  "status string, current_period_start timestamp_ntz, "
+                                                  "current_period_end timestamp_ntz"))
+    got = {(r.organization_id, r.month_start): r.mrr_usd for r in monthly_peak_mrr(b).collect()}
+    want = {}
+    for o, created in orgs:
+        d = max(created.date(), dt.date(2019, 12, 1))
+        while d <= asof:
+            v = sum(prices[p] for _, so, p, _, s, e in subs if so == o and prices[p] > 0
+                    and s.date() <= d <= min((e.date() if e else asof), asof))
+            m = d.replace(day=1)
+            if d >= created.date():
+                want[(o, m)] = max(want.get((o, m), 0.0), v)
+            d += dt.timedelta(days=1)
+    assert {k: v for k, v in got.items() if v > 0} == {k: v for k, v in want.items() if v > 0}
