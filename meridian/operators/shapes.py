@@ -11,8 +11,13 @@ Each shape is written so that it stays distributed and skew-tolerant:
 * trailing distinct counts explode the *deduplicated* (entity, day) pairs into
   the N days they count towards and then aggregate, instead of a correlated
   range subquery (which Spark plans as a nested-loop join);
-* interval joins are equi-joins on the entity key with the range as a residual
-  predicate; callers pre-aggregate the fact side first.
+* interval (as-of) and overlap joins are equi-joins on (entity, calendar month)
+  with the range as a residual predicate, so a hot entity is split by month and
+  only rows meeting in the same month become candidates;
+* per-key windows over unbounded histories are two-level: inside time buckets,
+  then over one summary row per bucket (calendar-bounded);
+* exact percentiles are read off a (group, value) histogram instead of
+  gathering every value of a group.
 """
 
 from __future__ import annotations
@@ -152,20 +157,6 @@ def close_intervals(df: DataFrame, keys: Sequence[str], start: str, raw_end: str
                         .otherwise(F.least(F.col(raw_end), nxt))).drop("__next_start")
 
 
-def interval_join(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str,
-                  how: str = "inner") -> DataFrame:
-    """Point-in-interval join: equi-join on ``key`` + ``start <= ts <= end`` (NULL end = open)."""
-    iv = intervals.withColumnRenamed(key, f"__{key}")
-    cond = ((facts[key] == F.col(f"__{key}")) & (facts[ts] >= F.col(start))
-            & (F.col(end).isNull() | (facts[ts] <= F.col(end))))
-    return facts.join(iv, cond, how).drop(f"__{key}")
-
-
-def first_touch(touches: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """Earliest touch per ``key`` (ties broken by ``tie``)."""
-    return latest_per_key(touches, [key], [(ts, "asc"), (tie, "asc")])
-
-
 def period_growth(df: DataFrame, keys: Sequence[str], period: str, value: str, name: str) -> DataFrame:
     """Period-over-period % growth via ``lag`` (NULL when the prior is 0/NULL)."""
     w = Window.partitionBy(*keys).orderBy(F.col(period))
