@@ -13,6 +13,9 @@ from pyspark.sql import SparkSession
 AS_OF = "2001-08-01"
 EVENTS_AS_OF = "2024-01-31"
 
+# Folders made for local runs whose session names none, by application.
+_own_dirs: dict[str, str] = {}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "meridian") -> SparkSession:
@@ -61,12 +64,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     ``DataFrame.checkpoint()`` (set once), stream checkpoints and written
     intermediate tables, under stable paths so restarted jobs find their state.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(spark.sparkContext.applicationId)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="meridian-ckpt-")  # local runs and tests only
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = tempfile.mkdtemp(prefix="meridian-ckpt-")  # one machine: local runs and tests only
+        _own_dirs[spark.sparkContext.applicationId] = configured
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{configured.rstrip('/')}/rdd")
     return configured.rstrip("/")
