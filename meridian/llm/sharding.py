@@ -62,8 +62,8 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int | None = None, doc_id:
     # second hash first: the same order for every record of the range.
     sub = F.lit(0).cast("long")
     if split is not None:
-        unit = (F.col("k2").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(2**64).cast("decimal(21,0)")
-        sub = F.when(split[F.col("r")].isNotNull(), F.floor(unit.cast("double") * split[F.col("r")])).otherwise(sub).cast("long")
+        unit = (F.shiftright("k2", 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))  # 0 to 1, in the order of k2
+        sub = F.when(split[F.col("r")].isNotNull(), F.floor(unit * split[F.col("r")])).otherwise(sub).cast("long")
     keyed = coarse.withColumn("s", sub)
     by_range = keyed.groupBy("r", "s").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("c"))
     ahead = Window.orderBy("r", "s").rowsBetween(Window.unboundedPreceding, -1)
