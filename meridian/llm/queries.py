@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, secrets, sharding
+from . import bpe, counting, secrets, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(*secrets.KINDS[:3]))
@@ -48,6 +52,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op4_token_counts, op9_secret_scan, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op4_token_counts, op5_simhash, op9_secret_scan, op10_sharding)}
 #: DuckDB twins, for those that SQL can express.
 ORACLE: dict[str, str] = {}
