@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, secrets, sharding, simhash
+from . import bpe, counting, decontamination, embedding_dedup, secrets, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
@@ -40,6 +44,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, similarity=0.8)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(*secrets.KINDS[:3]))
@@ -52,6 +60,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op4_token_counts, op5_simhash, op9_secret_scan, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_embedding_dedup, op3_byte_bpe, op4_token_counts, op5_simhash, op7_decontamination, op9_secret_scan, op10_sharding)}
 #: DuckDB twins, for those that SQL can express.
 ORACLE: dict[str, str] = {}
