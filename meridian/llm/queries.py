@@ -9,10 +9,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, decontamination, embedding_dedup, secrets, sharding, simhash
+from . import bpe, counting, decontamination, embedding_dedup, secrets, sharding, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,17 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(doc_id) -> Column:
+    """Rows kept from learning: those whose CRC-32 of the id as text is divisible by five."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -60,6 +71,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_embedding_dedup, op3_byte_bpe, op4_token_counts, op5_simhash, op7_decontamination, op9_secret_scan, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_byte_bpe, op4_token_counts, op5_simhash, op7_decontamination, op9_secret_scan, op10_sharding)}
 #: DuckDB twins, for those that SQL can express.
 ORACLE: dict[str, str] = {}
