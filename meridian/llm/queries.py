@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, decontamination, embedding_dedup, secrets, sharding, simhash, toxicity
+from . import bpe, counting, decontamination, embedding_dedup, secrets, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +55,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, similarity=0.8)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=400)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(*secrets.KINDS[:3]))
@@ -71,6 +79,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_byte_bpe, op4_token_counts, op5_simhash, op7_decontamination, op9_secret_scan, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_byte_bpe, op4_token_counts, op5_simhash, op6_substring_dedup, op7_decontamination, op8_suffix_dedup, op9_secret_scan, op10_sharding)}
 #: DuckDB twins, for those that SQL can express.
 ORACLE: dict[str, str] = {}
