@@ -49,7 +49,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", e
     rows = rows.withColumn("usable", usable)
     classes = stored(
         rows.where("usable").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("node", F.coalesce("least", F.xxhash64("v").bitwiseOR(F.lit(-(2**62) * 2)))),  # no id: a negative name of its own
+        .withColumn("node", F.monotonically_increasing_id()),  # fixed by being written
         "vectors")
     found = None
     for size in classes.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n").collect():
@@ -61,8 +61,9 @@ def links(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", e
         found = stored(found, "vector-links")
         counts = found.groupBy("node").agg(F.sum("n").alias("n"))
         linked = counts.join(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "node", "left")
-    named = classes.join(linked, "node", "left").select(
-        "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    named = classes.join(linked, "node", "left").select("v", "least", "copies", "n", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     valid = rows.where("usable").join(named, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return valid.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -70,7 +71,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", e
 
 def _compare(classes: DataFrame, size: int, count: int, threshold: float) -> DataFrame:
     """``node, n, root``: links counted and a local root for every vector with links, per pair of tiles."""
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("node", "least")).limit(SAMPLE).collect()], float)  # bounded: only fits the rotation
+    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("v"), "least").limit(SAMPLE).collect()], float)  # bounded: only fits the rotation
     sample /= np.abs(sample).max(axis=1, keepdims=True)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     _, axes = np.linalg.eigh(sample.T @ sample)
