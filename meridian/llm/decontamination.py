@@ -45,8 +45,9 @@ class Words:
             known.clear()
         raw = text.split()
         for w in set(raw).difference(known):
-            core = _EDGE.sub("", w.decode("utf-8", "replace").lower())
-            known[w] = xxhash.xxh64_intdigest(core.encode(), 1) | 1 if core else 0
+            # Plain ASCII words need no decoding.
+            core = w.lower() if w.isalnum() else _EDGE.sub("", w.decode("utf-8", "replace").lower()).encode()
+            known[w] = xxhash.xxh64_intdigest(core, 1) | 1 if core else 0
         h = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
         return h[h != 0]  # punctuation alone is no word
 
@@ -105,7 +106,10 @@ class Index:
     def hits(self, s: np.ndarray) -> np.ndarray:
         """Positions of the shingles that some item has."""
         maybe = np.flatnonzero(self.seen[s & np.uint64((1 << self.bits) - 1)])
-        return maybe[np.isin(s[maybe], self.all)] if len(maybe) else maybe
+        if not len(maybe):
+            return maybe
+        at = np.minimum(np.searchsorted(self.all, s[maybe]), len(self.all) - 1)
+        return maybe[self.all[at] == s[maybe]]
 
     def search(self, words: np.ndarray, similarity: float) -> dict[int, tuple[float, int, int, int]]:
         """Best window of each matching item: ``item -> (similarity, -distance, start, words)``."""
