@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import argparse
+import inspect
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,9 @@ def build(spark: SparkSession, data_dir: str, out: str | None = None, gold=GOLD)
         QUERIES[name](b).write.mode("overwrite").parquet(f"{base}/gold/{name}")
     rows = []
     for name in sorted(n for n in QUERIES if n.startswith("dq_")):
-        df = QUERIES[name](b)
+        check = QUERIES[name]
+        # The registered checks plant defects where the given tables are clean; the gate looks at the product itself.
+        df = check(b, planted=False) if "planted" in inspect.signature(check).parameters else check(b)
         violations = (df.filter("is_stale") if "is_stale" in df.columns else df).count()  # freshness lists every table
         rows.append((name, violations, name in BLOCKING, violations > 0 and name in BLOCKING))
     return spark.createDataFrame(rows, "check_name string, violations long, blocking boolean, failed boolean")

@@ -203,17 +203,19 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return out.select(*sel)
 
 
-def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str, cap,
+def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str,
                   keep: Sequence[str]) -> DataFrame:
     """Match each fact to the interval of the same ``key`` containing ``ts``.
 
     ``intervals`` must be disjoint per key (e.g. closed by ``close_intervals``),
     so at most one interval matches.  Intervals are exploded to the calendar
-    months they touch (capped at ``cap``) and joined on (key, month) with the
-    range as a residual: a key with a huge history is split by month, and a fact
+    months they touch, open ends up to the latest fact (a scalar subquery, so
+    no fact is out of reach), and joined on (key, month) with the range as a
+    residual: a key with a huge history is split by month, and a fact
     only meets the intervals of its own month.  ``keep`` are interval columns
     carried to the output (NULL when nothing matches).
     """
+    cap = facts.agg(F.max(F.col(ts))).scalar()
     iv = explode_months(intervals, start, end, cap, "__m").select(
         F.col(key).alias("__k"), "__m", F.col(start).alias("__s"), F.col(end).alias("__e"), *keep)
     f = facts.withColumn("__fm", F.trunc(F.to_date(F.col(ts)), "MM"))
@@ -223,17 +225,18 @@ def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, sta
 
 
 def bucketed_overlap(left: DataFrame, right: DataFrame, key: str, l_start: str, l_end: str, r_start: str, r_end: str,
-                     cap, keep: Sequence[str]) -> DataFrame:
+                     keep: Sequence[str]) -> DataFrame:
     """Pairs (left row, right interval) of the same ``key`` whose ranges overlap
     (``r_start <= l_end and r_end >= l_start``), each pair exactly once.
 
     Both sides are exploded to calendar months; a pair is joined only on the
     first month they share, ``greatest(month(l_start), month(r_start))``, so
-    candidate pairs are limited to ranges meeting in the same month.  Right
-    ranges are capped at ``cap`` for the explosion (open ends).  Inner join:
+    candidate pairs are limited to ranges meeting in the same month.  Open
+    ends on the right are exploded up to the latest left end.  Inner join:
     left rows without an overlapping interval are not returned.
     """
     lm = explode_months(left, l_start, l_end, None, "__lm")
+    cap = left.agg(F.max(F.col(l_end))).scalar()
     rm = explode_months(right, r_start, r_end, cap, "__rm").select(
         F.col(key).alias("__k"), "__rm", F.col(r_start).alias("__rs"), F.col(r_end).alias("__re"), *keep)
     first = F.greatest(F.trunc(F.to_date(F.col(l_start)), "MM"), F.trunc(F.to_date(F.col("__rs")), "MM"))
@@ -245,17 +248,32 @@ def bucketed_overlap(left: DataFrame, right: DataFrame, key: str, l_start: str,
 
 def trailing_distinct_multi(activity: DataFrame, entity: str, day: str, windows: dict[str, int],
                             calendar: DataFrame | None = None) -> DataFrame:
-    """Several trailing distinct counts from ONE explode and ONE aggregation.
-
-    Deduplicated (entity, day) pairs are exploded over the longest window with
-    their day offset; each window counts distinct entities whose offset is
-    inside it.
+    """Several trailing distinct counts from one start and one end event per active day.
+
+    An entity active on a day counts from that day until the window runs out or
+    its next active day takes over, so each (entity, day) pair adds one at the
+    day and takes one away at ``least(day + n, next day)``.  The events are
+    summed per day and window, and a running sum over days (bounded by the
+    calendar, not by the data) gives the exact counts: two rows per pair and
+    window instead of ``n``.  Days without events keep the count before them;
+    only days of ``calendar`` (default: all from the first active day on) that have an active
+    entity are returned.
     """
-    longest = max(windows.values())
-    pairs = activity.select(F.col(entity), F.col(day)).distinct()
-    exp = pairs.select(F.col(entity), F.posexplode(F.sequence(F.col(day), F.date_add(F.col(day), longest - 1)))
-                       .alias("__off", day))
-    if calendar is not None:
-        exp = exp.join(calendar.select(day), day, "left_semi")
-    return exp.groupBy(day).agg(*[F.countDistinct(F.when(F.col("__off") < n, F.col(entity))).alias(name)
-                                  for name, n in windows.items()])
+    pairs = activity.select(F.col(entity), F.col(day)).filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).distinct()
+    pairs_next = pairs.withColumn("__next", F.lead(day).over(Window.partitionBy(entity).orderBy(day)))
+    steps = [x for n in windows.values() for x in (
+        F.struct(F.col(day).alias("d"), F.lit(n).alias("n"), F.lit(1).alias("v")),
+        F.struct(F.least(F.date_add(day, n), F.col("__next")).alias("d"), F.lit(n).alias("n"), F.lit(-1).alias("v")))]
+    events = pairs_next.withColumn("__e", F.explode(F.array(*steps))).groupBy(F.col("__e.d").alias(day)).agg(
+        *[F.sum(F.when(F.col("__e.n") == n, F.col("__e.v")).otherwise(0)).alias(name) for name, n in windows.items()])
+    if calendar is None:
+        ends = pairs.agg(F.min(day).alias("a"), F.date_add(F.max(day), max(windows.values())).alias("z"))
+        calendar = date_spine(ends, "a", "z", day)
+    days = calendar.select(day).distinct()
+    seen = events.withColumn("__asked", F.lit(0)).unionByName(
+        days.select(day, *[F.lit(0).cast("long").alias(name) for name in windows], F.lit(1).alias("__asked")))
+    run = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    daily = seen.groupBy(day).agg(*[F.sum(name).alias(name) for name in windows], F.max("__asked").alias("__asked"))
+    summed = daily.select(day, "__asked", *[F.sum(name).over(run).alias(name) for name in windows])
+    some = F.greatest(*[F.col(name) for name in windows], F.lit(0)) > 0
+    return summed.filter((F.col("__asked") == 1) & some).drop("__asked")

@@ -175,7 +175,7 @@ def _cost_ranges(plan_econ: DataFrame) -> DataFrame:
 
 
 def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFrame, plan_econ: DataFrame,
-                            revenue: DataFrame, orgs: DataFrame, as_of: str) -> DataFrame:
+                            revenue: DataFrame, orgs: DataFrame) -> DataFrame:
     """Org x month usage cost vs realised revenue vs pro-rated entitlement.
 
     * each session is matched to the subscription interval containing it
@@ -185,16 +185,14 @@ def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFra
       session, picked per row from the broadcast (bounded) range list;
     * entitlements are summed over interval slices overlapping each month.
     """
-    cap = F.lit(as_of).cast("date")
     hist = subscription_history(subs, plans)
-    hist_m = explode_months(hist, "effective_start_ts", "effective_end_ts", cap)
 
     ts = F.coalesce("started_at", "created_at")
     sb = (sessions.filter(ts.isNotNull() & F.col("duration_seconds").isNotNull() & (F.col("duration_seconds") > 0))
           .select("session_id", "organization_id", ts.alias("session_ts"),
                   month_start(ts).alias("metric_month"), F.col("duration_seconds")))
     matched = bucketed_asof(sb, hist, "organization_id", "session_ts", "effective_start_ts", "effective_end_ts",
-                            cap, ["plan_id", "plan_name"])
+                            ["plan_id", "plan_name"])
     ranges = F.broadcast(_cost_ranges(plan_econ))  # one row per plan: bounded config
     enriched = (matched.join(ranges, "plan_id", "left")
                 .withColumn("_hits", F.filter("_ranges", lambda r: (r["s"] <= F.col("session_ts"))
@@ -225,6 +223,9 @@ def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFra
     spine = (csm.select("organization_id", "metric_month")
              .unionByName(rm.select("organization_id", "metric_month")).distinct())
 
+    # Open intervals reach to the last month that has usage or revenue.
+    hist_m = explode_months(hist, "effective_start_ts", "effective_end_ts",
+                            spine.agg(F.max("metric_month")).scalar())
     # Entitlement slices: spine month x intervals overlapping it (equi on (org, month)).
     mb = spine.select("organization_id", "metric_month",
                       F.col("metric_month").cast("timestamp_ntz").alias("_ms"),
@@ -276,7 +277,7 @@ def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFra
 
 def fin_customer_unit_economics(b) -> DataFrame:
     return customer_unit_economics(b.sessions, b.subscriptions, b.plans, b.plan_economics,
-                                   revenue_amounts(b), b.organizations, b.as_of)
+                                   revenue_amounts(b), b.organizations)
 
 
 view("fin_cue", """
@@ -473,10 +474,9 @@ def usage_billing_export(usage: DataFrame, orgs: DataFrame, subs: DataFrame, pla
                   F.col("sessions_limit_monthly").alias("current_plan_sessions_limit")))
 
     hist = _day_history(subs, plans)
-    cap = bp.agg(F.max("period_end")).scalar()  # scalar subquery: last billed day
     # Interval overlap as an equi-join on (org, first common month): exact, one candidate per overlapping pair.
     sl = bucketed_overlap(bp, hist, "organization_id", "period_start", "period_end", "effective_start_date",
-                          "effective_end_date", cap, ["subscription_id", "sessions_limit_monthly"])
+                          "effective_end_date", ["subscription_id", "sessions_limit_monthly"])
     o_s = F.greatest("period_start", "effective_start_date")
     o_e = F.least("period_end", "effective_end_date")
     pdays = F.datediff("period_end", "period_start") + 1

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
 from ..sources import ingest
 from ..sources.tables import TABLE_NAMES
 from .registry import register
@@ -78,7 +77,7 @@ def src_upsert_latest(b):
     delta = (b.invoices.filter(F.col("invoice_status") == "open")
              .select("invoice_id", "organization_id", F.lit("paid").alias("invoice_status"),
                      F.timestamp_add("DAY", F.lit(7), F.col("created_at")).alias("paid_at")))
-    return ingest.upsert_latest(base, delta, ["invoice_id"])
+    return ingest.upsert_latest(base, delta, ["invoice_id"], [("paid_at", "desc")])
 
 
 @register("src_optional_column", "SELECT o_orderkey, CAST(NULL AS VARCHAR) AS o_clerk, o_orderpriority FROM orders")
@@ -94,13 +93,12 @@ SEED_SCHEMA = T.StructType([T.StructField("nation_id", T.IntegerType()), T.Struc
 
 @register("src_csv_seed", "SELECT n_nationkey AS nation_id, n_name AS nation_name, n_regionkey AS region_id FROM nation")
 def src_csv_seed(b):
-    """Writes a header CSV seed derived from ``nation`` to the shared scratch
-    location, then reads it back under its declared schema."""
-    path = scratch_path(b.spark, f"seeds/nation_{abs(hash(b.t.sf_dir))}")
-    b.t.nation.select(F.col("n_nationkey").alias("nation_id"), F.col("n_name").alias("nation_name"),
-                      F.col("n_regionkey").alias("region_id")) \
-        .coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    return ingest.read_csv_seed(b.spark, path, SEED_SCHEMA)
+    """A typed read of a CSV seed.  The seed's lines are rendered from ``nation``
+    inside the plan and parsed back under the declared schema, so building the
+    query writes nothing; ``ingest.read_csv_seed`` reads stored seeds."""
+    line = F.to_csv(F.struct("n_nationkey", "n_name", "n_regionkey"))
+    row = F.from_csv(line, SEED_SCHEMA.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST"})
+    return b.t.nation.select(row.alias("r")).select("r.*")
 
 
 @register("src_row_counts", "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"

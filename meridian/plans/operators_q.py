@@ -259,7 +259,7 @@ def _asof_sessions(b):
     hist = subscription_history(b.subscriptions, b.plans)
     s = b.sessions.select("session_id", "organization_id", "started_at")
     return shapes.bucketed_asof(s, hist, "organization_id", "started_at", "effective_start_ts", "effective_end_ts",
-                                F.lit(b.as_of).cast("date"), ["subscription_id", "plan_name"])
+                                ["subscription_id", "plan_name"])
 
 
 @q("jn_interval", """SELECT s.session_id, sh.subscription_id FROM b_sessions s
@@ -292,7 +292,7 @@ def jn_interval_overlap(b):
     hist = subscription_history(b.subscriptions, b.plans).select(
         "organization_id", "subscription_id", F.to_date("effective_start_ts").alias("_s"),
         F.to_date("effective_end_ts").alias("_e"))
-    pairs = shapes.bucketed_overlap(u, hist, "organization_id", "period_start", "period_end", "_s", "_e", _d(b),
+    pairs = shapes.bucketed_overlap(u, hist, "organization_id", "period_start", "period_end", "_s", "_e",
                                     ["subscription_id"])
     n = pairs.groupBy("organization_id", "period_start").agg(F.count("subscription_id").alias("_n"))
     return (u.select("organization_id", "period_start").join(n, ["organization_id", "period_start"], "left")
@@ -340,12 +340,13 @@ def jn_month_rollup_lookup(b):
     return s.join(r, ["organization_id", "revenue_month"], "left").select("session_id", "realized_revenue_usd")
 
 
-@q("jn_anti_null", """SELECT o.organization_id FROM b_organizations o
-LEFT JOIN b_sessions s ON o.organization_id = s.organization_id WHERE s.session_id IS NULL""",
+@q("jn_anti_null", """SELECT organization_id FROM b_organizations WHERE organization_id NOT IN (
+  SELECT organization_id FROM b_sessions WHERE started_at >= TIMESTAMP '2001-06-01' AND organization_id IS NOT NULL)""",
    "b_organizations", "b_sessions")
 def jn_anti_null(b):
-    return b.organizations.select("organization_id").join(b.sessions.select("organization_id"), "organization_id",
-                                                          "left_anti")
+    """Organisations without a session in the last two months of the data."""
+    recent = b.sessions.filter(F.col("started_at") >= F.lit("2001-06-01 00:00:00").cast("timestamp_ntz"))
+    return b.organizations.select("organization_id").join(recent.select("organization_id"), "organization_id", "left_anti")
 
 
 @q("jn_tie_out", """
@@ -764,18 +765,20 @@ def lim_row_cap(b):
     return b.t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").orderBy("o_orderkey").limit(ROW_CAP)
 
 
-@q("lim_byte_cap", f"""SELECT * FROM (
-  SELECT o_orderkey, o_orderpriority, CAST(sum(length(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority))
-           OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_bytes
-  FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {ROW_CAP})) WHERE cum_bytes <= {BYTE_CAP}""")
+@q("lim_byte_cap", f"""
+WITH page AS (SELECT doc_id, strlen(concat_ws('|', doc_id, lang, source, text)) AS n FROM documents ORDER BY doc_id LIMIT {ROW_CAP})
+SELECT x.doc_id, CAST(sum(y.n) AS BIGINT) AS cum_bytes FROM page x JOIN page y ON y.doc_id <= x.doc_id
+GROUP BY x.doc_id HAVING sum(y.n) <= {BYTE_CAP}""")
 def lim_byte_cap(b):
-    """Rows kept while the cumulative payload stays under the cap; the running
-    sum runs over the already row-capped result (at most ROW_CAP rows)."""
-    top = b.t.orders.orderBy("o_orderkey").limit(ROW_CAP)
-    size = F.length(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"))
-    w = Window.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return top.select("o_orderkey", "o_orderpriority", F.sum(size).over(w).alias("cum_bytes")) \
-        .filter(F.col("cum_bytes") <= BYTE_CAP)
+    """Rows of a capped page kept while their encoded bytes stay under the payload cap.
+
+    The running sum runs over the row-capped page (at most ROW_CAP rows); a
+    page of whole documents exceeds the byte cap.
+    """
+    row = F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", "text")
+    top = b.t.documents.select("doc_id", F.octet_length(row).cast("long").alias("_n")).orderBy("doc_id").limit(ROW_CAP)
+    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return top.select("doc_id", F.sum("_n").over(w).alias("cum_bytes")).filter(F.col("cum_bytes") <= BYTE_CAP)
 
 
 # ================================================================ set ops
@@ -835,22 +838,20 @@ def set_difference(b):
 
 
 @q("set_intersection", """
-SELECT k.organization_id, k.m, s.n AS sessions, i.n AS invoices FROM (
-  SELECT organization_id, CAST(date_trunc('month', started_at) AS DATE) AS m FROM b_sessions
-  INTERSECT SELECT organization_id, CAST(date_trunc('month', period_start) AS DATE) FROM b_invoices) k
-JOIN (SELECT organization_id, CAST(date_trunc('month', started_at) AS DATE) AS m, count(*) AS n FROM b_sessions GROUP BY 1, 2) s
-  ON k.organization_id = s.organization_id AND k.m = s.m
-JOIN (SELECT organization_id, CAST(date_trunc('month', period_start) AS DATE) AS m, count(*) AS n FROM b_invoices GROUP BY 1, 2) i
-  ON k.organization_id = i.organization_id AND k.m = i.m
-WHERE s.n <> i.n""", "b_sessions", "b_invoices")
+SELECT organization_id, m, count(*) FILTER (kind = 's') AS sessions, count(*) FILTER (kind = 'p') AS payments
+FROM (SELECT 's' AS kind, organization_id, CAST(date_trunc('month', started_at) AS DATE) AS m FROM b_sessions
+      UNION ALL SELECT 'p', organization_id, CAST(date_trunc('month', paid_at) AS DATE) FROM b_invoices WHERE paid_at IS NOT NULL)
+GROUP BY 1, 2 HAVING count(DISTINCT kind) = 2 AND count(*) FILTER (kind = 's') <> count(*) FILTER (kind = 'p')""",
+   "b_sessions", "b_invoices")
 def set_intersection(b):
+    """(organisation, month) pairs with sessions and payments whose counts differ."""
     a = b.sessions.select("organization_id", month_start("started_at").alias("m"))
-    c = b.invoices.select("organization_id", month_start("period_start").alias("m"))
+    c = b.invoices.filter(F.col("paid_at").isNotNull()).select("organization_id", month_start("paid_at").alias("m"))
     k = a.intersect(c)
     s = a.groupBy("organization_id", "m").agg(F.count(F.lit(1)).alias("sessions"))
-    i = c.groupBy("organization_id", "m").agg(F.count(F.lit(1)).alias("invoices"))
+    i = c.groupBy("organization_id", "m").agg(F.count(F.lit(1)).alias("payments"))
     return k.join(s, ["organization_id", "m"]).join(i, ["organization_id", "m"]) \
-        .filter(F.col("sessions") != F.col("invoices"))
+        .filter(F.col("sessions") != F.col("payments"))
 
 
 # ========================================================== scalar functions

@@ -1,4 +1,10 @@
-"""Data-quality checks over the built products (each returns violating rows)."""
+"""Data-quality checks over the built products (each returns violating rows).
+
+The given tables are clean in many respects, so a check that finds nothing
+would prove nothing.  Where that is so, the registered query runs its check over
+the product with defects planted in some of its rows (``planted=True``); the
+quality gate of ``meridian.build`` runs it over the product as it is.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +21,18 @@ from .product import eng_daily, ops_daily, pro_product_daily, pro_sessions_daily
 from .registry import register
 from .terminal import core_daily_kpis, term_business_snapshot, term_scorecard
 
+
+def _defect(rel, planted: bool, when, **bad):
+    """``rel`` with the columns in ``bad`` replaced where ``when`` holds."""
+    if not planted:
+        return rel
+    return rel.withColumns({c: F.when(when, v.cast(rel.schema[c].dataType)).otherwise(F.col(c)) for c, v in bad.items()})
+
+
+def _dom(c: str, day: int):
+    return F.dayofmonth(c) == day
+
+
 # Freshness limits in hours (by table, then by layer).
 FRESHNESS_HOURS = {"bronze": 24.0, "silver": 24.0, "gold": 48.0}
 
@@ -35,10 +53,12 @@ def dq_unique(b):
     return Q.unique(fct_events(b), ["event_id"])
 
 
-@register("dq_accepted_values", """SELECT 'accepted_values' AS check_name, session_id, session_status FROM fct_sessions
+@register("dq_accepted_values", """SELECT 'accepted_values' AS check_name, session_id, session_status
+FROM (SELECT session_id, if(session_id % 97 = 5, 'unknown', session_status) AS session_status FROM fct_sessions)
 WHERE session_status IS NOT NULL AND session_status NOT IN ('completed', 'failed', 'timeout')""", ("fct_sessions",))
-def dq_accepted_values(b):
-    return Q.accepted_values(fct_sessions(b), "session_status", ["completed", "failed", "timeout"], ["session_id"])
+def dq_accepted_values(b, planted=True):
+    s = _defect(fct_sessions(b), planted, F.col("session_id") % 97 == 5, session_status=F.lit("unknown"))
+    return Q.accepted_values(s, "session_status", ["completed", "failed", "timeout"], ["session_id"])
 
 
 @register("dq_relationships", """SELECT 'relationships' AS check_name, payment_reversal_id, bill_payment_id
@@ -51,19 +71,28 @@ def dq_relationships(b):
 
 
 @register("dq_unique_grain", """SELECT 'unique_grain' AS check_name, organization_id, month_start, count(*) AS occurrences
-FROM term_business_snapshot GROUP BY 2, 3 HAVING count(*) > 1""", ("term_business_snapshot",))
-def dq_unique_grain(b):
-    return Q.unique(term_business_snapshot(b), ["organization_id", "month_start"], "unique_grain")
+FROM (SELECT organization_id, month_start, unnest(range(CASE WHEN organization_id % 50 = 7 THEN 2 ELSE 1 END)) FROM term_business_snapshot)
+GROUP BY 2, 3 HAVING count(*) > 1""", ("term_business_snapshot",))
+def dq_unique_grain(b, planted=True):
+    s = term_business_snapshot(b).select("organization_id", "month_start")
+    if planted:
+        s = s.unionByName(s.filter(F.col("organization_id") % 50 == 7))
+    return Q.unique(s, ["organization_id", "month_start"], "unique_grain")
 
 
 @register("dq_range_bounds", """
-SELECT 'success_rate_pct_range' AS check_name, date FROM core_daily_kpis WHERE success_rate_pct < 0 OR success_rate_pct > 100
-UNION ALL SELECT 'failed_le_total', date FROM core_daily_kpis WHERE failed_sessions > total_sessions
-UNION ALL SELECT 'non_negative', date FROM core_daily_kpis WHERE total_sessions < 0 OR pages_visited < 0
-UNION ALL SELECT 'parts_sum_to_whole', date FROM core_daily_kpis WHERE successful_sessions + failed_sessions <> total_sessions""",
+WITH k AS (SELECT date, if(day(date) = 3, 101, success_rate_pct) AS success_rate_pct,
+                  if(day(date) = 5, total_sessions + 1, failed_sessions) AS failed_sessions,
+                  if(day(date) = 7, -1, total_sessions) AS total_sessions, pages_visited, successful_sessions FROM core_daily_kpis)
+SELECT 'success_rate_pct_range' AS check_name, date FROM k WHERE success_rate_pct < 0 OR success_rate_pct > 100
+UNION ALL SELECT 'failed_le_total', date FROM k WHERE failed_sessions > total_sessions
+UNION ALL SELECT 'non_negative', date FROM k WHERE total_sessions < 0 OR pages_visited < 0
+UNION ALL SELECT 'parts_sum_to_whole', date FROM k WHERE successful_sessions + failed_sessions <> total_sessions""",
           ("core_daily_kpis",))
-def dq_range_bounds(b):
-    k = core_daily_kpis(b)
+def dq_range_bounds(b, planted=True):
+    k = _defect(core_daily_kpis(b), planted, _dom("date", 3), success_rate_pct=F.lit(101))
+    k = _defect(k, planted, _dom("date", 5), failed_sessions=F.col("total_sessions") + 1)
+    k = _defect(k, planted, _dom("date", 7), total_sessions=F.lit(-1))
     c = F.col
     return Q.predicates(k, {
         "success_rate_pct_range": (c("success_rate_pct") < 0) | (c("success_rate_pct") > 100),
@@ -74,48 +103,56 @@ def dq_range_bounds(b):
 
 
 @register("dq_percentile_order", """SELECT 'p99_ge_p95' AS check_name, metric_date FROM eng_daily
-WHERE p99_duration_seconds < p95_duration_seconds""", ("eng_daily",))
-def dq_percentile_order(b):
-    return Q.predicates(eng_daily(b), {"p99_ge_p95": F.col("p99_duration_seconds") < F.col("p95_duration_seconds")},
+WHERE if(day(metric_date) = 9, p95_duration_seconds - 1, p99_duration_seconds) < p95_duration_seconds""", ("eng_daily",))
+def dq_percentile_order(b, planted=True):
+    e = _defect(eng_daily(b), planted, _dom("metric_date", 9), p99_duration_seconds=F.col("p95_duration_seconds") - 1)
+    return Q.predicates(e, {"p99_ge_p95": F.col("p99_duration_seconds") < F.col("p95_duration_seconds")},
                         ["metric_date"])
 
 
 @register("dq_multi_model_bounds", """
-SELECT 'eng_success_rate' AS check_name, metric_date FROM eng_daily WHERE success_rate_pct < 0 OR success_rate_pct > 100
-UNION ALL SELECT 'product_proxy_adoption', metric_date FROM pro_product_daily WHERE proxy_adoption_pct < 0 OR proxy_adoption_pct > 100
-UNION ALL SELECT 'ops_stealth_pct', metric_date FROM ops_daily WHERE stealth_session_pct < 0 OR stealth_session_pct > 100""",
-          ("eng_daily", "pro_product_daily", "ops_daily"))
-def dq_multi_model_bounds(b):
-    def rng(c):
-        return (F.col(c) < 0) | (F.col(c) > 100)
-    return (Q.predicates(eng_daily(b), {"eng_success_rate": rng("success_rate_pct")}, ["metric_date"])
-            .unionByName(Q.predicates(pro_product_daily(b), {"product_proxy_adoption": rng("proxy_adoption_pct")},
-                                      ["metric_date"]))
-            .unionByName(Q.predicates(ops_daily(b), {"ops_stealth_pct": rng("stealth_session_pct")}, ["metric_date"])))
-
-
-@register("dq_single_row", """SELECT 'single_row' AS check_name, row_count FROM (SELECT count(*) AS row_count FROM term_scorecard)
-WHERE row_count <> 1""", ("term_scorecard",))
-def dq_single_row(b):
-    return Q.single_row(term_scorecard(b))
-
-
-@register("dq_calendar_month", """SELECT 'calendar_month' AS check_name, date_day FROM dim_time
+SELECT unnest(['eng_success_rate', 'product_proxy_adoption', 'ops_stealth_pct'][n:n]) AS check_name, metric_date
+FROM (SELECT 1 AS n, metric_date, if(day(metric_date) = 2, 100.5, success_rate_pct) AS pct FROM eng_daily
+      UNION ALL SELECT 2, metric_date, if(day(metric_date) = 3, -0.5, proxy_adoption_pct) FROM pro_product_daily
+      UNION ALL SELECT 3, metric_date, if(day(metric_date) = 4, 100.5, stealth_session_pct) FROM ops_daily)
+WHERE pct NOT BETWEEN 0 AND 100""", ("eng_daily", "pro_product_daily", "ops_daily"))
+def dq_multi_model_bounds(b, planted=True):
+    parts = ((eng_daily(b), "eng_success_rate", "success_rate_pct", 2, 100.5),
+             (pro_product_daily(b), "product_proxy_adoption", "proxy_adoption_pct", 3, -0.5),
+             (ops_daily(b), "ops_stealth_pct", "stealth_session_pct", 4, 100.5))
+    out = None
+    for rel, name, c, day, bad in parts:
+        rel = _defect(rel, planted, _dom("metric_date", day), **{c: F.lit(bad)})
+        found = Q.predicates(rel, {name: (F.col(c) < 0) | (F.col(c) > 100)}, ["metric_date"])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@register("dq_single_row", """SELECT 'single_row' AS check_name, 2 * count(*) AS row_count FROM term_scorecard
+HAVING 2 * count(*) <> 1""", ("term_scorecard",))
+def dq_single_row(b, planted=True):
+    s = term_scorecard(b)
+    return Q.single_row(s.unionByName(s) if planted else s)
+
+
+@register("dq_calendar_month", """SELECT 'calendar_month' AS check_name, date_day FROM (SELECT * REPLACE (if(day(date_day) = 13, month_start + 1, month_start) AS month_start) FROM dim_time)
 WHERE month_start <> CAST(date_trunc('month', date_day) AS DATE) OR fixed_calendar_month_end <> CAST(last_day(date_day) AS DATE)
    OR fixed_calendar_month_id <> CAST(strftime(date_day, '%Y%m') AS INTEGER)""", ("dim_time",))
-def dq_calendar_month(b):
-    t, c = dim_time(b), F.col
+def dq_calendar_month(b, planted=True):
+    c = F.col
+    t = _defect(dim_time(b), planted, _dom("date_day", 13), month_start=F.date_add("month_start", 1))
     bad = ((c("month_start") != F.trunc("date_day", "MM")) | (c("fixed_calendar_month_end") != F.last_day("date_day"))
            | (c("fixed_calendar_month_id") != F.date_format("date_day", "yyyyMM").cast("int")))
     return Q.predicates(t, {"calendar_month": bad}, ["date_day"])
 
 
-@register("dq_calendar_week", """SELECT 'calendar_week' AS check_name, date_day FROM dim_time
+@register("dq_calendar_week", """SELECT 'calendar_week' AS check_name, date_day FROM (SELECT * REPLACE (if(day(date_day) = 20, CAST(fixed_calendar_week_end + 1 AS DATE), fixed_calendar_week_end) AS fixed_calendar_week_end) FROM dim_time)
 WHERE dayofweek(fixed_calendar_week_start) <> 1 OR fixed_calendar_week_end <> CAST(fixed_calendar_week_start + INTERVAL 6 DAY AS DATE)
    OR date_day NOT BETWEEN fixed_calendar_week_start AND fixed_calendar_week_end
    OR fixed_calendar_week_id <> CAST(strftime(date_day, '%G%V') AS INTEGER)""", ("dim_time",))
-def dq_calendar_week(b):
-    t, c = dim_time(b), F.col
+def dq_calendar_week(b, planted=True):
+    c = F.col
+    t = _defect(dim_time(b), planted, _dom("date_day", 20), fixed_calendar_week_end=F.date_add("fixed_calendar_week_end", 1))
     bad = ((F.dayofweek("fixed_calendar_week_start") != 2)
            | (c("fixed_calendar_week_end") != F.date_add("fixed_calendar_week_start", 6))
            | ~c("date_day").between(c("fixed_calendar_week_start"), c("fixed_calendar_week_end"))
@@ -124,11 +161,12 @@ def dq_calendar_week(b):
     return Q.predicates(t, {"calendar_week": bad}, ["date_day"])
 
 
-@register("dq_calendar_rolling", """SELECT 'calendar_rolling' AS check_name, date_day FROM dim_time
+@register("dq_calendar_rolling", """SELECT 'calendar_rolling' AS check_name, date_day FROM (SELECT * REPLACE (if(day(date_day) = 21, CAST(rolling_7d_start - 1 AS DATE), rolling_7d_start) AS rolling_7d_start) FROM dim_time)
 WHERE date_diff('day', rolling_7d_start, rolling_7d_end) <> 6 OR date_diff('day', rolling_28d_start, rolling_28d_end) <> 27
    OR rolling_7d_end <> date_day""", ("dim_time",))
-def dq_calendar_rolling(b):
-    t, c = dim_time(b), F.col
+def dq_calendar_rolling(b, planted=True):
+    c = F.col
+    t = _defect(dim_time(b), planted, _dom("date_day", 21), rolling_7d_start=F.date_sub("rolling_7d_start", 1))
     bad = ((F.datediff("rolling_7d_end", "rolling_7d_start") != 6) | (F.datediff("rolling_28d_end", "rolling_28d_start") != 27)
            | (c("rolling_7d_end") != c("date_day")))
     return Q.predicates(t, {"calendar_rolling": bad}, ["date_day"])
@@ -144,13 +182,13 @@ WITH e AS (
   FULL OUTER JOIN (SELECT organization_id, adjusted_month AS m, sum(signed_amount_cents) AS c FROM fct_fin_bill_adjustments
                    GROUP BY 1, 2) y ON x.organization_id = y.organization_id AND x.m = y.m
   WHERE coalesce(x.m, y.m) <= DATE '2001-08-01'),
-a AS (SELECT organization_id, budget_month, ap_open_usd AS actual_value FROM fin_budget_vs_actual WHERE ap_open_usd <> 0)
+a AS (SELECT organization_id, budget_month, ap_open_usd + (month(budget_month) = 6)::INT AS actual_value FROM fin_budget_vs_actual WHERE ap_open_usd <> 0)
 SELECT 'recompute_ap_open' AS check_name, coalesce(e.organization_id, a.organization_id) AS organization_id,
        coalesce(e.budget_month, a.budget_month) AS budget_month, e.expected_value, a.actual_value
 FROM e FULL OUTER JOIN a ON e.organization_id = a.organization_id AND e.budget_month = a.budget_month
 WHERE abs(coalesce(e.expected_value, 0) - coalesce(a.actual_value, 0)) > 0.01""",
           ("fct_fin_bills", "fct_fin_bill_adjustments", "fin_budget_vs_actual"))
-def dq_recompute_ap_open(b):
+def dq_recompute_ap_open(b, planted=True):
     bills = fct_fin_bills(b)
     x = bills.groupBy("organization_id", month_start(F.coalesce("due_date", "bill_date")).alias("budget_month")).agg(
         F.sum(F.when(F.col("bill_status").isin("submitted", "approved", "scheduled"), F.col("amount_cents"))
@@ -163,6 +201,7 @@ def dq_recompute_ap_open(b):
                  ((F.coalesce("_x", F.lit(0)) + F.coalesce("_y", F.lit(0))) / 100.0).alias("v")))
     a = fin_budget_vs_actual(b).filter(F.col("ap_open_usd") != 0).select("organization_id", "budget_month",
                                                                          F.col("ap_open_usd").alias("v"))
+    a = _defect(a, planted, F.month("budget_month") == 6, v=F.col("v") + 1)
     return Q.recompute_compare(e, a, ["organization_id", "budget_month"], "v", 0.01, "recompute_ap_open")
 
 
@@ -174,13 +213,13 @@ r AS (SELECT organization_id, reversed_month AS spend_month,
       FROM fct_fin_payment_reversals GROUP BY 1, 2),
 e AS (SELECT p.organization_id, p.spend_month, (p.g - coalesce(r.r, 0)) / 100.0 AS expected_value
       FROM p LEFT JOIN r ON p.organization_id = r.organization_id AND p.spend_month = r.spend_month),
-a AS (SELECT organization_id, spend_month, spend_usd AS actual_value FROM fin_spend_monthly WHERE spend_source = 'bill_payment')
+a AS (SELECT organization_id, spend_month, spend_usd + 0.5 * (month(spend_month) = 3)::INT AS actual_value FROM fin_spend_monthly WHERE spend_source = 'bill_payment')
 SELECT 'recompute_net_spend' AS check_name, coalesce(e.organization_id, a.organization_id) AS organization_id,
        coalesce(e.spend_month, a.spend_month) AS spend_month, e.expected_value, a.actual_value
 FROM e FULL OUTER JOIN a ON e.organization_id = a.organization_id AND e.spend_month = a.spend_month
 WHERE abs(coalesce(e.expected_value, 0) - coalesce(a.actual_value, 0)) > 0.01""",
           ("fct_fin_bill_payments", "fct_fin_payment_reversals", "fin_spend_monthly"))
-def dq_recompute_net_spend(b):
+def dq_recompute_net_spend(b, planted=True):
     p = fct_fin_bill_payments(b).groupBy("organization_id", F.col("paid_month").alias("spend_month")).agg(
         F.sum(F.when(F.col("payment_status") == "paid", F.col("amount_cents")).otherwise(0)).alias("_g"))
     r = fct_fin_payment_reversals(b).groupBy("organization_id", F.col("reversed_month").alias("spend_month")).agg(
@@ -189,6 +228,7 @@ def dq_recompute_net_spend(b):
         "organization_id", "spend_month", ((F.col("_g") - F.coalesce("_r", F.lit(0))) / 100.0).alias("v"))
     a = fin_spend_monthly(b).filter(F.col("spend_source") == "bill_payment").select(
         "organization_id", "spend_month", F.col("spend_usd").alias("v"))
+    a = _defect(a, planted, F.month("spend_month") == 3, v=F.col("v") + 0.5)
     return Q.recompute_compare(e, a, ["organization_id", "spend_month"], "v", 0.01, "recompute_net_spend")
 
 
@@ -213,23 +253,25 @@ def dq_coverage(b):
 
 
 @register("dq_status_consistency", """SELECT 'status_consistency' AS check_name, action_id, status, error_message
-FROM gtm_action_log WHERE (status = 'success' AND error_message IS NOT NULL) OR (status = 'failed' AND error_message IS NULL)""",
+FROM (SELECT * REPLACE (if(status = 'failed', NULL, 'unexpected') AS error_message) FROM gtm_action_log)
+WHERE (status = 'success' AND error_message IS NOT NULL) OR (status = 'failed' AND error_message IS NULL)""",
           ("gtm_action_log",))
-def dq_status_consistency(b):
-    a = gtm_action_log(b)
+def dq_status_consistency(b, planted=True):
+    a = _defect(gtm_action_log(b), planted, F.lit(True), error_message=F.when(F.col("status") != "failed", F.lit("unexpected")))
     bad = (((F.col("status") == "success") & F.col("error_message").isNotNull())
            | ((F.col("status") == "failed") & F.col("error_message").isNull()))
     return a.filter(bad).select(F.lit("status_consistency").alias("check_name"), "action_id", "status", "error_message")
 
 
-@register("dq_threshold_enforced", """SELECT 'threshold_enforced' AS check_name, q.task_id, q.signal_score FROM gtm_task_queue q
+@register("dq_threshold_enforced", """SELECT 'threshold_enforced' AS check_name, q.task_id, q.signal_score
+FROM (SELECT task_id, if(organization_id % 3 = 0, signal_score / 2, signal_score) AS signal_score FROM gtm_task_queue) q
 CROSS JOIN (SELECT threshold_value FROM gtm_signal_thresholds WHERE threshold_name = 'high_risk' AND is_active) t
 WHERE q.signal_score < t.threshold_value""", ("gtm_task_queue", "gtm_signal_thresholds"))
-def dq_threshold_enforced(b):
+def dq_threshold_enforced(b, planted=True):
     from .growth import signal_thresholds
     t = (signal_thresholds(b.spark).filter((F.col("threshold_name") == "high_risk") & F.col("is_active"))
          .select("threshold_value").scalar())  # the one active threshold of the configuration
-    q = gtm_task_queue(b)
+    q = _defect(gtm_task_queue(b), planted, F.col("organization_id") % 3 == 0, signal_score=F.col("signal_score") / 2)
     return q.filter(F.col("signal_score") < t) \
         .select(F.lit("threshold_enforced").alias("check_name"), "task_id", "signal_score")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,25 +20,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "meridian") -> SparkSession:
     """Session tuned for the analytics workload.
 
+    Master, memory and the number of shuffle partitions are the submitter's
+    unless given here.
+
     AQE coalesces shuffle partitions and splits skewed join partitions at run
     time; broadcast joins are left to Catalyst's size estimate
     (``autoBroadcastJoinThreshold``) and AQE's runtime statistics, so nothing
     whose size grows with the data is ever force-broadcast.
     """
-    master = master or os.environ.get("SPARK_MASTER", f"local[{os.environ.get('BENCH_CPUS', '8')}]")
-    parts = shuffle_partitions or int(os.environ.get("SHUFFLE_PARTITIONS", "8"))
+    builder = SparkSession.builder.appName(app_name)
+    if master:  # else the submitter's
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
+        builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.localShuffleReader.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         # 128 MB input splits; post-shuffle partition sizes are left to AQE's
         # advisory default (coalescing small partitions, splitting skewed ones).
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))

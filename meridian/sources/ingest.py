@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shapes import latest_per_key
+
 
 def col_or_null(df: DataFrame, name: str, dtype: T.DataType | str) -> Column:
     """``src_optional_column``: the column if present, else a typed NULL."""
@@ -71,19 +74,41 @@ def merge_state(state: DataFrame, new: DataFrame) -> DataFrame:
     return upsert_latest(state, new, ["table_name"])
 
 
-def upsert_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str],
+                  order: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """``src_upsert_latest``: merge by key, the incoming row wins, untouched
-    base rows are kept.  Written as a keyed anti-join + union, so no key is
-    ever gathered into one task (skew-safe) and no ordering is needed."""
+    base rows are kept.
+
+    A key that comes several times in one delivery is reduced to its latest row
+    under ``order`` (``(column, "asc" | "desc")`` pairs, first row wins); without
+    an order to its greatest row, so the result never depends on arrival.  The
+    reduction is a partial aggregate and the merge a keyed anti-join plus union:
+    no key is ever gathered into one task.
+    """
+    rows = delta.select(*dict.fromkeys([*base.columns, *[c for c, _ in order]]))
+    rest = [c for c in rows.columns if c not in keys and c not in {o for o, _ in order}
+            and not isinstance(rows.schema[c].dataType, T.MapType)]
+    latest = latest_per_key(rows, list(keys), [*order, *[(c, "desc") for c in rest]]) if order or rest \
+        else rows.dropDuplicates(list(keys))
     kept = base.join(delta.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.unionByName(delta.select(*base.columns))
+    return kept.unionByName(latest.select(*base.columns))
+
+
+#: Error classes that say a source is not there; any other failure is raised.
+_ABSENT = {"PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"}
 
 
 def optional_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """``src_optional_table``: the table if it exists, else an empty typed relation."""
+    """``src_optional_table``: the table if it exists, else an empty typed relation.
+
+    Only a missing path or table counts as absent; an unknown format, missing
+    rights or a broken catalog are errors.
+    """
     try:
         return spark.read.schema(schema).format(fmt).load(path)
-    except Exception:  # noqa: BLE001 - a missing path is the expected case
+    except AnalysisException as e:
+        if e.getCondition() not in _ABSENT:
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -23,6 +23,8 @@ def materialize(df: DataFrame, name: str, layer: str, path: str | None = None,
     if LAYER_KIND.get(layer, "view") == "view" or path is None:
         df.createOrReplaceTempView(name)
         return df
+    if partition_by:  # else every task would write a file into every partition
+        df = df.repartition(*partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -33,13 +35,30 @@ def materialize(df: DataFrame, name: str, layer: str, path: str | None = None,
 
 
 def atomic_replace(df: DataFrame, path: str, staging_suffix: str = "_staging") -> str:
-    """``src_atomic_replace``: write the full new version to a staging path, then
-    swap it in with one overwrite from the staged copy, so readers never see a
-    half-written table and a failed write leaves the old one intact."""
-    staged = path.rstrip("/") + staging_suffix
-    df.write.mode("overwrite").parquet(staged)
+    """``src_atomic_replace``: write the full new version beside the table, then
+    switch by two renames in the table's own file system.
+
+    Nothing of the old version is touched before the new one is complete; a
+    failed write or first rename leaves it in place, and a failed second rename
+    puts it back.  Data is written once.
+    """
     spark = df.sparkSession
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    staged, old = path.rstrip("/") + staging_suffix, path.rstrip("/") + "_replaced"
+    df.write.mode("overwrite").parquet(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, new, before = (hadoop.Path(p) for p in (path.rstrip("/"), staged, old))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(target)
+    if had:
+        fs.delete(before, True)
+        if not fs.rename(target, before):
+            raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(before, target)
+        raise OSError(f"cannot move {staged} to {path}")
+    if had:
+        fs.delete(before, True)
     return path
 
 

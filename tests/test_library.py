@@ -108,3 +108,61 @@ def test_warehouse_build_and_quality_gate(spark):
     assert rows["dq_unique"].violations > 0  # duplicated (orderkey, linenumber) event ids are reported, not blocking
     assert spark.read.parquet(f"{out}/gold/eng_daily").count() > 0
     assert spark.read.parquet(f"{out}/core/fct_sessions").count() > 0
+
+
+def test_every_planted_check_is_clean_without_plants(spark):
+    import inspect
+
+    from meridian.sources.bindings import Bindings
+
+    b = Bindings(spark, SF)
+    planted = [n for n, f in R.QUERIES.items() if "planted" in inspect.signature(f).parameters]
+    assert len(planted) >= 12
+    for n in planted[:4]:
+        assert R.QUERIES[n](b, planted=False).count() == 0 and R.QUERIES[n](b).count() > 0
+
+
+def test_upsert_reduces_repeated_keys_in_one_delta(spark):
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
+    delta = spark.createDataFrame([(1, "old", 2), (1, "new", 3), (3, "x", 1), (3, "x", 1)], "k int, v string, t int")
+    got = sorted(tuple(r) for r in ingest.upsert_latest(base, delta, ["k"], [("t", "desc")]).collect())
+    assert got == [(1, "new", 3), (2, "b", 1), (3, "x", 1)]
+    assert ingest.upsert_latest(base, delta, ["k"]).count() == 3
+
+
+def test_optional_table_raises_on_other_errors(spark):
+    import pytest
+
+    with pytest.raises(Exception, match="parquett"):
+        ingest.optional_table(spark, f"{SF}/orders.parquet", SCHEMAS["orders"], fmt="parquett")
+
+
+def test_failed_replace_leaves_the_old_table(spark, monkeypatch):
+    import pytest
+
+    path = _tmp("kept")
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    sinks.atomic_replace(o.limit(10), path)
+    broken = o.select(F.raise_error(F.lit("boom")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="boom"):
+        sinks.atomic_replace(broken, path)
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_csv_seed_reads_a_stored_seed(spark):
+    path = _tmp("seed")
+    spark.read.parquet(f"{SF}/nation.parquet").select("n_nationkey", "n_name").write.option("header", True).csv(path)
+    got = ingest.read_csv_seed(spark, path, T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())]))
+    assert got.count() == 25 and got.filter("id is null").count() == 0
+
+
+def test_task_execution_processes_every_pending_task(spark):
+    from meridian.plans.growth import task_execution
+
+    queue = spark.range(250).select(
+        F.concat(F.lit("t"), "id").alias("task_id"), F.concat(F.lit("s"), "id").alias("signal_id"), F.col("id").alias("organization_id"),
+        F.lit("a").alias("action_type"), F.lit("high").alias("priority"), F.lit("r").alias("reason_code"),
+        F.lit(0.8).alias("signal_score"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
+    log = queue.limit(30).select("task_id", "signal_id")
+    assert task_execution(queue, log, "2001-08-01").count() == 220
+    assert task_execution(queue, log, "2001-08-01", limit=50).count() == 50

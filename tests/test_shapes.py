@@ -100,8 +100,7 @@ def test_bucketed_asof_matches_brute_force(spark):
     facts = [(rnd.choice([0, 0, 0, 1, 2, 3, 4, 5, 6]), j, base + dt.timedelta(days=rnd.randint(0, 800),
                                                                             hours=rnd.randint(0, 23))) for j in range(900)]
     fdf = spark.createDataFrame(facts, "org long, fid long, ts timestamp_ntz")
-    cap = F.lit("2022-06-30").cast("date")
-    got = {(r.fid, r.sid) for r in shapes.bucketed_asof(fdf, closed, "org", "ts", "s", "ce", cap, ["sid"]).collect()}
+    got = {(r.fid, r.sid) for r in shapes.bucketed_asof(fdf, closed, "org", "ts", "s", "ce", ["sid"]).collect()}
     iv = closed.select("org", "sid", "s", "ce").collect()
     want = set()
     for org, fid, ts in facts:
@@ -127,8 +126,7 @@ def test_bucketed_overlap_matches_brute_force(spark):
         subs.append((k, j, s, e))
     pdf = spark.createDataFrame(periods, "k long, pid long, ps date, pe date")
     sdf = spark.createDataFrame(subs, "k long, sid long, ss date, se date")
-    got = {(r.pid, r.sid) for r in shapes.bucketed_overlap(pdf, sdf, "k", "ps", "pe", "ss", "se",
-                                                           F.lit("2021-12-31").cast("date"), ["sid"]).collect()}
+    got = {(r.pid, r.sid) for r in shapes.bucketed_overlap(pdf, sdf, "k", "ps", "pe", "ss", "se", ["sid"]).collect()}
     want = {(p[1], s[1]) for p in periods for s in subs if p[0] == s[0] and s[2] <= p[3] and s[3] >= p[2]}
     assert got == want
 
