@@ -99,80 +99,62 @@ def gtm_lifecycle_accounts(b) -> DataFrame:
 
 
 _LIFECYCLE_SQL = """
-WITH ls AS (
-  SELECT account_id, count(*) AS leads_total, count(CASE WHEN lead_status = 'qualified' THEN 1 END) AS leads_qualified,
-         count(CASE WHEN lead_status = 'converted' THEN 1 END) AS leads_converted, min(created_at) AS first_prospect_at,
-         min(CASE WHEN lead_status IN ('qualified', 'converted') THEN updated_at END) AS first_qualified_at,
-         min(owner_employee_id) AS first_lead_owner_employee_id FROM b_leads GROUP BY 1),
-os AS (
-  SELECT account_id, count(*) AS opportunities_total,
-         count(CASE WHEN stage NOT IN ('closed_won', 'closed_lost') THEN 1 END) AS open_opportunities,
-         count(CASE WHEN stage = 'closed_won' THEN 1 END) AS won_opportunities,
-         count(CASE WHEN stage = 'closed_lost' THEN 1 END) AS lost_opportunities,
-         sum(CAST(round(CASE WHEN stage = 'closed_won' THEN coalesce(amount_usd, 0) ELSE 0 END * 100) AS BIGINT)) / 100.0 AS won_revenue_usd,
-         min(created_at) AS first_opportunity_at, min(CASE WHEN stage = 'closed_won' THEN closed_at END) AS first_closed_won_at,
-         min(owner_employee_id) AS first_opportunity_owner_employee_id FROM b_opportunities GROUP BY 1),
-ac AS (
-  SELECT account_id, count(*) AS activities_total, count(CASE WHEN activity_type = 'email' THEN 1 END) AS emails_total,
-         count(CASE WHEN activity_type = 'call' THEN 1 END) AS calls_total,
-         count(CASE WHEN activity_type = 'meeting' THEN 1 END) AS meetings_total, max(occurred_at) AS last_activity_at
-  FROM b_activities WHERE account_id IS NOT NULL GROUP BY 1),
-bs AS (
-  SELECT organization_id, min(CASE WHEN realized_revenue_usd > 0 THEN revenue_month END) AS first_paid_month,
-         sum(CAST(round(coalesce(realized_revenue_usd, 0) * 100) AS BIGINT)) / 100.0 AS lifetime_realized_revenue_usd
-  FROM fin_monthly_revenue GROUP BY 1),
-us AS (
-  SELECT organization_id, min(started_at) AS first_product_usage_at, max(started_at) AS last_product_usage_at,
-         count(*) AS lifetime_sessions FROM b_sessions GROUP BY 1),
-j AS (
-  SELECT a.*, org.organization_status, org.is_paying_customer, ls.leads_total, ls.leads_qualified, ls.leads_converted,
-         ls.first_prospect_at, ls.first_qualified_at, ls.first_lead_owner_employee_id, os.opportunities_total,
-         os.open_opportunities, os.won_opportunities, os.lost_opportunities, os.won_revenue_usd, os.first_opportunity_at,
-         os.first_closed_won_at, os.first_opportunity_owner_employee_id, ac.activities_total, ac.emails_total, ac.calls_total,
-         ac.meetings_total, ac.last_activity_at, bs.first_paid_month, bs.lifetime_realized_revenue_usd,
-         CAST(bs.first_paid_month AS TIMESTAMP) AS first_paid_at,
-         us.first_product_usage_at, us.last_product_usage_at, us.lifetime_sessions,
-         ao.full_name AS ao_name, ao.employee_email AS ao_email, lo.full_name AS lo_name, oo.full_name AS oo_name
-  FROM b_accounts a
-  LEFT JOIN dim_organizations org ON a.organization_id = org.organization_id
-  LEFT JOIN ls ON a.account_id = ls.account_id LEFT JOIN os ON a.account_id = os.account_id
-  LEFT JOIN ac ON a.account_id = ac.account_id LEFT JOIN bs ON a.organization_id = bs.organization_id
-  LEFT JOIN us ON a.organization_id = us.organization_id
-  LEFT JOIN b_employees ao ON a.owner_employee_id = ao.employee_id
-  LEFT JOIN b_employees lo ON ls.first_lead_owner_employee_id = lo.employee_id
-  LEFT JOIN b_employees oo ON os.first_opportunity_owner_employee_id = oo.employee_id)
+WITH touches AS (  -- everything that happened to an account
+  SELECT account_id, 'lead' AS kind, lead_status AS state, created_at AS happened_at, updated_at AS changed, owner_employee_id AS owner, 0::BIGINT AS cents
+  FROM b_leads
+  UNION ALL SELECT account_id, 'deal', stage, created_at, closed_at, owner_employee_id, CAST(round(ifnull(amount_usd, 0) * 100) AS BIGINT)
+  FROM b_opportunities
+  UNION ALL SELECT account_id, 'act', activity_type, occurred_at, NULL, NULL, 0 FROM b_activities),
+by_account AS (
+  SELECT account_id, count(*) FILTER (kind = 'lead') AS leads_total, count(*) FILTER (kind = 'lead' AND state = 'qualified') AS leads_qualified,
+         count(*) FILTER (kind = 'lead' AND state = 'converted') AS leads_converted, count(*) FILTER (kind = 'deal') AS opportunities_total,
+         count(*) FILTER (kind = 'deal' AND NOT starts_with(state, 'closed_')) AS open_opportunities,
+         count(*) FILTER (kind = 'deal' AND state = 'closed_won') AS won_opportunities,
+         count(*) FILTER (kind = 'deal' AND state = 'closed_lost') AS lost_opportunities,
+         coalesce(sum(cents) FILTER (state = 'closed_won'), 0) / 100.0 AS won_revenue_usd,
+         count(*) FILTER (kind = 'act') AS activities_total, count(*) FILTER (kind = 'act' AND state = 'email') AS emails_total,
+         count(*) FILTER (kind = 'act' AND state = 'call') AS calls_total, count(*) FILTER (kind = 'act' AND state = 'meeting') AS meetings_total,
+         min(happened_at) FILTER (kind = 'lead') AS first_prospect_at,
+         min(changed) FILTER (kind = 'lead' AND state IN ('qualified', 'converted')) AS first_qualified_at,
+         min(happened_at) FILTER (kind = 'deal') AS first_opportunity_at, min(changed) FILTER (kind = 'deal' AND state = 'closed_won') AS first_closed_won_at,
+         max(happened_at) FILTER (kind = 'act') AS last_activity_at, min(owner) FILTER (kind = 'lead') AS lead_owner, min(owner) FILTER (kind = 'deal') AS deal_owner
+  FROM touches GROUP BY account_id),
+by_org AS (
+  SELECT organization_id, min(happened_at) FILTER (NOT paid) AS first_product_usage_at, max(happened_at) FILTER (NOT paid) AS last_product_usage_at,
+         count(*) FILTER (NOT paid) AS lifetime_sessions, min(happened_at) FILTER (paid AND usd > 0) AS first_paid_at,
+         coalesce(sum(CAST(round(usd * 100) AS BIGINT)) FILTER (paid), 0) / 100.0 AS lifetime_realized_revenue_usd
+  FROM (SELECT organization_id, started_at AS happened_at, FALSE AS paid, NULL::DOUBLE AS usd FROM b_sessions
+        UNION ALL SELECT organization_id, CAST(revenue_month AS TIMESTAMP), TRUE, realized_revenue_usd FROM fin_monthly_revenue) GROUP BY 1),
+whole AS (
+  SELECT a.*, t.* EXCLUDE (account_id), u.* EXCLUDE (organization_id),
+         ifnull((SELECT any_value(is_paying_customer) FROM dim_organizations d WHERE d.organization_id = a.organization_id), FALSE)
+           OR u.first_paid_at IS NOT NULL AS did_pay,
+         (SELECT any_value(organization_status) FROM dim_organizations d WHERE d.organization_id = a.organization_id) AS standing,
+         u.first_product_usage_at IS NOT NULL AS is_using,
+         ifnull(u.last_product_usage_at - INTERVAL 30 DAY >= u.first_product_usage_at, FALSE) AS is_staying_30d
+  FROM b_accounts a LEFT JOIN by_account t ON t.account_id = a.account_id LEFT JOIN by_org u ON u.organization_id = a.organization_id)
 SELECT account_id, organization_id, account_name, account_status, account_tier, industry, employee_band, source_system,
-       owner_employee_id AS account_owner_employee_id, ao_name AS account_owner_name, ao_email AS account_owner_email,
-       first_lead_owner_employee_id, lo_name AS first_lead_owner_name, first_opportunity_owner_employee_id,
-       oo_name AS first_opportunity_owner_name,
-       coalesce(leads_total, 0) AS leads_total, coalesce(leads_qualified, 0) AS leads_qualified,
-       coalesce(leads_converted, 0) AS leads_converted, coalesce(opportunities_total, 0) AS opportunities_total,
-       coalesce(open_opportunities, 0) AS open_opportunities, coalesce(won_opportunities, 0) AS won_opportunities,
-       coalesce(lost_opportunities, 0) AS lost_opportunities, coalesce(won_revenue_usd, 0.0) AS won_revenue_usd,
-       coalesce(activities_total, 0) AS activities_total, coalesce(emails_total, 0) AS emails_total,
-       coalesce(calls_total, 0) AS calls_total, coalesce(meetings_total, 0) AS meetings_total,
-       first_prospect_at, first_qualified_at, first_opportunity_at, first_closed_won_at, first_paid_at,
-       first_product_usage_at, last_product_usage_at, last_activity_at,
+       owner_employee_id AS account_owner_employee_id, own.name AS account_owner_name, own.mail AS account_owner_email,
+       lead_owner AS first_lead_owner_employee_id, lead_name.name AS first_lead_owner_name,
+       deal_owner AS first_opportunity_owner_employee_id, deal_name.name AS first_opportunity_owner_name,
+       COLUMNS(['first_prospect_at', 'first_qualified_at', 'first_opportunity_at', 'first_closed_won_at', 'first_paid_at',
+                          'first_product_usage_at', 'last_product_usage_at', 'last_activity_at', 'did_pay', 'is_using', 'is_staying_30d']),
+       ifnull(COLUMNS(['leads_total', 'leads_qualified', 'leads_converted', 'opportunities_total', 'open_opportunities',
+                                 'won_opportunities', 'lost_opportunities', 'won_revenue_usd', 'activities_total', 'emails_total',
+                                 'calls_total', 'meetings_total', 'lifetime_realized_revenue_usd', 'lifetime_sessions']), 0),
        round(date_diff('second', first_prospect_at, first_qualified_at) / 86400.0, 2) AS days_prospect_to_qualified,
        round(date_diff('second', first_qualified_at, first_opportunity_at) / 86400.0, 2) AS days_qualified_to_opportunity,
        round(date_diff('second', first_opportunity_at, first_closed_won_at) / 86400.0, 2) AS days_opportunity_to_closed_won,
        round(date_diff('second', first_closed_won_at, first_paid_at) / 86400.0, 2) AS days_closed_won_to_paid,
-       coalesce(lifetime_realized_revenue_usd, 0.0) AS lifetime_realized_revenue_usd,
-       coalesce(lifetime_sessions, 0) AS lifetime_sessions,
-       first_paid_month IS NOT NULL OR coalesce(is_paying_customer, FALSE) AS did_pay,
-       first_product_usage_at IS NOT NULL AS is_using,
-       coalesce(first_product_usage_at IS NOT NULL AND last_product_usage_at >= first_product_usage_at + INTERVAL 30 DAY, FALSE)
-         AS is_staying_30d,
-       CASE WHEN organization_status = 'churned' THEN 'churned'
-            WHEN first_product_usage_at IS NOT NULL AND last_product_usage_at >= first_product_usage_at + INTERVAL 30 DAY
-              THEN 'retained_customer'
-            WHEN first_product_usage_at IS NOT NULL THEN 'active_customer'
-            WHEN first_paid_month IS NOT NULL OR coalesce(is_paying_customer, FALSE) THEN 'paid_customer'
-            WHEN first_closed_won_at IS NOT NULL THEN 'closed_won' WHEN first_opportunity_at IS NOT NULL THEN 'opportunity'
-            WHEN first_qualified_at IS NOT NULL THEN 'qualified' WHEN first_prospect_at IS NOT NULL THEN 'prospect'
-            ELSE 'target' END AS lifecycle_stage,
+       ['churned', 'retained_customer', 'active_customer', 'paid_customer', 'closed_won', 'opportunity', 'qualified', 'prospect', 'target'][
+         list_position([ifnull(standing = 'churned', FALSE), is_staying_30d, is_using, did_pay, first_closed_won_at IS NOT NULL,
+                        first_opportunity_at IS NOT NULL, first_qualified_at IS NOT NULL, first_prospect_at IS NOT NULL, TRUE], TRUE)]
+         AS lifecycle_stage,
        created_at AS account_created_at, updated_at AS account_updated_at
-FROM j
+FROM whole
+LEFT JOIN (SELECT employee_id, full_name AS name, employee_email AS mail FROM b_employees) own ON own.employee_id = owner_employee_id
+LEFT JOIN (SELECT employee_id, full_name AS name FROM b_employees) lead_name ON lead_name.employee_id = lead_owner
+LEFT JOIN (SELECT employee_id, full_name AS name FROM b_employees) deal_name ON deal_name.employee_id = deal_owner
 """
 from .oracle_views import view  # noqa: E402
 
@@ -232,45 +214,38 @@ def gtm_unit_economics(b) -> DataFrame:
 
 
 view("gtm_unit_economics", """
-WITH lm AS (SELECT CAST(date_trunc('month', account_created_at) AS DATE) AS metric_month, count(*) AS new_accounts
-            FROM gtm_lifecycle_accounts GROUP BY 1),
-pm AS (SELECT CAST(date_trunc('month', first_prospect_at) AS DATE) AS metric_month, count(*) AS new_prospects
-       FROM gtm_lifecycle_accounts WHERE first_prospect_at IS NOT NULL GROUP BY 1),
-pdm AS (SELECT CAST(date_trunc('month', first_paid_at) AS DATE) AS metric_month, count(*) AS new_paid_customers
-        FROM gtm_lifecycle_accounts WHERE first_paid_at IS NOT NULL GROUP BY 1),
-um AS (SELECT CAST(date_trunc('month', first_product_usage_at) AS DATE) AS metric_month, count(*) AS new_using_customers,
-              count(CASE WHEN is_staying_30d THEN 1 END) AS retained_30d_customers
-       FROM gtm_lifecycle_accounts WHERE first_product_usage_at IS NOT NULL GROUP BY 1),
-cm AS (SELECT metric_month, sum(CAST(round(campaign_budget_usd * 100) AS BIGINT)) / 100.0 AS campaign_spend_usd,
-              sum(CAST(round(won_revenue_usd * 100) AS BIGINT)) / 100.0 AS pipeline_won_revenue_usd,
-              CAST(sum(leads_created) AS BIGINT) AS leads_created, CAST(sum(leads_qualified) AS BIGINT) AS leads_qualified,
-              CAST(sum(leads_converted) AS BIGINT) AS leads_converted, CAST(sum(opportunities_total) AS BIGINT) AS opportunities_total,
-              CAST(sum(opportunities_won) AS BIGINT) AS opportunities_won FROM gtm_campaign_channel GROUP BY 1),
-rm AS (SELECT revenue_month AS metric_month, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) / 100.0 AS realized_revenue_usd,
-              count(DISTINCT CASE WHEN realized_revenue_usd > 0 THEN organization_id END) AS paying_customers_in_month
-       FROM fin_monthly_revenue GROUP BY 1),
-cal AS (SELECT metric_month FROM lm UNION SELECT metric_month FROM pm UNION SELECT metric_month FROM pdm
-        UNION SELECT metric_month FROM um UNION SELECT metric_month FROM cm UNION SELECT metric_month FROM rm),
-f AS (SELECT c.metric_month, coalesce(lm.new_accounts, 0) AS new_accounts, coalesce(pm.new_prospects, 0) AS new_prospects,
-             coalesce(pdm.new_paid_customers, 0) AS new_paid_customers, coalesce(um.new_using_customers, 0) AS new_using_customers,
-             coalesce(um.retained_30d_customers, 0) AS retained_30d_customers, coalesce(cm.leads_created, 0) AS leads_created,
-             coalesce(cm.leads_qualified, 0) AS leads_qualified, coalesce(cm.leads_converted, 0) AS leads_converted,
-             coalesce(cm.opportunities_total, 0) AS opportunities_total, coalesce(cm.opportunities_won, 0) AS opportunities_won,
-             coalesce(cm.campaign_spend_usd, 0.0) AS campaign_spend_usd,
-             coalesce(cm.pipeline_won_revenue_usd, 0.0) AS pipeline_won_revenue_usd,
-             coalesce(rm.realized_revenue_usd, 0.0) AS realized_revenue_usd,
-             coalesce(rm.paying_customers_in_month, 0) AS paying_customers_in_month
-      FROM cal c LEFT JOIN lm ON c.metric_month = lm.metric_month LEFT JOIN pm ON c.metric_month = pm.metric_month
-      LEFT JOIN pdm ON c.metric_month = pdm.metric_month LEFT JOIN um ON c.metric_month = um.metric_month
-      LEFT JOIN cm ON c.metric_month = cm.metric_month LEFT JOIN rm ON c.metric_month = rm.metric_month)
-SELECT *, round(campaign_spend_usd / nullif(new_paid_customers::DOUBLE, 0), 2) AS cac_usd,
-       round(realized_revenue_usd / nullif(paying_customers_in_month::DOUBLE, 0), 2) AS arpu_usd,
-       round(retained_30d_customers::DOUBLE / nullif(new_paid_customers::DOUBLE, 0), 4) AS retention_30d_rate,
+WITH told AS (  -- (month, measure, amount); campaign and revenue money in cents
+  SELECT account_created_at AS happened_at, 'new_accounts' AS m, 1::BIGINT AS n FROM gtm_lifecycle_accounts
+  UNION ALL SELECT first_prospect_at, 'new_prospects', 1 FROM gtm_lifecycle_accounts
+  UNION ALL SELECT first_paid_at, 'new_paid_customers', 1 FROM gtm_lifecycle_accounts
+  UNION ALL SELECT first_product_usage_at, unnest(['new_using_customers', if(is_staying_30d, 'retained_30d_customers', NULL)]), 1
+  FROM gtm_lifecycle_accounts
+  UNION ALL SELECT metric_month, unnest(['leads_created', 'leads_qualified', 'leads_converted', 'opportunities_total',
+                                         'opportunities_won', 'spend', 'won']),
+                   unnest([leads_created, leads_qualified, leads_converted, opportunities_total, opportunities_won,
+                           CAST(round(campaign_budget_usd * 100) AS BIGINT), CAST(round(won_revenue_usd * 100) AS BIGINT)])
+  FROM gtm_campaign_channel
+  UNION ALL SELECT revenue_month, 'realized', sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) FROM fin_monthly_revenue GROUP BY 1
+  UNION ALL SELECT revenue_month, 'paying', count(DISTINCT organization_id) FILTER (realized_revenue_usd > 0) FROM fin_monthly_revenue GROUP BY 1),
+book AS (
+  SELECT CAST(date_trunc('month', happened_at) AS DATE) AS metric_month, map_from_entries(list((m, n))) AS b
+  FROM (SELECT date_trunc('month', happened_at) AS happened_at, m, CAST(sum(n) AS BIGINT) AS n FROM told WHERE happened_at IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2)
+  GROUP BY 1),
+flat AS (
+  SELECT metric_month, ifnull(b['new_accounts'], 0) AS new_accounts, ifnull(b['new_prospects'], 0) AS new_prospects,
+         ifnull(b['new_paid_customers'], 0) AS new_paid_customers, ifnull(b['new_using_customers'], 0) AS new_using_customers,
+         ifnull(b['retained_30d_customers'], 0) AS retained_30d_customers, ifnull(b['leads_created'], 0) AS leads_created,
+         ifnull(b['leads_qualified'], 0) AS leads_qualified, ifnull(b['leads_converted'], 0) AS leads_converted,
+         ifnull(b['opportunities_total'], 0) AS opportunities_total, ifnull(b['opportunities_won'], 0) AS opportunities_won,
+         ifnull(b['spend'], 0) / 100.0 AS campaign_spend_usd, ifnull(b['won'], 0) / 100.0 AS pipeline_won_revenue_usd,
+         ifnull(b['realized'], 0) / 100.0 AS realized_revenue_usd, ifnull(b['paying'], 0) AS paying_customers_in_month FROM book),
+rated AS (SELECT *, retained_30d_customers / nullif(new_paid_customers::DOUBLE, 0) AS kept,
+                 realized_revenue_usd / nullif(paying_customers_in_month::DOUBLE, 0) AS each_pays FROM flat)
+SELECT * EXCLUDE (kept, each_pays), round(campaign_spend_usd / nullif(new_paid_customers::DOUBLE, 0), 2) AS cac_usd,
+       round(each_pays, 2) AS arpu_usd, round(kept, 4) AS retention_30d_rate,
        round(pipeline_won_revenue_usd / nullif(campaign_spend_usd, 0), 4) AS pipeline_roas,
-       round((realized_revenue_usd / nullif(paying_customers_in_month::DOUBLE, 0))
-             * ((retained_30d_customers::DOUBLE / nullif(new_paid_customers::DOUBLE, 0))
-                / nullif(1.0 - (retained_30d_customers::DOUBLE / nullif(new_paid_customers::DOUBLE, 0)), 0)), 2) AS ltv_proxy_usd
-FROM f
+       round(each_pays * (kept / nullif(1.0 - kept, 0)), 2) AS ltv_proxy_usd
+FROM rated
 """, "gtm_lifecycle_accounts", "gtm_campaign_channel", "fin_monthly_revenue")
 register("gtm_unit_economics", "SELECT * FROM gtm_unit_economics", ("gtm_unit_economics",),
          inputs=("gtm_lifecycle_accounts", "gtm_campaign_channel", "fin_monthly_revenue"))(gtm_unit_economics)
