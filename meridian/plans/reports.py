@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp, count_if, exact_sum, pct_change, safe_ratio, week_start
+from ..functions.exprs import clamp, count_if, exact_avg, exact_sum, pct_change, safe_ratio, week_start
 from ..operators.shapes import latest_per_key
 from .core import bridge_org_activity, dim_organizations, fct_sessions
 from .finance import fin_customer_unit_economics, fin_monthly_revenue, fin_mrr
 from .finance_ops import fin_budget_vs_actual, fin_spend_monthly, fin_vendor_spend_monthly
 from .growth import (gtm_action_log, gtm_active_organizations, gtm_campaign_channel, gtm_cohort_retention,
-                     gtm_funnel_daily, gtm_task_execution, gtm_task_queue, gtm_trial_risk)
+                     gtm_funnel_daily, gtm_growth_kpis, gtm_pipeline_snapshot, gtm_task_execution, gtm_task_queue,
+                     gtm_trial_risk)
 from .oracle_views import AS_OF_SQL, AS_OF_TS_SQL
-from .product import eng_daily, eng_kpis, ops_daily, pro_product_daily, pro_sessions_daily
+from .product import eng_daily, eng_kpis, ops_daily, ops_kpis, pro_product_daily, pro_sessions_daily
 from .registry import register
 from .terminal import core_daily_kpis, core_metric_spine, term_business_snapshot
 
@@ -96,31 +97,49 @@ def rpt_top_orgs(b):
             .orderBy(F.col("sessions_last_30d").desc(), "organization_id").limit(25))
 
 
-@register("rpt_workflow_qa", """SELECT q.queued_tasks, a.actions, a.successful_actions,
-       round(a.actions::DOUBLE / nullif(q.queued_tasks, 0) * 100, 2) AS coverage_pct,
-       round(a.successful_actions::DOUBLE / nullif(a.actions, 0) * 100, 2) AS success_pct
-FROM (SELECT count(*) AS queued_tasks FROM gtm_task_queue) q
-CROSS JOIN (SELECT count(*) AS actions, count(CASE WHEN status = 'success' THEN 1 END) AS successful_actions FROM (
-  SELECT task_id, status FROM gtm_action_log UNION ALL SELECT task_id, status FROM gtm_task_execution)) a""",
-          ("gtm_task_queue", "gtm_action_log", "gtm_task_execution"))
+@register("rpt_workflow_qa", """
+WITH done AS (SELECT task_id, signal_id, status FROM gtm_action_log UNION ALL SELECT task_id, signal_id, status FROM gtm_task_execution),
+t AS (SELECT *, (task_id, signal_id) NOT IN (SELECT task_id, signal_id FROM done) AS idle FROM gtm_task_queue),
+n AS (SELECT count(*) AS k, count(*) FILTER (status = 'success') AS good, count(*) FILTER (status = 'failed') AS bad FROM done)
+SELECT count(*) AS queued_tasks, count(DISTINCT signal_id) AS queued_signals,
+       round(CAST(sum(CAST(round(signal_score * 10000) AS BIGINT)) / 10000.0 / nullif(count(*), 0) AS DOUBLE), 4) AS avg_signal_score,
+       any_value(n.k) AS actions_logged, any_value(n.good) AS actions_success, any_value(n.bad) AS actions_failed,
+       count(*) FILTER (idle) AS queue_without_action,
+       round(100.0::DOUBLE * any_value(n.good) / nullif(any_value(n.k), 0), 2) AS action_success_rate_pct,
+       round(100.0::DOUBLE * count(*) FILTER (NOT idle) / nullif(count(*), 0), 2) AS queue_action_coverage_pct
+FROM t, n""", ("gtm_task_queue", "gtm_action_log", "gtm_task_execution"))
 def rpt_workflow_qa(b):
-    q = gtm_task_queue(b).agg(F.count(F.lit(1)).alias("queued_tasks"))
-    acts = gtm_action_log(b).select("task_id", "status").unionByName(gtm_task_execution(b).select("task_id", "status"))
-    j = q.select("queued_tasks", acts.agg(F.count(F.lit(1))).scalar().alias("actions"),
-                 acts.agg(count_if(F.col("status") == "success")).scalar().alias("successful_actions"))
-    return j.select("queued_tasks", "actions", "successful_actions",
-                    safe_ratio("actions", "queued_tasks").alias("coverage_pct"),
-                    safe_ratio("successful_actions", "actions").alias("success_pct"))
-
-
-@register("rpt_at_risk_paying", """SELECT o.organization_id, o.organization_name, o.current_plan_name, a.days_since_last_session
-FROM dim_organizations o JOIN bridge_org_activity a ON o.organization_id = a.organization_id
-WHERE o.is_paying_customer AND a.days_since_last_session >= 14""", ("dim_organizations", "bridge_org_activity"))
+    """Coverage counts tasks that have an action of their own task and signal."""
+    t = gtm_task_queue(b).select("task_id", "signal_id", "signal_score")
+    pick = ["task_id", "signal_id", "status"]
+    done = gtm_action_log(b).select(pick).unionByName(gtm_task_execution(b).select(pick))
+    idle = t.join(done, ["task_id", "signal_id"], "left_anti").agg(F.count(F.lit(1))).scalar()
+    a = done.agg(F.count(F.lit(1)).alias("actions_logged"), count_if(F.col("status") == "success").alias("actions_success"),
+                 count_if(F.col("status") == "failed").alias("actions_failed"))
+    q = t.agg(F.count(F.lit(1)).alias("queued_tasks"), F.countDistinct("signal_id").alias("queued_signals"),
+              F.round(exact_avg("signal_score", 4), 4).alias("avg_signal_score"))
+    names = ["actions_logged", "actions_success", "actions_failed"]
+    j = q.select("*", *[a.select(c).scalar().alias(c) for c in names], idle.alias("queue_without_action"))
+    return j.select("*", safe_ratio("actions_success", "actions_logged").alias("action_success_rate_pct"),
+                    safe_ratio(F.col("queued_tasks") - F.col("queue_without_action"), "queued_tasks")
+                    .alias("queue_action_coverage_pct"))
+
+
+@register("rpt_at_risk_paying", """
+SELECT organization_id, organization_name, current_plan_name, current_plan_price_usd, idle AS days_since_last_session,
+       CAST(current_period_end AS DATE) AS renewal_date, runs AS lifetime_sessions
+FROM dim_organizations JOIN (SELECT organization_id, days_since_last_session AS idle, total_sessions AS runs FROM bridge_org_activity)
+  USING (organization_id)
+WHERE is_paying_customer AND idle > 13
+ORDER BY idle DESC, current_plan_price_usd DESC, organization_id LIMIT 100""", ("dim_organizations", "bridge_org_activity"))
 def rpt_at_risk_paying(b):
+    """The 100 paying organisations that have been idle longest, two weeks at least."""
     o = dim_organizations(b).filter(F.col("is_paying_customer"))
     a = bridge_org_activity(b).filter(F.col("days_since_last_session") >= 14)
-    return o.join(a, "organization_id").select("organization_id", "organization_name", "current_plan_name",
-                                               "days_since_last_session")
+    return (o.join(a, "organization_id").select(
+        "organization_id", "organization_name", "current_plan_name", "current_plan_price_usd", "days_since_last_session",
+        F.to_date("current_period_end").alias("renewal_date"), F.col("total_sessions").alias("lifetime_sessions"))
+        .orderBy(F.col("days_since_last_session").desc(), F.col("current_plan_price_usd").desc(), "organization_id").limit(100))
 
 
 @register("rpt_reliability_30d", f"""SELECT metric_date, total_sessions, success_rate_pct, failure_rate_pct, timeout_rate_pct,
@@ -166,9 +185,12 @@ def rpt_budget_6m(b):
                                          exact_sum("budget_variance_usd", 2).alias("variance_usd"))
 
 
-@register("rpt_ops_kpis", "SELECT * FROM ops_daily ORDER BY metric_date DESC LIMIT 7", ("ops_daily",))
+@register("rpt_ops_kpis", """SELECT * REPLACE (round(total_gb_transferred_30d, 2) AS total_gb_transferred_30d) FROM ops_kpis
+ORDER BY as_of_date DESC LIMIT 90""", ("ops_kpis",))
 def rpt_ops_kpis(b):
-    return ops_daily(b).orderBy(F.col("metric_date").desc()).limit(7)
+    """The 30-day operations figures, newest snapshot first."""
+    k = ops_kpis(b).withColumn("total_gb_transferred_30d", F.round("total_gb_transferred_30d", 2))
+    return k.orderBy(F.col("as_of_date").desc()).limit(90)
 
 
 @register("rpt_wow_compare", f"""
@@ -201,36 +223,72 @@ def rpt_wow_compare(b):
                     safe_ratio("p_ok", "p_n").alias("previous_success_pct"))
 
 
-@register("rpt_failure_modes", """SELECT browser_type AS owner, session_status AS failure_type, count(*) AS failures,
-       count(DISTINCT organization_id) AS orgs, round(count(*) * (1 + 0.35 * count(DISTINCT organization_id)), 2) AS impact,
-       CASE WHEN session_status = 'timeout' THEN 'raise timeout or split workload' ELSE 'inspect error events' END AS action
-FROM fct_sessions WHERE session_status IN ('failed', 'timeout') GROUP BY 1, 2""", ("fct_sessions",))
+# Session statuses by the team that looks into them, and what to do about a status.
+FAILURE_TEAMS = (("platform", ("timeout", "network_error", "capacity_exceeded")),
+                 ("automation", ("failed", "selector_error", "interaction_error", "navigation_error")))
+FAILURE_ACTIONS = (("timeout", "Tighten timeout defaults and improve retry backoff."),
+                   ("failed", "Investigate top failing selectors and fallback strategies."),
+                   ("running", "Audit stuck executions and queue handoff guards."))
+FAILURE_ELSE = ("orchestration", "Inspect traces and route to owning team.")
+
+
+@register("rpt_failure_modes", f"""
+WITH team(owner, known) AS (VALUES {", ".join(f"('{o}', {list(k)})" for o, k in FAILURE_TEAMS)}),
+advice(of, recommended_action) AS (VALUES {", ".join(f"('{k}', '{a}')" for k, a in FAILURE_ACTIONS)}),
+lost AS (SELECT ifnull(session_status, 'unknown') AS failure_type, lower(ifnull(session_status, '')) AS st, organization_id, project_id, duration_seconds
+         FROM fct_sessions WHERE started_at + INTERVAL 14 DAY >= {AS_OF_TS_SQL}
+           AND NOT (ifnull(is_successful, FALSE) AND lower(ifnull(session_status, '')) NOT IN ('failed', 'timeout', 'error')))
+SELECT coalesce((SELECT any_value(owner) FROM team WHERE list_contains(known, st)), '{FAILURE_ELSE[0]}') AS owner, failure_type,
+       count(*) AS failed_runs, count(DISTINCT organization_id) AS affected_orgs, count(DISTINCT project_id) AS affected_projects,
+       round(avg(duration_seconds), 1) AS avg_duration_seconds,
+       round(count(*) + 0.35::DOUBLE * count(*) * count(DISTINCT organization_id), 1) AS impact_score,
+       coalesce((SELECT any_value(recommended_action) FROM advice WHERE advice.of = st), '{FAILURE_ELSE[1]}') AS recommended_action
+FROM lost GROUP BY failure_type, st ORDER BY impact_score DESC, failed_runs DESC, failure_type LIMIT 12""", ("fct_sessions",))
 def rpt_failure_modes(b):
-    s = fct_sessions(b).filter(F.col("session_status").isin("failed", "timeout"))
-    g = s.groupBy(F.col("browser_type").alias("owner"), F.col("session_status").alias("failure_type")).agg(
-        F.count(F.lit(1)).alias("failures"), F.countDistinct("organization_id").alias("orgs"))
-    return g.select("owner", "failure_type", "failures", "orgs",
-                    F.round(F.col("failures") * (1 + 0.35 * F.col("orgs")), 2).alias("impact"),
-                    F.when(F.col("failure_type") == "timeout", "raise timeout or split workload")
-                     .otherwise("inspect error events").alias("action"))
-
-
-@register("rpt_task_triage", """SELECT task_id, organization_name, priority, signal_score, reason_code, due_at,
-       CASE reason_code WHEN 'no_recent_usage' THEN 'onboarding call' WHEN 'no_successful_runs' THEN 'technical review'
-            WHEN 'low_success_rate' THEN 'reliability fix' ELSE 'check-in' END AS recommended_action,
-       CASE WHEN priority = 'urgent' THEN 'phone' ELSE 'email' END AS channel
-FROM gtm_task_queue ORDER BY CASE priority WHEN 'urgent' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, signal_score DESC, due_at, task_id""",
-          ("gtm_task_queue",))
+    """Failed runs of the last 14 days by status, ranked by their impact."""
+    st = F.lower(F.coalesce("session_status", F.lit("")))
+    since = F.lit(f"{b.as_of} 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS")
+    s = fct_sessions(b).filter((F.col("started_at") >= since)
+                               & (~F.coalesce("is_successful", F.lit(False)) | st.isin("failed", "timeout", "error")))
+    owner, action = F.lit(FAILURE_ELSE[0]), F.lit(FAILURE_ELSE[1])
+    for team, known in FAILURE_TEAMS:
+        owner = F.when(st.isin(*known), team).otherwise(owner)
+    for known, text in FAILURE_ACTIONS:
+        action = F.when(st == known, text).otherwise(action)
+    g = s.groupBy(owner.alias("owner"), F.coalesce("session_status", F.lit("unknown")).alias("failure_type"),
+                  action.alias("recommended_action")).agg(
+        F.count(F.lit(1)).alias("failed_runs"), F.countDistinct("organization_id").alias("affected_orgs"),
+        F.countDistinct("project_id").alias("affected_projects"), F.round(F.avg("duration_seconds"), 1).alias("avg_duration_seconds"))
+    impact = F.round(F.col("failed_runs") * (1 + 0.35 * F.col("affected_orgs")), 1)
+    return g.withColumn("impact_score", impact).orderBy(F.col("impact_score").desc(), F.col("failed_runs").desc(),
+                                                        "failure_type").limit(12)
+
+
+# What to do by reason, and the channel by lowest score.
+TRIAGE_ACTIONS = {"no_recent_usage": "Run onboarding rescue sequence", "no_successful_runs": "Run onboarding rescue sequence",
+                  "low_success_rate": "Schedule technical success review", "trial_ending_soon": "Exec close plan + pricing call"}
+TRIAGE_ELSE = "Manual growth triage"
+TRIAGE_CHANNELS = ((0.9, "call"), (0.8, "email_then_call"))
+
+
+@register("rpt_task_triage", f"""
+SELECT task_id, organization_name, priority, signal_score, reason_code, due_at,
+       ifnull(map_from_entries({list(TRIAGE_ACTIONS.items())})[reason_code], '{TRIAGE_ELSE}') AS recommended_action,
+       ['email', 'email_then_call', 'call'][1 + (signal_score >= 0.8)::INT + (signal_score >= 0.9)::INT] AS recommended_channel
+FROM gtm_task_queue WHERE task_status = 'pending'
+ORDER BY list_position(['urgent', 'high'], priority) NULLS LAST, signal_score DESC, due_at, task_id LIMIT 50""", ("gtm_task_queue",))
 def rpt_task_triage(b):
-    t = gtm_task_queue(b)
-    rc = F.col("reason_code")
-    act = (F.when(rc == "no_recent_usage", "onboarding call").when(rc == "no_successful_runs", "technical review")
-           .when(rc == "low_success_rate", "reliability fix").otherwise("check-in"))
+    """The 50 pending tasks to look at first."""
+    act, channel = F.lit(TRIAGE_ELSE), F.lit("email")
+    for reason, text in TRIAGE_ACTIONS.items():
+        act = F.when(F.col("reason_code") == reason, text).otherwise(act)
+    for least, how in reversed(TRIAGE_CHANNELS):
+        channel = F.when(F.col("signal_score") >= least, how).otherwise(channel)
     rank = F.when(F.col("priority") == "urgent", 1).when(F.col("priority") == "high", 2).otherwise(3)
-    return (t.select("task_id", "organization_name", "priority", "signal_score", "reason_code", "due_at",
-                     act.alias("recommended_action"),
-                     F.when(F.col("priority") == "urgent", "phone").otherwise("email").alias("channel"))
-            .orderBy(rank, F.col("signal_score").desc(), "due_at", "task_id"))
+    return (gtm_task_queue(b).filter(F.col("task_status") == "pending")
+            .orderBy(rank, F.col("signal_score").desc(), "due_at", "task_id").limit(50)
+            .select("task_id", "organization_name", "priority", "signal_score", "reason_code", "due_at",
+                    act.alias("recommended_action"), channel.alias("recommended_channel")))
 
 
 @register("rpt_action_summary_7d", f"""SELECT action_type, status, count(*) AS actions FROM (
@@ -298,7 +356,6 @@ def rpt_month_leaderboard(b):
        round(sum(CAST(round(campaign_roas * 10000) AS BIGINT)) / 10000.0 / nullif(count(campaign_roas), 0), 4) AS avg_roas
 FROM gtm_campaign_channel GROUP BY 1, 2""", ("gtm_campaign_channel",))
 def rpt_channel_efficiency(b):
-    from ..functions.exprs import exact_avg
     c = gtm_campaign_channel(b)
     return c.groupBy("metric_month", "channel").agg(
         F.countDistinct("campaign_id").alias("campaigns"), exact_sum("won_revenue_usd", 2).alias("revenue_usd"),
@@ -394,54 +451,62 @@ def rpt_spine_daily(b):
                                         exact_sum("subscription_mrr_usd", 2).alias("mrr_usd"))
 
 
-def _org_revenue(b):
-    r = fin_monthly_revenue(b)
-    return r.groupBy("organization_id").agg(
-        F.max("organization_name").alias("organization_name"),
-        F.sum(F.round(F.col("realized_revenue_usd") * 100).cast("long")).alias("_rev_c"),
-        F.sum(F.round(F.col("gross_revenue_usd") * 100).cast("long")).alias("_gross_c"))
-
-
-@register("rpt_customer_risk_board", """SELECT r.organization_id, r.organization_name, r.rev / 100.0 AS revenue_usd,
-       round(s.signal_score * 100, 2) AS risk_score, s.reason_code
-FROM (SELECT organization_id, max(organization_name) AS organization_name, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) AS rev
-      FROM fin_monthly_revenue GROUP BY 1) r
-JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY triggered_at DESC, signal_id DESC) AS rn
-                     FROM gtm_trial_risk) WHERE rn = 1) s ON r.organization_id = s.organization_id""",
-          ("fin_monthly_revenue", "gtm_trial_risk"))
+def _finance_rows(b, most: int):
+    """The newest organisation-months by realised revenue, as the boards read them."""
+    return (fin_monthly_revenue(b).orderBy(F.col("revenue_month").desc(), F.col("realized_revenue_usd").desc(), "organization_id").limit(most)
+            .select("organization_id", "revenue_month", "organization_name", "realized_revenue_usd", "pending_revenue_usd", "collection_rate_pct"))
+
+
+def _latest_risk(b):
+    cols = ["organization_id", "triggered_at", "signal_id", "signal_score", "success_rate_7d", "total_runs_7d"]
+    return latest_per_key(gtm_trial_risk(b).select(*cols), ["organization_id"], [("triggered_at", "desc"), ("signal_id", "desc")])
+
+
+_FINANCE_ROWS = """SELECT organization_id, revenue_month, organization_name, realized_revenue_usd, pending_revenue_usd, collection_rate_pct
+  FROM fin_monthly_revenue ORDER BY revenue_month DESC, realized_revenue_usd DESC, organization_id LIMIT"""
+
+
+@register("rpt_customer_risk_board", f"""
+WITH board AS ({_FINANCE_ROWS} 100),
+worst AS (SELECT organization_id, arg_max({{'p': signal_score, 's': success_rate_7d, 'n': total_runs_7d}}, ROW(triggered_at, signal_id)) AS r
+          FROM gtm_trial_risk GROUP BY 1)
+SELECT organization_id, organization_name, realized_revenue_usd, pending_revenue_usd, collection_rate_pct, ifnull(r.n, 0) AS runs_7d,
+       ifnull(r.s, 0.0) AS success_rate_7d, round(100 * ifnull(r.p, 0.0), 2) AS risk_score
+FROM board LEFT JOIN worst USING (organization_id)""", ("fin_monthly_revenue", "gtm_trial_risk"))
 def rpt_customer_risk_board(b):
-    risk = latest_per_key(gtm_trial_risk(b).select("organization_id", "triggered_at", "signal_id", "signal_score",
-                                                   "reason_code"),
-                          ["organization_id"], [("triggered_at", "desc"), ("signal_id", "desc")])
-    r = _org_revenue(b)
-    return r.join(risk, "organization_id").select("organization_id", "organization_name",
-                                                  (F.col("_rev_c") / 100.0).alias("revenue_usd"),
-                                                  F.round(F.col("signal_score") * 100, 2).alias("risk_score"),
-                                                  "reason_code")
-
-
-@register("rpt_momentum_score", """
-WITH r AS (SELECT organization_id, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) AS rev,
-                  sum(CAST(round(gross_revenue_usd * 100) AS BIGINT)) AS gross FROM fin_monthly_revenue GROUP BY 1),
-a AS (SELECT organization_id, round(completed_sessions::DOUBLE / nullif(total_sessions, 0) * 100, 2) AS reliability
-      FROM bridge_org_activity),
-s AS (SELECT organization_id, max(signal_score) AS risk FROM gtm_trial_risk GROUP BY 1)
-SELECT r.organization_id, r.rev / 100.0 AS revenue_usd,
-       round(least(greatest(0.5 * coalesce(a.reliability, 70.0) + 0.35 * coalesce(round(r.rev::DOUBLE / nullif(r.gross, 0) * 100, 2), 35.0)
-             + 0.15 * (100 - coalesce(s.risk * 100, 0.0)), 0.0), 100.0), 2) AS momentum_score
-FROM r LEFT JOIN a ON r.organization_id = a.organization_id LEFT JOIN s ON r.organization_id = s.organization_id
-ORDER BY revenue_usd DESC, r.organization_id LIMIT 100""", ("fin_monthly_revenue", "bridge_org_activity", "gtm_trial_risk"))
+    """The 100 newest organisation-months by revenue; without a risk signal the risk is 0."""
+    j = _finance_rows(b, 100).join(_latest_risk(b), "organization_id", "left")
+    return j.select("organization_id", "organization_name", "realized_revenue_usd", "pending_revenue_usd", "collection_rate_pct",
+                    F.coalesce("total_runs_7d", F.lit(0)).alias("runs_7d"),
+                    F.coalesce("success_rate_7d", F.lit(0.0)).alias("success_rate_7d"),
+                    F.round(F.coalesce("signal_score", F.lit(0.0)) * 100, 2).alias("risk_score"))
+
+
+# Reliability and risk of an organisation without a signal.
+NO_SIGNAL = (70.0, 35.0)
+
+
+@register("rpt_momentum_score", f"""
+WITH board AS ({_FINANCE_ROWS} 120),
+worst AS (SELECT organization_id, arg_max([success_rate_7d * 100, signal_score * 100], ROW(triggered_at, signal_id)) AS r FROM gtm_trial_risk GROUP BY 1),
+rated AS (SELECT board.*, ifnull(r[1], {NO_SIGNAL[0]}::DOUBLE) AS up, ifnull(r[2], {NO_SIGNAL[1]}::DOUBLE) AS down, ifnull(collection_rate_pct, 0) AS paid
+          FROM board LEFT JOIN worst USING (organization_id))
+SELECT organization_id, organization_name, revenue_month, realized_revenue_usd, pending_revenue_usd, paid AS collection_rate_pct,
+       round(up, 2) AS reliability_pct, round(down, 2) AS risk_score,
+       round(greatest(0, least(100, up * 0.5::DOUBLE + paid * 0.35::DOUBLE + (100 - down) * 0.15::DOUBLE)), 2) AS momentum_score
+FROM rated ORDER BY realized_revenue_usd DESC, organization_id, revenue_month DESC LIMIT 100""",
+          ("fin_monthly_revenue", "gtm_trial_risk"))
 def rpt_momentum_score(b):
-    r = _org_revenue(b)
-    a = bridge_org_activity(b).select("organization_id",
-                                      safe_ratio("completed_sessions", "total_sessions").alias("reliability"))
-    s = gtm_trial_risk(b).groupBy("organization_id").agg(F.max("signal_score").alias("risk"))
-    j = r.join(a, "organization_id", "left").join(s, "organization_id", "left")
-    score = (0.5 * F.coalesce("reliability", F.lit(70.0)) + 0.35 * F.coalesce(safe_ratio("_rev_c", "_gross_c"), F.lit(35.0))
-             + 0.15 * (100 - F.coalesce(F.col("risk") * 100, F.lit(0.0))))
-    out = j.select("organization_id", (F.col("_rev_c") / 100.0).alias("revenue_usd"),
-                   F.round(clamp(score, 0.0, 100.0), 2).alias("momentum_score"))
-    return out.orderBy(F.col("revenue_usd").desc(), "organization_id").limit(100)
+    """Half reliability, 35 % collection, 15 % absence of risk, 0 to 100."""
+    j = _finance_rows(b, 120).join(_latest_risk(b), "organization_id", "left")
+    up = F.coalesce(F.col("success_rate_7d") * 100, F.lit(NO_SIGNAL[0]))
+    down = F.coalesce(F.col("signal_score") * 100, F.lit(NO_SIGNAL[1]))
+    paid = F.coalesce("collection_rate_pct", F.lit(0.0))
+    score = clamp(up * 0.5 + paid * 0.35 + (100 - down) * 0.15, 0.0, 100.0)
+    return (j.select("organization_id", "organization_name", "revenue_month", "realized_revenue_usd", "pending_revenue_usd",
+                     paid.alias("collection_rate_pct"), F.round(up, 2).alias("reliability_pct"), F.round(down, 2).alias("risk_score"),
+                     F.round(score, 2).alias("momentum_score"))
+            .orderBy(F.col("realized_revenue_usd").desc(), "organization_id", F.col("revenue_month").desc()).limit(100))
 
 
 @register("rpt_mix_share", """SELECT p.plan_name, sum(p.monthly_price_usd) AS mrr_usd,
@@ -479,26 +544,38 @@ def rpt_latest_change(b):
                          (prev_c / 100.0).alias("previous_revenue_usd"), pct_change(F.col("cur._c"), prev_c).alias("change_pct"))
 
 
-# Status band thresholds (metric, green bound, yellow bound, higher_is_better).
-STATUS_BANDS = [
-    ("avg_success_rate_pct_30d", 95.0, 90.0, True),
-    ("avg_errors_per_1k_sessions_30d", 500.0, 1000.0, False),
-    ("avg_p95_duration_seconds_30d", 2400.0, 2600.0, False),
-]
-
-
-@register("rpt_status_bands", "\nUNION ALL\n".join(
-    f"SELECT '{m}' AS metric, {m} AS value, CASE WHEN {m} IS NULL THEN 'unknown' WHEN "
-    + (f"{m} >= {g} THEN 'green' WHEN {m} >= {y}" if hib else f"{m} <= {g} THEN 'green' WHEN {m} <= {y}")
-    + " THEN 'yellow' ELSE 'red' END AS status FROM eng_kpis" for m, g, y, hib in STATUS_BANDS), ("eng_kpis",))
+# Metric, green bound, yellow bound, whether higher is better; a money
+# metric is green above zero and yellow otherwise.
+STATUS_BANDS = (("30d success rate", 95.0, 90.0, True), ("30d timeout rate", 2.0, 4.0, False),
+                ("30d errors per 1k sessions", 8.0, 15.0, False), ("7d activation rate", 40.0, 25.0, True),
+                ("Total MRR", 0.0, None, True), ("Open pipeline", 0.0, None, True))
+
+
+@register("rpt_status_bands", """
+SELECT metric, value, CASE WHEN sign * value >= sign * green THEN 'green' WHEN sign * value >= sign * yellow THEN 'yellow' ELSE 'red' END AS status
+FROM (SELECT unnest(['30d success rate', '30d timeout rate', '30d errors per 1k sessions', '7d activation rate']) AS metric,
+             ifnull(unnest([avg_success_rate_pct_30d, avg_timeout_rate_pct_30d, avg_errors_per_1k_sessions_30d, avg_activation_rate_7d_pct]), 0) AS value,
+             unnest([95, 2, 8, 40]) AS green, unnest([90, 4, 15, 25]) AS yellow, unnest([1, -1, -1, 1]) AS sign
+      FROM eng_kpis POSITIONAL JOIN gtm_growth_kpis)
+UNION ALL
+SELECT metric, ifnull(value, 0), if(value > 0, 'green', 'yellow')
+FROM (SELECT 'Total MRR' AS metric, CAST(total_mrr_usd AS DOUBLE) AS value FROM fin_mrr
+      UNION ALL SELECT 'Open pipeline', CAST(open_pipeline_usd AS DOUBLE) FROM gtm_pipeline_snapshot)""",
+          ("eng_kpis", "gtm_growth_kpis", "fin_mrr", "gtm_pipeline_snapshot"))
 def rpt_status_bands(b):
-    k = eng_kpis(b)
+    """Six headline metrics with a green, yellow or red band each; a missing value counts as 0."""
+    e = eng_kpis(b)
+    values = (e.select("avg_success_rate_pct_30d"), e.select("avg_timeout_rate_pct_30d"), e.select("avg_errors_per_1k_sessions_30d"),
+              gtm_growth_kpis(b).select("avg_activation_rate_7d_pct"), fin_mrr(b).select("total_mrr_usd"),
+              gtm_pipeline_snapshot(b).select("open_pipeline_usd"))
     out = None
-    for m, g, y, hib in STATUS_BANDS:
-        v = F.col(m)
-        st = (F.when(v.isNull(), "unknown").when(v >= g if hib else v <= g, "green")
-              .when(v >= y if hib else v <= y, "yellow").otherwise("red"))
-        part = k.select(F.lit(m).alias("metric"), v.alias("value"), st.alias("status"))
+    for frame, (metric, green, yellow, higher) in zip(values, STATUS_BANDS, strict=True):
+        v = F.coalesce(F.col(frame.columns[0]).cast("double"), F.lit(0.0))
+        if yellow is None:
+            st = F.when(v > green, "green").otherwise("yellow")
+        else:
+            st = F.when(v >= green if higher else v <= green, "green").when(v >= yellow if higher else v <= yellow, "yellow").otherwise("red")
+        part = frame.select(F.lit(metric).alias("metric"), v.alias("value"), st.alias("status"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -514,26 +591,22 @@ def rpt_due_soon(b):
 @register("rpt_reason_breakdown", """SELECT reason_code, count(*) AS signals, round(avg(signal_score), 4) AS avg_risk
 FROM gtm_trial_risk GROUP BY 1 ORDER BY signals DESC, reason_code LIMIT 5""", ("gtm_trial_risk",))
 def rpt_reason_breakdown(b):
-    from ..functions.exprs import exact_avg
     r = gtm_trial_risk(b).groupBy("reason_code").agg(F.count(F.lit(1)).alias("signals"),
                                                      F.round(exact_avg("signal_score", 4), 4).alias("avg_risk"))
     return r.orderBy(F.col("signals").desc(), "reason_code").limit(5)
 
 
-@register("rpt_funnel_step_rates", """SELECT metric_date, leads_created, qualified_leads_created, leads_converted,
-       round(qualified_leads_created::DOUBLE / nullif(leads_created, 0) * 100, 2) AS lead_to_qualified_pct,
-       round(opportunities_created::DOUBLE / nullif(leads_converted, 0) * 100, 2) AS converted_to_opp_pct,
-       round(opportunities_closed_won::DOUBLE / nullif(opportunities_created, 0) * 100, 2) AS opp_to_won_pct
-FROM gtm_funnel_daily WHERE metric_date = (SELECT max(metric_date) FROM gtm_funnel_daily WHERE leads_created > 0)""",
-          ("gtm_funnel_daily",))
+@register("rpt_funnel_step_rates", """
+SELECT metric_date, leads_created, qualified_leads_created, leads_converted,
+       ifnull(round(100.0::DOUBLE * qualified_leads_created / nullif(leads_created, 0), 2), 0) AS lead_to_qualified_pct,
+       ifnull(round(100.0::DOUBLE * leads_converted / nullif(qualified_leads_created, 0), 2), 0) AS qualified_to_converted_pct
+FROM gtm_funnel_daily ORDER BY metric_date DESC LIMIT 1""", ("gtm_funnel_daily",))
 def rpt_funnel_step_rates(b):
-    f = gtm_funnel_daily(b)
-    latest = f.filter(F.col("leads_created") > 0).agg(F.max("metric_date").alias("metric_date"))  # one row
-    return f.join(latest, "metric_date", "left_semi").select(
+    """Step rates of the latest day; a step from nothing has the rate 0."""
+    return gtm_funnel_daily(b).orderBy(F.col("metric_date").desc()).limit(1).select(
         "metric_date", "leads_created", "qualified_leads_created", "leads_converted",
-        safe_ratio("qualified_leads_created", "leads_created").alias("lead_to_qualified_pct"),
-        safe_ratio("opportunities_created", "leads_converted").alias("converted_to_opp_pct"),
-        safe_ratio("opportunities_closed_won", "opportunities_created").alias("opp_to_won_pct"))
+        F.coalesce(safe_ratio("qualified_leads_created", "leads_created"), F.lit(0.0)).alias("lead_to_qualified_pct"),
+        F.coalesce(safe_ratio("leads_converted", "qualified_leads_created"), F.lit(0.0)).alias("qualified_to_converted_pct"))
 
 
 @register("rpt_source_share", """SELECT spend_source, c / 100.0 AS spend_usd, round(c::DOUBLE / sum(c) OVER () * 100, 2) AS share_pct
