@@ -5,11 +5,10 @@
 1. core layer: the core facts and dimensions are written as Parquet under the
    shared folder (``spark.checkpoint.dir`` unless ``--out``), fact tables
    partitioned by month;
-2. gold layer: every requested product is computed and written next to them,
-   so consumers (reports, exports) read stored tables and a lost executor on
-   their side re-reads files instead of recomputing the upstream lineage;
-3. quality gate: every ``dq_*`` check runs and its violating-row count is
-   reported; the build fails (exit 1) when a blocking check has violations.
+2. gold layer: every requested product is computed from the stored core tables
+   and written next to them, so a lost executor costs a re-read of files;
+3. quality gate: every ``dq_*`` check runs over the stored tables (without the
+   defects its registered query plants) and its violating-row count is reported; the build fails (exit 1) when a blocking check has violations.
 """
 
 from __future__ import annotations

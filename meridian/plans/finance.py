@@ -9,7 +9,7 @@ from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_
 from ..operators.shapes import bucketed_asof, bucketed_overlap, close_intervals, explode_months, latest_per_key
 from .core import dim_organizations, fct_sessions
 from .oracle_views import AS_OF_SQL, view
-from .registry import register
+from .registry import register, stored_first
 
 OPEN_END_TS = "2999-12-31 00:00:00"
 
@@ -46,6 +46,7 @@ def monthly_revenue(invoices: DataFrame, orgs: DataFrame) -> DataFrame:
         F.round(safe_div("_realized", "_gross") * 100.0, 2).alias("collection_rate_pct"))
 
 
+@stored_first
 def fin_monthly_revenue(b) -> DataFrame:
     return monthly_revenue(b.invoices, dim_organizations(b))
 
@@ -54,6 +55,8 @@ def revenue_amounts(b) -> DataFrame:
     """``fin_monthly_revenue`` for consumers that only need the amounts and the
     organisation name: same rows and values, without the current-plan lookup
     (no latest-subscription pick, no plan join)."""
+    if "fin_monthly_revenue" in b.stored:
+        return b.stored["fin_monthly_revenue"]
     orgs = b.organizations.select("organization_id", "organization_name",
                                   F.lit(None).cast("string").alias("current_plan_name"))
     return monthly_revenue(b.invoices, orgs)
@@ -159,6 +162,7 @@ FROM begun s LEFT JOIN b_plans p USING (plan_id)
 """, "begun", "b_plans")
 
 
+@stored_first
 def fin_subscription_history(b) -> DataFrame:
     return subscription_history(b.subscriptions, b.plans)
 

@@ -27,9 +27,10 @@ CORE_LAYER: dict[str, tuple[str, ...]] = {
 
 
 def materialize(b, names: dict[str, tuple[str, ...]] = CORE_LAYER, base: str | None = None) -> dict[str, DataFrame]:
+    """Write each product and register its stored table with the bindings, so
+    that later products, of this layer and above, read it."""
     load_all()
     base = (base or scratch_path(b.spark, "warehouse")).rstrip("/")
-    out = {}
     for name, parts in names.items():
-        out[name] = sinks.materialize(QUERIES[name](b), name, "core", f"{base}/{name}", partition_by=parts)
-    return out
+        b.stored[name] = sinks.materialize(QUERIES[name](b), name, "core", f"{base}/{name}", partition_by=parts)
+    return {name: b.stored[name] for name in names}

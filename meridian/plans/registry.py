@@ -9,6 +9,7 @@ lineage/catalog operators can enumerate the products.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame
 
@@ -41,6 +42,18 @@ def register(name: str, sql: str | None = None, deps: tuple[str, ...] = (), inpu
     return deco
 
 
+def stored_first(fn: Builder) -> Builder:
+    """Decorator for a product of the core layer: the stored table if the
+    bindings have one, else the product's plan."""
+
+    @wraps(fn)
+    def run(b) -> DataFrame:
+        found = b.stored.get(fn.__name__)
+        return fn(b) if found is None else found
+
+    return run
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (core, staging, operators_q, product, growth, growth_lifecycle, finance, finance_ops, terminal,  # noqa: F401

@@ -79,6 +79,8 @@ class Bindings:
         self.spark = spark
         self.t = Tables(spark, sf_dir)
         self.as_of = as_of
+        #: Products already written as tables, by name; products built on them read these.
+        self.stored: dict[str, DataFrame] = {}
 
     # ------------------------------------------------------------------ plans
     @cached_property

@@ -29,7 +29,7 @@ def materialize(df: DataFrame, name: str, layer: str, path: str | None = None,
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
     out.createOrReplaceTempView(name)
     return out
 

@@ -96,6 +96,10 @@ def test_layer_materialization_cuts_lineage(spark):
     assert s.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "lineitem" not in plan
+    assert s.columns == R.QUERIES["fct_sessions"](Bindings(spark, SF)).columns
+    # A product above the layer reads the stored fact, not the raw tables it was made from.
+    gold = R.QUERIES["eng_daily"](b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in gold and "/fct_sessions" in R.QUERIES["eng_daily"](b)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_warehouse_build_and_quality_gate(spark):
