@@ -4,8 +4,8 @@
 
 Each run resumes from the job's checkpoint under ``spark.checkpoint.dir``
 (``streams/<job>/checkpoint``), so scheduling the command repeatedly processes
-only newly arrived files.  Aggregating jobs write complete results; ingest and
-dedupe append.
+only newly arrived files.  Every job appends: windows and sessions are written
+once, when the watermark has passed them (the last ones with later data).
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from . import jobs
 JOBS = {
     "ingest": (lambda s, a: jobs.incremental_ingest(s, a.high_watermark, a.synced_at), "append"),
     "dedupe": (lambda s, a: jobs.dedupe(s), "append"),
-    "daily_kpis": (lambda s, a: jobs.daily_kpis(s), "complete"),
-    "trailing_active": (lambda s, a: jobs.trailing_active(s), "complete"),
-    "sessionize": (lambda s, a: jobs.sessionize(s), "complete"),
+    "daily_kpis": (lambda s, a: jobs.daily_kpis(s), "append"),
+    "trailing_active": (lambda s, a: jobs.trailing_active(s), "append"),
+    "sessionize": (lambda s, a: jobs.sessionize(s), "append"),
 }
 
 
@@ -35,13 +35,7 @@ def main(argv=None) -> int:
     a = ap.parse_args(argv)
     spark = build_session()
     build, mode = JOBS[a.job]
-    df = build(jobs.event_stream(spark, a.data), a)
-    if mode == "complete":
-        # Complete results are rewritten per run through foreachBatch (file sinks only append).
-        q = jobs.start(df, a.job, mode="complete",
-                       foreach_batch=lambda batch, _epoch: batch.write.mode("overwrite").parquet(a.out))
-    else:
-        q = jobs.start(df, a.job, mode="append", sink="parquet", path=a.out)
+    q = jobs.start(build(jobs.event_stream(spark, a.data), a), a.job, mode=mode, sink="parquet", path=a.out)
     q.awaitTermination()
     return 0 if q.exception() is None else 1
 
