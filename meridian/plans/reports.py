@@ -33,30 +33,41 @@ def _months_back(col, b, n):
     return F.col(col) >= F.add_months(F.trunc(_d(b), "MM"), -n)
 
 
-@register("rpt_exec_scorecard_30d", f"SELECT * FROM core_daily_kpis WHERE date >= {AS_OF_SQL} - INTERVAL 30 DAY ORDER BY date DESC",
-          ("core_daily_kpis",))
+@register("rpt_exec_scorecard_30d", f"""
+SELECT date, total_sessions, successful_sessions, failed_sessions, success_rate_pct, daily_active_organizations, new_organizations, new_users,
+       round(total_session_minutes, 1) AS total_session_minutes, round(total_gb_transferred, 2) AS total_gb_transferred
+FROM core_daily_kpis WHERE date_diff('day', date, {AS_OF_SQL}) < 30 ORDER BY date""", ("core_daily_kpis",))
 def rpt_exec_scorecard_30d(b):
-    return core_daily_kpis(b).filter(_since("date", b, 30)).orderBy(F.col("date").desc())
+    """The last 30 days up to the evaluation date, oldest first."""
+    return (core_daily_kpis(b).filter(_since("date", b, 29)).select(
+        "date", "total_sessions", "successful_sessions", "failed_sessions", "success_rate_pct", "daily_active_organizations",
+        "new_organizations", "new_users", F.round("total_session_minutes", 1).alias("total_session_minutes"),
+        F.round("total_gb_transferred", 2).alias("total_gb_transferred")).orderBy("date"))
 
 
-@register("rpt_mrr_trend", f"""SELECT month_start, sum(mrr_usd) AS mrr_usd, count(CASE WHEN mrr_usd > 0 THEN 1 END) AS paying_orgs
-FROM term_business_snapshot WHERE month_start >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 12 MONTH AS DATE)
-GROUP BY 1 ORDER BY 1""", ("term_business_snapshot",))
+@register("rpt_mrr_trend", f"""
+SELECT month_start AS as_of_date, sum(mrr_usd) AS total_mrr_usd, count(*) FILTER (mrr_usd > 0) AS total_paying_customers,
+       round(sum(mrr_usd) / nullif(count(*) FILTER (mrr_usd > 0), 0), 2) AS arpu_usd
+FROM term_business_snapshot WHERE date_diff('month', month_start, {AS_OF_SQL}) <= 12 GROUP BY 1 ORDER BY 1""",
+          ("term_business_snapshot",))
 def rpt_mrr_trend(b):
+    """Monthly MRR, paying customers and ARPU over the last 12 months."""
     s = term_business_snapshot(b).filter(_months_back("month_start", b, 12))
-    return s.groupBy("month_start").agg(exact_sum("mrr_usd", 2).alias("mrr_usd"),
-                                        count_if(F.col("mrr_usd") > 0).alias("paying_orgs")).orderBy("month_start")
+    g = s.groupBy(F.col("month_start").alias("as_of_date")).agg(
+        exact_sum("mrr_usd", 2).alias("total_mrr_usd"), count_if(F.col("mrr_usd") > 0).alias("total_paying_customers"))
+    return g.withColumn("arpu_usd", safe_ratio("total_mrr_usd", "total_paying_customers", 1.0)).orderBy("as_of_date")
 
 
-@register("rpt_plan_mix", """SELECT plan_name, mrr_usd, round(mrr_usd / nullif(total_mrr_usd, 0) * 100, 2) AS share_pct FROM (
-  SELECT 'starter' AS plan_name, starter_mrr_usd AS mrr_usd, total_mrr_usd FROM fin_mrr
-  UNION ALL SELECT 'pro', pro_mrr_usd, total_mrr_usd FROM fin_mrr
-  UNION ALL SELECT 'enterprise', enterprise_mrr_usd, total_mrr_usd FROM fin_mrr)""", ("fin_mrr",))
+@register("rpt_plan_mix", """
+SELECT unnest(['starter', 'pro', 'enterprise']) AS plan, unnest([starter_mrr_usd, pro_mrr_usd, enterprise_mrr_usd]) AS mrr_usd,
+       unnest([starter_customers, pro_customers, enterprise_customers]) AS customers
+FROM (SELECT * FROM fin_mrr ORDER BY as_of_date DESC LIMIT 1) ORDER BY mrr_usd DESC""", ("fin_mrr",))
 def rpt_plan_mix(b):
-    m = fin_mrr(b).select("total_mrr_usd", F.col("starter_mrr_usd").alias("starter"), F.col("pro_mrr_usd").alias("pro"),
-                          F.col("enterprise_mrr_usd").alias("enterprise"))
-    u = m.unpivot("total_mrr_usd", ["starter", "pro", "enterprise"], "plan_name", "mrr_usd")
-    return u.select("plan_name", "mrr_usd", safe_ratio("mrr_usd", "total_mrr_usd").alias("share_pct"))
+    """Revenue and customers by plan in the latest snapshot."""
+    m = fin_mrr(b).orderBy(F.col("as_of_date").desc()).limit(1)
+    rows = F.array(*[F.struct(F.lit(p).alias("plan"), F.col(f"{p}_mrr_usd").alias("mrr_usd"), F.col(f"{p}_customers").alias("customers"))
+                     for p in ("starter", "pro", "enterprise")])
+    return m.select(F.inline(rows)).orderBy(F.col("mrr_usd").desc())
 
 
 @register("rpt_cohort_matrix", """SELECT * FROM gtm_cohort_retention
@@ -70,31 +81,36 @@ def rpt_cohort_matrix(b):
 
 
 @register("rpt_signup_funnel", """
-SELECT CAST(date_trunc('week', o.organization_created_at) AS DATE) AS signup_week, count(*) AS signups,
-       count(*) FILTER (WHERE a.first_session_at <= o.organization_created_at + INTERVAL 7 DAY) AS activated_7d,
-       count(*) FILTER (WHERE o.is_paying_customer) AS paying,
-       round(count(*) FILTER (WHERE a.first_session_at <= o.organization_created_at + INTERVAL 7 DAY)::DOUBLE / count(*) * 100, 2)
-         AS activation_rate_pct,
-       round(count(*) FILTER (WHERE o.is_paying_customer)::DOUBLE / count(*) * 100, 2) AS paying_rate_pct
-FROM dim_organizations o LEFT JOIN bridge_org_activity a ON o.organization_id = a.organization_id GROUP BY 1""",
-          ("dim_organizations", "bridge_org_activity"))
+WITH joined AS (
+  SELECT CAST(date_trunc('week', organization_created_at) AS DATE) AS signup_week, is_paying_customer AS pays,
+         organization_id IN (SELECT s.organization_id FROM fct_sessions s
+                             WHERE s.started_at <= o.organization_created_at + INTERVAL 7 DAY) AS quick
+  FROM dim_organizations o WHERE organization_created_at >= (SELECT max(CAST(organization_created_at AS DATE)) FROM dim_organizations) - INTERVAL 180 DAY)
+SELECT signup_week, count(*) AS signups, count(*) FILTER (quick) AS activated_7d, count(*) FILTER (pays) AS paying_orgs,
+       round(100.0::DOUBLE * count(*) FILTER (quick) / count(*), 2) AS activation_rate_7d_pct,
+       round(100.0::DOUBLE * count(*) FILTER (pays) / count(*), 2) AS paid_rate_pct
+FROM joined GROUP BY 1 ORDER BY 1 DESC""", ("dim_organizations", "fct_sessions"))
 def rpt_signup_funnel(b):
-    o = dim_organizations(b).join(bridge_org_activity(b).select("organization_id", "first_session_at"),
-                                  "organization_id", "left")
+    """Sign-ups of the 180 days up to the latest one by week, with activation in the first 7 days and payment."""
+    first = fct_sessions(b).groupBy("organization_id").agg(F.min("started_at").alias("first_session_at"))
+    orgs = dim_organizations(b)
+    since = orgs.agg(F.date_sub(F.max(F.to_date("organization_created_at")), 180).cast("timestamp_ntz")).scalar()
+    o = orgs.filter(F.col("organization_created_at") >= since).join(first, "organization_id", "left")
     act = F.col("first_session_at") <= F.col("organization_created_at") + F.expr("INTERVAL 7 DAYS")
     g = o.groupBy(week_start("organization_created_at").alias("signup_week")).agg(
         F.count(F.lit(1)).alias("signups"), F.count_if(act).alias("activated_7d"),
-        F.count_if(F.col("is_paying_customer")).alias("paying"))
-    return g.select("signup_week", "signups", "activated_7d", "paying",
-                    safe_ratio("activated_7d", "signups").alias("activation_rate_pct"),
-                    safe_ratio("paying", "signups").alias("paying_rate_pct"))
+        F.count_if(F.col("is_paying_customer")).alias("paying_orgs"))
+    return g.select("*", safe_ratio("activated_7d", "signups").alias("activation_rate_7d_pct"),
+                    safe_ratio("paying_orgs", "signups").alias("paid_rate_pct")).orderBy(F.col("signup_week").desc())
 
 
-@register("rpt_top_orgs", """SELECT organization_id, organization_name, sessions_last_30d, activity_tier FROM gtm_active_organizations
-ORDER BY sessions_last_30d DESC, organization_id LIMIT 25""", ("gtm_active_organizations",))
+@register("rpt_top_orgs", """
+SELECT organization_id, organization_name, current_plan_name, is_paying_customer, sessions_last_30d, lifetime_sessions, activity_tier, last_session_date
+FROM gtm_active_organizations ORDER BY sessions_last_30d DESC, organization_id LIMIT 25""", ("gtm_active_organizations",))
 def rpt_top_orgs(b):
-    return (gtm_active_organizations(b).select("organization_id", "organization_name", "sessions_last_30d", "activity_tier")
-            .orderBy(F.col("sessions_last_30d").desc(), "organization_id").limit(25))
+    cols = ("organization_id", "organization_name", "current_plan_name", "is_paying_customer", "sessions_last_30d",
+            "lifetime_sessions", "activity_tier", "last_session_date")
+    return gtm_active_organizations(b).select(*cols).orderBy(F.col("sessions_last_30d").desc(), "organization_id").limit(25)
 
 
 @register("rpt_workflow_qa", """
@@ -142,47 +158,54 @@ def rpt_at_risk_paying(b):
         .orderBy(F.col("days_since_last_session").desc(), F.col("current_plan_price_usd").desc(), "organization_id").limit(100))
 
 
-@register("rpt_reliability_30d", f"""SELECT metric_date, total_sessions, success_rate_pct, failure_rate_pct, timeout_rate_pct,
-       p95_duration_seconds FROM eng_daily WHERE metric_date >= {AS_OF_SQL} - INTERVAL 30 DAY ORDER BY metric_date""",
-          ("eng_daily",))
+@register("rpt_reliability_30d", f"""
+SELECT metric_date, total_sessions, success_rate_pct, failure_rate_pct, timeout_rate_pct, round(errors_per_1k_sessions, 2) AS errors_per_1k_sessions,
+       round(p95_duration_seconds, 1) AS p95_duration_seconds
+FROM eng_daily WHERE date_diff('day', metric_date, {AS_OF_SQL}) < 30 ORDER BY metric_date""", ("eng_daily",))
 def rpt_reliability_30d(b):
-    return (eng_daily(b).filter(_since("metric_date", b, 30))
-            .select("metric_date", "total_sessions", "success_rate_pct", "failure_rate_pct", "timeout_rate_pct",
-                    "p95_duration_seconds").orderBy("metric_date"))
+    return (eng_daily(b).filter(_since("metric_date", b, 29)).select(
+        "metric_date", "total_sessions", "success_rate_pct", "failure_rate_pct", "timeout_rate_pct",
+        F.round("errors_per_1k_sessions", 2).alias("errors_per_1k_sessions"),
+        F.round("p95_duration_seconds", 1).alias("p95_duration_seconds")).orderBy("metric_date"))
 
 
-@register("rpt_adoption_90d", f"""SELECT metric_date, proxy_adoption_pct, stealth_adoption_pct, unique_domains_visited
-FROM pro_product_daily WHERE metric_date >= {AS_OF_SQL} - INTERVAL 90 DAY ORDER BY metric_date""", ("pro_product_daily",))
+@register("rpt_adoption_90d", f"""
+SELECT metric_date, total_sessions, proxy_adoption_pct, stealth_adoption_pct, success_rate_pct, unique_domains_visited
+FROM pro_product_daily WHERE date_diff('day', metric_date, {AS_OF_SQL}) <= 90 ORDER BY metric_date""", ("pro_product_daily",))
 def rpt_adoption_90d(b):
-    return (pro_product_daily(b).filter(_since("metric_date", b, 90))
-            .select("metric_date", "proxy_adoption_pct", "stealth_adoption_pct", "unique_domains_visited")
-            .orderBy("metric_date"))
-
-
-@register("rpt_collection", f"""SELECT revenue_month, sum(CAST(round(realized_revenue_usd * 100) AS BIGINT)) / 100.0 AS realized_usd,
-       sum(CAST(round(gross_revenue_usd * 100) AS BIGINT)) / 100.0 AS gross_usd,
-       round(sum(CAST(round(realized_revenue_usd * 100) AS BIGINT))::DOUBLE / nullif(sum(CAST(round(gross_revenue_usd * 100) AS BIGINT)), 0) * 100, 2)
-         AS collection_rate_pct
-FROM fin_monthly_revenue WHERE revenue_month >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 12 MONTH AS DATE) GROUP BY 1""",
-          ("fin_monthly_revenue",))
+    return (pro_product_daily(b).filter(_since("metric_date", b, 90)).select(
+        "metric_date", "total_sessions", "proxy_adoption_pct", "stealth_adoption_pct", "success_rate_pct", "unique_domains_visited")
+        .orderBy("metric_date"))
+
+
+@register("rpt_collection", f"""
+SELECT revenue_month, list_sum(list(CAST(round(realized_revenue_usd * 100) AS BIGINT))) / 100.0 AS realized_revenue_usd,
+       list_sum(list(CAST(round(pending_revenue_usd * 100) AS BIGINT))) / 100.0 AS pending_revenue_usd,
+       list_sum(list(CAST(round(gross_revenue_usd * 100) AS BIGINT))) / 100.0 AS gross_revenue_usd,
+       round(list_sum(list(CAST(round(collection_rate_pct * 100) AS BIGINT))) / 100.0 / nullif(count(collection_rate_pct), 0), 2) AS avg_collection_rate_pct,
+       CAST(sum(paid_invoice_count) AS BIGINT) AS paid_invoices, CAST(sum(open_invoice_count) AS BIGINT) AS open_invoices
+FROM fin_monthly_revenue WHERE date_diff('month', revenue_month, {AS_OF_SQL}) <= 12 GROUP BY 1 ORDER BY 1""", ("fin_monthly_revenue",))
 def rpt_collection(b):
-    r = fin_monthly_revenue(b).filter(_months_back("revenue_month", b, 12))
-    g = r.groupBy("revenue_month").agg(F.sum(F.round(F.col("realized_revenue_usd") * 100).cast("long")).alias("_r"),
-                                       F.sum(F.round(F.col("gross_revenue_usd") * 100).cast("long")).alias("_g"))
-    return g.select("revenue_month", (F.col("_r") / 100.0).alias("realized_usd"), (F.col("_g") / 100.0).alias("gross_usd"),
-                    safe_ratio("_r", "_g").alias("collection_rate_pct"))
-
-
-@register("rpt_budget_6m", f"""SELECT budget_month, sum(CAST(round(budget_allocated_usd * 100) AS BIGINT)) / 100.0 AS budget_usd,
-       sum(CAST(round(actual_spend_usd * 100) AS BIGINT)) / 100.0 AS actual_usd,
-       sum(CAST(round(budget_variance_usd * 100) AS BIGINT)) / 100.0 AS variance_usd
-FROM fin_budget_vs_actual WHERE budget_month >= CAST(date_trunc('month', {AS_OF_SQL}) - INTERVAL 6 MONTH AS DATE) GROUP BY 1""",
-          ("fin_budget_vs_actual",))
+    """Monthly revenue and the mean of the organisations' collection rates."""
+    money = [exact_sum(f"{c}_revenue_usd", 2).alias(f"{c}_revenue_usd") for c in ("realized", "pending", "gross")]
+    return (fin_monthly_revenue(b).filter(_months_back("revenue_month", b, 12)).groupBy("revenue_month").agg(
+        *money, F.round(exact_avg("collection_rate_pct", 2), 2).alias("avg_collection_rate_pct"),
+        F.sum("paid_invoice_count").alias("paid_invoices"), F.sum("open_invoice_count").alias("open_invoices")).orderBy("revenue_month"))
+
+
+@register("rpt_budget_6m", f"""
+WITH cents AS (SELECT budget_month, CAST(round(budget_allocated_usd * 100) AS BIGINT) AS p, CAST(round(actual_spend_usd * 100) AS BIGINT) AS s,
+                      CAST(round(ap_open_usd * 100) AS BIGINT) AS o FROM fin_budget_vs_actual
+               WHERE date_diff('month', budget_month, {AS_OF_SQL}) <= 6)
+SELECT budget_month, sum(p) / 100.0 AS budget_allocated_usd, sum(s) / 100.0 AS actual_spend_usd, sum(p - s) / 100.0 AS budget_variance_usd,
+       round(100.0::DOUBLE * sum(s) / nullif(sum(p), 0), 2) AS budget_utilization_ratio, sum(o) / 100.0 AS ap_open_usd
+FROM cents GROUP BY 1 ORDER BY 1 DESC""", ("fin_budget_vs_actual",))
 def rpt_budget_6m(b):
-    r = fin_budget_vs_actual(b).filter(_months_back("budget_month", b, 6))
-    return r.groupBy("budget_month").agg(exact_sum("budget_allocated_usd", 2).alias("budget_usd"),
-                                         exact_sum("actual_spend_usd", 2).alias("actual_usd"),
-                                         exact_sum("budget_variance_usd", 2).alias("variance_usd"))
+    names = ("budget_allocated_usd", "actual_spend_usd", "budget_variance_usd", "ap_open_usd")
+    g = fin_budget_vs_actual(b).filter(_months_back("budget_month", b, 6)).groupBy("budget_month").agg(
+        *[exact_sum(c, 2).alias(c) for c in names])
+    return g.withColumn("budget_utilization_ratio", safe_ratio("actual_spend_usd", "budget_allocated_usd")).orderBy(
+        F.col("budget_month").desc())
 
 
 @register("rpt_ops_kpis", """SELECT * REPLACE (round(total_gb_transferred_30d, 2) AS total_gb_transferred_30d) FROM ops_kpis
