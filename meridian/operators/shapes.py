@@ -203,6 +203,22 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return out.select(*sel)
 
 
+def stacked(spine: DataFrame, keys: Sequence[str], frames: Sequence[DataFrame]) -> DataFrame:
+    """``spine`` left-joined with every frame on ``keys``, as one aggregation.
+
+    Spine and frames have one row per key.  Their rows are stacked and grouped
+    once, which replaces a ladder of joins (an exchange and a sort per frame) by
+    one exchange; keys that the spine lacks are dropped.  Columns of a frame are
+    NULL where it has no row.
+    """
+    rows = spine.withColumn("__spine", F.lit(True))
+    for f in frames:
+        rows = rows.unionByName(f, allowMissingColumns=True)
+    values = [c for c in rows.columns if c not in keys and c != "__spine"]
+    return (rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values], F.max("__spine").alias("__spine"))
+            .filter(F.col("__spine")).drop("__spine"))
+
+
 def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str,
                   keep: Sequence[str]) -> DataFrame:
     """Match each fact to the interval of the same ``key`` containing ``ts``.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_ratio
-from ..operators.shapes import entity_day_spine, explode_months
+from ..operators.shapes import entity_day_spine, explode_months, stacked
 from .core import dim_organizations, dim_users, fct_sessions
 from .finance import fin_firm_unit_economics, fin_monthly_revenue, fin_mrr, revenue_amounts
 from .finance_ops import fin_budget_vs_actual, fin_spend_monthly
@@ -118,7 +118,7 @@ def core_metric_spine(b) -> DataFrame:
                    F.to_date("user_created_at").alias("metric_date"))
           .agg(F.count(F.lit(1)).alias("_new_users")))
     mrr = subscription_daily_mrr(b)
-    f = (spine.join(sd, keys, "left").join(mrr, keys, "left").join(ne, keys, "left").join(nu, keys, "left"))
+    f = stacked(spine, keys, [sd, mrr, ne, nu])
     n = F.coalesce("_n", F.lit(0))
     return f.select(
         "metric_date", "organization_id", n.alias("session_count"),
@@ -275,8 +275,7 @@ def term_business_snapshot(b) -> DataFrame:
     gw = (opp.filter((F.col("stage") == "closed_won") & F.col("closed_at").isNotNull())
           .groupBy("organization_id", month_start("closed_at").alias("month_start"))
           .agg(F.count(F.lit(1)).alias("won_opportunities"), exact_sum(amt, 2).alias("won_revenue_usd")))
-    c = (spine.join(rn, keys, "left").join(mm, keys, "left").join(rm, keys, "left").join(fm, keys, "left")
-         .join(gl, keys, "left").join(gc, keys, "left").join(gw, keys, "left"))
+    c = stacked(spine, keys, [rn, mm, rm, fm, gl, gc, gw])
     z = lambda n, v=0: F.coalesce(F.col(n), F.lit(v))
     c = c.select(
         "organization_id", "organization_name", "organization_status", "current_plan_name", "month_start",
