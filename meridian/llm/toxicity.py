@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import chunks, id_text, stored
 
@@ -171,7 +172,7 @@ def _lexicon(sample: DataFrame) -> list[str]:
             rows = []
             for d, t, y in zip(part.column("doc_id").to_pylist(), raw, part.column("toxic").to_pylist(), strict=True):
                 bare = [b for w in t.decode("utf-8", "replace").lower().split() if (b := _EDGE.sub("", w))]
-                rows += [(b[:64], hash((x, b, z)), y, d) for x, b, z in set(zip(["", *bare], bare, [*bare[1:], ""]))]
+                rows += [(b[:64], xxh64_intdigest(f"{x} {b} {z}") - (1 << 63), y, d) for x, b, z in set(zip(["", *bare], bare, [*bare[1:], ""]))]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["word", "context", "toxic", "doc_id"])
 
