@@ -217,33 +217,33 @@ def rpt_ops_kpis(b):
 
 
 @register("rpt_wow_compare", f"""
-WITH c AS (SELECT count(*) AS sessions, count(CASE WHEN is_successful THEN 1 END) AS ok, count(DISTINCT organization_id) AS orgs
-           FROM fct_sessions WHERE session_date > {AS_OF_SQL} - INTERVAL 7 DAY AND session_date <= {AS_OF_SQL}),
-p AS (SELECT count(*) AS sessions, count(CASE WHEN is_successful THEN 1 END) AS ok, count(DISTINCT organization_id) AS orgs
-      FROM fct_sessions WHERE session_date > {AS_OF_SQL} - INTERVAL 14 DAY AND session_date <= {AS_OF_SQL} - INTERVAL 7 DAY)
-SELECT c.sessions AS current_sessions, p.sessions AS previous_sessions,
-       round((c.sessions - p.sessions)::DOUBLE / nullif(p.sessions, 0) * 100, 2) AS sessions_change_pct,
-       c.orgs AS current_orgs, p.orgs AS previous_orgs,
-       round(c.ok::DOUBLE / nullif(c.sessions, 0) * 100, 2) AS current_success_pct,
-       round(p.ok::DOUBLE / nullif(p.sessions, 0) * 100, 2) AS previous_success_pct
-FROM c CROSS JOIN p""", ("fct_sessions",))
+WITH weeks AS (
+  SELECT (date_diff('day', metric_date, {AS_OF_SQL}) > 6)::INT AS before, CAST(sum(total_sessions) AS BIGINT) AS n,
+         CAST(sum(successful_sessions) AS BIGINT) AS good, CAST(sum(failed_sessions) AS BIGINT) AS bad, round(avg(active_orgs), 0) AS orgs,
+         round(sum(CAST(round(avg_duration_seconds * 100) AS BIGINT)) / 100.0 / nullif(count(avg_duration_seconds), 0), 2) AS dur,
+         round(sum(CAST(round(proxy_adoption_pct * 100) AS BIGINT)) / 100.0 / nullif(count(proxy_adoption_pct), 0), 2) AS proxy
+  FROM pro_product_daily WHERE date_diff('day', metric_date, {AS_OF_SQL}) <= 13 GROUP BY 1)
+SELECT any_value(n) FILTER (before = 0) AS sessions_7d, any_value(n) FILTER (before = 1) AS sessions_prev_7d,
+       round(100.0::DOUBLE * any_value(good) FILTER (before = 0) / nullif(any_value(n) FILTER (before = 0), 0), 2) AS success_rate_7d,
+       round(100.0::DOUBLE * any_value(good) FILTER (before = 1) / nullif(any_value(n) FILTER (before = 1), 0), 2) AS success_rate_prev_7d,
+       any_value(bad) FILTER (before = 0) AS failed_runs_7d, any_value(bad) FILTER (before = 1) AS failed_runs_prev_7d,
+       any_value(orgs) FILTER (before = 0) AS active_orgs_7d, any_value(orgs) FILTER (before = 1) AS active_orgs_prev_7d,
+       any_value(dur) FILTER (before = 0) AS avg_duration_7d, any_value(dur) FILTER (before = 1) AS avg_duration_prev_7d,
+       any_value(proxy) FILTER (before = 0) AS proxy_adoption_7d, any_value(proxy) FILTER (before = 1) AS proxy_adoption_prev_7d
+FROM weeks""", ("pro_product_daily",))
 def rpt_wow_compare(b):
-    s = fct_sessions(b)
-    d = F.col("session_date")
-
-    def window(lo, hi):
-        return s.filter((d > F.date_sub(_d(b), lo)) & (d <= F.date_sub(_d(b), hi))).agg(
-            F.count(F.lit(1)).alias("n"), count_if(F.col("is_successful")).alias("ok"),
-            F.countDistinct("organization_id").alias("orgs"))
-
-    c = window(7, 0)
-    prev = window(14, 7).select(F.struct("n", "ok", "orgs")).scalar()  # previous window as a struct scalar subquery
-    j = c.select(F.col("n").alias("c_n"), F.col("ok").alias("c_ok"), F.col("orgs").alias("c_orgs"),
-                 prev["n"].alias("p_n"), prev["ok"].alias("p_ok"), prev["orgs"].alias("p_orgs"))
-    return j.select(F.col("c_n").alias("current_sessions"), F.col("p_n").alias("previous_sessions"),
-                    pct_change("c_n", "p_n").alias("sessions_change_pct"), F.col("c_orgs").alias("current_orgs"),
-                    F.col("p_orgs").alias("previous_orgs"), safe_ratio("c_ok", "c_n").alias("current_success_pct"),
-                    safe_ratio("p_ok", "p_n").alias("previous_success_pct"))
+    """The last seven days of the product figures beside the seven before."""
+    d = pro_product_daily(b).filter(_since("metric_date", b, 13))
+    aggs = []
+    for name, here in (("", _since("metric_date", b, 6)), ("_prev", ~_since("metric_date", b, 6))):
+        of = lambda c, here=here: F.when(here, F.col(c))
+        aggs += [F.sum(of("total_sessions")).alias(f"sessions{name}_7d"), F.sum(of("successful_sessions")).alias(f"_ok{name}"),
+                 F.sum(of("failed_sessions")).alias(f"failed_runs{name}_7d"), F.round(F.avg(of("active_orgs")), 0).alias(f"active_orgs{name}_7d"),
+                 F.round(exact_avg(of("avg_duration_seconds"), 2), 2).alias(f"avg_duration{name}_7d"),
+                 F.round(exact_avg(of("proxy_adoption_pct"), 2), 2).alias(f"proxy_adoption{name}_7d")]
+    j = d.agg(*aggs)
+    rates = [safe_ratio(f"_ok{name}", f"sessions{name}_7d").alias(f"success_rate{name}_7d") for name in ("", "_prev")]
+    return j.select(*[c for c in j.columns if not c.startswith("_ok")], *rates)
 
 
 # Session statuses by the team that looks into them, and what to do about a status.
@@ -444,15 +444,19 @@ def rpt_org_history(b):
     return rev.unionByName(risk).unionByName(task).orderBy(F.col("recorded_at").desc())
 
 
-@register("rpt_customer_typeahead", """SELECT c.organization_id, c.organization_name, c.total_session_hours FROM fin_cue c
-WHERE c.metric_month = (SELECT max(metric_month) FROM fin_cue) ORDER BY c.total_session_hours DESC, c.organization_id LIMIT 20""",
-          ("fin_cue",))
+@register("rpt_customer_typeahead", """
+SELECT organization_id, max(organization_name) AS organization_name, ifnull(max(primary_plan_name), 'unknown') AS plan_name
+FROM fin_cue WHERE metric_month = (SELECT max(metric_month) FROM fin_cue) GROUP BY 1
+ORDER BY max(total_session_hours) DESC, organization_id LIMIT 200""", ("fin_cue",))
 def rpt_customer_typeahead(b):
+    """The 200 customers with most session hours in the latest month."""
     c = fin_customer_unit_economics(b)
-    latest = c.agg(F.max("metric_month").alias("metric_month"))  # one row
-    return (c.join(latest, "metric_month", "left_semi")
-            .select("organization_id", "organization_name", "total_session_hours")
-            .orderBy(F.col("total_session_hours").desc(), "organization_id").limit(20))
+    latest = c.agg(F.max("metric_month")).scalar()  # scalar subquery
+    g = c.filter(F.col("metric_month") == latest).groupBy("organization_id").agg(
+        F.max("organization_name").alias("organization_name"), F.max("primary_plan_name").alias("_plan"),
+        F.max("total_session_hours").alias("_hours"))
+    return (g.orderBy(F.col("_hours").desc(), "organization_id").limit(200)
+            .select("organization_id", "organization_name", F.coalesce("_plan", F.lit("unknown")).alias("plan_name")))
 
 
 @register("rpt_plan_activity", """SELECT coalesce(current_plan_name, 'none') AS plan, activity_tier, count(*) AS orgs,
