@@ -81,14 +81,15 @@ def metric_catalog(registry: DataFrame) -> DataFrame:
 
 def search(sources: Sequence[tuple[str, DataFrame, str, Column, Column]], term: str, limit: int) -> DataFrame:
     """``cat_search``: each source is (kind, frame, id column, text column, label);
-    rows whose text contains ``term`` (whole text), tagged, ordered, limited."""
+    rows whose text contains ``term`` (whole text), tagged, ordered, limited to
+    ``limit`` rows (1 to 100)."""
     out = None
     for kind, df, id_col, text, label in sources:
         hits = df.filter(text.contains(term)).select(F.lit(kind).alias("match_kind"),
                                                      F.col(id_col).cast("long").alias("object_id"),
                                                      label.cast("string").alias("label"))
         out = hits if out is None else out.unionByName(hits)
-    return out.orderBy("match_kind", "object_id").limit(limit)
+    return out.orderBy("match_kind", "object_id").limit(max(1, min(100, int(limit))))
 
 
 def mask_sensitive(df: DataFrame) -> DataFrame:

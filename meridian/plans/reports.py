@@ -324,20 +324,26 @@ def rpt_action_summary_7d(b):
     return u.filter(F.col("executed_at") >= since).groupBy("action_type", "status").agg(F.count(F.lit(1)).alias("actions"))
 
 
-@register("rpt_spend_by_source", """SELECT spend_month, spend_source, sum(CAST(round(spend_usd * 100) AS BIGINT)) / 100.0 AS spend_usd,
-       CAST(sum(record_count) AS BIGINT) AS records FROM fin_spend_monthly GROUP BY 1, 2""", ("fin_spend_monthly",))
+@register("rpt_spend_by_source", f"""
+SELECT spend_month, spend_source, sum(CAST(round(spend_usd * 100) AS BIGINT)) / 100.0 AS total_spend_usd
+FROM fin_spend_monthly WHERE date_diff('month', spend_month, {AS_OF_SQL}) <= 1 GROUP BY ALL
+ORDER BY total_spend_usd DESC, spend_month, spend_source LIMIT 25""", ("fin_spend_monthly",))
 def rpt_spend_by_source(b):
-    return fin_spend_monthly(b).groupBy("spend_month", "spend_source").agg(exact_sum("spend_usd", 2).alias("spend_usd"),
-                                                                            F.sum("record_count").alias("records"))
+    """Spend of this and the last month by source, largest first."""
+    s = fin_spend_monthly(b).filter(_months_back("spend_month", b, 1)).groupBy("spend_month", "spend_source").agg(
+        exact_sum("spend_usd", 2).alias("total_spend_usd"))
+    return s.orderBy(F.col("total_spend_usd").desc(), "spend_month", "spend_source").limit(25)
 
 
-@register("rpt_vendor_top", """SELECT vendor_id, vendor_name, sum(CAST(round(total_spend_usd * 100) AS BIGINT)) / 100.0 AS spend_usd,
-       count(DISTINCT organization_id) AS orgs FROM fin_vendor_spend_monthly GROUP BY 1, 2
-ORDER BY spend_usd DESC, vendor_id LIMIT 20""", ("fin_vendor_spend_monthly",))
+@register("rpt_vendor_top", f"""
+SELECT vendor_name, sum(CAST(round(total_spend_usd * 100) AS BIGINT)) / 100.0 AS total_spend_usd, count(DISTINCT organization_id) AS organization_count
+FROM fin_vendor_spend_monthly WHERE date_diff('month', spend_month, {AS_OF_SQL}) <= 1 GROUP BY ALL
+ORDER BY total_spend_usd DESC, vendor_name LIMIT 25""", ("fin_vendor_spend_monthly",))
 def rpt_vendor_top(b):
-    v = fin_vendor_spend_monthly(b).groupBy("vendor_id", "vendor_name").agg(
-        exact_sum("total_spend_usd", 2).alias("spend_usd"), F.countDistinct("organization_id").alias("orgs"))
-    return v.orderBy(F.col("spend_usd").desc(), "vendor_id").limit(20)
+    """The 25 vendors with most spend in this and the last month."""
+    v = fin_vendor_spend_monthly(b).filter(_months_back("spend_month", b, 1)).groupBy("vendor_name").agg(
+        exact_sum("total_spend_usd", 2).alias("total_spend_usd"), F.countDistinct("organization_id").alias("organization_count"))
+    return v.orderBy(F.col("total_spend_usd").desc(), "vendor_name").limit(25)
 
 
 @register("rpt_month_trend", f"""SELECT month_start, sum(CAST(round(recognized_revenue_usd * 100) AS BIGINT)) / 100.0 AS revenue_usd,
