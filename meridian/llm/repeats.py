@@ -183,14 +183,15 @@ def _freed(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def spans(docs: DataFrame, kind: Kind, decide: Callable[[list[dict]], list[bytes]], keep: Callable[[bytes, int], list[tuple[int, int]]], ranged: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, th, text, spans`` of every row: runs of windows that ``decide`` and ``keep`` pick.
-
-    ``decide`` gets all passages of a shard (``offset, n, least, copies, body``)
-    and returns a verdict in bytes for each; ``keep`` turns a verdict and the
-    id of a document that holds the passage into runs ``(first, last)`` of its
-    windows.  ``th`` is a hash of the text; equal rows share their spans.
-    ``ranged`` deals passages to shards by sampled ranges instead of hashes.
+def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.ndarray, ...]], ranged: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, th, text, spans`` of every row: where ``decide`` found repeated windows.
+
+    ``decide`` gets all passages of a shard (``m`` windows, ``least`` document,
+    ``copies``, ``body``) and returns runs of windows ``(passage, first, last,
+    least)``: they are spans of every document that holds the passage and has an
+    id above ``least``.  ``th`` is a hash of the text; equal rows share their
+    spans.  ``ranged`` deals passages to shards by sampled ranges instead of
+    hashes.
     """
     rows = _keyed(docs, doc_id, text)
 
@@ -253,29 +254,16 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[list[dict]], list[bytes
         if not held:
             return
         rows_ = pa.Table.from_batches(held)
-        verdicts = decide(rows_)
-        kept = rows_.select([*passage, "first"])
-        yield from kept.append_column("verdict", pa.array(verdicts, pa.binary())).combine_chunks().to_batches()
-
-    judged = dealt.mapInArrow(judge, "h long, ph long, n int, off int, first int, verdict binary")
-    whole = judged.where(F.length("verdict") > 0).groupBy(*passage).agg(F.sort_array(F.collect_list(F.struct("first", "verdict"))).alias("verdicts"))
-    whole = stored(whole, f"{kind.name}-verdicts")
+        at, a, b, least = decide(rows_)
+        first = rows_.column("first").to_numpy()[at]
+        runs_of = rows_.select(passage).take(pa.array(at, pa.int64())).combine_chunks()
+        for name, values in (("a", first + a), ("b", first + b), ("least", least)):
+            runs_of = runs_of.append_column(name, pa.array(values.astype(np.int64)))
+        yield from runs_of.to_batches()
+
+    judged = stored(dealt.mapInArrow(judge, "h long, ph long, n int, off int, a long, b long, least long"), f"{kind.name}-runs")
     _freed(rows)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, los = batch.column("doc_id").to_pylist(), batch.column("lo").to_pylist()
-            at, a, b = [], [], []
-            for i, (d, lo, parts) in enumerate(zip(ids, los, batch.column("verdicts"), strict=True)):
-                for v in parts.as_py():
-                    for x, y in keep(v["verdict"], d):
-                        at.append(i)
-                        a.append(lo + v["first"] + x)
-                        b.append(lo + v["first"] + y + kind.window)
-            rows_ = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows_.column("doc_id"), rows_.column("th"), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "th", "a", "b"])
-
-    picked = found.join(whole, passage).select("doc_id", "th", "lo", "verdicts").mapInArrow(pick, "doc_id long, th long, a long, b long")
+    picked = found.join(judged, passage).where("least < doc_id").select("doc_id", "th", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + kind.window).alias("b"))
     per = stored(picked.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), f"{kind.name}-spans")
     _freed(rows)
     return rows.join(per, ["doc_id", "th"], "left")
@@ -307,7 +295,13 @@ def merged(found: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs ``(first, last)`` of true flags."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+def runs(values: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of equal values inside stretches of the given lengths: ``(stretch, first, last, value)``."""
+    start = np.cumsum(lens) - lens
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[start[lens > 0]] = True
+    at = np.flatnonzero(fresh)
+    owner = np.repeat(np.arange(len(lens)), lens)[at]
+    last = np.append(at[1:], len(values)) - 1
+    return owner, at - start[owner], last - start[owner], values[at]

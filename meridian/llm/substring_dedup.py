@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,23 +31,30 @@ MEMORY = 400_000
 _known: dict[bytes, int] = {}
 
 
+#: Masks of the bits below each bit of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class FMIndex:
     """FM-index of a sequence of small integers, for patterns of at most ``depth`` symbols."""
 
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)
-        rank, width = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-        while width < depth:  # doubles the sorted prefix
-            after = np.full(n, -1, np.int64)
-            after[:-width] = rank[width:]
-            order = np.lexsort((after, rank))
-            fresh = np.ones(n, bool)
-            a, b = rank[order], after[order]
-            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh) - 1
+        rank, width = text.astype(np.int64), 1
+        top = int(rank.max(initial=0)) + 1
+        while True:  # doubles the sorted prefix
+            key = rank * (top + 1)
+            key[:-width] += rank[width:] + 1
+            order = np.argsort(key)
+            sorted_ = key[order]
             width *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
+            fresh = sorted_[1:] != sorted_[:-1]
+            if width >= depth or fresh.all():
+                break
+            rank = np.empty(n, np.int64)
+            rank[order[:1]], rank[order[1:]] = 0, np.cumsum(fresh)
+            top = n
+        self.suffixes = order
         bwt = text[self.suffixes - 1]
         self.levels = max(1, int(text.max(initial=0)).bit_length())
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << self.levels))]).astype(np.int64)
@@ -69,9 +77,9 @@ class FMIndex:
         for level in range(self.levels):
             words, counts, zeros = self.words[level], self.counts[level], self.zeros[level]
             w = i >> 6
-            low = words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-            ones = counts[w] + np.bitwise_count(low)
-            i = np.where((symbol >> (self.levels - 1 - level)) & 1 == 1, zeros + ones, i - ones)
+            ones = counts[w] + np.bitwise_count(words[w] & _BELOW[i & 63])
+            bit = (symbol >> (self.levels - 1 - level)) & 1 == 1
+            i = np.where(bit, zeros + ones, i - ones)
         return i
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +103,11 @@ def least_in(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _decide(window: int):
-    def decide(rows: pa.Table) -> list[bytes]:
-        bodies, m = [b.split(b" ") for b in rows.column("body").to_pylist()], rows.column("m").to_numpy().astype(np.int64)
+    def decide(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        bodies, m = rows.column("body").to_pylist(), rows.column("m").to_numpy().astype(np.int64)
         least = rows.column("least").to_numpy()
-        lens = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        names: dict[bytes, int] = {}
-        flat = np.fromiter((names.setdefault(w, len(names) + 1) for b in bodies for w in b), np.int64, int(lens.sum()))
+        lens = np.fromiter((b.count(b" ") for b in bodies), np.int64, len(bodies)) + 1
+        flat = pd.factorize(np.array(b" ".join(bodies).split(b" "), object))[0].astype(np.int64) + 1
         base = np.cumsum(lens + 1) - lens - 1
         text = np.zeros(len(flat) + len(bodies), np.int64)  # 0 ends a passage
         owner = np.repeat(np.arange(len(bodies)), lens + 1)
@@ -110,9 +117,11 @@ def _decide(window: int):
         index = FMIndex(text, window)
         last = np.repeat(base + window - 1, m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
         result = np.full(len(last), repeats.NO_ID)
-        live, lo, hi = np.arange(len(last)), np.zeros(len(last), np.int64), np.full(len(last), len(text))
+        live = np.arange(len(last))
+        lo, hi = index.before[text[last]], index.before[text[last] + 1]  # suffixes that begin with the last word
         for step in range(window):
-            lo, hi = index.extend(text[last[live] - step], lo, hi)
+            if step:
+                lo, hi = index.extend(text[last[live] - step], lo, hi)
             many = hi - lo > 1
             live, lo, hi = live[many], lo[many], hi[many]
             if not len(live):
@@ -121,16 +130,14 @@ def _decide(window: int):
             result[live] = least_in(least[owner[index.suffixes]], lo, hi)
         alone = np.repeat(least, m)  # an interval of one: the passage itself, in its smallest document
         result = np.minimum(result, alone)
-        cuts = np.cumsum(m) - m
-        return [result[a : a + n].astype("<i8").tobytes() for a, n in zip(cuts.tolist(), m.tolist(), strict=True)]
+        owner, first, stop, best = repeats.runs(result, m)
+        # The only document of a passage has nothing to lose to itself.
+        some = (best < least[owner]) | (rows.column("copies").to_numpy()[owner] > 1)
+        return owner[some], first[some], stop[some], best[some]
 
     return decide
 
 
-def _keep(verdict: bytes, doc: int) -> list[tuple[int, int]]:
-    return repeats.runs(np.frombuffer(verdict, "<i8") < doc)
-
-
 def _units(text: bytes) -> np.ndarray:
     if len(_known) > MEMORY:
         _known.clear()
@@ -151,7 +158,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     if window <= GRAM:
         raise ValueError(f"window must be over {GRAM} words")
     kind = repeats.Kind("words", window, GRAM, _units, bytes.split, lambda words, a, b: b" ".join(words[a:b]), across=True)
-    found = repeats.spans(docs, kind, _decide(window), _keep, False, doc_id, text)
+    found = repeats.spans(docs, kind, _decide(window), False, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):

@@ -57,8 +57,8 @@ def _token_size(window: int) -> int:
 def _decide(window: int):
     size = _token_size(window)
 
-    def decide(rows: pa.Table) -> list[bytes]:
-        bodies, m = rows.column("body").to_pylist(), rows.column("m").to_numpy()
+    def decide(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        bodies, m = rows.column("body").to_pylist(), rows.column("m").to_numpy().astype(np.int64)
         copies = rows.column("copies").to_numpy()
         lens = np.fromiter(map(len, bodies), np.int64, len(bodies))
         units = _BYTE[np.frombuffer(b"".join(bodies), np.uint8)]
@@ -67,17 +67,12 @@ def _decide(window: int):
         starts = np.repeat(base, m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
         tokens = [token[j:] for j in range(0, window, size)]
         flags = multikey_runs(tokens, starts) | np.repeat(copies > 1, m)
-        cuts = np.cumsum(m) - m
-        return [np.packbits(flags[a : a + n], bitorder="little").tobytes() + bytes([n % 8]) if flags[a : a + n].any() else b"" for a, n in zip(cuts.tolist(), m.tolist(), strict=True)]
+        owner, first, last, hit = repeats.runs(flags, m)
+        return owner[hit], first[hit], last[hit], np.full(int(hit.sum()), -(2**63))  # whatever the document
 
     return decide
 
 
-def _keep(verdict: bytes, _doc: int) -> list[tuple[int, int]]:
-    bits = np.unpackbits(np.frombuffer(verdict[:-1], np.uint8), bitorder="little")
-    return repeats.runs(bits[: len(bits) - (8 - verdict[-1]) % 8])
-
-
 def remove_repeats(docs: DataFrame, window: int = 400, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, binary) of every row.
 
@@ -89,7 +84,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, doc_id: str = "doc_id", t
     if window < 2 * GRAM:
         raise ValueError(f"window must be {2 * GRAM} bytes or more")
     kind = repeats.Kind("suffixes", window, GRAM, _units, lambda t: t, lambda t, a, b: t[a:b], across=False)
-    found = repeats.spans(docs, kind, _decide(window), _keep, True, doc_id, text)
+    found = repeats.spans(docs, kind, _decide(window), True, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
