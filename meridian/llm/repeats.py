@@ -183,6 +183,21 @@ def _freed(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+#: Bits of the bitmap that dismisses most anchors of one occurrence before they are shuffled: 8 MB whatever the input.
+_BITS = 26
+_LOW = (1 << _BITS) - 1
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A fixed-size bitmap over the low bits of ``h``; the join that follows is exact whatever it lets pass."""
+    bit = F.col("h").bitwiseAND(F.lit(_LOW))
+    words = hashes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(1 << (_BITS - 6), np.uint64)
+    if words.num_rows:
+        out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+    return out
+
+
 def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.ndarray, ...]], ranged: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, th, text, spans`` of every row: where ``decide`` found repeated windows.
 
@@ -209,10 +224,15 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
     repeated = stored(repeated, f"{kind.name}-anchors")
     _freed(rows)
 
+    seen = _bitmap(repeated)
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
             ids, ths = part.column("doc_id").to_numpy(), part.column("th").to_numpy()
-            for owner, h, ph, lo, n, off in _occurrences(kind, texts):
+            for found in _occurrences(kind, texts):
+                h = found[1]
+                may = (seen[(h & _LOW) >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+                owner, h, ph, lo, n, off = (x[may] for x in found)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ids[owner]), pa.array(ths[owner]), pa.array(lo.astype(np.int32))], _OCC)
 
     found = stored(rows.mapInArrow(occurrences, "h long, ph long, n int, off int, doc_id long, th long, lo int").join(repeated, "h", "left_semi"), f"{kind.name}-occurrences")
