@@ -1,6 +1,7 @@
 """Physical-plan guards over every registered query (planned on sf0.001)."""
 
 import __spark_entry__ as E
+from meridian.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,8 +17,9 @@ BOUNDED_NESTED_LOOP = {
 
 def test_no_cartesian_and_bounded_nested_loops(spark):
     offenders = {}
-    for name, fn in E.queries().items():
-        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    queries = E.queries()
+    for name in QUERIES:
+        plan = queries[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         if "CartesianProduct" in plan:
             offenders[name] = "CartesianProduct"
         elif "BroadcastNestedLoopJoin" in plan and name not in BOUNDED_NESTED_LOOP:
