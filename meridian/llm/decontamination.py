@@ -3,7 +3,8 @@ search and an exact weighted-shingle check.
 
 A window as long as a benchmark item slides over a document wherever the
 document shares a shingle with an item of that length (a window without one
-cannot be similar).  Its 64-bit SimHash is looked up in blocks: fingerprints
+cannot be similar); a document shorter than the item is one window as a whole.
+The window's 64-bit SimHash is looked up in blocks: fingerprints
 within ``radius`` bits differ in at most ``radius // blocks`` bits in some
 block, so tables that list, per block value, the items that near find all of
 them.  Candidates within the radius are then compared exactly, by the weighted
@@ -124,13 +125,15 @@ class Index:
             near = defaultdict(list)
             for p in at.tolist():
                 for n in self.sizes_of[int(s[p])]:
-                    if min(self.k, n) == width and n <= len(words):
+                    # With all its m shingles shared, a window is m / m_item similar to a longer item.
+                    if min(self.k, n) == width and len(s) >= similarity * (n - width + 1) - 1e-6:
                         near[n].append(p)
             for n, where in near.items():
-                self._windows(s, n, n - width + 1, np.array(where), similarity, best)
+                self._windows(s, n, n - width + 1, min(n, len(words)), np.array(where), similarity, best)
         return best
 
-    def _windows(self, s, n, m, where, similarity, best) -> None:
+    def _windows(self, s, n, m_item, size, where, similarity, best) -> None:
+        m = min(m_item, len(s))
         # Starts of windows of m shingles that hold a hit, in maximal runs.
         starts = np.zeros(len(s) - m + 2, np.int32)
         np.add.at(starts, np.maximum(0, where - m + 1), 1)
@@ -152,9 +155,9 @@ class Index:
                 for w, i, d in zip(*(x[d <= self.radius].tolist() for x in (w, i, d)), strict=True):
                     here = Counter(s[part[0] + w : part[0] + w + m].tolist())
                     both = sum((here & counts[i]).values())
-                    value = both / (2 * m - both)
+                    value = both / (m + m_item - both)
                     if value >= similarity:
-                        best[ids[i]] = max(best.get(ids[i], (0.0, 0, 0, 0)), (value, -d, -int(part[0] + w), n))
+                        best[ids[i]] = max(best.get(ids[i], (0.0, 0, 0, 0)), (value, -d, -int(part[0] + w), size))
 
 
 def _indexes(bench: DataFrame, k: int, radius: int, item_id: str, text: str) -> list[Index]:
@@ -173,9 +176,9 @@ def find(docs: DataFrame, bench: DataFrame, words: int = 5, similarity: float =
 
     Items and documents are lower-cased words without punctuation at their
     ends; an item of fewer than ``words`` words is one shingle.  A window of
-    the item's length is reported when its fingerprint lies within ``radius``
-    bits of the item's and the weighted Jaccard similarity is ``similarity`` or
-    more; ties go to the nearer fingerprint, then the earlier window.  Null and
+    the item's length (the whole document if that is shorter) is reported when
+    its fingerprint lies within ``radius`` bits of the item's and the weighted
+    Jaccard similarity is ``similarity`` or more; ties go to the nearer fingerprint, then the earlier window.  Null and
     empty texts and items match nothing; repeated rows repeat their result.
     """
     docs, out = id_text(docs, doc_id, text), None

@@ -270,6 +270,46 @@ def test_decontamination_in_several_passes(spark, monkeypatch):
     assert keyed(decontamination.find(docs, bench), "doc_id", "item_id") == whole == [(1, 1), (4, 4), (5, 5)]
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    from collections import Counter
+
+    r = random.Random(8)
+    bench = [(i, " ".join(f"v{r.randrange(400)}" for _ in range(n))) for i, n in enumerate((59, 59, 30, 12, 5, 3, 80))]
+    rows = [(0, " ".join(bench[0][1].split()[:55]))]
+    for _, item in bench:
+        words = item.split()
+        for a, b in ((0, 1), (1, 0), (1, 1), (2, 2), (4, 3), (0, 6), (8, 7), (0, 0)):
+            cut = words[a : len(words) - b]
+            rows.append((len(rows), " ".join(cut)))
+            if len(cut) > 40:
+                rows.append((len(rows), " ".join([*cut[:9], "else", *cut[10:]])))
+                rows.append((len(rows), " ".join(["x"] * 30 + cut)))
+    fp = lambda s: decontamination._pack(decontamination._bits(s).sum(0, keepdims=True))[0]
+    hashed, want = decontamination.Words(), {}
+    for d, t in rows:
+        w = hashed(t.encode())
+        for i, item in bench:
+            x = hashed(item.encode())
+            n, k = min(len(x), len(w)), min(5, len(x))
+            b = decontamination.shingles(x, k)
+            found = []
+            for at in range(len(w) - n + 1):
+                a = decontamination.shingles(w[at : at + n], k)
+                far = int(np.bitwise_count(fp(a) ^ fp(b)))
+                both = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+                if n >= k and far <= 20 and both / (len(a) + len(b) - both) >= 0.8:
+                    found.append((both / (len(a) + len(b) - both), -far, -at, n))
+            if found:
+                best = max(found)
+                want[d, i] = (best[0], -best[1], -best[2], best[3])
+    assert (0, 0) in want and want[0, 0][0] == pytest.approx(51 / 55) and sum(v[3] < len(bench[i][1].split()) for (_, i), v in want.items()) > 15
+    docs = frame(spark, rows)
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["distance"], x["word_start"], x["n_words"]) for x in decontamination.find(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == want
+    left = decontamination.clean(docs, spark.createDataFrame(bench, "item_id long, text string"))
+    assert {x["doc_id"] for x in left.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def brute_secrets(text):
     out = []
     for kind, pattern, ok in (
