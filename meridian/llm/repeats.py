@@ -11,8 +11,9 @@ common stretch.
 2. Occurrences of the others are kept, equal passages are pre-aggregated, and
    one text of each different passage is fetched.
 3. Passages of one anchor meet in one shard, where the caller's index decides
-   about every window.  An anchor with very many different passages is cut into
-   its windows, which spread over the shards by their own hash.
+   about every window.  An anchor with very many different passages goes to no
+   shard: its windows are counted by their digests, without their bytes, and
+   the counts decide.
 4. The decisions go back to the occurrences and become spans of the documents.
 
 Everything that travels is an anchor, a passage or a span; no group of
@@ -28,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, id_text, stored
 
 #: Units of a text handled at once; longer texts go in overlapping blocks.
 BLOCK = 1 << 20
-#: An anchor with more different passages than this is cut into windows.
+#: An anchor with more different passages than this is cut into windows that are counted.
 HOT_ANCHOR = 2000
 #: Bytes of passages a shard's index should hold.
 SHARD_BYTES = 2 << 20
@@ -239,7 +240,8 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
     _freed(rows)
     passage = ["h", "ph", "n", "off"]
     different = stored(found.groupBy(*passage).agg(F.min(F.struct("doc_id", "th", "lo")).alias("at"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), f"{kind.name}-passages")
-    hot = different.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_ANCHOR).select("h", F.lit(True).alias("hot"))
+    # Stored, as AQE splits a skewed join only between plain shuffles.
+    hot = stored(different.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_ANCHOR).select("h", F.lit(True).alias("hot")), f"{kind.name}-hot")
     wanted = different.join(hot, "h", "left").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(
         F.collect_list(F.struct(*passage, F.col("at.lo").alias("lo"), "least", "copies", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     once = rows.groupBy("doc_id", "th").agg(F.first("text").alias("text"))  # equal rows are one text
@@ -253,24 +255,25 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
                     lo, n = p["lo"], p["n"]
                     if p["hot"]:
                         for i in range(n):
-                            body = kind.cut(ready, lo + i, lo + i + kind.window)
-                            out.append((p["h"], _digest(body), p["ph"], n, p["off"], i, 1, p["least"], p["copies"], body))
+                            digest = _digest(kind.cut(ready, lo + i, lo + i + kind.window))
+                            out.append((p["h"], digest, p["ph"], n, p["off"], i, 1, p["least"], p["copies"], None))
                     else:
                         out.append((p["h"], 0, p["ph"], n, p["off"], 0, n, p["least"], p["copies"], kind.cut(ready, lo, lo + n - 1 + kind.window)))
-                if len(out) > 5000:
-                    yield _passages(out)
-                    out = []
+                    if len(out) > 5000:
+                        yield _passages(out)
+                        out = []
             if out:
                 yield _passages(out)
 
     bodies = stored(once.join(wanted, ["doc_id", "th"]).select("text", "wanted").mapInArrow(fetch, "h long, sub long, ph long, n int, off int, first int, m int, least long, copies long, body binary"), f"{kind.name}-bodies")
     _freed(rows)
-    size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    whole = bodies.where("body is not null")
+    size = whole.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
-    dealt = bodies.repartitionByRange(shards, "h", "sub") if ranged else bodies.repartition(shards, "h", "sub")
+    dealt = whole.repartitionByRange(shards, "h") if ranged else whole.repartition(shards, "h")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # one shard: bounded by SHARD_BYTES, hot anchors cut up
+        held = [b for b in batches if b.num_rows]  # one shard: about SHARD_BYTES, at most HOT_ANCHOR passages of an anchor
         if not held:
             return
         rows_ = pa.Table.from_batches(held)
@@ -281,7 +284,10 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
             runs_of = runs_of.append_column(name, pa.array(values.astype(np.int64)))
         yield from runs_of.to_batches()
 
-    judged = stored(dealt.mapInArrow(judge, "h long, ph long, n int, off int, a long, b long, least long"), f"{kind.name}-runs")
+    judged = dealt.mapInArrow(judge, "h long, ph long, n int, off int, a long, b long, least long")
+    if not hot.isEmpty():
+        judged = judged.unionByName(_counted(kind, bodies.where("body is null"), passage))
+    judged = stored(judged, f"{kind.name}-runs")
     _freed(rows)
     picked = found.join(judged, passage).where("least < doc_id").select("doc_id", "th", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + kind.window).alias("b"))
     per = stored(picked.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), f"{kind.name}-spans")
@@ -289,6 +295,26 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
     return rows.join(per, ["doc_id", "th"], "left")
 
 
+def _counted(kind: Kind, windows: DataFrame, passage: list[str]) -> DataFrame:
+    """Runs of the repeated windows of hot anchors, as ``judge`` gives them.
+
+    Equal windows have equal anchors and digests.  They are aggregated before
+    they are shuffled, so their number does not matter; only keys and counts
+    travel, and the verdicts join back to the windows of each passage.
+    """
+    seen = stored(windows.groupBy("h", "sub").agg(F.min("least").alias("best"), F.sum("copies").alias("total")).where("total > 1").select("h", "sub", "best"), f"{kind.name}-windows")
+    met = windows.join(seen, ["h", "sub"])
+    if kind.across:
+        # The only document of a passage has nothing to lose to itself.
+        met = met.where("best < least or copies > 1")
+    else:
+        met = met.withColumn("best", F.lit(-(2**63)))  # whatever the document
+    group = [*passage, "best"]
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("first"))  # at most the windows of one passage
+    runs_of = met.select(*group, "first", (F.col("first") - nth).alias("run")).groupBy(*group, "run")
+    return runs_of.agg(F.min("first").cast("long").alias("a"), F.max("first").cast("long").alias("b")).select(*passage, "a", "b", F.col("best").alias("least"))
+
+
 _OCC = ["h", "ph", "n", "off", "doc_id", "th", "lo"]
 _BODY = pa.schema([("h", pa.int64()), ("sub", pa.int64()), ("ph", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("first", pa.int32()), ("m", pa.int32()), ("least", pa.int64()), ("copies", pa.int64()), ("body", pa.binary())])
 

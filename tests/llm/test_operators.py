@@ -211,6 +211,52 @@ def test_hot_anchors_are_cut_without_changing_results(docs, monkeypatch):
     assert keyed(substring_dedup.remove_repeats(docs), "doc_id", "n_removed", "kept_sha256") == words
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_equal_windows_of_a_hot_anchor_never_meet_in_a_shard(spark, monkeypatch, words):
+    from collections import Counter
+
+    from meridian.llm import repeats
+
+    r = random.Random(12)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    shared = say(40)
+    rows = [(i, f"{say(30)} {shared} {say(30)}") for i in range(60)] + [(i, f"{say(30)} {shared[:200]} {say(30)}") for i in range(60, 80)]
+    rows += [rows[5], (None, rows[6][1]), (3, rows[7][1])]
+    kept, stored = {}, repeats.stored
+
+    def spy(df, name):
+        kept[name] = stored(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(repeats, "stored", spy)
+    monkeypatch.setattr(repeats, "HOT_ANCHOR", 10)
+    docs = frame(spark, rows)
+    n = 13 if words else 100
+    key = lambda i: 2**63 if i is None else i
+    units = [raw(t).split() if words else raw(t) for _, t in rows]
+    windows = [[tuple(u[k : k + n]) if words else u[k : k + n] for k in range(len(u) - n + 1)] for u in units]
+    seen = Counter(x for w in windows for x in w)
+    least = {}
+    for (i, _), w in zip(rows, windows, strict=True):
+        for x in w:
+            least[x] = min(key(i), least.get(x, key(i)))
+    want = []
+    for (i, _), u, w in zip(rows, units, windows, strict=True):
+        cut = bytearray(len(u))
+        for k, x in enumerate(w):
+            if least[x] < key(i) if words else seen[x] > 1:
+                cut[k : k + n] = b"\1" * n
+        want.append((i, len(u), sum(cut)))
+    if words:
+        got, name = keyed(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed"), "words"
+    else:
+        got, name = keyed(suffix_dedup.remove_repeats(docs, n), "doc_id", "n_bytes", "n_removed"), "suffixes"
+    assert got == sorted(want, key=repr)
+    sent = Counter(bytes(x["body"]) for x in kept[f"{name}-bodies"].where("body is not null").collect())
+    assert max(sent.values(), default=0) <= 1
+    assert kept[f"{name}-hot"].count() > 0
+
+
 def test_long_texts_go_in_blocks():
     from meridian.llm import repeats
 
