@@ -4,8 +4,8 @@ Records are ordered by the key ``(hash of the text, doc_id, ...)``, so equal
 texts are neighbours.  A size-weighted sample of hashes gives the quantile
 boundaries of many narrow ranges; every record finds its range by a binary
 search in the boundary array.  Ranges holding more rows than a task should
-sort (a hot text, say) are subdivided by a second hash over ``doc_id``, which
-keeps the key order inside the range.  Exact byte and row totals per range
+sort are subdivided in key order: a hot text gets ranges of its own by a second
+hash over ``doc_id``, the rest is cut by the first hash.  Exact byte and row totals per range
 turn range-local running sums into global ones, so shard sizes are equal up to
 one record even where the sample was unlucky.
 """
@@ -54,16 +54,16 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int | None = None, doc_id:
     borders = _splitters(rows, total["bytes"], ranges)
     coarse = rows.withColumn("r", _range_of(F.col("k1"), borders))
     # Exact totals decide which ranges are overfull and into how many parts they go.
-    share = max(1, total["n"] // ranges)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(OVERFULL * share))).cast("long")
-    full = coarse.groupBy("r").agg(F.count(F.lit(1)).alias("n")).select("r", parts.alias("parts")).where("parts > 1").collect()
-    split = F.create_map(*[F.lit(x) for row in full for x in (row["r"], row["parts"])]) if full else None
-    # One text can fill a range alone, so an overfull range is ordered by the
-    # second hash first: the same order for every record of the range.
-    sub = F.lit(0).cast("long")
-    if split is not None:
-        unit = (F.shiftright("k2", 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))  # 0 to 1, in the order of k2
-        sub = F.when(split[F.col("r")].isNotNull(), F.floor(unit * split[F.col("r")])).otherwise(sub).cast("long")
+    limit = OVERFULL * max(1, total["n"] // ranges)
+    full = {row["r"]: row["n"] for row in coarse.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()}
+    sub = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("part"))
+    if full:
+        in_full = F.get(F.array(*[F.lit(r in full) for r in range(len(borders) + 1)]), F.col("r"))
+        # At most one hot text for every ``limit`` rows.
+        hot = coarse.where(in_full).groupBy("r", "k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).orderBy("k1").collect()
+        for row in hot:
+            full[row["r"]] -= row["n"]
+        sub = _subdivided(borders, {r: -(-n // limit) for r, n in full.items()}, [(row["k1"], -(-row["n"] // limit)) for row in hot])
     keyed = coarse.withColumn("s", sub)
     by_range = keyed.groupBy("r", "s").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("c"))
     ahead = Window.orderBy("r", "s").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +99,22 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def _subdivided(borders: list[int], parts: dict[int, int], hot: list[tuple[int, int]]):
+    """``at, part`` in the order of ``(k1, k2)`` inside a range: which hot texts lie before, and the cut of a hot text or of the rest."""
+    k1, r = F.col("k1"), F.col("r")
+    lows, highs = [-(2.0**63), *map(float, borders)], [*map(float, borders), 2.0**63]
+    per_range = [F.array(*map(F.lit, x)) for x in (lows, highs, [parts.get(i, 1) for i in range(len(lows))])]
+    low, high, cuts = (F.get(x, r) for x in per_range)
+    rest = F.floor((k1.cast("double") - low) / (high - low) * cuts)
+    if not hot:
+        return F.struct(F.lit(0).alias("at"), rest.cast("long").alias("part"))
+    upto = _range_of(k1, [k for k, _ in hot])
+    own = F.coalesce(F.get(F.array(*[F.lit(k).cast("long") for k, _ in hot]), upto - 1) == k1, F.lit(False))
+    unit = (F.shiftright("k2", 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))  # 0 to 1, in the order of k2
+    mine = F.floor(unit * F.get(F.array(*[F.lit(n) for _, n in hot]), upto - 1))
+    return F.struct((2 * upto - own.cast("int")).alias("at"), F.when(own, mine).otherwise(rest).cast("long").alias("part"))
+
+
 def _range_of(key, borders: list[int]):
     """Number of borders at or below the key, by binary search over a constant array."""
     if not borders:

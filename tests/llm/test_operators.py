@@ -417,6 +417,14 @@ def test_sharding_splits_a_hot_text(spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 40
 
 
+def test_sharding_keeps_equal_texts_together_beside_a_hot_text(spark):
+    docs = frame(spark, [(i, "same text" if i % 3 else f"text {i % 250}") for i in range(3000)])
+    rows = sharding.shard(docs, shards=16, ranges=4).collect()
+    order = [r["text_crc32"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    runs = 1 + sum(a != b for a, b in zip(order, order[1:]))
+    assert len(order) == 3000 and runs == len(set(order))
+
+
 def vectors(seed=1):
     r = np.random.default_rng(seed)
     base = r.normal(size=(40, 8))
