@@ -1,13 +1,13 @@
 """Suffix-array dedup: every byte covered by a string that starts elsewhere too.
 
-Suffixes are dealt out by ranges of their leading token with Spark's sampled
-splitters and sorted inside each range by a multikey quicksort over tokens of
-``BLOCK_BYTES`` bytes: sort by one token, split into runs of equal tokens, go on
-with the next token inside the runs of two or more.  Suffixes still together
-after ``window`` bytes are repeats.  The leading token of a range is the
-suffix's anchor (see ``repeats``), so equal strings have equal range keys and
-the comparison across a range's border is settled by the key: a border never
-falls between equal keys.  Only suffixes whose anchor repeats are sorted.
+This stands in for a suffix array; no order of suffixes exists.  Passages are
+dealt out by ranges of their anchor's hash (see ``repeats``) with Spark's
+sampled splitters.  Inside a range, windows are grouped piece by piece: sort by
+the 64-bit hash of one piece, split into runs of equal hashes, go on with the
+next piece inside the runs of two or more.  Windows still together after
+``window`` bytes are repeats, up to collisions of hashes; bytes are never
+compared.  Equal strings have equal anchors, so a border never falls between
+them.  Only windows whose anchor repeats are grouped.
 """
 
 from __future__ import annotations
