@@ -1,10 +1,12 @@
-"""Substring dedup by matching statistics against compressed FM-indexes.
+"""Substring dedup by a fixed-length search in FM-indexes.
 
 Passages that share an anchor with another document (see ``repeats``) are dealt
 to shards.  A shard builds an FM-index over its passages: the
 Burrows-Wheeler transform of their words in a wavelet matrix of bit-packed
-levels with popcount ranks.  The passages are then streamed through it: for the
-window ending at each word a backward search extends the match to the left, all
+levels with popcount ranks, and the full suffix array beside it.  The same
+passages are then searched in it.  No match lengths are computed and no
+documents are streamed through the shards, as only windows of the threshold's
+length decide: for the window ending at each word a backward search extends the match to the left, all
 windows in lockstep, and drops those whose interval has shrunk to one
 occurrence.  Windows that reach the threshold report the smallest document of
 their interval, from a sparse table over the suffix order.
