@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -66,6 +66,21 @@ def id_text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """``df`` with ``nth``, its rows' places from 0 in a total order, and the number of rows.
+
+    A range-partitioned sort, stored; the driver sees one count per sort task.
+    """
+    ordered = stored(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), name)
+    task, nth = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    starts, before = [], 0
+    for row in sorted(ordered.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((row["task"], before))
+        before += row["n"]
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "task long, first long"))
+    return ordered.join(first, task == F.col("task")).select(*df.columns, (F.col("first") + nth).alias("nth")), before
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: ``(node, component)``.
 
