@@ -7,12 +7,13 @@ table and derives the digest columns from the operator's output.
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, decontamination, embedding_dedup, secrets, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import bpe, counting, decontamination, embedding_dedup, manifest, oracles, packing, resampling, secrets, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_byte_bpe, op4_token_counts, op5_simhash, op6_substring_dedup, op7_decontamination, op8_suffix_dedup, op9_secret_scan, op10_sharding)}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, end=0)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, grams=1, least_words=20, percent=10, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return manifest.build(docs, tampered=tampered, tamper={"text": lower})
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_byte_bpe, op4_token_counts, op5_simhash, op6_substring_dedup, op7_decontamination, op8_suffix_dedup, op9_secret_scan, op10_sharding, op11_best_fit_packing, op12_importance_resampling, op13_merkle_manifest)}
 #: DuckDB twins, for those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.ORACLE
