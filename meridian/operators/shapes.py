@@ -8,9 +8,10 @@ Each shape is written so that it stays distributed and skew-tolerant:
   shuffle;
 * spines are generated per row with ``explode(sequence(...))`` (work
   proportional to output, no cross join + range filter);
-* trailing distinct counts explode the *deduplicated* (entity, day) pairs into
-  the N days they count towards and then aggregate, instead of a correlated
-  range subquery (which Spark plans as a nested-loop join);
+* dense spines over sparse facts fill the gaps after the last exchange: facts
+  travel, filled rows never do;
+* trailing distinct counts add one event where an entity begins to count and one
+  where it stops, and sum the events over the calendar;
 * interval (as-of) and overlap joins are equi-joins on (entity, calendar month)
   with the range as a residual predicate, so a hot entity is split by month and
   only rows meeting in the same month become candidates;
@@ -103,23 +104,6 @@ def entity_day_spine(entities: DataFrame, key: str, start, end, name: str = "dat
             .select(F.col(key), F.explode(F.sequence(s, e, F.expr("INTERVAL 1 DAY"))).alias(name)))
 
 
-def trailing_distinct(activity: DataFrame, entity: str, day: str, window_days: int,
-                      name: str, calendar: DataFrame | None = None) -> DataFrame:
-    """Distinct ``entity`` active within the trailing ``window_days`` of each day.
-
-    ``activity`` is deduplicated to (entity, day) first; each pair is then
-    exploded into the ``window_days`` days it contributes to.  The result has one
-    row per day that has at least one contributor (restricted to ``calendar``
-    when given, joined on ``day``).
-    """
-    pairs = activity.select(F.col(entity), F.col(day)).distinct()
-    exp = pairs.select(F.col(entity), F.explode(F.sequence(F.col(day), F.date_add(F.col(day), window_days - 1)))
-                       .alias(day))
-    if calendar is not None:
-        exp = exp.join(calendar.select(day), day, "left_semi")
-    return exp.groupBy(day).agg(F.countDistinct(entity).alias(name))
-
-
 def bucketed_lead(df: DataFrame, keys: Sequence[str], order: str, tie: str, bucket, name: str) -> DataFrame:
     """``lead(order) over (partition by keys order by order, tie)`` computed in two levels.
 
@@ -203,20 +187,43 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return out.select(*sel)
 
 
-def stacked(spine: DataFrame, keys: Sequence[str], frames: Sequence[DataFrame]) -> DataFrame:
-    """``spine`` left-joined with every frame on ``keys``, as one aggregation.
+def gap_filled(sparse: DataFrame, key: str, period: str, until, unit: str = "DAY", start: str = "__start",
+               own: Sequence[str] = (), carried: Sequence[str] = (), same: Sequence[str] = ()) -> DataFrame:
+    """One row per ``key`` and ``period`` from the key's start to ``until``, from one row per period with facts.
+
+    ``sparse`` has one row per (key, period); ``start`` is set on the key's row
+    at its first period (a key without one has no spine) and NULL elsewhere.
+    ``own`` columns belong to their period and are NULL in the periods filled in
+    after it; ``carried`` columns are changes whose running sum holds until the
+    next row; ``same`` columns are copied.  The result also has ``__prior``, the
+    carried sums before the period as a struct, and ``__before``, the ``own``
+    values of the period before (NULL if it is filled or not on the spine).
 
-    Spine and frames have one row per key.  Their rows are stacked and grouped
-    once, which replaces a ladder of joins (an exchange and a sort per frame) by
-    one exchange; keys that the spine lacks are dropped.  Columns of a frame are
-    NULL where it has no row.
+    Only the sparse rows cross the network: a window per key finds the next row
+    and the sums, and the periods in between are generated behind it.  A key's
+    rows are bounded by the calendar.
     """
-    rows = spine.withColumn("__spine", F.lit(True))
-    for f in frames:
-        rows = rows.unionByName(f, allowMissingColumns=True)
-    values = [c for c in rows.columns if c not in keys and c != "__spine"]
-    return (rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values], F.max("__spine").alias("__spine"))
-            .filter(F.col("__spine")).drop("__spine"))
+    w = Window.partitionBy(key).orderBy(period)
+    upto, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    one = F.expr(f"INTERVAL 1 {unit}")
+    rows = sparse.select(
+        key, period, *own, *same,
+        *[F.sum(c).over(upto).alias(f"__upto_{c}") for c in carried],
+        *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__ahead_{c}") for c in carried],
+        F.struct(*[F.lag(c).over(w).alias(c) for c in own], F.lag(period).over(w).alias(period)).alias("__lag"),
+        F.lead(period).over(w).alias("__next"), F.max(start).over(Window.partitionBy(key)).alias("__first"))
+    last = F.coalesce((F.col("__next") - one).cast("date"), _c(until))
+    each = rows.filter((F.col(period) >= F.col("__first")) & (F.col(period) <= last)).withColumn(
+        "__p", F.explode(F.sequence(F.col(period), last, one)))
+    here, following = F.col("__p") == F.col(period), (F.col(period) + one).cast("date") == F.col("__p")
+    known = F.col(period) > F.col("__first")
+    before = F.when(here & known & ((F.col(f"__lag.{period}") + one).cast("date") == F.col(period)), F.struct(*[F.col(f"__lag.{c}") for c in own])) \
+        .when(following, F.struct(*own)) if own else F.lit(None)
+    return each.select(
+        key, F.col("__p").alias(period), *[F.when(here, F.col(c)).alias(c) for c in own], *same,
+        *[F.coalesce(f"__upto_{c}", F.lit(0)).alias(c) for c in carried],
+        *([F.struct(*[F.when(here, F.col(f"__ahead_{c}")).otherwise(F.coalesce(f"__upto_{c}", F.lit(0))).alias(c) for c in carried]).alias("__prior")] if carried else []),
+        before.alias("__before"))
 
 
 def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_ratio
-from ..operators.shapes import entity_day_spine, explode_months, stacked
+from ..operators.shapes import explode_months, gap_filled
 from .core import dim_organizations, dim_users, fct_sessions
 from .finance import fin_firm_unit_economics, fin_monthly_revenue, fin_mrr, revenue_amounts
 from .finance_ops import fin_budget_vs_actual, fin_spend_monthly
@@ -100,37 +100,64 @@ def subscription_daily_mrr(b) -> DataFrame:
     return days.groupBy("organization_id", "metric_date").agg(F.sum("monthly_price_usd").alias("subscription_mrr_usd"))
 
 
+def mrr_changes(b, start: DataFrame) -> DataFrame:
+    """``organization_id, day, __mrr``: by how many cents an organisation's MRR changes on a day.
+
+    An active paid subscription adds its price on its first day and takes it
+    away after its last one; days before the organisation's ``start`` count as
+    that day, days after ``as_of`` are left out.
+    """
+    as_of = F.lit(b.as_of).cast("date")
+    p = F.broadcast(b.plans.select("plan_id", F.round(F.col("monthly_price_usd") * 100).cast("long").alias("__cents")))  # bounded catalogue
+    s = b.subscriptions.filter(F.col("status") == "active").join(p, "plan_id").filter(F.col("__cents") > 0)
+    first = F.to_date("current_period_start")
+    last = F.least(F.to_date(F.coalesce("current_period_end", F.lit(f"{b.as_of} 00:00:00").cast("timestamp_ntz"))), as_of)
+    both = F.explode(F.array(F.struct(first.alias("day"), F.col("__cents").alias("__mrr")),
+                             F.struct(F.date_add(last, 1).alias("day"), (-F.col("__cents")).alias("__mrr")))).alias("e")
+    found = s.filter(first <= last).select("organization_id", both).select("organization_id", "e.day", "e.__mrr").filter(F.col("day") <= as_of)
+    # Few rows per organisation and day; the sum reduces them before they meet the organisations.
+    found = found.groupBy("organization_id", "day").agg(F.sum("__mrr").alias("__mrr"))
+    return found.join(start, "organization_id").select("organization_id", F.greatest("day", "start").alias("day"), "__mrr")
+
+
 def core_metric_spine(b) -> DataFrame:
     """Org x day from the organisation's creation to ``as_of`` with activity,
-    MRR and new-entity counts; every branch pre-aggregated to the spine grain."""
+    MRR and new-entity counts.
+
+    Sessions, users, organisations and changes of MRR are stacked and summed by
+    (organisation, day); the days without any are filled in behind the last
+    exchange (``gap_filled``), so spine rows never travel.
+    """
     d0 = b.sessions.agg(F.min(F.to_date("started_at"))).scalar()  # scalar subquery: first calendar day
-    orgs = b.organizations.select("organization_id", F.to_date("created_at").alias("_created"))  # same rows as the dimension
-    start = F.greatest(F.col("_created"), d0)
-    spine = entity_day_spine(orgs, "organization_id", start, F.lit(b.as_of).cast("date"), "metric_date")
-    keys = ["organization_id", "metric_date"]
-    sd = (fct_sessions(b).groupBy("organization_id", F.col("session_date").alias("metric_date"))
-          .agg(F.count(F.lit(1)).alias("_n"), count_if(F.col("is_successful")).alias("_ok"),
-               F.sum("event_count").alias("_ev"), F.sum("error_count").alias("_err"),
-               F.sum("duration_seconds").alias("_dur")))
-    ne = orgs.select("organization_id", F.col("_created").alias("metric_date"), F.lit(1).alias("_new_org"))
-    nu = (dim_users(b).filter(F.col("primary_organization_id").isNotNull())
-          .groupBy(F.col("primary_organization_id").alias("organization_id"),
-                   F.to_date("user_created_at").alias("metric_date"))
-          .agg(F.count(F.lit(1)).alias("_new_users")))
-    mrr = subscription_daily_mrr(b)
-    f = stacked(spine, keys, [sd, mrr, ne, nu])
-    n = F.coalesce("_n", F.lit(0))
+    as_of, zero = F.lit(b.as_of).cast("date"), F.lit(0).cast("long")
+    orgs = b.organizations.select("organization_id", F.to_date("created_at").alias("created"))  # same rows as the dimension
+    starts = orgs.select("organization_id", "created", F.greatest(F.col("created"), d0).alias("start"))
+    facts = [
+        fct_sessions(b).select("organization_id", F.col("session_date").alias("metric_date"), F.lit(1).alias("_n"), F.col("is_successful").cast("int").alias("_ok"),
+                               F.col("event_count").alias("_ev"), F.col("error_count").alias("_err"), F.col("duration_seconds").alias("_dur")),
+        starts.select("organization_id", F.col("start").alias("metric_date"), "start"),
+        starts.select("organization_id", F.col("created").alias("metric_date"), F.lit(1).alias("_new_org")),
+        dim_users(b).filter(F.col("primary_organization_id").isNotNull()).select(
+            F.col("primary_organization_id").alias("organization_id"), F.to_date("user_created_at").alias("metric_date"), F.lit(1).alias("_new_users")),
+        mrr_changes(b, starts.select("organization_id", "start")).withColumnRenamed("day", "metric_date"),
+    ]
+    own = ["_n", "_ok", "_ev", "_err", "_dur", "_new_org", "_new_users"]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts)
+    sparse = rows.filter(F.col("metric_date") <= as_of).groupBy("organization_id", "metric_date").agg(
+        *[F.sum(c).alias(c) for c in [*own, "__mrr"]], F.max("start").alias("__start"))
+    f = gap_filled(sparse, "organization_id", "metric_date", as_of, own=own, carried=["__mrr"])
+    n, z = F.coalesce("_n", zero), lambda c: F.coalesce(c, zero)
     return f.select(
         "metric_date", "organization_id", n.alias("session_count"),
-        F.coalesce("_ok", F.lit(0)).alias("successful_session_count"),
-        F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.coalesce("_ok", F.lit(0)).cast("double") / n * 100, 2))
+        z("_ok").alias("successful_session_count"),
+        F.when(n == 0, F.lit(0.0)).otherwise(F.round(z("_ok").cast("double") / n * 100, 2))
          .alias("session_success_rate_pct"),
         F.when(n > 0, 1).otherwise(0).alias("is_active_org"),
-        F.coalesce("_ev", F.lit(0)).alias("event_count"), F.coalesce("_err", F.lit(0)).alias("error_count"),
-        F.round(F.coalesce("_dur", F.lit(0)) / 60.0, 2).alias("session_duration_minutes"),
-        F.coalesce("subscription_mrr_usd", F.lit(0.0)).alias("subscription_mrr_usd"),
-        F.coalesce("_new_org", F.lit(0)).alias("new_organization_count"),
-        F.coalesce("_new_users", F.lit(0)).alias("new_user_count"))
+        z("_ev").alias("event_count"), z("_err").alias("error_count"),
+        F.round(z("_dur") / 60.0, 2).alias("session_duration_minutes"),
+        (F.col("__mrr") / 100.0).alias("subscription_mrr_usd"),
+        F.coalesce(F.col("_new_org"), zero).cast("int").alias("new_organization_count"),
+        z("_new_users").alias("new_user_count"))
 
 
 view("sub_daily_mrr", f"""
@@ -198,43 +225,24 @@ def core_metric_registry(b) -> DataFrame:
 # Fixed configuration relation: a library function, not a registered query (it reads no input tables).
 
 
-def monthly_peak_mrr(b) -> DataFrame:
-    """Per (org, month): the highest daily MRR within the month (days from the
-    organisation's creation to ``as_of``).
+def monthly_mrr(b) -> DataFrame:
+    """``organization_id, month_start, __mrr, _peak`` for months in which an
+    organisation's MRR changes: by how many cents it has changed at the month's
+    end, and the highest it gets above its level before the month.
 
-    Daily MRR is piecewise constant and only changes on a subscription start or
-    on the day after an end, so the monthly peak is evaluated at those change
-    points plus the first spine day of each month.  Candidates meet the
-    subscriptions of their own (org, month) bucket only, so the work scales
-    with subscriptions x months instead of subscriptions x days.
+    Only days with a change are looked at; the level before the month is a
+    candidate unless the organisation's spine or the month begins with a change.
     """
-    as_of = F.lit(b.as_of).cast("date")
-    s = b.subscriptions.filter(F.col("status") == "active")
-    p = F.broadcast(b.plans.select("plan_id", "monthly_price_usd"))  # bounded catalogue
-    subs = (s.join(p, "plan_id", "left").filter(F.col("monthly_price_usd") > 0)
-            .select("organization_id", F.to_date("current_period_start").alias("_s"),
-                    F.least(F.to_date(F.coalesce("current_period_end", F.lit(f"{b.as_of} 00:00:00")
-                                                 .cast("timestamp_ntz"))), as_of).alias("_e"),
-                    F.col("monthly_price_usd").alias("_p"))
-            .filter(F.col("_s") <= F.col("_e")))
-    orgs = b.organizations.select("organization_id", F.to_date("created_at").alias("_c"))  # same rows as the dimension
-    om = (orgs.select("organization_id", "_c", F.explode(F.sequence(F.trunc("_c", "MM"), F.trunc(as_of, "MM"),
-                                                                    F.expr("INTERVAL 1 MONTH"))).alias("_m"))
-          .withColumn("_lo", F.greatest("_m", "_c")).withColumn("_hi", F.least(F.last_day("_m"), as_of))
-          .filter(F.col("_lo") <= F.col("_hi")).drop("_c"))
-    changes = (subs.select("organization_id", F.col("_s").alias("_d"))
-               .unionByName(subs.select("organization_id", F.date_add("_e", 1).alias("_d")))
-               .withColumn("_m", F.trunc("_d", "MM")))
-    ch = (changes.join(om, ["organization_id", "_m"]).filter(F.col("_d").between(F.col("_lo"), F.col("_hi")))
-          .select("organization_id", "_m", "_d"))
-    cand = om.select("organization_id", "_m", F.col("_lo").alias("_d")).unionByName(ch).distinct()
-    sm = explode_months(subs, "_s", "_e", None, "_m").select(F.col("organization_id").alias("_o"),
-                                                              F.col("_m").alias("_sm"), "_s", "_e", "_p")
-    vals = (cand.join(sm, (cand.organization_id == sm._o) & (cand._m == sm._sm)
-                      & (sm._s <= cand._d) & (sm._e >= cand._d), "left")
-            .groupBy("organization_id", "_m", "_d").agg(F.sum("_p").alias("_v")))
-    return vals.groupBy("organization_id", F.col("_m").alias("month_start")).agg(
-        F.max(F.coalesce("_v", F.lit(0.0))).alias("mrr_usd"))
+    d0 = b.sessions.agg(F.min(F.to_date("started_at"))).scalar()
+    starts = b.organizations.select("organization_id", F.greatest(F.to_date("created_at"), d0).alias("start"))
+    daily = mrr_changes(b, starts).groupBy("organization_id", "day").agg(F.sum("__mrr").alias("d"))
+    month = F.trunc("day", "MM").alias("month_start")
+    w = Window.partitionBy("organization_id", "month_start").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # 31 rows at most
+    run = daily.select("organization_id", month, "day", "d").withColumn("r", F.sum("d").over(w))
+    monthly = run.groupBy("organization_id", "month_start").agg(F.sum("d").alias("__mrr"), F.max("r").alias("_top"), F.min("day").alias("_day"))
+    at_once = F.col("_day") == F.greatest("month_start", "start")
+    return monthly.join(starts, "organization_id").select(
+        "organization_id", "month_start", "__mrr", F.when(at_once, F.col("_top")).otherwise(F.greatest("_top", F.lit(0))).alias("_peak"))
 
 
 # ------------------------------------------------------ business snapshot
@@ -242,9 +250,6 @@ def term_business_snapshot(b) -> DataFrame:
     as_of_month = F.trunc(F.lit(b.as_of).cast("date"), "MM")
     m0 = b.sessions.agg(F.trunc(F.min(F.to_date("started_at")), "MM")).scalar()  # scalar subquery
     o = dim_organizations(b).select("organization_id", "organization_name", "organization_status", "current_plan_name")
-    spine = o.select("organization_id", "organization_name", "organization_status", "current_plan_name",
-                     F.explode(F.sequence(m0, as_of_month, F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
-    keys = ["organization_id", "month_start"]
     s = fct_sessions(b)
     rn = s.groupBy("organization_id", month_start("session_date").alias("month_start")).agg(
         F.count(F.lit(1)).alias("total_runs"), count_if(F.col("is_successful")).alias("successful_runs"),
@@ -256,7 +261,6 @@ def term_business_snapshot(b) -> DataFrame:
         F.sum(F.when(F.col("used_proxy"), 1).otherwise(0)).alias("sessions_with_proxy"),
         F.sum(F.when(F.col("is_stealth_mode"), 1).otherwise(0)).alias("sessions_with_stealth"),
         F.avg(F.nullif("pages_visited", F.lit(0))).alias("avg_pages_per_session"))
-    mm = monthly_peak_mrr(b)
     rm = revenue_amounts(b).select("organization_id", F.col("revenue_month").alias("month_start"),
                                        "realized_revenue_usd", "gross_revenue_usd")
     fm = fin_budget_vs_actual(b).select("organization_id", F.col("budget_month").alias("month_start"), "card_spend_usd",
@@ -275,7 +279,15 @@ def term_business_snapshot(b) -> DataFrame:
     gw = (opp.filter((F.col("stage") == "closed_won") & F.col("closed_at").isNotNull())
           .groupBy("organization_id", month_start("closed_at").alias("month_start"))
           .agg(F.count(F.lit(1)).alias("won_opportunities"), exact_sum(amt, 2).alias("won_revenue_usd")))
-    c = stacked(spine, keys, [rn, mm, rm, fm, gl, gc, gw])
+    # One row per organisation and month with facts, numbers only; names and empty months come behind the last exchange.
+    frames = [o.select("organization_id", m0.alias("month_start"), m0.alias("__start")), rn, monthly_mrr(b), rm, fm, gl, gc, gw]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+    values = [c for c in rows.columns if c not in ("organization_id", "month_start")]
+    sparse = rows.filter(F.col("month_start") <= as_of_month).groupBy("organization_id", "month_start").agg(*[F.max(c).alias(c) for c in values])
+    own = [c for c in values if c not in ("__mrr", "__start")]
+    names = ["organization_name", "organization_status", "current_plan_name"]
+    c = gap_filled(sparse.join(o, "organization_id"), "organization_id", "month_start", as_of_month, "MONTH", own=own, carried=["__mrr"], same=names)
+    c = c.withColumn("mrr_usd", (F.col("__prior.__mrr") + F.coalesce("_peak", F.lit(0).cast("long"))) / 100.0)
     z = lambda n, v=0: F.coalesce(F.col(n), F.lit(v))
     c = c.select(
         "organization_id", "organization_name", "organization_status", "current_plan_name", "month_start",
@@ -294,12 +306,10 @@ def term_business_snapshot(b) -> DataFrame:
         z("total_errors").alias("total_errors"), z("total_events").alias("total_events"),
         z("active_days_in_month").alias("active_days_in_month"), z("sessions_with_proxy").alias("sessions_with_proxy"),
         z("sessions_with_stealth").alias("sessions_with_stealth"),
-        F.round(z("avg_pages_per_session", 0.0), 4).alias("avg_pages_per_session"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("organization_id").orderBy("month_start")
+        F.round(z("avg_pages_per_session", 0.0), 4).alias("avg_pages_per_session"), "__before")
 
-    def mom(col):
-        prev = F.lag(col).over(w).cast("double")
+    def mom(col, of=None):
+        prev = F.col(f"__before.{of or col}").cast("double")  # an empty month before is a zero, like none
         return F.round((F.col(col).cast("double") - prev) / F.nullif(prev, F.lit(0.0)) * 100.0, 2)
 
     rev = F.col("recognized_revenue_usd")
@@ -316,10 +326,22 @@ def term_business_snapshot(b) -> DataFrame:
         safe_ratio("sessions_with_proxy", "total_runs").alias("proxy_session_rate_pct"),
         safe_ratio("sessions_with_stealth", "total_runs").alias("stealth_session_rate_pct"),
         safe_ratio("sessions_with_proxy", "total_runs").alias("feature_adoption_rate"),
-        mom("recognized_revenue_usd").alias("mom_revenue_growth_pct"),
+        mom("recognized_revenue_usd", "realized_revenue_usd").alias("mom_revenue_growth_pct"),
         mom("total_runs").alias("mom_runs_growth_pct"),
-        mom("total_spend_usd").alias("mom_spend_growth_pct"))
+        mom("total_spend_usd").alias("mom_spend_growth_pct")).drop("__before")
+
 
+# The highest MRR of a month is reached on its first day or where a subscription begins.
+view("mrr_levels", f"""
+WITH begun AS (SELECT organization_id, greatest(CAST(organization_created_at AS DATE), (SELECT min(date_day) FROM dim_time)) AS day0 FROM dim_organizations),
+paid AS (SELECT organization_id, monthly_price_usd AS price, CAST(current_period_start AS DATE) AS a, CAST(ifnull(current_period_end, TIMESTAMP '2001-08-01') AS DATE) AS z
+         FROM fct_subscriptions JOIN b_plans USING (plan_id) WHERE status = 'active' AND monthly_price_usd > 0),
+asked AS (SELECT organization_id, greatest(day0, CAST(unnest(generate_series(date_trunc('month', day0), {AS_OF_SQL}, INTERVAL 1 MONTH)) AS DATE)) AS day FROM begun
+          UNION SELECT organization_id, a FROM paid JOIN begun USING (organization_id) WHERE a BETWEEN day0 AND {AS_OF_SQL})
+SELECT asked.organization_id, asked.day, ifnull(sum(price), 0.0) AS mrr
+FROM asked LEFT JOIN paid ON paid.organization_id = asked.organization_id AND asked.day BETWEEN paid.a AND paid.z
+GROUP BY ALL
+""", "dim_organizations", "dim_time", "fct_subscriptions", "b_plans")
 
 view("term_business_snapshot", f"""
 WITH facts AS (
@@ -327,7 +349,7 @@ WITH facts AS (
          TRUE AS cell FROM dim_organizations
   UNION ALL BY NAME SELECT organization_id, session_date AS happened_at, session_date AS day, 1 AS run, is_successful AS ok, duration_seconds AS secs,
          error_count AS errs, event_count AS evs, used_proxy AS proxy, is_stealth_mode AS stealth, nullif(pages_visited, 0) AS pages FROM fct_sessions
-  UNION ALL BY NAME SELECT organization_id, metric_date AS happened_at, subscription_mrr_usd AS mrr FROM core_metric_spine
+  UNION ALL BY NAME SELECT organization_id, day AS happened_at, mrr FROM mrr_levels
   UNION ALL BY NAME SELECT organization_id, revenue_month AS happened_at, realized_revenue_usd AS realized, gross_revenue_usd AS gross FROM fin_monthly_revenue
   UNION ALL BY NAME SELECT organization_id, budget_month AS happened_at, card_spend_usd AS card, reimbursement_spend_usd AS own, bill_payment_spend_usd AS bill,
          actual_spend_usd AS spent, budget_allocated_usd AS plan, budget_variance_usd AS variance, ap_open_usd AS ap FROM fin_budget_vs_actual
@@ -370,10 +392,10 @@ SELECT paired.* EXCLUDE (revenue0, runs0, spend0), o.organization_name, o.organi
        round((total_runs - runs0)::DOUBLE / nullif(runs0, 0) * 100, 2) AS mom_runs_growth_pct,
        round((total_spend_usd - spend0) / nullif(spend0, 0) * 100, 2) AS mom_spend_growth_pct
 FROM paired JOIN dim_organizations o USING (organization_id)
-""", "dim_time", "dim_organizations", "fct_sessions", "core_metric_spine", "fin_monthly_revenue", "fin_budget_vs_actual",
+""", "dim_time", "dim_organizations", "fct_sessions", "mrr_levels", "fin_monthly_revenue", "fin_budget_vs_actual",
      "b_leads", "b_accounts", "b_opportunities")
 register("term_business_snapshot", "SELECT * FROM term_business_snapshot", ("term_business_snapshot",),
-         inputs=("dim_time", "dim_organizations", "fct_sessions", "core_metric_spine", "fin_monthly_revenue",
+         inputs=("dim_time", "dim_organizations", "fct_sessions", "fct_subscriptions", "fin_monthly_revenue",
                  "fin_budget_vs_actual", "stg_gtm_leads", "stg_gtm_accounts", "stg_gtm_opportunities"))(term_business_snapshot)
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,15 +58,6 @@ def test_bucketed_lead_matches_plain_lead(spark):
     assert got == want
 
 
-def test_trailing_distinct_matches_brute_force(spark):
-    df = _df(spark, 5).select("k", F.to_date("ts").alias("d"))
-    got = {r.d: r.n for r in shapes.trailing_distinct(df, "k", "d", 7, "n").collect()}
-    pdf = df.toPandas()
-    for day in set(pdf["d"]):
-        lo = day - dt.timedelta(days=6)
-        assert got[day] == pdf[(pdf["d"] >= lo) & (pdf["d"] <= day)]["k"].nunique()
-
-
 def test_sessionize_batch_matches_lag_sum(spark):
     df = spark.createDataFrame([(k, i, ts) for k, i, ts, _ in _rows(3, 800)], "user_id long, event_id long, ts timestamp_ntz")
     gap = 6 * 3600
@@ -131,19 +123,57 @@ def test_bucketed_overlap_matches_brute_force(spark):
     assert got == want
 
 
-def test_trailing_distinct_multi_matches_single(spark):
+def test_trailing_distinct_multi_matches_brute_force(spark):
     df = _df(spark, 13).select("k", F.to_date("ts").alias("d"))
-    multi = {r.d: (r.w7, r.w30) for r in shapes.trailing_distinct_multi(df, "k", "d", {"w7": 7, "w30": 30}).collect()}
-    w7 = {r.d: r.n for r in shapes.trailing_distinct(df, "k", "d", 7, "n").collect()}
-    w30 = {r.d: r.n for r in shapes.trailing_distinct(df, "k", "d", 30, "n").collect()}
-    assert set(multi) == set(w30)
-    assert all(multi[d] == (w7.get(d, 0), w30[d]) for d in multi)
+    got = {r.d: (r.w7, r.w30) for r in shapes.trailing_distinct_multi(df, "k", "d", {"w7": 7, "w30": 30}).collect()}
+    active = {(r.k, r.d) for r in df.collect() if r.k is not None and r.d is not None}
+    first, last = min(d for _, d in active), max(d for _, d in active)
+    want = {}
+    for i in range((last - first).days + 30):
+        day = first + dt.timedelta(days=i)
+        counts = tuple(len({k for k, d in active if day - dt.timedelta(days=n) < d <= day}) for n in (7, 30))
+        if max(counts):
+            want[day] = counts
+    assert got == want
+
+
+@pytest.mark.parametrize("unit", ["DAY", "MONTH"])
+def test_gap_filled_matches_brute_force(spark, unit):
+    rnd, start = random.Random(8), dt.date(2020, 11, 1)
+
+    def after(d, n=1):
+        for _ in range(n):
+            d = d + dt.timedelta(days=1) if unit == "DAY" else (d.replace(day=28) + dt.timedelta(days=5)).replace(day=1)
+        return d
+
+    until = after(start, 30)
+    rows, firsts = {}, {}
+    for k in range(7):
+        firsts[k] = after(start, rnd.randint(0, 12)) if k < 6 else None  # the last key has no spine
+        for n in rnd.sample(range(30), rnd.randint(0, 12)):
+            rows[k, after(start, n)] = [rnd.choice([None, 5, 7]), rnd.choice([None, 3, -2])]
+        if firsts[k]:
+            rows.setdefault((k, firsts[k]), [None, None])
+    data = [(k, d, *v, firsts[k] if d == firsts[k] else None, f"name{k}") for (k, d), v in rows.items()]
+    df = spark.createDataFrame(data, "k int, d date, v int, c int, __start date, s string")
+    got = {(r.k, r.d): (r.v, r.c, r["__prior"].c, r["__before"].v if r["__before"] else None, r.s) for r in
+           shapes.gap_filled(df, "k", "d", F.lit(until), unit, own=["v"], carried=["c"], same=["s"]).collect()}
+    want = {}
+    for k, first in firsts.items():
+        d = first
+        while d and d <= until:
+            upto = sum(v[1] or 0 for (j, e), v in rows.items() if j == k and e <= d)
+            ahead = sum(v[1] or 0 for (j, e), v in rows.items() if j == k and e < d)
+            last = next((e for (j, e) in rows if j == k and after(e) == d), None)
+            want[k, d] = (rows.get((k, d), [None])[0], upto, ahead, rows[k, last][0] if last and last >= first else None, f"name{k}")
+            d = after(d)
+    assert got == want
 
 
 def test_monthly_peak_mrr_matches_daily_brute_force(spark):
     from types import SimpleNamespace
 
-    from meridian.plans.terminal import monthly_peak_mrr
+    from meridian.plans.terminal import monthly_mrr
 
     rnd = random.Random(4)
     as_of = "2021-06-15"
@@ -160,10 +190,16 @@ def test_monthly_peak_mrr_matches_daily_brute_force(spark):
     b = SimpleNamespace(
         as_of=as_of, plans=plans,
         organizations=spark.createDataFrame(orgs, "organization_id long, created_at timestamp_ntz"),
+        sessions=spark.createDataFrame([(dt.datetime(2019, 12, 1),)], "started_at timestamp_ntz"),
         subscriptions=spark.createDataFrame(subs, "subscription_id long, organization_id long, plan_id string, "
                                                   "status string, current_period_start timestamp_ntz, "
                                                   "current_period_end timestamp_ntz"))
-    got = {(r.organization_id, r.month_start): r.mrr_usd for r in monthly_peak_mrr(b).collect()}
+    marks = b.organizations.select("organization_id", F.trunc("created_at", "MM").alias("month_start"), F.trunc("created_at", "MM").alias("__start"))
+    sparse = monthly_mrr(b).unionByName(marks, allowMissingColumns=True).groupBy("organization_id", "month_start").agg(
+        *[F.max(c).alias(c) for c in ("__mrr", "_peak", "__start")])
+    full = shapes.gap_filled(sparse, "organization_id", "month_start", F.lit(as_of).cast("date"), "MONTH", own=["_peak"], carried=["__mrr"])
+    peak = (F.col("__prior.__mrr") + F.coalesce("_peak", F.lit(0))) / 100.0
+    got = {(r.organization_id, r.month_start): r.mrr_usd for r in full.select("organization_id", "month_start", peak.alias("mrr_usd")).collect()}
     want = {}
     for o, created in orgs:
         d = max(created.date(), dt.date(2019, 12, 1))
