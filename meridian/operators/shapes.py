@@ -212,7 +212,7 @@ def gap_filled(sparse: DataFrame, key: str, period: str, until, unit: str = "DAY
         *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__ahead_{c}") for c in carried],
         F.struct(*[F.lag(c).over(w).alias(c) for c in own], F.lag(period).over(w).alias(period)).alias("__lag"),
         F.lead(period).over(w).alias("__next"), F.max(start).over(Window.partitionBy(key)).alias("__first"))
-    last = F.coalesce((F.col("__next") - one).cast("date"), _c(until))
+    last = F.least((F.col("__next") - one).cast("date"), _c(until))
     each = rows.filter((F.col(period) >= F.col("__first")) & (F.col(period) <= last)).withColumn(
         "__p", F.explode(F.sequence(F.col(period), last, one)))
     here, following = F.col("__p") == F.col(period), (F.col(period) + one).cast("date") == F.col("__p")

@@ -7,10 +7,13 @@ exact and independent of row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import month_start
+from ..operators.shapes import gap_filled
 from .core import dim_organizations, dim_time
 from .oracle_views import view
 from .registry import register
@@ -262,56 +265,67 @@ register("fin_vendor_spend_monthly", "SELECT * FROM fin_vendor_spend_monthly", (
 
 
 # ------------------------------------------------------ budget vs actual
-def fin_budget_vs_actual(b) -> DataFrame:
-    """Dense org x month grid of budget, spends, adjustments and open AP.
+BUDGET_FACTS = ("_card", "_reimb", "_bp", "_adj", "_ap")
 
-    The grid is generated per organisation with ``explode(sequence(first, last
-    month))`` from the calendar's month bounds (scalar subqueries; output-sized work);
-    budgets are per-organisation constants joined onto the grid by key.
-    """
-    cal = dim_time(b)
-    m0, m1 = cal.agg(F.min("month_start")).scalar(), cal.agg(F.max("month_start")).scalar()  # scalar subqueries
-    orgs = b.organizations.select("organization_id")  # one row per organisation, as in the dimension
-    grid = orgs.select("organization_id", F.explode(F.sequence(m0, m1, F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    d = dim_fin_departments(b).filter(F.col("department_status") == "active")
-    budget = d.groupBy("organization_id").agg(F.sum(F.coalesce("budget_cents", F.lit(0))).alias("_budget"))
-    t = fct_fin_transactions(b)
-    txn = (t.groupBy("organization_id", F.col("transaction_month").alias("month"))
-           .agg(F.sum(F.when(F.col("transaction_status").isin(*POSTED), F.col("amount_cents")).otherwise(0)).alias("_card")))
-    r = fct_fin_reimbursements(b)
-    reimb = (r.groupBy("organization_id", _reimb_month(r).alias("month"))
-             .agg(F.sum(F.when(F.col("reimbursement_status").isin(*REIMBURSED), F.col("amount_cents")).otherwise(0))
-                  .alias("_reimb")))
+
+def budget_facts(b) -> DataFrame:
+    """``organization_id, month`` and the cents of ``BUDGET_FACTS``, unsummed: card spend,
+    reimbursements, net bill payments, bill adjustments and open payables."""
+    t, r, bills, adj = fct_fin_transactions(b), fct_fin_reimbursements(b), fct_fin_bills(b), fct_fin_bill_adjustments(b)
     # As written in the source model: payments joined to reversals before the
     # sum (a payment with several reversals is counted once per reversal).
     p = fct_fin_bill_payments(b).alias("p")
     rv = fct_fin_payment_reversals(b).select(F.col("bill_payment_id").alias("_rp"), F.col("organization_id").alias("_ro"),
                                              "reversal_status", "reversal_amount_cents")
-    bps = (p.join(rv, (F.col("p.bill_payment_id") == F.col("_rp")) & (F.col("p.organization_id") == F.col("_ro")), "left")
-           .groupBy(F.col("p.organization_id").alias("organization_id"), F.col("p.paid_month").alias("month"))
-           .agg((F.sum(F.when(F.col("payment_status") == "paid", F.col("amount_cents")).otherwise(0))
-                 - F.coalesce(F.sum(F.when(F.col("reversal_status") == "completed", F.col("reversal_amount_cents"))
-                                    .otherwise(0)), F.lit(0))).alias("_bp")))
-    adj = (fct_fin_bill_adjustments(b).groupBy("organization_id", F.col("adjusted_month").alias("month"))
-           .agg(F.sum("signed_amount_cents").alias("_adj")))
-    bills = fct_fin_bills(b)
-    apb = (bills.groupBy("organization_id", month_start(F.coalesce("due_date", "bill_date")).alias("month"))
-           .agg(F.sum(F.when(F.col("bill_status").isin(*OPEN_AP), F.col("amount_cents")).otherwise(0)).alias("_apb")))
-    ap = (apb.join(adj, ["organization_id", "month"], "full")
-          .select("organization_id", "month", (F.coalesce("_apb", F.lit(0)) + F.coalesce("_adj", F.lit(0))).alias("_ap")))
-    keys = ["organization_id", "month"]
-    c = (grid.join(budget, "organization_id", "left").join(txn, keys, "left").join(reimb, keys, "left")
-         .join(bps, keys, "left").join(adj, keys, "left").join(ap, keys, "left")
-         .filter(F.col("month") <= F.trunc(F.lit(b.as_of).cast("date"), "MM")))
+    paid = p.join(rv, (F.col("p.bill_payment_id") == F.col("_rp")) & (F.col("p.organization_id") == F.col("_ro")), "left")
+    when = lambda cond, cents="amount_cents": F.coalesce(F.when(cond, F.col(cents)), F.lit(0)).cast("long")
+    parts = [
+        t.select("organization_id", F.col("transaction_month").alias("month"), when(F.col("transaction_status").isin(*POSTED)).alias("_card")),
+        r.select("organization_id", _reimb_month(r).alias("month"), when(F.col("reimbursement_status").isin(*REIMBURSED)).alias("_reimb")),
+        paid.select(F.col("p.organization_id").alias("organization_id"), F.col("p.paid_month").alias("month"),
+                    (when(F.col("payment_status") == "paid") - when(F.col("reversal_status") == "completed", "reversal_amount_cents")).alias("_bp")),
+        adj.select("organization_id", F.col("adjusted_month").alias("month"), F.col("signed_amount_cents").cast("long").alias("_adj"),
+                   F.col("signed_amount_cents").cast("long").alias("_ap")),
+        bills.select("organization_id", month_start(F.coalesce("due_date", "bill_date")).alias("month"), when(F.col("bill_status").isin(*OPEN_AP)).alias("_ap")),
+    ]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def department_budgets(b) -> DataFrame:
+    """``organization_id, _budget``: cents of the active departments."""
+    d = dim_fin_departments(b).filter(F.col("department_status") == "active")
+    return d.groupBy("organization_id").agg(F.sum(F.coalesce("budget_cents", F.lit(0))).alias("_budget"))
+
+
+def budget_columns() -> dict[str, Column]:
+    """The budget figures of a month from its ``BUDGET_FACTS`` and ``_budget``."""
     z = lambda x: F.coalesce(x, F.lit(0))
     actual = z("_card") + z("_reimb") + z("_bp")
-    return c.select(
-        "organization_id", F.col("month").alias("budget_month"), _usd(z("_budget")).alias("budget_allocated_usd"),
-        _usd(z("_card")).alias("card_spend_usd"), _usd(z("_reimb")).alias("reimbursement_spend_usd"),
-        _usd(z("_bp")).alias("bill_payment_spend_usd"), _usd(z("_adj")).alias("bill_adjustment_net_usd"),
-        _usd(actual).alias("actual_spend_usd"), _usd(z("_budget") - actual).alias("budget_variance_usd"),
-        F.round(actual.cast("double") / F.nullif(z("_budget"), F.lit(0)).cast("double"), 4).alias("budget_utilization_ratio"),
-        _usd(z("_ap")).alias("ap_open_usd"))
+    return {
+        "budget_allocated_usd": _usd(z("_budget")), "card_spend_usd": _usd(z("_card")),
+        "reimbursement_spend_usd": _usd(z("_reimb")), "bill_payment_spend_usd": _usd(z("_bp")),
+        "bill_adjustment_net_usd": _usd(z("_adj")), "actual_spend_usd": _usd(actual),
+        "budget_variance_usd": _usd(z("_budget") - actual),
+        "budget_utilization_ratio": F.round(actual.cast("double") / F.nullif(z("_budget"), F.lit(0)).cast("double"), 4),
+        "ap_open_usd": _usd(z("_ap")),
+    }
+
+
+def fin_budget_vs_actual(b) -> DataFrame:
+    """Dense org x month grid of budget, spends, adjustments and open AP.
+
+    All movements are stacked and summed once by (organisation, month); months
+    without any are filled in behind the last exchange.  Budgets are
+    per-organisation constants.
+    """
+    cal = dim_time(b)
+    m0, m1 = cal.agg(F.min("month_start")).scalar(), cal.agg(F.max("month_start")).scalar()  # scalar subqueries
+    orgs = b.organizations.select("organization_id", m0.alias("month"), m0.alias("__start"))  # one row per organisation, as in the dimension
+    rows = budget_facts(b).unionByName(orgs, allowMissingColumns=True)
+    sparse = rows.groupBy("organization_id", "month").agg(*[F.sum(c).alias(c) for c in BUDGET_FACTS], F.max("__start").alias("__start"))
+    until = F.least(m1, F.trunc(F.lit(b.as_of).cast("date"), "MM"))
+    c = gap_filled(sparse.join(department_budgets(b), "organization_id", "left"), "organization_id", "month", until, "MONTH", own=BUDGET_FACTS, same=["_budget"])
+    return c.select("organization_id", F.col("month").alias("budget_month"), *[e.alias(n) for n, e in budget_columns().items()])
 
 
 view("fin_budget_vs_actual", """

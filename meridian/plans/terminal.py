@@ -11,7 +11,7 @@ from ..functions.exprs import count_if, exact_avg, exact_sum, month_start, safe_
 from ..operators.shapes import explode_months, gap_filled
 from .core import dim_organizations, dim_users, fct_sessions
 from .finance import fin_firm_unit_economics, fin_monthly_revenue, fin_mrr, revenue_amounts
-from .finance_ops import fin_budget_vs_actual, fin_spend_monthly
+from .finance_ops import BUDGET_FACTS, budget_columns, budget_facts, department_budgets, fin_budget_vs_actual, fin_spend_monthly
 from .growth import gtm_funnel_daily, gtm_growth_daily, gtm_pipeline_snapshot, gtm_task_queue, gtm_trial_risk
 from .oracle_views import AS_OF_SQL, view
 from .product import eng_daily, eng_kpis, ops_daily, pro_product_daily
@@ -263,10 +263,7 @@ def term_business_snapshot(b) -> DataFrame:
         F.avg(F.nullif("pages_visited", F.lit(0))).alias("avg_pages_per_session"))
     rm = revenue_amounts(b).select("organization_id", F.col("revenue_month").alias("month_start"),
                                        "realized_revenue_usd", "gross_revenue_usd")
-    fm = fin_budget_vs_actual(b).select("organization_id", F.col("budget_month").alias("month_start"), "card_spend_usd",
-                                        "reimbursement_spend_usd", "bill_payment_spend_usd",
-                                        F.col("actual_spend_usd").alias("total_spend_usd"), "budget_allocated_usd",
-                                        "budget_variance_usd", "ap_open_usd")
+    fm = budget_facts(b).groupBy("organization_id", F.col("month").alias("month_start")).agg(*[F.sum(c).alias(c) for c in BUDGET_FACTS])
     acc = b.accounts.select("account_id", "organization_id")
     gl = (b.leads.join(acc, "account_id").groupBy("organization_id", month_start("created_at").alias("month_start"))
           .agg(F.count(F.lit(1)).alias("new_leads"), count_if(F.col("lead_status") == "qualified").alias("qualified_leads")))
@@ -286,7 +283,9 @@ def term_business_snapshot(b) -> DataFrame:
     sparse = rows.filter(F.col("month_start") <= as_of_month).groupBy("organization_id", "month_start").agg(*[F.max(c).alias(c) for c in values])
     own = [c for c in values if c not in ("__mrr", "__start")]
     names = ["organization_name", "organization_status", "current_plan_name"]
-    c = gap_filled(sparse.join(o, "organization_id"), "organization_id", "month_start", as_of_month, "MONTH", own=own, carried=["__mrr"], same=names)
+    known = sparse.join(o, "organization_id").join(department_budgets(b), "organization_id", "left")
+    c = gap_filled(known, "organization_id", "month_start", as_of_month, "MONTH", own=own, carried=["__mrr"], same=[*names, "_budget"])
+    c = c.withColumns({n.replace("actual_spend", "total_spend"): e for n, e in budget_columns().items()})
     c = c.withColumn("mrr_usd", (F.col("__prior.__mrr") + F.coalesce("_peak", F.lit(0).cast("long"))) / 100.0)
     z = lambda n, v=0: F.coalesce(F.col(n), F.lit(v))
     c = c.select(
@@ -308,8 +307,8 @@ def term_business_snapshot(b) -> DataFrame:
         z("sessions_with_stealth").alias("sessions_with_stealth"),
         F.round(z("avg_pages_per_session", 0.0), 4).alias("avg_pages_per_session"), "__before")
 
-    def mom(col, of=None):
-        prev = F.col(f"__before.{of or col}").cast("double")  # an empty month before is a zero, like none
+    def mom(col, before):
+        prev = before.cast("double")  # an empty month before is a zero, like none
         return F.round((F.col(col).cast("double") - prev) / F.nullif(prev, F.lit(0.0)) * 100.0, 2)
 
     rev = F.col("recognized_revenue_usd")
@@ -326,9 +325,9 @@ def term_business_snapshot(b) -> DataFrame:
         safe_ratio("sessions_with_proxy", "total_runs").alias("proxy_session_rate_pct"),
         safe_ratio("sessions_with_stealth", "total_runs").alias("stealth_session_rate_pct"),
         safe_ratio("sessions_with_proxy", "total_runs").alias("feature_adoption_rate"),
-        mom("recognized_revenue_usd", "realized_revenue_usd").alias("mom_revenue_growth_pct"),
-        mom("total_runs").alias("mom_runs_growth_pct"),
-        mom("total_spend_usd").alias("mom_spend_growth_pct")).drop("__before")
+        mom("recognized_revenue_usd", F.col("__before.realized_revenue_usd")).alias("mom_revenue_growth_pct"),
+        mom("total_runs", F.col("__before.total_runs")).alias("mom_runs_growth_pct"),
+        mom("total_spend_usd", sum(F.coalesce(f"__before.{x}", F.lit(0)) for x in ("_card", "_reimb", "_bp")) / 100.0).alias("mom_spend_growth_pct")).drop("__before")
 
 
 # The highest MRR of a month is reached on its first day or where a subscription begins.
