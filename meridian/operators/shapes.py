@@ -188,7 +188,7 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def gap_filled(sparse: DataFrame, key: str, period: str, until, unit: str = "DAY", start: str = "__start",
-               own: Sequence[str] = (), carried: Sequence[str] = (), same: Sequence[str] = ()) -> DataFrame:
+               own: Sequence[str] = (), carried: Sequence[str] = (), same: Sequence[str] = (), before: Sequence[str] = ()) -> DataFrame:
     """One row per ``key`` and ``period`` from the key's start to ``until``, from one row per period with facts.
 
     ``sparse`` has one row per (key, period); ``start`` is set on the key's row
@@ -196,8 +196,9 @@ def gap_filled(sparse: DataFrame, key: str, period: str, until, unit: str = "DAY
     ``own`` columns belong to their period and are NULL in the periods filled in
     after it; ``carried`` columns are changes whose running sum holds until the
     next row; ``same`` columns are copied.  The result also has ``__prior``, the
-    carried sums before the period as a struct, and ``__before``, the ``own``
-    values of the period before (NULL if it is filled or not on the spine).
+    carried sums before the period as a struct, and ``__before``, the values of
+    the ``own`` columns named in ``before`` in the period before (NULL if that is
+    filled or not on the spine).
 
     Only the sparse rows cross the network: a window per key finds the next row
     and the sums, and the periods in between are generated behind it.  A key's
@@ -210,20 +211,20 @@ def gap_filled(sparse: DataFrame, key: str, period: str, until, unit: str = "DAY
         key, period, *own, *same,
         *[F.sum(c).over(upto).alias(f"__upto_{c}") for c in carried],
         *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__ahead_{c}") for c in carried],
-        F.struct(*[F.lag(c).over(w).alias(c) for c in own], F.lag(period).over(w).alias(period)).alias("__lag"),
+        *([F.lag(F.struct(period, *before)).over(w).alias("__lag")] if before else []),
         F.lead(period).over(w).alias("__next"), F.max(start).over(Window.partitionBy(key)).alias("__first"))
     last = F.least((F.col("__next") - one).cast("date"), _c(until))
     each = rows.filter((F.col(period) >= F.col("__first")) & (F.col(period) <= last)).withColumn(
         "__p", F.explode(F.sequence(F.col(period), last, one)))
     here, following = F.col("__p") == F.col(period), (F.col(period) + one).cast("date") == F.col("__p")
-    known = F.col(period) > F.col("__first")
-    before = F.when(here & known & ((F.col(f"__lag.{period}") + one).cast("date") == F.col(period)), F.struct(*[F.col(f"__lag.{c}") for c in own])) \
-        .when(following, F.struct(*own)) if own else F.lit(None)
+    if before:
+        known = (F.col(period) > F.col("__first")) & ((F.col(f"__lag.{period}") + one).cast("date") == F.col(period))
+        lagged = F.when(here & known, F.struct(*[F.col(f"__lag.{c}").alias(c) for c in before])).when(following, F.struct(*before))
     return each.select(
         key, F.col("__p").alias(period), *[F.when(here, F.col(c)).alias(c) for c in own], *same,
         *[F.coalesce(f"__upto_{c}", F.lit(0)).alias(c) for c in carried],
         *([F.struct(*[F.when(here, F.col(f"__ahead_{c}")).otherwise(F.coalesce(f"__upto_{c}", F.lit(0))).alias(c) for c in carried]).alias("__prior")] if carried else []),
-        before.alias("__before"))
+        *([lagged.alias("__before")] if before else []))
 
 
 def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str,

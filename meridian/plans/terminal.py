@@ -284,7 +284,8 @@ def term_business_snapshot(b) -> DataFrame:
     own = [c for c in values if c not in ("__mrr", "__start")]
     names = ["organization_name", "organization_status", "current_plan_name"]
     known = sparse.join(o, "organization_id").join(department_budgets(b), "organization_id", "left")
-    c = gap_filled(known, "organization_id", "month_start", as_of_month, "MONTH", own=own, carried=["__mrr"], same=[*names, "_budget"])
+    c = gap_filled(known, "organization_id", "month_start", as_of_month, "MONTH", own=own, carried=["__mrr"], same=[*names, "_budget"],
+                   before=["realized_revenue_usd", "total_runs", "_card", "_reimb", "_bp"])
     c = c.withColumns({n.replace("actual_spend", "total_spend"): e for n, e in budget_columns().items()})
     c = c.withColumn("mrr_usd", (F.col("__prior.__mrr") + F.coalesce("_peak", F.lit(0).cast("long"))) / 100.0)
     z = lambda n, v=0: F.coalesce(F.col(n), F.lit(v))

@@ -157,7 +157,7 @@ def test_gap_filled_matches_brute_force(spark, unit):
     data = [(k, d, *v, firsts[k] if d == firsts[k] else None, f"name{k}") for (k, d), v in rows.items()]
     df = spark.createDataFrame(data, "k int, d date, v int, c int, __start date, s string")
     got = {(r.k, r.d): (r.v, r.c, r["__prior"].c, r["__before"].v if r["__before"] else None, r.s) for r in
-           shapes.gap_filled(df, "k", "d", F.lit(until), unit, own=["v"], carried=["c"], same=["s"]).collect()}
+           shapes.gap_filled(df, "k", "d", F.lit(until), unit, own=["v"], carried=["c"], same=["s"], before=["v"]).collect()}
     want = {}
     for k, first in firsts.items():
         d = first
