@@ -9,59 +9,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from .versions import VersionedTable
 
 # Layer -> materialisation kind (views are lazy; tables are written).
 LAYER_KIND = {"staging": "view", "core": "table", "gold": "view", "product": "table", "metrics": "table"}
 
 
 def materialize(df: DataFrame, name: str, layer: str, path: str | None = None,
-                partition_by: Sequence[str] = ()) -> DataFrame:
-    """``snk_materialize``: a temp view for view layers, a Parquet table (optionally
-    partitioned, e.g. by month for partition pruning) for table layers; returns
-    the DataFrame to use downstream (re-read from storage, lineage cut)."""
+                partition_by: Sequence[str] = (), only: Sequence | None = None) -> DataFrame:
+    """``snk_materialize``: a temp view for view layers, a versioned Parquet table
+    for table layers; returns the DataFrame to use downstream (re-read from
+    storage, lineage cut).
+
+    A table partitioned by one column (e.g. by month, for partition pruning) is
+    refreshed: partitions without changes keep their files, and ``only`` limits
+    the work to the values that may have changed.
+    """
     if LAYER_KIND.get(layer, "view") == "view" or path is None:
         df.createOrReplaceTempView(name)
         return df
-    if partition_by:  # else every task would write a file into every partition
-        df = df.repartition(*partition_by)
-    w = df.write.mode("overwrite")
+    table = VersionedTable(df.sparkSession, path)
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+        (column,) = partition_by
+        table.refresh(df, column, only)
+    else:
+        table.replace(df)
+    out = table.read().select(*df.columns)
     out.createOrReplaceTempView(name)
     return out
 
 
-def atomic_replace(df: DataFrame, path: str, staging_suffix: str = "_staging") -> str:
-    """``src_atomic_replace``: write the full new version beside the table, then
-    switch by two renames in the table's own file system.
+def atomic_replace(df: DataFrame, path: str) -> str:
+    """``src_atomic_replace``: the versioned table at ``path`` becomes ``df``.
 
-    Nothing of the old version is touched before the new one is complete; a
-    failed write or first rename leaves it in place, and a failed second rename
-    puts it back.  Data is written once.
+    The new version is written in a folder of its own and becomes the table by
+    the rename of its manifest; readers see the old version or the new one,
+    whole, at every moment (``read_table``).
     """
-    spark = df.sparkSession
-    staged, old = path.rstrip("/") + staging_suffix, path.rstrip("/") + "_replaced"
-    df.write.mode("overwrite").parquet(staged)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target, new, before = (hadoop.Path(p) for p in (path.rstrip("/"), staged, old))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(target)
-    if had:
-        fs.delete(before, True)
-        if not fs.rename(target, before):
-            raise OSError(f"cannot move {path} aside")
-    if not fs.rename(new, target):
-        if had:
-            fs.rename(before, target)
-        raise OSError(f"cannot move {staged} to {path}")
-    if had:
-        fs.delete(before, True)
+    VersionedTable(df.sparkSession, path).replace(df)
     return path
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed version of the table at ``path``."""
+    return VersionedTable(spark, path).read()
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """``snk_append_jsonl``: append rows as JSON lines."""
     df.write.mode("append").json(path)

@@ -4,7 +4,8 @@
 
 Each run resumes from the job's checkpoint under ``spark.checkpoint.dir``
 (``streams/<job>/checkpoint``), so scheduling the command repeatedly processes
-only newly arrived files.  Every job appends: windows and sessions are written
+only newly arrived files.  ``ingest`` writes a versioned table whose state holds
+the high watermark of the last finished run, from which the next one starts.  Every job appends: windows and sessions are written
 once, when the watermark has passed them (the last ones with later data).
 """
 
@@ -17,7 +18,6 @@ from ..session import build_session
 from . import jobs
 
 JOBS = {
-    "ingest": (lambda s, a: jobs.incremental_ingest(s, a.high_watermark, a.synced_at), "append"),
     "dedupe": (lambda s, a: jobs.dedupe(s), "append"),
     "daily_kpis": (lambda s, a: jobs.daily_kpis(s), "append"),
     "trailing_active": (lambda s, a: jobs.trailing_active(s), "append"),
@@ -28,12 +28,14 @@ JOBS = {
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--data", required=True, help="directory receiving events*.parquet files")
-    ap.add_argument("--job", required=True, choices=sorted(JOBS))
+    ap.add_argument("--job", required=True, choices=sorted([*JOBS, "ingest"]))
     ap.add_argument("--out", required=True)
-    ap.add_argument("--high-watermark", default=None)
     ap.add_argument("--synced-at", default="1970-01-01 00:00:00")
     a = ap.parse_args(argv)
     spark = build_session()
+    if a.job == "ingest":
+        jobs.run_ingest(spark, a.data, a.out, a.synced_at)
+        return 0
     build, mode = JOBS[a.job]
     q = jobs.start(build(jobs.event_stream(spark, a.data), a), a.job, mode=mode, sink="parquet", path=a.out)
     q.awaitTermination()

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..session import scratch_path
 from ..sources import ingest
 from ..sources.tables import SCHEMAS
+from ..sources.versions import VersionedTable, watermark_of
 
 LATE_DATA_BOUND = "1 day"        # how late an event may arrive and still count
 SESSION_GAP = "12 hours"         # inactivity gap closing a session
@@ -80,48 +81,59 @@ def dedupe(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", LATE_DATA_BOUND).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_sink(target: str, keys: list[str]):
+def upsert_sink(target: str, keys: list[str], buckets: int = 64):
     """``str_upsert_batches``: a ``foreachBatch`` function merging each micro-batch
-    latest-wins into a versioned Parquet table (one directory per epoch, so a
-    replayed epoch rewrites the same version idempotently).  Each epoch writes
-    the whole table; versions older than the one it was made from are removed."""
+    latest-wins into a versioned table hashed into ``buckets`` by key.  An epoch
+    rewrites only the buckets it touches; its number is committed with them, so
+    a replayed epoch changes nothing."""
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = _latest_version(spark, target, epoch_id)
-        base = spark.read.parquet(prev) if prev else batch.limit(0)
-        ingest.upsert_latest(base, batch, keys).write.mode("overwrite").parquet(f"{target}/epoch={epoch_id:08d}")
-        _expire(spark, target, prev)
+        table = VersionedTable(batch.sparkSession, target)
+        if epoch_id > table.state().get("epoch", -1):
+            table.upsert(batch, keys, buckets, state={"epoch": epoch_id})
 
     return merge
 
 
-def _latest_version(spark: SparkSession, target: str, before_epoch: int) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(target)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("epoch="))
-    versions = [v for v in versions if int(v.split("=")[1]) < before_epoch]
-    return f"{target}/{versions[-1]}" if versions else None
+def ingest_sink(target: str, synced_at: str, stream: str, column: str = "ts"):
+    """A ``foreachBatch`` function appending epochs to a versioned table.
 
+    With an epoch's rows its number (by ``stream``, the checkpoint it counts in)
+    and the highest ``column`` seen are committed: a replayed epoch adds nothing.
+    """
+
+    def append(batch: DataFrame, epoch_id: int) -> None:
+        table = VersionedTable(batch.sparkSession, target)
+        epochs = table.state().get("epochs", {})
+        if epoch_id > epochs.get(stream, -1):
+            rows = ingest.sync_stamp(batch, synced_at).withColumn(column, _ntz(column))
+            table.append(rows, state={"epochs": {**epochs, stream: epoch_id}}, measure=watermark_of(table, column, synced_at, "seen"))
+
+    return append
 
-def _expire(spark: SparkSession, target: str, base: str | None) -> None:
-    """Remove versions before ``base``: neither readers nor a replay of the last epoch need them."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(target)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for s in fs.listStatus(p) if base else ():
-        name = s.getPath().getName()
-        if name.startswith("epoch=") and name < base.rsplit("/", 1)[1]:
-            fs.delete(s.getPath(), True)
+
+def run_ingest(spark: SparkSession, directory: str, target: str, synced_at: str, checkpoint: str | None = None) -> int:
+    """``str_incremental_ingest`` as a job: append what is new above the watermark of the last finished run.
+
+    The watermark moves only when a run has finished, so files of a run that
+    died are taken in full by the next one; epochs it had committed are not
+    taken again as long as the checkpoint is kept.  Returns the rows of the table.
+    """
+    table = VersionedTable(spark, target)
+    checkpoint = checkpoint or scratch_path(spark, "streams/ingest/checkpoint")
+    rows = ingest.watermark_filter(event_stream(spark, directory), "ts", table.state().get("high_watermark"))
+    q = start(rows, "ingest", foreach_batch=ingest_sink(target, synced_at, checkpoint), checkpoint=checkpoint)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    state = table.state()
+    if state.get("seen") != state.get("high_watermark"):
+        table.annotate({"high_watermark": state["seen"]})
+    return state.get("rows_total", 0)
 
 
 def latest_table(spark: SparkSession, target: str) -> DataFrame:
-    v = _latest_version(spark, target, 1 << 62)
-    return spark.read.parquet(v)
+    return VersionedTable(spark, target).read()
 
 
 def start(df: DataFrame, name: str, mode: str = "append", sink: str = "parquet", path: str | None = None,

@@ -76,7 +76,7 @@ def test_sinks_roundtrip(spark):
     path = _tmp("replaced")
     sinks.atomic_replace(o.limit(10), path)
     sinks.atomic_replace(o.limit(20), path)
-    assert spark.read.parquet(path).count() == 20
+    assert sinks.read_table(spark, path).count() == 20
     audit = _tmp("audit")
     sinks.append_jsonl(o.select("o_orderkey").limit(5), audit)
     sinks.append_jsonl(o.select("o_orderkey").limit(5), audit)
@@ -150,7 +150,7 @@ def test_failed_replace_leaves_the_old_table(spark, monkeypatch):
     broken = o.select(F.raise_error(F.lit("boom")).cast("int").alias("x"))
     with pytest.raises(Exception, match="boom"):
         sinks.atomic_replace(broken, path)
-    assert spark.read.parquet(path).count() == 10
+    assert sinks.read_table(spark, path).count() == 10
 
 
 def test_csv_seed_reads_a_stored_seed(spark):
