@@ -5,6 +5,7 @@ or grouped aggregates over the checked relation."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +44,27 @@ def relationships(child: DataFrame, fk: str, parent: DataFrame, pk: str, keys: S
 
 
 def predicates(df: DataFrame, rules: dict[str, Column], keys: Sequence[str]) -> DataFrame:
-    """Union of rule violations; ``rules`` maps a check name to a violation predicate."""
-    out = None
-    for name, pred in rules.items():
-        v = df.filter(F.coalesce(pred, F.lit(False))).select(F.lit(name).alias("check_name"), *keys)
-        out = v if out is None else out.unionByName(v)
-    return out
+    """Rows that violate rules, once for each rule; ``rules`` maps a check name to a
+    violation predicate.  All rules are evaluated in one pass over ``df``."""
+    names = F.array_compact(F.array(*[F.when(pred, F.lit(name)) for name, pred in rules.items()]))
+    return df.select(F.explode(names).alias("check_name"), *keys)
+
+
+def violation_counts(tables: dict[str, tuple[DataFrame, dict[tuple[str, str], Column]]]) -> DataFrame:
+    """``table_name, suite, check_name, violations, rows_checked`` of every row-level check.
+
+    ``tables`` maps a table to its rows and its checks: ``(suite, check name)``
+    to a violation predicate.  The checks of a table are compiled into one
+    aggregate, so a table is read once however many checks it has, and nothing
+    but counts leaves the tasks; violating rows are listed by ``predicates``.
+    """
+    parts = []
+    for table, (df, checks) in tables.items():
+        counted = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(pred, F.lit(False))).alias(f"c{i}") for i, pred in enumerate(checks.values())])
+        rows = [F.struct(F.lit(suite).alias("suite"), F.lit(check).alias("check_name"), F.col(f"c{i}").alias("violations")) for i, (suite, check) in enumerate(checks)]
+        parts.append(counted.select(F.lit(table).alias("table_name"), "n", F.explode(F.array(*rows)).alias("r"))
+                     .select("table_name", "r.*", F.col("n").alias("rows_checked")))
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def single_row(df: DataFrame, name: str = "single_row") -> DataFrame:

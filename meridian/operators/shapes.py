@@ -187,6 +187,44 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return out.select(*sel)
 
 
+def percentile_select(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = 256) -> DataFrame:
+    """``percentile_cont`` for values of any cardinality, by distributed selection.
+
+    A sketch per group (merged map-side) yields at most ``ranges`` splitters;
+    exact counts of the ranges between them say in which range every wanted rank
+    lies, and only that range is looked into.  Neither a hot group nor its
+    distinct values meet in one task: the widest window sees a group's ranges,
+    then the distinct values of a single range, a ``ranges``-th of the group's
+    apart from the sketch's error, which moves work but never the result.
+    """
+    # NULL keys are groups of their own; they take part in joins as a struct.
+    rows = df.select(F.struct(*keys).alias("__g"), F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    histogram = rows.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    at = [i / ranges for i in range(1, ranges)]
+    # The sketch weighs values by their rows, so a frequent value cannot crowd a range.
+    splitters = rows.groupBy("__g").agg(F.percentile_approx("__v", at, 20 * ranges).alias("__s"))
+    ranged = histogram.join(splitters, histogram["__g"].eqNullSafe(splitters["__g"])).select(
+        histogram["__g"], "__v", "__n", F.size(F.filter("__s", lambda s: s <= F.col("__v"))).alias("__r"))
+    counts = ranged.groupBy("__g", "__r").agg(F.sum("__n").alias("__c"))
+    w_run = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("__before", F.sum("__c").over(w_run) - F.col("__c")).withColumn("__tot", F.sum("__c").over(Window.partitionBy("__g")))
+    asked = [F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("__tot") - 1)).alias("pos")) for name, p in probs.items()]
+    ranks = counts.select("__g", "__r", "__c", "__before", F.explode(F.array(*asked)).alias("a")).select(
+        "__g", "__r", "__before", "a.name", "a.pos", F.explode(F.array(F.floor("a.pos"), F.ceil("a.pos"))).alias("rank"), F.col("__c"))
+    ranks = ranks.filter((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__c"))).select(
+        F.col("__g").alias("__h"), F.col("__r").alias("__q"), "__before", "name", "pos", "rank").distinct()
+    needed = ranks.select("__h", "__q").distinct()
+    inside = ranged.join(needed, ranged["__g"].eqNullSafe(needed["__h"]) & (ranged["__r"] == needed["__q"]), "left_semi")
+    cum = F.sum("__n").over(Window.partitionBy("__g", "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.withColumn("__cum", cum)
+    found = inside.join(ranks, inside["__g"].eqNullSafe(ranks["__h"]) & (inside["__r"] == ranks["__q"])
+                        & (F.col("__before") + F.col("__cum") > F.col("rank")) & (F.col("__before") + F.col("__cum") - F.col("__n") <= F.col("rank")))
+    lo, hi = F.min("__v"), F.max("__v")  # the values at both ranks around the position
+    wide = found.groupBy("__g", "name").agg((lo + (F.max("pos") - F.floor(F.max("pos"))) * (hi - lo)).alias("x"))
+    out = wide.groupBy("__g").agg(*[F.round(F.max(F.when(F.col("name") == n, F.col("x"))), 2).alias(n) for n in probs])
+    return out.select(*[F.col(f"__g.{k}").alias(k) for k in keys], *probs)
+
+
 def gap_filled(sparse: DataFrame, key: str, period: str, until, unit: str = "DAY", start: str = "__start",
                own: Sequence[str] = (), carried: Sequence[str] = (), same: Sequence[str] = (), before: Sequence[str] = ()) -> DataFrame:
     """One row per ``key`` and ``period`` from the key's start to ``until``, from one row per period with facts.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
 from ..sources import ingest
 from ..sources.tables import TABLE_NAMES
 from .registry import register
@@ -91,14 +94,27 @@ SEED_SCHEMA = T.StructType([T.StructField("nation_id", T.IntegerType()), T.Struc
                             T.StructField("region_id", T.IntegerType())])
 
 
-@register("src_csv_seed", "SELECT n_nationkey AS nation_id, n_name AS nation_name, n_regionkey AS region_id FROM nation")
+@register("src_csv_seed", """
+SELECT TRUE AS is_row, n_nationkey AS nation_id, n_name AS nation_name, n_regionkey AS region_id, NULL AS line FROM nation
+UNION ALL SELECT FALSE, NULL, NULL, NULL, 'x' || n_nationkey || ',' || n_name || ',' || n_regionkey FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT FALSE, NULL, NULL, NULL, n_nationkey || ',' || n_name FROM nation WHERE n_nationkey % 7 = 0""")
 def src_csv_seed(b):
-    """A typed read of a CSV seed.  The seed's lines are rendered from ``nation``
-    inside the plan and parsed back under the declared schema, so building the
-    query writes nothing; ``ingest.read_csv_seed`` reads stored seeds."""
-    line = F.to_csv(F.struct("n_nationkey", "n_name", "n_regionkey"))
-    row = F.from_csv(line, SEED_SCHEMA.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST"})
-    return b.t.nation.select(row.alias("r")).select("r.*")
+    """A CSV seed read from its file: typed rows, and the lines that are none.
+
+    The file is written from ``nation`` under the shared folder, with lines
+    whose id is no number and lines that end early among the others.
+    """
+    path = scratch_path(b.spark, f"seeds/nation-{uuid.uuid4().hex}")
+    n = b.t.nation
+    line = lambda key: F.concat_ws(",", key, "n_name", F.col("n_regionkey").cast("string"))
+    key = F.col("n_nationkey").cast("string")
+    lines = n.select(line(key).alias("value")).unionByName(n.where("n_nationkey % 5 = 0").select(line(F.concat(F.lit("x"), key)).alias("value"))) \
+        .unionByName(n.where("n_nationkey % 7 = 0").select(F.concat_ws(",", key, "n_name").alias("value")))
+    header = b.spark.createDataFrame([(",".join(SEED_SCHEMA.names),)], "value string")
+    header.unionByName(lines).coalesce(1).write.text(path)  # a seed is one small file
+    rows, rejects = ingest.split_csv_seed(b.spark, path, SEED_SCHEMA)
+    return rows.select(F.lit(True).alias("is_row"), "*", F.lit(None).cast("string").alias("line")).unionByName(
+        rejects.select(F.lit(False).alias("is_row"), "line"), allowMissingColumns=True)
 
 
 @register("src_row_counts", "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"

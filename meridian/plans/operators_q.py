@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (count_if, duration_bucket, exact_avg, exact_sum, initials, iso_yearweek, kv_extract,
                                month_start, safe_ratio, ts_on_or_after, url_domain, week_start)
-from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_cont,
+from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_select,
                                 rank_within, trailing_distinct_multi, union_calendar)
 from ..operators import shapes
 from .core import fct_sessions
@@ -469,7 +469,7 @@ def agg_distinct_if(b):
        round(quantile_cont(duration_seconds::DOUBLE, 0.95), 2) AS p95, round(quantile_cont(duration_seconds::DOUBLE, 0.99), 2) AS p99
 FROM fct_sessions WHERE duration_seconds IS NOT NULL GROUP BY 1""", "fct_sessions")
 def agg_percentile(b):
-    return percentile_cont(fct_sessions(b), ["session_month"], "duration_seconds", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return percentile_select(fct_sessions(b), ["session_month"], "duration_seconds", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @q("agg_min_max_if", """SELECT account_id, min(CASE WHEN lead_status = 'converted' THEN converted_at END) AS first_converted_at,

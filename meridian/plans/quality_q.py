@@ -8,6 +8,8 @@ quality gate of ``meridian.build`` runs it over the product as it is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.exprs import month_start
@@ -33,6 +35,57 @@ def _dom(c: str, day: int):
     return F.dayofmonth(c) == day
 
 
+def _outside(c: str, low=0, high=100):
+    return (F.col(c) < low) | (F.col(c) > high)
+
+
+def _any_null(*cols: str):
+    return reduce(lambda x, y: x | y, [F.col(c).isNull() for c in cols])
+
+
+#: Row-level checks: table -> (product, query -> {check name: violation predicate}).  The queries below list
+#: the violating rows; ``row_check_counts`` counts all of them in one pass over each table.
+ROW_RULES = {
+    "dim_organizations": (dim_organizations, {"dq_not_null": lambda: {"not_null": _any_null("organization_id", "organization_name", "current_plan_id")}}),
+    "fct_sessions": (fct_sessions, {"dq_accepted_values": lambda: {
+        "accepted_values": F.col("session_status").isNotNull() & ~F.col("session_status").isin("completed", "failed", "timeout")}}),
+    "core_daily_kpis": (core_daily_kpis, {"dq_range_bounds": lambda: {
+        "success_rate_pct_range": _outside("success_rate_pct"),
+        "failed_le_total": F.col("failed_sessions") > F.col("total_sessions"),
+        "non_negative": (F.col("total_sessions") < 0) | (F.col("pages_visited") < 0),
+        "parts_sum_to_whole": (F.col("successful_sessions") + F.col("failed_sessions")) != F.col("total_sessions")}}),
+    "eng_daily": (eng_daily, {
+        "dq_percentile_order": lambda: {"p99_ge_p95": F.col("p99_duration_seconds") < F.col("p95_duration_seconds")},
+        "dq_multi_model_bounds": lambda: {"eng_success_rate": _outside("success_rate_pct")}}),
+    "pro_product_daily": (pro_product_daily, {"dq_multi_model_bounds": lambda: {"product_proxy_adoption": _outside("proxy_adoption_pct")}}),
+    "ops_daily": (ops_daily, {"dq_multi_model_bounds": lambda: {"ops_stealth_pct": _outside("stealth_session_pct")}}),
+    "dim_time": (dim_time, {
+        "dq_calendar_month": lambda: {"calendar_month": (F.col("month_start") != F.trunc("date_day", "MM"))
+                                      | (F.col("fixed_calendar_month_end") != F.last_day("date_day"))
+                                      | (F.col("fixed_calendar_month_id") != F.date_format("date_day", "yyyyMM").cast("int"))},
+        "dq_calendar_week": lambda: {"calendar_week": (F.dayofweek("fixed_calendar_week_start") != 2)
+                                     | (F.col("fixed_calendar_week_end") != F.date_add("fixed_calendar_week_start", 6))
+                                     | ~F.col("date_day").between(F.col("fixed_calendar_week_start"), F.col("fixed_calendar_week_end"))
+                                     | (F.col("fixed_calendar_week_id") != (F.extract(F.lit("YEAROFWEEK"), F.col("date_day")) * 100 + F.weekofyear("date_day")))},
+        "dq_calendar_rolling": lambda: {"calendar_rolling": (F.datediff("rolling_7d_end", "rolling_7d_start") != 6)
+                                        | (F.datediff("rolling_28d_end", "rolling_28d_start") != 27) | (F.col("rolling_7d_end") != F.col("date_day"))}}),
+    "gtm_action_log": (gtm_action_log, {"dq_status_consistency": lambda: {
+        "status_consistency": ((F.col("status") == "success") & F.col("error_message").isNotNull())
+        | ((F.col("status") == "failed") & F.col("error_message").isNull())}}),
+}
+
+
+def _rules(table: str, query: str):
+    return ROW_RULES[table][1][query]()
+
+
+def row_check_counts(b, planted: bool = False):
+    """Counts of all row-level checks, one scan and one aggregate a table."""
+    del planted  # the gate looks at the products as they are
+    return Q.violation_counts({table: (product(b), {(query, check): pred for query, rules in queries.items() for check, pred in rules().items()})
+                               for table, (product, queries) in ROW_RULES.items()})
+
+
 # Freshness limits in hours (by table, then by layer).
 FRESHNESS_HOURS = {"bronze": 24.0, "silver": 24.0, "gold": 48.0}
 
@@ -58,7 +111,7 @@ FROM (SELECT session_id, if(session_id % 97 = 5, 'unknown', session_status) AS s
 WHERE session_status IS NOT NULL AND session_status NOT IN ('completed', 'failed', 'timeout')""", ("fct_sessions",))
 def dq_accepted_values(b, planted=True):
     s = _defect(fct_sessions(b), planted, F.col("session_id") % 97 == 5, session_status=F.lit("unknown"))
-    return Q.accepted_values(s, "session_status", ["completed", "failed", "timeout"], ["session_id"])
+    return Q.predicates(s, _rules("fct_sessions", "dq_accepted_values"), ["session_id", "session_status"])
 
 
 @register("dq_relationships", """SELECT 'relationships' AS check_name, payment_reversal_id, bill_payment_id
@@ -93,21 +146,14 @@ def dq_range_bounds(b, planted=True):
     k = _defect(core_daily_kpis(b), planted, _dom("date", 3), success_rate_pct=F.lit(101))
     k = _defect(k, planted, _dom("date", 5), failed_sessions=F.col("total_sessions") + 1)
     k = _defect(k, planted, _dom("date", 7), total_sessions=F.lit(-1))
-    c = F.col
-    return Q.predicates(k, {
-        "success_rate_pct_range": (c("success_rate_pct") < 0) | (c("success_rate_pct") > 100),
-        "failed_le_total": c("failed_sessions") > c("total_sessions"),
-        "non_negative": (c("total_sessions") < 0) | (c("pages_visited") < 0),
-        "parts_sum_to_whole": (c("successful_sessions") + c("failed_sessions")) != c("total_sessions"),
-    }, ["date"])
+    return Q.predicates(k, _rules("core_daily_kpis", "dq_range_bounds"), ["date"])
 
 
 @register("dq_percentile_order", """SELECT 'p99_ge_p95' AS check_name, metric_date FROM eng_daily
 WHERE if(day(metric_date) = 9, p95_duration_seconds - 1, p99_duration_seconds) < p95_duration_seconds""", ("eng_daily",))
 def dq_percentile_order(b, planted=True):
     e = _defect(eng_daily(b), planted, _dom("metric_date", 9), p99_duration_seconds=F.col("p95_duration_seconds") - 1)
-    return Q.predicates(e, {"p99_ge_p95": F.col("p99_duration_seconds") < F.col("p95_duration_seconds")},
-                        ["metric_date"])
+    return Q.predicates(e, _rules("eng_daily", "dq_percentile_order"), ["metric_date"])
 
 
 @register("dq_multi_model_bounds", """
@@ -117,15 +163,10 @@ FROM (SELECT 1 AS n, metric_date, if(day(metric_date) = 2, 100.5, success_rate_p
       UNION ALL SELECT 3, metric_date, if(day(metric_date) = 4, 100.5, stealth_session_pct) FROM ops_daily)
 WHERE pct NOT BETWEEN 0 AND 100""", ("eng_daily", "pro_product_daily", "ops_daily"))
 def dq_multi_model_bounds(b, planted=True):
-    parts = ((eng_daily(b), "eng_success_rate", "success_rate_pct", 2, 100.5),
-             (pro_product_daily(b), "product_proxy_adoption", "proxy_adoption_pct", 3, -0.5),
-             (ops_daily(b), "ops_stealth_pct", "stealth_session_pct", 4, 100.5))
-    out = None
-    for rel, name, c, day, bad in parts:
-        rel = _defect(rel, planted, _dom("metric_date", day), **{c: F.lit(bad)})
-        found = Q.predicates(rel, {name: (F.col(c) < 0) | (F.col(c) > 100)}, ["metric_date"])
-        out = found if out is None else out.unionByName(found)
-    return out
+    planned = (("eng_daily", "success_rate_pct", 2, 100.5), ("pro_product_daily", "proxy_adoption_pct", 3, -0.5), ("ops_daily", "stealth_session_pct", 4, 100.5))
+    found = [Q.predicates(_defect(ROW_RULES[t][0](b), planted, _dom("metric_date", day), **{c: F.lit(bad)}), _rules(t, "dq_multi_model_bounds"), ["metric_date"])
+             for t, c, day, bad in planned]
+    return reduce(lambda x, y: x.unionByName(y), found)
 
 
 @register("dq_single_row", """SELECT 'single_row' AS check_name, 2 * count(*) AS row_count FROM term_scorecard
@@ -139,11 +180,8 @@ def dq_single_row(b, planted=True):
 WHERE month_start <> CAST(date_trunc('month', date_day) AS DATE) OR fixed_calendar_month_end <> CAST(last_day(date_day) AS DATE)
    OR fixed_calendar_month_id <> CAST(strftime(date_day, '%Y%m') AS INTEGER)""", ("dim_time",))
 def dq_calendar_month(b, planted=True):
-    c = F.col
     t = _defect(dim_time(b), planted, _dom("date_day", 13), month_start=F.date_add("month_start", 1))
-    bad = ((c("month_start") != F.trunc("date_day", "MM")) | (c("fixed_calendar_month_end") != F.last_day("date_day"))
-           | (c("fixed_calendar_month_id") != F.date_format("date_day", "yyyyMM").cast("int")))
-    return Q.predicates(t, {"calendar_month": bad}, ["date_day"])
+    return Q.predicates(t, _rules("dim_time", "dq_calendar_month"), ["date_day"])
 
 
 @register("dq_calendar_week", """SELECT 'calendar_week' AS check_name, date_day FROM (SELECT * REPLACE (if(day(date_day) = 20, CAST(fixed_calendar_week_end + 1 AS DATE), fixed_calendar_week_end) AS fixed_calendar_week_end) FROM dim_time)
@@ -151,25 +189,16 @@ WHERE dayofweek(fixed_calendar_week_start) <> 1 OR fixed_calendar_week_end <> CA
    OR date_day NOT BETWEEN fixed_calendar_week_start AND fixed_calendar_week_end
    OR fixed_calendar_week_id <> CAST(strftime(date_day, '%G%V') AS INTEGER)""", ("dim_time",))
 def dq_calendar_week(b, planted=True):
-    c = F.col
     t = _defect(dim_time(b), planted, _dom("date_day", 20), fixed_calendar_week_end=F.date_add("fixed_calendar_week_end", 1))
-    bad = ((F.dayofweek("fixed_calendar_week_start") != 2)
-           | (c("fixed_calendar_week_end") != F.date_add("fixed_calendar_week_start", 6))
-           | ~c("date_day").between(c("fixed_calendar_week_start"), c("fixed_calendar_week_end"))
-           | (c("fixed_calendar_week_id") != (F.extract(F.lit("YEAROFWEEK"), c("date_day")) * 100
-                                               + F.weekofyear("date_day"))))
-    return Q.predicates(t, {"calendar_week": bad}, ["date_day"])
+    return Q.predicates(t, _rules("dim_time", "dq_calendar_week"), ["date_day"])
 
 
 @register("dq_calendar_rolling", """SELECT 'calendar_rolling' AS check_name, date_day FROM (SELECT * REPLACE (if(day(date_day) = 21, CAST(rolling_7d_start - 1 AS DATE), rolling_7d_start) AS rolling_7d_start) FROM dim_time)
 WHERE date_diff('day', rolling_7d_start, rolling_7d_end) <> 6 OR date_diff('day', rolling_28d_start, rolling_28d_end) <> 27
    OR rolling_7d_end <> date_day""", ("dim_time",))
 def dq_calendar_rolling(b, planted=True):
-    c = F.col
     t = _defect(dim_time(b), planted, _dom("date_day", 21), rolling_7d_start=F.date_sub("rolling_7d_start", 1))
-    bad = ((F.datediff("rolling_7d_end", "rolling_7d_start") != 6) | (F.datediff("rolling_28d_end", "rolling_28d_start") != 27)
-           | (c("rolling_7d_end") != c("date_day")))
-    return Q.predicates(t, {"calendar_rolling": bad}, ["date_day"])
+    return Q.predicates(t, _rules("dim_time", "dq_calendar_rolling"), ["date_day"])
 
 
 @register("dq_recompute_ap_open", f"""
@@ -258,9 +287,7 @@ WHERE (status = 'success' AND error_message IS NOT NULL) OR (status = 'failed' A
           ("gtm_action_log",))
 def dq_status_consistency(b, planted=True):
     a = _defect(gtm_action_log(b), planted, F.lit(True), error_message=F.when(F.col("status") != "failed", F.lit("unexpected")))
-    bad = (((F.col("status") == "success") & F.col("error_message").isNotNull())
-           | ((F.col("status") == "failed") & F.col("error_message").isNull()))
-    return a.filter(bad).select(F.lit("status_consistency").alias("check_name"), "action_id", "status", "error_message")
+    return Q.predicates(a, _rules("gtm_action_log", "dq_status_consistency"), ["action_id", "status", "error_message"])
 
 
 @register("dq_threshold_enforced", """SELECT 'threshold_enforced' AS check_name, q.task_id, q.signal_score

@@ -112,9 +112,29 @@ def optional_table(spark: SparkSession, path: str, schema: T.StructType, fmt: st
         return spark.createDataFrame([], schema)
 
 
-def read_csv_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """``src_csv_seed``: typed CSV seed (header row, declared schema, no inference)."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+#: Column holding the text of a line that does not fit the declared schema.
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_seed(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
+    """``src_csv_seed``: typed CSV seed (header row, declared schema, no inference); a malformed line fails the read."""
+    return spark.read.option("header", True).option("mode", mode).schema(schema).csv(path)
+
+
+def split_csv_seed(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """``src_csv_seed`` for files that may hold bad lines: the typed rows, and a reject
+    table (``source_file``, ``line``) of the lines that do not parse under the schema.
+
+    Every column is parsed whatever a query selects, so a line is either a row
+    or a reject in all of them.
+    """
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+           .option("columnPruning", False).schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])).csv(path))
+    # Spark refuses plans that read nothing but the corrupt record; the test holds for every row.
+    raw = raw.withColumn(CORRUPT, F.when(F.hash(*schema.names) <= 2**31 - 1, F.col(CORRUPT)))
+    bad = F.col(CORRUPT).isNotNull()
+    rejects = raw.where(bad).select(F.col("_metadata.file_name").alias("source_file"), F.col(CORRUPT).alias("line"))
+    return raw.where(~bad).select(*schema.names), rejects
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

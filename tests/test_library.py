@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +128,27 @@ def test_every_planted_check_is_clean_without_plants(spark):
         assert R.QUERIES[n](b, planted=False).count() == 0 and R.QUERIES[n](b).count() > 0
 
 
+def test_row_checks_share_one_scan_a_table_and_count_alike(spark, monkeypatch):
+    from meridian.plans import quality_q
+    from meridian.sources.bindings import Bindings
+
+    b = Bindings(spark, SF)
+    counts = quality_q.row_check_counts(b)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [count(1)") == len(quality_q.ROW_RULES)
+    got = {}
+    for r in counts.collect():
+        got[r.suite] = got.get(r.suite, 0) + r.violations
+    assert len(got) == 9 and got == {n: R.QUERIES[n](b, planted=False).count() if n != "dq_not_null" else R.QUERIES[n](b).count() for n in got}
+    rows = spark.createDataFrame([(1, None, 5), (2, 7, None), (3, None, None), (4, 1, 1)], "k int, a int, b int")
+    rules = {"a_null": F.col("a").isNull(), "a_big": F.col("a") > 5, "b_one": F.col("b") == 1}
+    tallied = Q.violation_counts({"t": (rows, {("s", n): p for n, p in rules.items()})})
+    assert {r.check_name: (r.violations, r.rows_checked) for r in tallied.collect()} == {"a_null": (2, 4), "a_big": (1, 4), "b_one": (1, 4)}
+    listed = Q.predicates(rows, rules, ["k"])
+    assert sorted((r.check_name, r.k) for r in listed.collect()) == [("a_big", 2), ("a_null", 1), ("a_null", 3), ("b_one", 4)]
+    assert "Union" not in listed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_upsert_reduces_repeated_keys_in_one_delta(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
     delta = spark.createDataFrame([(1, "old", 2), (1, "new", 3), (3, "x", 1), (3, "x", 1)], "k int, v string, t int")
@@ -160,6 +183,24 @@ def test_csv_seed_reads_a_stored_seed(spark):
     assert got.count() == 25 and got.filter("id is null").count() == 0
 
 
+def test_csv_seed_routes_malformed_lines_to_rejects(spark):
+    path = _tmp("bad_seed")
+    os.makedirs(path)
+    with open(f"{path}/a.csv", "w") as f:
+        f.write('id,name,day\n1,one,2024-01-01\nx2,two,2024-01-02\n3,"a, quoted",2024-01-03\n4,four,not a day\n5\n,,\n6,six,2024-01-06,more\n')
+    with open(f"{path}/b.csv", "w") as f:
+        f.write("id,name,day\n7,seven,2024-01-07\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("day", T.DateType())])
+    good, rejects = ingest.split_csv_seed(spark, path, schema)
+    assert sorted((r.id or 0, r.name) for r in good.collect()) == [(0, None), (1, "one"), (3, "a, quoted"), (7, "seven")]
+    assert good.dtypes == [("id", "int"), ("name", "string"), ("day", "date")]
+    lines = {"x2,two,2024-01-02", "4,four,not a day", "5", "6,six,2024-01-06,more"}
+    assert {(r.source_file, r.line) for r in rejects.collect()} == {("a.csv", x) for x in lines}
+    assert good.select("name").count() == 4 and rejects.count() == 4
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest.read_csv_seed(spark, path, schema).collect()
+
+
 def test_task_execution_processes_every_pending_task(spark):
     from meridian.plans.growth import task_execution
 

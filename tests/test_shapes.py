@@ -49,6 +49,34 @@ def test_percentile_cont_matches_numpy(spark):
         assert got[k] == (round(float(np.quantile(vals, 0.5)), 2), round(float(np.quantile(vals, 0.95)), 2))
 
 
+def test_percentile_select_matches_numpy_on_a_hot_real_valued_group(spark):
+    rnd = random.Random(6)
+    rows = [(0 if i % 3 else rnd.choice([None, 1, 2]), rnd.choice([None, 0.5, rnd.gauss(0, 1e6), rnd.gauss(0, 1e6), rnd.gauss(0, 1e6)])) for i in range(6000)]
+    rows += [(3, 7.25), (4, 1.0), (4, 2.0), (5, None)] + [(6, 3.0)] * 50
+    df = spark.createDataFrame(rows, "k int, v double")
+    probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    out = shapes.percentile_select(df, ["k"], "v", probs, ranges=16)
+    got = {r.k: tuple(r)[1:] for r in out.collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        vals = [v for j, v in rows if j == k and v is not None]
+        if vals:
+            want[k] = tuple(round(float(np.quantile(vals, p)), 2) for p in probs.values())
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=0.011, rtol=0) for k in want)
+
+
+def test_percentile_select_looks_into_one_range(spark):
+    """No window meets more than a fraction of a hot group's distinct values."""
+    df = spark.range(40_000).select(F.lit(1).alias("k"), F.rand(1).alias("v"))
+    plan = shapes.percentile_select(df, ["k"], "v", {"p50": 0.5}, ranges=64)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert len(windows) >= 2 and all("__r#" in line for line in windows if "__v#" in line)  # values are ordered inside (group, range) only
+    counts = df.selectExpr("percentile_approx(v, transform(sequence(1, 63), i -> i / 64D), 1280) AS s").first()["s"]
+    per_range = np.bincount(np.searchsorted(counts, [r.v for r in df.collect()], side="right"))
+    assert per_range.max() < 40_000 / 64 * 2
+
+
 def test_bucketed_lead_matches_plain_lead(spark):
     df = _df(spark, 11)
     got = {(r.id, r.nxt) for r in shapes.bucketed_lead(df, ["k"], "ts", "id", F.trunc(F.to_date("ts"), "MM"), "nxt")
