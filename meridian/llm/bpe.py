@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ from .common import chunks, id_text
 
 #: Slices whose ids a worker remembers, and the longest of them in bytes.
 MEMORY, LONG_SLICE = 300_000, 64
+#: Slices beyond so many bytes are merged by themselves with a queue of pairs: rounds over
+#: the whole slice would cost the square of its length.
+QUEUED_SLICE = 256
 
 # Symbols.  SPACE stands before something that absorbs it; BLANK is other white
 # space; END separates texts.  OPEN1 and OPEN2 are apostrophes followed by a
@@ -164,6 +168,7 @@ class Merges:
                         pairs[a << 32 | b] = rank
             self.keys = np.array(sorted(pairs), np.int64)
             self.merged = np.array([pairs[k] for k in self.keys.tolist()] + [0], np.int64)
+            self.pairs = pairs
             self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
             self.words = [b""] * (max(ranks.values()) + 1)
             for word, rank in ranks.items():
@@ -179,9 +184,39 @@ class Merges:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.merged[at], _NONE) if len(self.keys) else np.full(len(key), _NONE)
 
+    def merge_queued(self, word: bytes) -> bytes:
+        """Ids of one long word in n log n: neighbours in a linked list, their ranked pairs in a heap.
+
+        A pair taken from the heap counts only if both its ends still are what
+        they were when it was put there.
+        """
+        pairs, n = self.pairs, len(word)
+        ids = self.single[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j == n or ids[j] != b:
+                continue
+            ids[i], ids[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (new := pairs.get(rank << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (new, i, rank, ids[k]))
+            if (h := before[i]) >= 0 and (new := pairs.get(ids[h] << 32 | rank)) is not None:
+                heapq.heappush(heap, (new, h, ids[h], rank))
+        return np.array([x for x in ids if x >= 0], np.uint32).tobytes()
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids (uint32 bytes) of each word: the lowest-ranked pair first, leftmost among equals."""
         out: list[bytes] = [b""] * len(words)
+        for i, word in enumerate(words):
+            if len(word) > QUEUED_SLICE:
+                out[i] = self.merge_queued(word)
+        words = [b"" if len(w) > QUEUED_SLICE else w for w in words]
         lens = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
         name = np.flatnonzero(lens)

@@ -26,6 +26,8 @@ def tokenizer(name: str) -> str:
         return os.path.join(folder, name)
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != packing.PATTERN:
+        raise ValueError("the operators' pre-tokenisation is written for another split pattern")
     return public_tokenizers.path(name)
 
 
