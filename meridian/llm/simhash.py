@@ -12,6 +12,7 @@ Hamming distance, is checked before a pair leaves the join.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -46,15 +47,16 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """``doc_id, fp`` with the fingerprint as a signed long and, if wanted, the text's MD5 as ``body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
             fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            bodies = [pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())] if digest else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64()), *bodies], ["doc_id", "fp"] + ["body"] * digest)
 
-    return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long" + ", body binary" * digest)
 
 
 def chain_budgets(radius: int) -> list[int]:
@@ -105,30 +107,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (one row per ``fp``) with ``root``, the smallest fingerprint reachable by links."""
+    found = components(near(nodes.select(F.col("fp").alias("id"), "fp"), radius))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(nodes["*"], F.coalesce("component", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document.
 
-    Documents of one fingerprint are one node of the link graph, named by
-    their smallest id, so copies never meet pairwise; a fingerprint has a
-    bounded number of others within the radius.  Empty and null texts share
-    the fingerprint zero.  ``component_id`` is the smallest id reachable; rows
-    whose id is null count for no component and get that of their fingerprint
-    (null if it has no other row).
+    The nodes of the link graph are the distinct fingerprints, so copies never
+    meet pairwise, and an id that several texts carry links nothing; a
+    fingerprint has a bounded number of others within the radius.  Empty and
+    null texts share the fingerprint zero.  ``component_id`` is the smallest id
+    reachable; a fingerprint that only rows without an id have takes part in
+    no component, and its rows get null.
     """
     rows = stored(fingerprints(docs, words, doc_id, text), "simhash")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    found = components(near(nodes.where("id is not null"), radius))
-    named = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = stored(_rooted(nodes.where("id is not null"), radius), "simhash-roots")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
+    return rows.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input rows, with one document kept of each group: that of the smallest id.
+    """The input rows, with one document kept of each group of linked fingerprints.
 
-    Repeated rows of the kept id are repeats of one document and go down to one
-    row.  Rows without an id cannot be told apart and are all kept.
+    It is the one of the smallest id, of several texts with that id the one of
+    the smallest MD5, of several rows with that text the one of the smallest
+    hash over all columns: a fixed choice, whatever ids repeat.  Rows without
+    an id come last.
     """
-    grouped = groups(docs, words, radius, doc_id, text)
-    keep = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    held = docs.join(keep, docs[doc_id].cast("long") == keep["_kept"], "left_semi").dropDuplicates([doc_id])
-    return held.unionByName(docs.where(docs[doc_id].isNull()))
+    rows = stored(fingerprints(docs, words, doc_id, text, digest=True), "simhash-texts")
+    rooted = _rooted(rows.select("fp").distinct(), radius)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "body")
+    texts = rows.groupBy("fp").agg(F.min(order).alias("o"))  # one row a fingerprint before groups meet
+    keep = texts.join(rooted, "fp").groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.body").alias("_body"))
+    body = F.unhex(F.md5(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")))
+    held = docs.withColumn("_text_md5", body)
+    held = held.join(keep, held[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_md5") == F.col("_body")), "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = held.groupBy("_text_md5").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r"))
+    return one.select(*[F.col(f"r.{c}").alias(c) for c in docs.columns])

@@ -80,6 +80,25 @@ def test_bpe_matches_the_library_and_round_trips(docs, rows, none):
     assert bpe.digests(none, path).count() == 0
 
 
+def test_bpe_merges_a_megabyte_without_spaces_like_the_library():
+    import time
+
+    import public_tokenizers as P
+    import tiktoken
+
+    merges = bpe.Merges.load(tokenizer("byte_bpe_multi_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=merges.ranks, special_tokens={})
+    r = random.Random(4)
+    letters = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    texts = [letters, "a" * 300_000, "日本語" * 30_000, "".join(r.choices("ACGT", k=100_000)), "!?" * 50_000]
+    texts += ["".join(r.choices("aeiorst", k=n)) for n in (1, 255, 256, 257, 258, 600)]
+    start = time.monotonic()
+    got = merges.encode([t.encode() for t in texts])
+    assert time.monotonic() - start < 60
+    for t, (ids, _) in zip(texts, got, strict=True):
+        assert ids.tolist() == lib.encode_ordinary(t)
+
+
 def test_bpe_slices_match_the_pattern_on_random_texts():
     import public_tokenizers as P
     import tiktoken
@@ -147,6 +166,17 @@ def test_simhash_groups(docs, rows, none):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    say = lambda seed: " ".join(random.Random(seed).choices("alpha beta gamma delta epsilon zeta eta theta iota".split(), k=60))
+    texts = [(1, say(1)), (1, say(2)), (2, say(3)), (3, say(1)), (None, say(2)), (None, say(4)), (2, say(3)), (2, say(3))]
+    docs = frame(spark, texts)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(1, say(1)), (1, say(2)), (2, say(3)), (None, say(4))], key=repr)
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.groups(docs).collect()}
+    fp = lambda t: f"{brute_fp(t):016x}"
+    assert got == {(1, fp(say(1))): 1, (1, fp(say(2))): 1, (2, fp(say(3))): 2, (3, fp(say(1))): 1, (None, fp(say(2))): 1, (None, fp(say(4))): None}
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 7])
 def test_pigeonring_finds_every_pair(spark, radius):
     r = random.Random(radius)
