@@ -27,6 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Order = Sequence[tuple[str, str]]
 
@@ -43,18 +44,19 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFram
     """Keep the first row per ``keys`` under ``order`` (list of (column, 'asc'|'desc')).
 
     NULLs sort last in either direction.  The order must end in a unique
-    tie-breaker.  When all directions agree the pick is an aggregate
-    (``max_by``/``min_by`` over a struct), which is skew-safe thanks to partial
-    aggregation; mixed directions fall back to ``row_number() = 1`` (planned
-    with a WindowGroupLimit, i.e. a partial top-1 before the shuffle).
+    tie-breaker.  The pick is an aggregate (``max_by``/``min_by`` over a
+    struct), which is skew-safe thanks to partial aggregation; where directions
+    differ, numbers and times are turned round.  Only texts ordered in both
+    directions fall back to ``row_number() = 1`` (planned with a
+    WindowGroupLimit, i.e. a partial top-1 before the shuffle).
     """
-    dirs = {d for _, d in order}
     cols = df.columns
-    if len(dirs) == 1:
-        desc = dirs == {"desc"}
+    fixed = {d for c, d in order if not isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))}
+    if len(fixed) <= 1:
+        desc = (fixed or {d for _, d in order[:1]}) == {"desc"}
         parts = []
-        for c, _ in order:
-            parts += [F.col(c).isNotNull() if desc else F.col(c).isNull(), F.col(c)]
+        for c, d in order:
+            parts += [F.col(c).isNotNull() if desc else F.col(c).isNull(), F.col(c) if (d == "desc") == desc else _reversed(c, df.schema[c].dataType)]
         ord_struct = F.struct(*parts)
         row = F.struct(*[F.col(c) for c in cols])
         pick = F.max_by(row, ord_struct) if desc else F.min_by(row, ord_struct)
@@ -63,6 +65,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
+def _reversed(c: str, dtype: T.DataType) -> Column:
+    """A number whose order is the opposite of the column's."""
+    if isinstance(dtype, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return -F.unix_micros(F.col(c).cast("timestamp"))
+    if isinstance(dtype, T.IntegralType):
+        return F.bitwise_not(F.col(c))  # unlike the negative, defined for the smallest one
+    return -F.col(c)
+
+
 def rank_within(df: DataFrame, keys: Sequence[str], order: Order, name: str = "rn") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*_window_order(order))
     return df.withColumn(name, F.row_number().over(w))
@@ -265,6 +278,34 @@ def gap_filled(sparse: DataFrame, key: str, period: str, until, unit: str = "DAY
         *([lagged.alias("__before")] if before else []))
 
 
+def dated_measures(df: DataFrame, measures: Sequence[tuple[str, dict[str, Column]]], grain: str, name: str) -> DataFrame:
+    """One row per date and row of ``df``: (``name``, measures), the date cut to ``grain`` ("MM", "DD").
+
+    ``measures`` lists ``(date column, {measure: amount})``.  ``df`` is planned
+    and read once however many of its dates are asked about; rows are not yet
+    summed, so results of several frames can be united and aggregated together.
+    A date that is NULL gives no row; amounts a date does not have are NULL.
+    """
+    amounts = list(dict.fromkeys(n for _, parts in measures for n in parts))
+    rows = [F.struct(F.trunc(F.to_date(F.col(date)), grain).alias(name) if grain != "DD" else F.to_date(F.col(date)).alias(name),
+                     *[(parts[n] if n in parts else F.lit(None)).cast("long").alias(n) for n in amounts]) for date, parts in measures]
+    return df.select(F.explode(F.array(*rows)).alias("__r")).select("__r.*").filter(F.col(name).isNotNull())
+
+
+def referenced(dimension: DataFrame, key: str, *uses: tuple[DataFrame, str]) -> DataFrame:
+    """The rows of ``dimension`` that a use refers to, one per key.
+
+    The distinct references are found by map-side aggregation, so a handful of
+    hot keys in large facts leaves a handful of rows, small enough at run time
+    to be joined without shuffling the facts by those keys.
+    """
+    asked = [f.select(F.col(c).alias(key)) for f, c in uses]
+    keys = asked[0]
+    for a in asked[1:]:
+        keys = keys.unionByName(a)
+    return dimension.join(keys.distinct(), key, "left_semi")
+
+
 def bucketed_asof(facts: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str,
                   keep: Sequence[str]) -> DataFrame:
     """Match each fact to the interval of the same ``key`` containing ``ts``.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, exact_sum, month_start
+from ..functions.exprs import count_if, exact_sum
+from ..operators.shapes import dated_measures, referenced
 from .core import dim_organizations
 from .finance import revenue_amounts
-from .growth import gtm_campaign_channel
+from .growth import campaign_months
 from .registry import register
 
 
@@ -16,10 +19,10 @@ def _days_between(later, earlier):
     return F.round(F.timestamp_diff("SECOND", F.col(earlier), F.col(later)) / 86400.0, 2)
 
 
-def lifecycle_accounts(accounts, employees, leads, opps, activities, orgs, sessions, revenue) -> DataFrame:
-    """Per account: funnel milestones, stage-to-stage durations and the
-    lifecycle stage.  Every branch is aggregated to account/org grain before the
-    star join, so the join never fans out."""
+def account_milestones(accounts, leads, opps, activities, orgs, sessions, revenue) -> DataFrame:
+    """Accounts with what their leads, deals, activities, usage and payments say.
+    Every branch is aggregated to account/org grain before the star join, so the
+    join never fans out."""
     st = F.col("lead_status")
     ls = leads.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("leads_total"), count_if(st == "qualified").alias("leads_qualified"),
@@ -52,19 +55,28 @@ def lifecycle_accounts(accounts, employees, leads, opps, activities, orgs, sessi
         F.count(F.lit(1)).alias("lifetime_sessions"))
     o = orgs.select("organization_id", "organization_status", "is_paying_customer")
 
-    def owner(prefix):
-        return employees.select(F.col("employee_id").alias(f"{prefix}_id"), F.col("full_name").alias(f"{prefix}_name"),
-                                F.col("employee_email").alias(f"{prefix}_email"))
-
     j = (accounts.join(o, "organization_id", "left").join(ls, "account_id", "left").join(os_, "account_id", "left")
          .join(ac, "account_id", "left").join(bs, "organization_id", "left").join(us, "organization_id", "left"))
-    j = (j.join(owner("ao"), F.col("owner_employee_id") == F.col("ao_id"), "left")
-         .join(owner("lo"), F.col("first_lead_owner_employee_id") == F.col("lo_id"), "left")
-         .join(owner("oo"), F.col("first_opportunity_owner_employee_id") == F.col("oo_id"), "left"))
-    first_paid_at = F.col("first_paid_month").cast("timestamp_ntz")
     using = F.col("first_product_usage_at").isNotNull()
     staying = using & (F.col("last_product_usage_at") >= F.col("first_product_usage_at") + F.expr("INTERVAL 30 DAYS"))
     paid = F.col("first_paid_month").isNotNull() | F.coalesce(F.col("is_paying_customer"), F.lit(False))
+    return j.withColumns({"first_paid_at": F.col("first_paid_month").cast("timestamp_ntz"), "is_using": using, "is_staying_30d": staying, "did_pay": paid})
+
+
+def lifecycle_accounts(milestones, employees, leads, opps, accounts) -> DataFrame:
+    """Per account: owners, funnel milestones, stage-to-stage durations and the
+    lifecycle stage."""
+    owners = referenced(employees.select("employee_id", "full_name", "employee_email"), "employee_id",
+                        (accounts, "owner_employee_id"), (leads, "owner_employee_id"), (opps, "owner_employee_id"))
+
+    def owner(prefix):
+        return owners.select(F.col("employee_id").alias(f"{prefix}_id"), F.col("full_name").alias(f"{prefix}_name"),
+                             F.col("employee_email").alias(f"{prefix}_email"))
+
+    j = (milestones.join(owner("ao"), F.col("owner_employee_id") == F.col("ao_id"), "left")
+         .join(owner("lo"), F.col("first_lead_owner_employee_id") == F.col("lo_id"), "left")
+         .join(owner("oo"), F.col("first_opportunity_owner_employee_id") == F.col("oo_id"), "left"))
+    using, staying, paid = F.col("is_using"), F.col("is_staying_30d"), F.col("did_pay")
     stage_ladder = (F.when(F.col("organization_status") == "churned", "churned").when(staying, "retained_customer")
                     .when(using, "active_customer").when(paid, "paid_customer")
                     .when(F.col("first_closed_won_at").isNotNull(), "closed_won")
@@ -72,7 +84,7 @@ def lifecycle_accounts(accounts, employees, leads, opps, activities, orgs, sessi
                     .when(F.col("first_qualified_at").isNotNull(), "qualified")
                     .when(F.col("first_prospect_at").isNotNull(), "prospect").otherwise("target"))
     z = lambda c, v=0: F.coalesce(F.col(c), F.lit(v)).alias(c)
-    return j.withColumn("first_paid_at", first_paid_at).select(
+    return j.select(
         "account_id", "organization_id", "account_name", "account_status", "account_tier", "industry", "employee_band",
         "source_system", F.col("owner_employee_id").alias("account_owner_employee_id"),
         F.col("ao_name").alias("account_owner_name"), F.col("ao_email").alias("account_owner_email"),
@@ -88,14 +100,17 @@ def lifecycle_accounts(accounts, employees, leads, opps, activities, orgs, sessi
         _days_between("first_closed_won_at", "first_opportunity_at").alias("days_opportunity_to_closed_won"),
         _days_between("first_paid_at", "first_closed_won_at").alias("days_closed_won_to_paid"),
         z("lifetime_realized_revenue_usd", 0.0), z("lifetime_sessions"),
-        paid.alias("did_pay"), using.alias("is_using"), staying.alias("is_staying_30d"),
+        "did_pay", "is_using", "is_staying_30d",
         stage_ladder.alias("lifecycle_stage"), F.col("created_at").alias("account_created_at"),
         F.col("updated_at").alias("account_updated_at"))
 
 
 def gtm_lifecycle_accounts(b) -> DataFrame:
-    return lifecycle_accounts(b.accounts, b.employees, b.leads, b.opportunities, b.activities, dim_organizations(b),
-                              b.sessions, revenue_amounts(b))
+    return lifecycle_accounts(milestones(b), b.employees, b.leads, b.opportunities, b.accounts)
+
+
+def milestones(b) -> DataFrame:
+    return account_milestones(b.accounts, b.leads, b.opportunities, b.activities, dim_organizations(b), b.sessions, revenue_amounts(b))
 
 
 _LIFECYCLE_SQL = """
@@ -167,33 +182,21 @@ register("gtm_lifecycle_accounts", "SELECT * FROM gtm_lifecycle_accounts", ("gtm
 
 # ------------------------------------------------------ GTM unit economics
 def gtm_unit_economics(b) -> DataFrame:
-    lc = gtm_lifecycle_accounts(b)
-    lm = lc.groupBy(month_start("account_created_at").alias("metric_month")).agg(F.count(F.lit(1)).alias("new_accounts"))
-    pm = (lc.filter(F.col("first_prospect_at").isNotNull()).groupBy(month_start("first_prospect_at").alias("metric_month"))
-          .agg(F.count(F.lit(1)).alias("new_prospects")))
-    pdm = (lc.filter(F.col("first_paid_at").isNotNull()).groupBy(month_start("first_paid_at").alias("metric_month"))
-           .agg(F.count(F.lit(1)).alias("new_paid_customers")))
-    um = (lc.filter(F.col("first_product_usage_at").isNotNull())
-          .groupBy(month_start("first_product_usage_at").alias("metric_month"))
-          .agg(F.count(F.lit(1)).alias("new_using_customers"),
-               count_if(F.col("is_staying_30d")).alias("retained_30d_customers")))
-    cp = gtm_campaign_channel(b)
-    cm = cp.groupBy("metric_month").agg(
-        exact_sum("campaign_budget_usd", 2).alias("campaign_spend_usd"),
-        exact_sum("won_revenue_usd", 2).alias("pipeline_won_revenue_usd"),
-        *[F.sum(c).alias(c) for c in ("leads_created", "leads_qualified", "leads_converted", "opportunities_total",
-                                      "opportunities_won")])
-    rv = revenue_amounts(b)
-    rm = rv.groupBy(F.col("revenue_month").alias("metric_month")).agg(
-        exact_sum("realized_revenue_usd", 2).alias("realized_revenue_usd"),
-        F.countDistinct(F.when(F.col("realized_revenue_usd") > 0, F.col("organization_id"))).alias("paying_customers_in_month"))
-    frames = [lm, pm, pdm, um, cm, rm]
-    cal = frames[0].select("metric_month")
-    for f in frames[1:]:
-        cal = cal.unionByName(f.select("metric_month"))
-    out = cal.distinct()
-    for f in frames:
-        out = out.join(f, "metric_month", "left")
+    """Months of account milestones, campaigns and revenue, stacked as (month,
+    amounts) and summed once; the accounts are planned and read a single time."""
+    one, cents = F.lit(1), lambda c: F.round(F.col(c).cast("double") * 100)
+    counts = ("leads_created", "leads_qualified", "leads_converted", "opportunities_total", "opportunities_won")
+    told = [
+        dated_measures(milestones(b), [
+            ("created_at", {"new_accounts": one}), ("first_prospect_at", {"new_prospects": one}), ("first_paid_at", {"new_paid_customers": one}),
+            ("first_product_usage_at", {"new_using_customers": one, "retained_30d_customers": F.col("is_staying_30d").cast("int")})], "MM", "metric_month"),
+        dated_measures(campaign_months(b), [("metric_month", {**{c: F.col(c) for c in counts}, "_spend": cents("campaign_budget_usd"), "_won": cents("won_revenue_usd")})], "MM", "metric_month"),
+        dated_measures(revenue_amounts(b), [("revenue_month", {"_realized": cents("realized_revenue_usd"),
+                                                               "paying_customers_in_month": (F.col("realized_revenue_usd") > 0).cast("int")})], "MM", "metric_month"),
+    ]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), told)
+    out = rows.groupBy("metric_month").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "metric_month"]).withColumns({
+        "campaign_spend_usd": F.col("_spend") / 100.0, "pipeline_won_revenue_usd": F.col("_won") / 100.0, "realized_revenue_usd": F.col("_realized") / 100.0})
     z = lambda c, v=0: F.coalesce(F.col(c), F.lit(v))
     paid, ret = z("new_paid_customers").cast("double"), z("retained_30d_customers").cast("double")
     rate = ret / F.nullif(paid, F.lit(0.0))

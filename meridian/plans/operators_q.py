@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (count_if, duration_bucket, exact_avg, exact_sum, initials, iso_yearweek, kv_extract,
                                month_start, safe_ratio, ts_on_or_after, url_domain, week_start)
-from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_select,
+from ..operators.shapes import (close_intervals, entity_day_spine, explode_months, latest_per_key, percentile_select, referenced,
                                 rank_within, trailing_distinct_multi, union_calendar)
 from ..operators import shapes
 from .core import fct_sessions
@@ -168,7 +168,8 @@ def jn_chain_star(b):
     o = b.opportunities.groupBy("account_id").agg(F.count(F.lit(1)).alias("opps"))
     s = b.sessions.groupBy("organization_id").agg(F.count(F.lit(1)).alias("sessions"))
     i = b.invoices.groupBy("organization_id").agg(F.count(F.lit(1)).alias("invoices"))
-    e = b.employees.select(F.col("employee_id").alias("owner_employee_id"), F.col("full_name").alias("owner_name"))
+    e = referenced(b.employees.select(F.col("employee_id").alias("owner_employee_id"), F.col("full_name").alias("owner_name")),
+                   "owner_employee_id", (a, "owner_employee_id"))
     j = (a.join(l, "account_id", "left").join(o, "account_id", "left").join(s, "organization_id", "left")
          .join(i, "organization_id", "left").join(e, "owner_employee_id", "left"))
     return j.select("account_id", "account_tier", F.coalesce("leads", F.lit(0)).alias("leads"),
@@ -603,11 +604,10 @@ def win_first_per_key(b):
          row_number() OVER (PARTITION BY bill_payment_id ORDER BY reversed_at DESC, payment_reversal_id ASC) AS rn
   FROM fct_fin_payment_reversals) WHERE rn = 1""", "fct_fin_payment_reversals")
 def win_qualify(b):
-    """QUALIFY row_number() = 1 written as a window column + filter."""
+    """QUALIFY row_number() = 1 as an aggregate: raw rows are reduced before they travel."""
     from .finance_ops import fct_fin_payment_reversals
     r = fct_fin_payment_reversals(b).select("bill_payment_id", "payment_reversal_id", "reversed_at")
-    r = rank_within(r, ["bill_payment_id"], [("reversed_at", "desc"), ("payment_reversal_id", "asc")], "_rn")
-    return r.filter(F.col("_rn") == 1).drop("_rn")
+    return latest_per_key(r, ["bill_payment_id"], [("reversed_at", "desc"), ("payment_reversal_id", "asc")])
 
 
 @q("win_rank_over_agg", """SELECT organization_id, session_month, browser_type AS modal_browser FROM (

@@ -47,3 +47,8 @@ def test_filled_spines_never_travel(spark):
         fill = next(i for i, line in enumerate(lines) if "Generate explode(sequence(" in line and "__p" in line)
         assert not any("Exchange" in line for line in lines[:fill]), name
         assert not any("SortAggregate(key=[organization_id" in line and ("month_start" in line or "metric_date" in line) for line in lines), name
+
+
+def test_accounts_are_planned_once_for_unit_economics(spark):
+    plan = E.queries()["gtm_unit_economics"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 25

@@ -30,7 +30,8 @@ def _df(spark, seed):
 def test_latest_per_key_matches_row_number(spark):
     for seed in range(3):
         df = _df(spark, seed)
-        for order in ([("ts", "desc"), ("id", "desc")], [("ts", "asc"), ("id", "asc")], [("v", "desc"), ("id", "asc")]):
+        for order in ([("ts", "desc"), ("id", "desc")], [("ts", "asc"), ("id", "asc")], [("v", "desc"), ("id", "asc")],
+                      [("v", "asc"), ("ts", "desc"), ("id", "asc")]):
             got = {tuple(r) for r in shapes.latest_per_key(df, ["k"], order).collect()}
             w = Window.partitionBy("k").orderBy(*[F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last()
                                                   for c, d in order])
@@ -38,6 +39,25 @@ def test_latest_per_key_matches_row_number(spark):
             assert got == want
 
 
+def test_mixed_orders_need_no_window(spark):
+    df = spark.createDataFrame([(1, "a", dt.date(2020, 1, 2), -(1 << 63), 0.5), (1, "a", dt.date(2020, 1, 2), 5, None), (1, "b", None, 3, 1.5),
+                                (2, None, None, None, None)], "k int, s string, d date, n long, x double")
+    for order, first in (([("s", "asc"), ("d", "desc"), ("n", "desc")], 5), ([("s", "desc"), ("d", "asc"), ("n", "asc")], 3), ([("s", "asc"), ("n", "asc"), ("x", "desc")], -(1 << 63))):
+        got = shapes.latest_per_key(df, ["k"], order)
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.k: r.n for r in got.collect()} == {1: first, 2: None}
+
+
+def test_dated_measures_and_references(spark):
+    df = spark.createDataFrame([(dt.date(2020, 1, 5), dt.datetime(2020, 2, 1), 3), (dt.date(2020, 1, 9), None, 4), (None, None, 5)], "a date, b timestamp_ntz, n int")
+    out = shapes.dated_measures(df, [("a", {"made": F.lit(1), "n": F.col("n")}), ("b", {"done": F.lit(1)})], "MM", "m")
+    got = {tuple(r) for r in out.groupBy("m").agg(F.sum("made"), F.sum("n"), F.sum("done")).collect()}
+    assert got == {(dt.date(2020, 1, 1), 2, 7, None), (dt.date(2020, 2, 1), None, None, 1)}
+    people = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "id int, name string")
+    facts = spark.createDataFrame([(i % 3, 7) for i in range(100)] + [(None, 99)], "owner int, other int")
+    assert {r.id for r in shapes.referenced(people, "id", (facts, "owner"), (facts, "other")).collect()} == {0, 1, 2, 7}
+
+
 def test_percentile_cont_matches_numpy(spark):
     df = _df(spark, 7)
     got = {r.k: (r.p50, r.p95) for r in shapes.percentile_cont(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
