@@ -177,6 +177,9 @@ def _cost_ranges(plan_econ: DataFrame) -> DataFrame:
                                 F.col("expected_cost_per_hour_usd").alias("c"))).alias("_ranges"))
 
 
+REVENUE = ("realized_revenue_usd", "pending_revenue_usd", "gross_revenue_usd")
+
+
 def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFrame, plan_econ: DataFrame,
                             revenue: DataFrame, orgs: DataFrame) -> DataFrame:
     """Org x month usage cost vs realised revenue vs pro-rated entitlement.
@@ -204,42 +207,30 @@ def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFra
                 .drop("_ranges", "_hits"))
     # Cost in integer (seconds x cents-per-hour) units, divided once: order-independent sums.
     cost_units = F.col("duration_seconds").cast("long") * F.round(F.coalesce("cost_per_hour", F.lit(0.0)) * 100).cast("long")
-    csm = enriched.groupBy("organization_id", "metric_month").agg(
-        F.count(F.lit(1)).alias("sessions_with_duration"),
-        F.sum("duration_seconds").alias("_secs"),
-        F.sum(cost_units).alias("_cost_units"),
-        count_if(F.col("cost_per_hour").isNull()).alias("sessions_missing_cost_assumption"))
-    csm = csm.select("organization_id", "metric_month", "sessions_with_duration",
-                     (F.col("_secs") / 3600.0).alias("total_session_hours"),
-                     (F.col("_cost_units") / 360000.0).alias("expected_cost_usd"),
-                     "sessions_missing_cost_assumption")
-    ppm = latest_per_key(
-        enriched.groupBy("organization_id", "metric_month", "plan_name").agg(F.count(F.lit(1)).alias("_n")),
-        ["organization_id", "metric_month"], [("_n", "desc"), ("plan_name", "asc")]
-    ).select("organization_id", "metric_month", F.col("plan_name").alias("primary_plan_name"))
-
-    rm = (revenue.groupBy("organization_id", F.col("revenue_month").alias("metric_month"))
-          .agg(F.max("organization_name").alias("rev_org_name"),
-               F.sum("realized_revenue_usd").alias("realized_revenue_usd"),
-               F.sum("pending_revenue_usd").alias("pending_revenue_usd"),
-               F.sum("gross_revenue_usd").alias("gross_revenue_usd")))
-    spine = (csm.select("organization_id", "metric_month")
-             .unionByName(rm.select("organization_id", "metric_month")).distinct())
+    by_plan = enriched.groupBy("organization_id", "metric_month", "plan_name").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("duration_seconds").alias("_secs"), F.sum(cost_units).alias("_units"),
+        count_if(F.col("cost_per_hour").isNull()).alias("_missing"))
+    # Usage by plan and revenue are stacked and folded once: one row per organisation and month of either.
+    stacked = by_plan.unionByName(revenue.select(
+        "organization_id", F.col("revenue_month").alias("metric_month"), F.col("organization_name").alias("rev_org_name"),
+        *[F.col(c) for c in REVENUE]), allowMissingColumns=True)
+    most = F.struct(-F.col("_n"), F.col("plan_name").isNull(), "plan_name")
+    spine = stacked.groupBy("organization_id", "metric_month").agg(
+        F.sum("_n").alias("sessions_with_duration"), (F.sum("_secs") / 3600.0).alias("total_session_hours"),
+        (F.sum("_units") / 360000.0).alias("expected_cost_usd"), F.sum("_missing").alias("sessions_missing_cost_assumption"),
+        F.min(F.when(F.col("_n").isNotNull(), most))["plan_name"].alias("primary_plan_name"),
+        F.max("rev_org_name").alias("rev_org_name"), *[F.sum(c).alias(c) for c in REVENUE])
 
     # Open intervals reach to the last month that has usage or revenue.
-    hist_m = explode_months(hist, "effective_start_ts", "effective_end_ts",
-                            spine.agg(F.max("metric_month")).scalar())
-    # Entitlement slices: spine month x intervals overlapping it (equi on (org, month)).
-    mb = spine.select("organization_id", "metric_month",
-                      F.col("metric_month").cast("timestamp_ntz").alias("_ms"),
-                      (F.date_add(F.last_day("metric_month"), 1).cast("timestamp_ntz")
-                       - F.expr("INTERVAL 1 SECOND")).alias("_me"),
-                      (F.datediff(F.last_day("metric_month"), F.col("metric_month")) + 1).alias("_days"))
-    h2 = hist_m.select(F.col("organization_id").alias("_org"), F.col("bucket_month").alias("_m"),
-                       "sessions_limit_monthly", "max_session_duration_mins",
-                       F.col("effective_start_ts").alias("_hs"), F.col("effective_end_ts").alias("_he"))
-    sl = mb.join(h2, (mb.organization_id == h2._org) & (mb.metric_month == h2._m)
-                 & (h2._hs <= mb._me) & (h2._he >= mb._ms), "left")
+    last = F.greatest(sb.agg(F.max("metric_month")).scalar(), revenue.agg(F.max("revenue_month")).scalar())
+    hist_m = explode_months(hist, "effective_start_ts", "effective_end_ts", last)
+    # Entitlement slices: an interval's share of every month it touches.
+    sl = hist_m.select("organization_id", F.col("bucket_month").alias("metric_month"), "sessions_limit_monthly", "max_session_duration_mins",
+                       F.col("effective_start_ts").alias("_hs"), F.col("effective_end_ts").alias("_he"),
+                       F.col("bucket_month").cast("timestamp_ntz").alias("_ms"),
+                       (F.date_add(F.last_day("bucket_month"), 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 SECOND")).alias("_me"),
+                       (F.datediff(F.last_day("bucket_month"), F.col("bucket_month")) + 1).alias("_days"))
+    sl = sl.filter((F.col("_hs") <= F.col("_me")) & (F.col("_he") >= F.col("_ms")))
     o_s, o_e = F.greatest("_hs", "_ms"), F.least("_he", "_me")
     ov_days = (F.datediff(F.to_date(o_e), F.to_date(o_s)) + 1).cast("double")
     lim = F.col("sessions_limit_monthly")
@@ -256,13 +247,12 @@ def customer_unit_economics(sessions: DataFrame, subs: DataFrame, plans: DataFra
 
     keys = ["organization_id", "metric_month"]
     o = orgs.select("organization_id", F.col("organization_name").alias("_oname"))
-    f = (spine.join(csm, keys, "left").join(ppm, keys, "left").join(rm, keys, "left")
-         .join(se, keys, "left").join(o, "organization_id", "left"))
+    f = spine.join(se, keys, "left").join(o, "organization_id", "left")
     cost = F.coalesce("expected_cost_usd", F.lit(0.0))
     n = F.coalesce("sessions_with_duration", F.lit(0))
     hours = F.coalesce("total_session_hours", F.lit(0.0))
     rev = F.coalesce("realized_revenue_usd", F.lit(0.0))
-    ent_hours = F.when(F.col("_unl") == 1, F.lit(None).cast("double")).otherwise(F.col("_ent_h"))
+    ent_hours = F.when(F.coalesce("_unl", F.lit(1)) == 1, F.lit(None).cast("double")).otherwise(F.col("_ent_h"))
     return f.select(
         "organization_id", F.coalesce("rev_org_name", "_oname").alias("organization_name"), "metric_month",
         "primary_plan_name", n.alias("sessions_with_duration"), F.round(hours, 6).alias("total_session_hours"),
@@ -419,18 +409,18 @@ def usage_billing_export(usage: DataFrame, orgs: DataFrame, subs: DataFrame, pla
         F.max("proxy_requests").alias("recorded_proxy_requests"))
     pk = ["organization_id", "period_start", "period_end"]
 
+    start = F.coalesce("current_period_start", "created_at")
     cur = latest_per_key(
-        subs.select("organization_id", "subscription_id", "plan_id",
-                    F.coalesce("current_period_start", "created_at").alias("_k1"), F.col("created_at").alias("_k2")),
+        subs.select("organization_id", "subscription_id", "plan_id", start.alias("_k1"), F.col("created_at").alias("_k2")),
         ["organization_id"], [("_k1", "desc"), ("_k2", "desc"), ("subscription_id", "desc")])
     pl = F.broadcast(plans.select("plan_id", "plan_name", "sessions_limit_monthly"))  # bounded catalogue
     oc = (orgs.select("organization_id", "organization_name", "billing_email")
-          .join(cur.select("organization_id", F.col("subscription_id").alias("current_subscription_id"), "plan_id"),
-                "organization_id", "left")
+          .join(cur.select("organization_id", F.to_date("_k1").alias("_cur_start"), "plan_id"), "organization_id", "left")
           .join(pl, "plan_id", "left")
-          .select("organization_id", "organization_name", "billing_email", "current_subscription_id",
+          .select("organization_id", "organization_name", "billing_email", "_cur_start",
                   F.col("plan_id").alias("current_plan_id"), F.col("plan_name").alias("current_plan_name"),
                   F.col("sessions_limit_monthly").alias("current_plan_sessions_limit")))
+    sold = bp.join(oc, "organization_id", "left").withColumn("_lo", F.greatest("period_start", F.coalesce("_cur_start", "period_start")))
 
     hist = _day_history(subs, plans)
     # Interval overlap as an equi-join on (org, first common month): exact, one candidate per overlapping pair.
@@ -444,37 +434,17 @@ def usage_billing_export(usage: DataFrame, orgs: DataFrame, subs: DataFrame, pla
            .otherwise(lim * (F.datediff(o_e, o_s) + 1).cast("double") / F.nullif(pdays, F.lit(0))))
     pe_matched = sl.groupBy(*pk).agg(F.sum(ent).alias("corrected_entitled_sessions"),
                                      F.max(F.when(lim.isNull(), 1).otherwise(0)).alias("has_unlimited_slice"))
+
+    # Sessions pre-aggregated to (org, day) counts meet their periods on (org, month) + range, once for both counts:
+    # those of the period, and those since the current plan began.
+    daily = (sessions.groupBy(F.col("organization_id").alias("_org"), F.to_date("created_at").alias("_d"))
+             .agg(F.count("session_id").alias("_n")).withColumn("_dm", F.trunc("_d", "MM")))
+    asked = explode_months(sold.select(*pk, "_lo"), "period_start", "period_end", None, "_pm")
+    met = asked.join(daily, (asked.organization_id == daily._org) & (asked._pm == daily._dm) & F.col("_d").between(F.col("period_start"), F.col("period_end")))
+    counts = met.groupBy(*pk).agg(F.sum("_n").alias("ledger_sessions_count"),
+                                  F.sum(F.when(F.col("_d") >= F.col("_lo"), F.col("_n"))).alias("naive_snapshot_sessions_count"))
     # Periods without any overlapping interval behave like one all-NULL slice (unlimited flag 1).
-    pe = (bp.select(*pk).join(pe_matched, pk, "left")
-          .select(*pk, "corrected_entitled_sessions",
-                  F.coalesce("has_unlimited_slice", F.lit(1)).alias("has_unlimited_slice")))
-
-    # Sessions pre-aggregated to (org, day) counts; joined to periods on (org, month) + range.
-    daily = (sessions.groupBy("organization_id", F.to_date("created_at").alias("_d"))
-             .agg(F.count("session_id").alias("_n"))
-             .withColumn("_dm", F.trunc("_d", "MM"))
-             .withColumnRenamed("organization_id", "_org"))
-
-    def count_between(frame: DataFrame, lo, hi, name: str) -> DataFrame:
-        fm = explode_months(frame, lo, hi, None, "_pm")
-        j = fm.join(daily, (fm.organization_id == daily._org) & (fm._pm == daily._dm)
-                    & (daily._d >= lo) & (daily._d <= hi), "inner")
-        got = j.groupBy(*pk).agg(F.sum("_n").alias(name))
-        return frame.select(*pk).join(got, pk, "left")
-
-    su = count_between(bp.select(*pk), F.col("period_start"), F.col("period_end"), "ledger_sessions_count")
-
-    hs = hist.select(F.col("subscription_id").alias("current_subscription_id"),
-                     F.col("effective_start_date").alias("_cur_start"))
-    ns_base = (bp.select(*pk).join(oc.select("organization_id", "current_subscription_id",
-                                             "current_plan_sessions_limit"), "organization_id", "left")
-               .join(hs, "current_subscription_id", "left")
-               .withColumn("_lo", F.greatest(F.col("period_start"), F.coalesce("_cur_start", "period_start"))))
-    ns_counts = count_between(ns_base.select(*pk, "_lo"), F.col("_lo"), F.col("period_end"), "naive_snapshot_sessions_count")
-    ns = ns_base.select(*pk, "current_plan_sessions_limit").join(ns_counts, pk, "left")
-
-    f = (bp.join(oc, "organization_id", "left").join(pe, pk, "left").join(su, pk, "left")
-         .join(ns.drop("current_plan_sessions_limit"), pk, "left"))
+    f = sold.join(pe_matched, pk, "left").join(counts, pk, "left").withColumn("has_unlimited_slice", F.coalesce("has_unlimited_slice", F.lit(1)))
     ledger = F.coalesce("ledger_sessions_count", F.lit(0))
     unl = F.col("has_unlimited_slice") == 1
     corrected = F.when(unl, F.lit(0.0)).otherwise(
