@@ -23,7 +23,6 @@ sort-merge joins that AQE splits.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -175,13 +174,7 @@ def _batch(kind, units, lens, owner, shift):
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = id_text(docs, doc_id, text)
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-
-
-def _freed(df: DataFrame) -> None:
-    """Let the context cleaner drop the shuffle files of what has been stored."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("anonymous"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 #: Bits of the bitmap that dismisses most anchors of one occurrence before they are shuffled: 8 MB whatever the input.
@@ -211,33 +204,29 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
     """
     rows = _keyed(docs, doc_id, text)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
-            ids = part.column("doc_id").to_numpy()
-            for owner, h, *_ in _occurrences(kind, texts):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[owner])], ["h", "doc_id"])
+            ids, ths = part.column("doc_id").to_numpy(), part.column("th").to_numpy()
+            for owner, h, ph, lo, n, off in _occurrences(kind, texts):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ids[owner]), pa.array(ths[owner]), pa.array(lo.astype(np.int32))], _OCC)
 
-    counts = rows.select("doc_id", "text").mapInArrow(hashes, "h long, doc_id long").groupBy("h")
+    # The texts are hashed once; what follows reads these rows.
+    every = stored(rows.mapInArrow(occurrences, _OCC_SCHEMA), f"{kind.name}-every")
+    counts = every.groupBy("h")
     if kind.across:
         repeated = counts.agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
     else:
         repeated = counts.agg(F.count(F.lit(1)).alias("x")).where("x > 1").select("h")
     repeated = stored(repeated, f"{kind.name}-anchors")
-    _freed(rows)
-
     seen = _bitmap(repeated)
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "text"):
-            ids, ths = part.column("doc_id").to_numpy(), part.column("th").to_numpy()
-            for found in _occurrences(kind, texts):
-                h = found[1]
-                may = (seen[(h & _LOW) >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
-                owner, h, ph, lo, n, off = (x[may] for x in found)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ids[owner]), pa.array(ths[owner]), pa.array(lo.astype(np.int32))], _OCC)
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            may = (seen[(h & _LOW) >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.filter(pa.array(may))
 
-    found = stored(rows.mapInArrow(occurrences, "h long, ph long, n int, off int, doc_id long, th long, lo int").join(repeated, "h", "left_semi"), f"{kind.name}-occurrences")
-    _freed(rows)
+    found = stored(every.mapInArrow(likely, _OCC_SCHEMA).join(repeated, "h", "left_semi"), f"{kind.name}-occurrences")
     passage = ["h", "ph", "n", "off"]
     different = stored(found.groupBy(*passage).agg(F.min(F.struct("doc_id", "th", "lo")).alias("at"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), f"{kind.name}-passages")
     # Stored, as AQE splits a skewed join only between plain shuffles.
@@ -266,7 +255,6 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
                 yield _passages(out)
 
     bodies = stored(once.join(wanted, ["doc_id", "th"]).select("text", "wanted").mapInArrow(fetch, "h long, sub long, ph long, n int, off int, first int, m int, least long, copies long, body binary"), f"{kind.name}-bodies")
-    _freed(rows)
     whole = bodies.where("body is not null")
     size = whole.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
@@ -288,11 +276,9 @@ def spans(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], tuple[np.nda
     if not hot.isEmpty():
         judged = judged.unionByName(_counted(kind, bodies.where("body is null"), passage))
     judged = stored(judged, f"{kind.name}-runs")
-    _freed(rows)
     picked = found.join(judged, passage).where("least < doc_id").select("doc_id", "th", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + kind.window).alias("b"))
     per = stored(picked.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), f"{kind.name}-spans")
-    _freed(rows)
-    return rows.join(per, ["doc_id", "th"], "left")
+    return rows.join(per, ["doc_id", "th"], "left").withColumn("doc_id", F.when(~F.col("anonymous"), F.col("doc_id"))).drop("anonymous")
 
 
 def _counted(kind: Kind, windows: DataFrame, passage: list[str]) -> DataFrame:
@@ -316,6 +302,7 @@ def _counted(kind: Kind, windows: DataFrame, passage: list[str]) -> DataFrame:
 
 
 _OCC = ["h", "ph", "n", "off", "doc_id", "th", "lo"]
+_OCC_SCHEMA = "h long, ph long, n int, off int, doc_id long, th long, lo int"
 _BODY = pa.schema([("h", pa.int64()), ("sub", pa.int64()), ("ph", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("first", pa.int32()), ("m", pa.int32()), ("least", pa.int64()), ("copies", pa.int64()), ("body", pa.binary())])
 
 

@@ -22,7 +22,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import repeats
 from .common import chunks
@@ -180,4 +179,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays[:upto]], ["doc_id", *names[:upto]])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return found.select("doc_id", "text", "spans").mapInArrow(run, schema).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(repeats.NO_ID)))
+    return found.select("doc_id", "text", "spans").mapInArrow(run, schema)

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import repeats
 from .common import chunks
@@ -102,7 +101,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays[:upto]], ["doc_id", *names[:upto]])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return found.select("doc_id", "text", "spans").mapInArrow(run, schema).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(repeats.NO_ID)))
+    return found.select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
 def _units(text: bytes) -> np.ndarray:

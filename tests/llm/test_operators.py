@@ -229,6 +229,12 @@ def test_suffix_dedup(docs, rows, none, window=100):
     assert suffix_dedup.remove_repeats(none, window).count() == 0
 
 
+def test_the_largest_id_is_not_taken_for_null(spark):
+    docs = frame(spark, [((1 << 63) - 1, "some words"), (None, "other words"), (1, None)])
+    for out in (substring_dedup.remove_repeats(docs), suffix_dedup.remove_repeats(docs)):
+        assert {r["doc_id"] for r in out.collect()} == {(1 << 63) - 1, None, 1}
+
+
 def test_hot_anchors_are_cut_without_changing_results(docs, monkeypatch):
     from meridian.llm import repeats
 
