@@ -52,3 +52,11 @@ def test_filled_spines_never_travel(spark):
 def test_accounts_are_planned_once_for_unit_economics(spark):
     plan = E.queries()["gtm_unit_economics"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") < 25
+
+
+def test_figures_are_computed_before_periods_are_generated(spark):
+    """A generated row only picks values; rounding and ratios are done once for a row with facts."""
+    for name in ("core_metric_spine", "term_business_snapshot"):
+        plan = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        above, _, below = plan.partition("Generate explode(sequence(")
+        assert "round(" in below and "round(" not in above, name
