@@ -60,3 +60,17 @@ def test_figures_are_computed_before_periods_are_generated(spark):
         plan = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         above, _, below = plan.partition("Generate explode(sequence(")
         assert "round(" in below and "round(" not in above, name
+
+
+def test_partitions_of_a_shuffle_are_not_a_fixed_number(spark):
+    from meridian.session import INITIAL_PARTITIONS, PARTITION_BYTES, configure
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "8")
+    configure(other)
+    plan = other.range(100).selectExpr("id % 7 AS k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k#" in plan and f", {INITIAL_PARTITIONS})" in plan
+    assert other.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(PARTITION_BYTES)
+    other.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
+    configure(other)
+    assert other.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "32m"  # the submitter's
