@@ -551,3 +551,24 @@ def test_components(spark):
     want = labels_of(600, edges)
     assert got == {i: want[i] for i in got} and {a for e in edges for a in e if e[0] != e[1]} <= set(got)
     assert json.dumps(sorted(got)) and components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """A stored frame's shuffles are gone when its files stand, whether or not the driver collects garbage."""
+    import glob
+    import os
+    import time
+
+    from meridian.llm.common import _CLEANUP, stored
+
+    dirs = spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    before, rows = files(), spark.range(100_000).selectExpr("id % 50000 AS k").groupBy("k").count()
+    kept = stored(rows, "test")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == 50_000 and rows.count() == 50_000
+    assert spark.conf.get(_CLEANUP) == "false"  # only the write is cleaned behind
