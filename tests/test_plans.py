@@ -74,3 +74,14 @@ def test_partitions_of_a_shuffle_are_not_a_fixed_number(spark):
     other.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
     configure(other)
     assert other.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "32m"  # the submitter's
+
+
+def test_calendar_join_computes_every_frame_once(spark):
+    from meridian.plans.terminal import _calendar_join
+
+    a = spark.createDataFrame([(1, 10, 0.5), (2, None, 1.5), (None, 30, 2.5)], "d long, x long, y double")
+    b = spark.createDataFrame([(2, "u"), (3, None)], "e long, z string")
+    rows = {tuple(r) for r in _calendar_join([(a, "d"), (b, "e")], "k").collect()}
+    assert rows == {(1, 10, 0.5, None), (2, None, 1.5, "u"), (3, None, None, None), (None, None, None, None)}
+    plan = E.queries()["term_finance_monthly"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence(0, __n#") == 1  # the budget grid
