@@ -73,7 +73,7 @@ def test_registered_queries_run(spark):
     import __spark_entry__ as E
 
     names = [n for n in E.queries() if re.match(r"op\d+_", n) or n == "pipeline"]
-    assert sorted(names) == sorted([*QUERIES, "pipeline"]) and len(names) == 11
+    assert sorted(names) == sorted([*QUERIES, "pipeline"]) and len(names) == 14
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     for n in ("op1_toxicity", "op10_sharding", "op9_secret_scan"):
         assert E.queries()[n](spark, SF).count() == docs
