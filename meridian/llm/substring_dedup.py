@@ -27,11 +27,13 @@ from . import repeats
 from .common import chunks
 
 GRAM = 5
-#: Distinct words whose hashes a worker remembers.
-MEMORY = 400_000
-_known: dict[bytes, int] = {}
-
+#: Bytes up to which words are hashed together; longer ones one by one.
+LONG = 64
 
+#: Which bytes are ASCII white space, the bytes of a word's last step that belong to it, and an odd factor between steps.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP = np.uint64(0x9FB21C651E98DF25)
 #: Masks of the bits below each bit of a word.
 _BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
@@ -139,13 +141,27 @@ def _decide(window: int):
     return decide
 
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of every text, all words of all texts at once, eight bytes a step."""
+    starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    laid = np.frombuffer(b" " + b" ".join([*texts, b" " * 8]), np.uint8)  # read in words of eight bytes
+    space = _SPACE[laid]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(laid) - 7, "<u8", laid, strides=(1,))
+    out = size.astype(np.uint64)
+    live = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        live = live[size[live] > k]
+        out[live] = repeats.mix(out[live] * _STEP + (eight[first[live] + k] & _HEAD[np.minimum(size[live] - k, 8)]))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh64_intdigest(laid[first[i] : first[i] + size[i]], 3)
+    at = np.searchsorted(first, starts)
+    return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _units(text: bytes) -> np.ndarray:
-    if len(_known) > MEMORY:
-        _known.clear()
-    words = text.split()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh64_intdigest(w, 3)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return word_hashes([text])[0]
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -158,19 +174,21 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     """
     if window <= GRAM:
         raise ValueError(f"window must be over {GRAM} words")
-    kind = repeats.Kind("words", window, GRAM, _units, bytes.split, lambda words, a, b: b" ".join(words[a:b]), across=True)
+    kind = repeats.Kind("words", window, GRAM, _units, bytes.split, lambda words, a, b: b" ".join(words[a:b]), across=True, all_units=word_hashes)
     found = repeats.spans(docs, kind, _decide(window), False, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
             cols = [[], [], [], []]
-            for t, s in zip(texts, part.column("spans"), strict=True):
-                words = t.split()
-                cut = repeats.merged(s.as_py())
-                ends = [0, *(b for _, b in cut)]
-                left = [w for a, b in zip(ends, [*(a for a, _ in cut), len(words)], strict=True) for w in words[a:b]]
+            for t, s in zip(texts, part.column("spans").to_pylist(), strict=True):
+                words, left = t.split(), []
+                total, upto = len(words), 0
+                for a, b in repeats.merged(s):
+                    left += words[upto:a]
+                    upto = b
+                left = left + words[upto:] if upto else words
                 kept = b" ".join(left)
-                for c, v in zip(cols, (len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")), strict=True):
+                for c, v in zip(cols, (total, total - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]

@@ -309,6 +309,48 @@ def test_long_texts_go_in_blocks():
     assert windows(whole) == windows(cut) and len(windows(whole)) == 4000 - 39
 
 
+def test_words_are_hashed_together_as_alone():
+    r = random.Random(5)
+    long = ["x" * n for n in (7, 8, 9, 16, 63, 64, 65, 200)] + ["x" * 64 + "y", "y" + "x" * 64, "\0", "\0\0", "é" * 40, "\u2003", "a\u00a0b"]
+    say = lambda: "".join(r.choice([*long, f"w{r.randrange(99)}"]) + r.choice([" ", "\t", "\n\r", "\x0b\x0c", "  "]) for _ in range(r.randrange(60)))
+    texts = [raw(t) for t in ["", " ", "\n", *long, *(say() for _ in range(200)), " lead", "end", ""]]
+    hashes = substring_dedup.word_hashes(texts)
+    assert [len(h) for h in hashes] == [len(t.split()) for t in texts]
+    seen = {(w, int(x)) for t, h in zip(texts, hashes, strict=True) for w, x in zip(t.split(), h, strict=True)}
+    assert len({w for w, _ in seen}) == len({x for _, x in seen}) == len(seen) > 100
+    assert all((substring_dedup.word_hashes([t])[0] == h).all() for t, h in zip(texts, hashes, strict=True))
+    assert substring_dedup.word_hashes([]) == []
+
+
+def test_anchors_are_dismissed_and_passages_counted_without_python_or_sorts(docs, rows, monkeypatch):
+    from meridian.llm import repeats
+
+    plans, stored = {}, repeats.stored
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(repeats, "stored", spy)
+    assert substring_dedup.remove_repeats(docs).count() == len(rows)
+    assert "MapInArrow" not in plans["words-occurrences"]
+    assert "SortAggregate" not in plans["words-passages"]
+
+
+def test_the_bitmap_loses_no_row(spark):
+    from meridian.llm import repeats
+
+    r = random.Random(6)
+    some = {r.getrandbits(64) - (1 << 63) for _ in range(300)} | {-1, 0, 63, 64, -(1 << 63), (1 << 63) - 1}
+    others = {r.getrandbits(64) - (1 << 63) for _ in range(3000)}
+    rows = spark.createDataFrame([(h, i) for i, h in enumerate(sorted(some | others))], "h long, lo int")
+    got = repeats._likely(rows, spark.createDataFrame([(h,) for h in sorted(some)], "h long"))
+    assert got.columns == ["h", "lo"]
+    left = [x["h"] for x in got.collect()]
+    low = {h & repeats._LOW for h in some}
+    assert sorted(left) == sorted(h for h in some | others if h & repeats._LOW in low)
+
+
 def test_fm_index_counts_patterns():
     r = np.random.default_rng(4)
     text = np.concatenate([r.integers(0, 6, 400), [0]])
