@@ -107,7 +107,7 @@ def least_in(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _decide(window: int):
     def decide(rows: pa.Table) -> tuple[np.ndarray, ...]:
-        bodies, m = rows.column("body").to_pylist(), rows.column("m").to_numpy().astype(np.int64)
+        bodies, m = rows.column("body").to_pylist(), rows.column("n").to_numpy().astype(np.int64)
         least = rows.column("least").to_numpy()
         lens = np.fromiter((b.count(b" ") for b in bodies), np.int64, len(bodies)) + 1
         flat = pd.factorize(np.array(b" ".join(bodies).split(b" "), object))[0].astype(np.int64) + 1

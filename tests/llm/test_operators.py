@@ -293,6 +293,46 @@ def test_equal_windows_of_a_hot_anchor_never_meet_in_a_shard(spark, monkeypatch,
     assert kept[f"{name}-hot"].count() > 0
 
 
+def test_windows_of_a_hot_anchor_are_counted_in_blocks(spark, monkeypatch):
+    from collections import Counter
+
+    from meridian.llm import repeats
+
+    r = random.Random(5)
+    say = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    shared, rows = say(900), []
+    for i in range(120):
+        k = r.randrange(900)
+        # Contexts of a common passage, near copies with a mutation each or two the same, and pieces that begin and end anywhere.
+        rows.append((i, [f"{say(150)}{shared}{say(150)}", f"{shared[:k]}#{shared[k + 1:]}", f"{shared[: k // 50 * 50]}#{shared[k // 50 * 50 + 1 :]}", f"{say(40)}{shared[k : k + 350]}{say(40)}"][i % 4]))
+    rows += [rows[5], (None, rows[6][1]), (3, rows[7][1]), (130, None), (131, "short")]
+    kept, stored = [], repeats.stored
+
+    def spy(df, name):
+        out = stored(df, name)
+        kept.append((name, out))
+        return out
+
+    monkeypatch.setattr(repeats, "stored", spy)
+    monkeypatch.setattr(repeats, "HOT_ANCHOR", 5)
+    n = 200
+    seen = Counter(raw(t)[k : k + n] for _, t in rows for k in range(len(raw(t)) - n + 1))
+    want = []
+    for i, t in rows:
+        u, cut = raw(t), bytearray(len(raw(t)))
+        for k in range(len(u) - n + 1):
+            if seen[u[k : k + n]] > 1:
+                cut[k : k + n] = b"\1" * n
+        want.append((i, len(u), sum(cut), hashlib.sha256(bytes(c for c, x in zip(u, cut, strict=True) if not x)).hexdigest()))
+    assert keyed(suffix_dedup.remove_repeats(frame(spark, rows), n), "doc_id", "n_bytes", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    rows_of = Counter()
+    for name, df in kept:
+        rows_of[name] += df.count()
+    hot = dict(kept)["suffixes-hot"]
+    windows = dict(kept)["suffixes-passages"].join(hot, "h").agg({"n": "sum"}).first()[0]
+    assert windows > 4000 and rows_of["suffixes-bodies"] + rows_of["suffixes-blocks"] < windows / 2
+
+
 def test_long_texts_go_in_blocks():
     from meridian.llm import repeats
 
