@@ -11,6 +11,7 @@ aggregate (users, usage records).  The DuckDB twin of every binding lives in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -353,9 +354,18 @@ class Bindings:
 
     @property
     def opportunities(self) -> DataFrame:
+        return self._opportunities(self.t.orders.select("o_orderkey", "o_custkey"))
+
+    def account_opportunities(self, accounts: DataFrame) -> DataFrame:
+        """``opportunities`` joined with ``accounts`` by ``account_id``: the same inner joins in
+        another order, as the accounts meet the orders, not the many more lines."""
+        also = [c for c in accounts.columns if c != "account_id"]
+        o = self.t.orders.select("o_orderkey", "o_custkey").join(accounts.withColumnRenamed("account_id", "o_custkey"), "o_custkey")
+        return self._opportunities(o, also)
+
+    def _opportunities(self, o: DataFrame, also: Sequence[str] = ()) -> DataFrame:
         li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag",
                                     "l_linestatus", "l_shipdate")
-        o = self.t.orders.select("o_orderkey", "o_custkey")
         j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
         stage = (F.when(F.col("l_returnflag") == "A", F.lit("closed_won"))
                  .when(F.col("l_returnflag") == "R", F.lit("closed_lost"))
@@ -367,7 +377,7 @@ class Bindings:
             add_days_ts("l_shipdate", -30).alias("created_at"),
             F.when(F.col("l_returnflag").isin("A", "R"), F.col("l_shipdate")).alias("closed_at"),
             (F.col("l_returnflag") == "A").alias("is_won"),
-            (F.col("l_suppkey") % 10).alias("owner_employee_id"))
+            (F.col("l_suppkey") % 10).alias("owner_employee_id"), *also)
 
     # Activities replay the event stream shifted so its last day lines up with as_of.
     ACTIVITY_SHIFT_DAYS = -8217

@@ -1,5 +1,7 @@
 """Physical-plan guards over every registered query (planned on sf0.001)."""
 
+import re
+
 import __spark_entry__ as E
 from meridian.plans.registry import QUERIES
 
@@ -85,3 +87,27 @@ def test_calendar_join_computes_every_frame_once(spark):
     assert rows == {(1, 10, 0.5, None), (2, None, 1.5, "u"), (3, None, None, None), (None, None, None, None)}
     plan = E.queries()["term_finance_monthly"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(sequence(0, __n#") == 1  # the budget grid
+
+
+def test_snapshot_sums_all_movements_in_one_exchange(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when no side is small
+    plan = E.queries()["term_business_snapshot"](other, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = re.sub(r"#\d+L?", "", plan)
+    by_month = re.findall(r"Exchange hashpartitioning\(organization_id, (?:_groupingexpression|month\w*|\w+_month),", plan)
+    assert len(by_month) == 2  # the sessions and all else
+    assert plan.count("Exchange hashpartitioning(account_id,") == 2  # leads and accounts, not the lines
+    lines = [x.strip(" :+-*()0123456789") for x in plan.split("\n")]
+    read = [tuple(lines[i + 1:i + 4]) for i, x in enumerate(lines) if "Exchange hashpartitioning(l_orderkey," in x]
+    assert len(read) == 3 and len(set(read)) == 2  # deals and card spends read the same exchange
+
+
+def test_a_scan_task_is_bounded(spark):
+    from meridian.session import SCAN_BYTES, configure
+
+    other = spark.newSession()
+    configure(other)
+    assert other.conf.get("spark.sql.files.maxPartitionBytes") == str(SCAN_BYTES)
+    other.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    configure(other)
+    assert other.conf.get("spark.sql.files.maxPartitionBytes") == "16m"  # the submitter's
